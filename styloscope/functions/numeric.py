@@ -25,8 +25,15 @@ def safe_div(num, den, default: float = 0.0) -> Column:
 
 
 def r6(x) -> Column:
-    """Round a double for comparison with the SQL oracle (summation order differs)."""
-    return F.round(c_(x).cast("double"), DECIMALS)
+    """Round a double to 6 decimals as floor(x * 1e6 + 0.5) / 1e6.
+
+    The same IEEE operations in Spark and in the SQL oracle give bit-identical results (Spark's
+    ``round`` goes through BigDecimal and breaks ties differently from binary rounding).
+    """
+    x = c_(x).cast("double")
+    scale = float(10 ** DECIMALS)
+    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), x).otherwise(
+        F.floor(x * scale + 0.5).cast("double") / scale)
 
 
 def nan_inf_to_zero(x) -> Column:

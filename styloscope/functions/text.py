@@ -112,8 +112,10 @@ def all_caps_word_count(sentence) -> Column:
 
 def liwc_counts(sentence) -> list[Column]:
     words = ws_words(F.lower(col_(sentence)))
-    return [F.size(F.filter(words, lambda w, s=vals: w.isin(s))).alias(name)
-            for name, vals in lx.LIWC_CATEGORIES.items()]
+
+    def member_of(vals):
+        return lambda w: w.isin(vals)
+    return [F.size(F.filter(words, member_of(vals))).alias(name) for name, vals in lx.LIWC_CATEGORIES.items()]
 
 
 def repeated_punct(sentence) -> Column:

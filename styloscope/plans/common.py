@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
-from styloscope.functions.numeric import DECIMALS
+from styloscope.functions.numeric import r6
 
 
 def finalize(df: DataFrame) -> DataFrame:
     """Round every floating column to a fixed number of decimals (summation order differs by engine)."""
-    return df.select(*[F.round(F.col(f.name).cast("double"), DECIMALS).alias(f.name)
+    return df.select(*[r6(F.col(f.name)).alias(f.name)
                        if isinstance(f.dataType, (DoubleType, FloatType)) else F.col(f.name)
                        for f in df.schema.fields])

@@ -2,7 +2,7 @@
 
 The oracle uses window functions, ``unnest`` and lists where the Spark side uses composite-key
 grouping and in-row arrays, so an agreement checks the semantics rather than one translation.
-Floating outputs are rounded to 6 decimals (``+ 0.0`` turns -0.0 into 0.0).
+Floating outputs are rounded to 6 decimals as floor(x * 1e6 + 0.5) / 1e6, like the Spark side.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ def lst(values) -> str:
 
 
 def R(expr: str) -> str:
-    return f"(round(CAST({expr} AS DOUBLE), 6) + 0.0)"
+    return f"(floor(CAST({expr} AS DOUBLE) * 1000000.0 + 0.5) / 1000000.0)"
 
 
 def div(num: str, den: str, default: str = "0.0") -> str:
@@ -113,3 +113,148 @@ SELECT problem_id, sent_idx, pattern_type,
   CAST(pattern_type <> 0 AND pattern_type <> prev_t AS INTEGER) AS pattern_block_start,
   CAST(pattern_type <> 0 AND pattern_type <> next_t AS INTEGER) AS pattern_block_end
 FROM nb"""
+
+
+# ---------------------------------------------------------------------------------------------
+# Tokens and the lexical family
+# ---------------------------------------------------------------------------------------------
+
+def _values(rows, cols) -> str:
+    def lit(v):
+        return q(v) if isinstance(v, str) else repr(float(v)) if isinstance(v, float) else str(v)
+    body = ",\n    ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
+    return f"(VALUES\n    {body}) AS v({', '.join(cols)})"
+
+
+STOP_LIST = lst(lx.stopwords())
+
+CLOSED = f"""closed_class AS (SELECT * FROM {_values(lx.closed_class_rows(), ['word', 'upos'])})"""
+SENTI = f"""senti AS (SELECT * FROM {_values(lx.SENTIMENT_LEXICON, ['word', 'pol', 'subj'])})"""
+
+TOKENS = f"""tok0 AS (
+  SELECT problem_id, sent_idx, CAST(unnest(range(len(toks))) AS INTEGER) AS tok_idx, unnest(toks) AS text
+  FROM (SELECT problem_id, sent_idx, regexp_extract_all(sentence, '{TOKEN}') AS toks FROM sentences)),
+tok1 AS (
+  SELECT *, lower(text) AS lower, regexp_matches(text, '^\\p{{L}}+$') AS is_alpha,
+         regexp_matches(text, '^\\p{{P}}+$') AS is_punct, regexp_matches(text, '^[\\p{{L}}\\p{{M}}\\p{{N}}]') AS is_word,
+         (text = upper(text) AND text <> lower(text)) AS is_upper
+  FROM tok0),
+ann AS (
+  SELECT t.*, list_contains({STOP_LIST}, t.lower) AS is_stop,
+    coalesce(c.upos, CASE
+      WHEN NOT t.is_word THEN (CASE WHEN t.is_punct THEN 'PUNCT' ELSE 'SYM' END)
+      {' '.join(f"WHEN regexp_matches(t.lower, {q(p)}) THEN {q(tag)}" for tag, p in lx.OPEN_CLASS_RULES)}
+      ELSE 'NOUN' END) AS upos,
+    CASE WHEN list_contains({STOP_LIST}, t.lower) OR NOT t.is_alpha OR length(t.lower) <= 4 THEN t.lower
+      {' '.join(f"WHEN regexp_matches(t.lower, {q(p)}) THEN regexp_replace(t.lower, {q(p)}, {q(r.replace('$1', chr(92) + '1'))})" for p, r in lx.LEMMA_RULES)}
+      ELSE t.lower END AS lemma
+  FROM tok1 t LEFT JOIN closed_class c ON c.word = t.lower)"""
+
+TOK_BASE = [PROBLEMS, SENTENCES, CLOSED, TOKENS]
+
+_VOWELS = f"[{lx.SYLLABLE_VOWELS}]+"
+_SYL = (f"(CASE WHEN regexp_matches(lower, '\\p{{L}}') THEN greatest(1, len(regexp_extract_all(lower, {q(_VOWELS)})) - "
+        f"CASE WHEN regexp_matches(lower, '[^l]e$') AND len(regexp_extract_all(lower, {q(_VOWELS)})) > 1 THEN 1 ELSE 0 END)"
+        f" ELSE 0 END)")
+
+LEX = f"""syl AS (SELECT *, {_SYL} AS syl FROM ann),
+tagg AS (
+  SELECT problem_id, sent_idx, count(*) AS ntok, sum(length(text)) AS sum_len,
+    count(*) FILTER (WHERE is_upper AND length(text) > 1) AS all_caps_words,
+    count(*) FILTER (WHERE list_contains({lst(lx.FUNCTION_POS_TAGS)}, upos)) AS fw,
+    count(*) FILTER (WHERE upos = 'PRON') AS pron, count(*) FILTER (WHERE upos = 'CCONJ') AS cconj,
+    count(*) FILTER (WHERE upos = 'ADP') AS adp,
+    count(*) FILTER (WHERE is_alpha AND list_contains({lst(lx.FIRST_PERSON)}, lower)) AS p1,
+    count(*) FILTER (WHERE is_alpha AND list_contains({lst(lx.SECOND_PERSON)}, lower)) AS p2,
+    count(*) FILTER (WHERE is_alpha AND list_contains({lst(lx.THIRD_PERSON)}, lower)) AS p3,
+    count(*) FILTER (WHERE is_stop) AS stop,
+    count(*) FILTER (WHERE list_contains({lst(lx.FORMALITY_PLUS)}, upos))
+      - count(*) FILTER (WHERE list_contains({lst(lx.FORMALITY_MINUS)}, upos)) AS formal,
+    count(*) FILTER (WHERE list_contains({lst(lx.MODAL_WORDS)}, lower(lemma))) AS modal,
+    count(*) FILTER (WHERE is_word) AS words,
+    CAST(coalesce(sum(syl) FILTER (WHERE is_word), 0) AS BIGINT) AS syllables,
+    count(*) FILTER (WHERE is_word AND syl >= 3) AS complex,
+    count(*) FILTER (WHERE is_word AND syl >= 3 AND NOT is_stop) AS difficult,
+    coalesce(sum(length(text)) FILTER (WHERE is_word), 0) AS word_chars,
+    count(DISTINCT lower) FILTER (WHERE is_alpha) AS types
+  FROM syl GROUP BY problem_id, sent_idx),
+freq AS (
+  SELECT problem_id, sent_idx, sum(c * c) AS m1, sum(c) AS n_alpha
+  FROM (SELECT problem_id, sent_idx, lower, count(*) AS c FROM ann WHERE is_alpha GROUP BY ALL) GROUP BY ALL),
+senti_agg AS (
+  SELECT a.problem_id, a.sent_idx, avg(s.pol) AS pol, avg(s.subj) AS subj
+  FROM ann a JOIN senti s ON s.word = a.lower GROUP BY ALL),
+ents AS (
+  SELECT problem_id, sent_idx, count(DISTINCT grp) AS n_ent FROM (
+    SELECT problem_id, sent_idx, tok_idx - row_number() OVER (PARTITION BY problem_id, sent_idx ORDER BY tok_idx) AS grp
+    FROM ann WHERE tok_idx > 0 AND is_alpha AND regexp_matches(text, '^\\p{{Lu}}')) GROUP BY ALL),
+sstr AS (
+  SELECT problem_id, sent_idx, s, lower(s) AS ls,
+    list_filter(string_split_regex(s, '{WS}+'), lambda w: length(w) > 0) AS words_ws,
+    list_filter(string_split_regex(lower(s), '{WS}+'), lambda w: length(w) > 0) AS lwords_ws,
+    regexp_extract_all(s, '{TOKEN}') AS toks
+  FROM (SELECT problem_id, sent_idx, regexp_replace(sentence, '^{WS}+|{WS}+$', '', 'g') AS s FROM sentences)),
+lexical AS (
+  SELECT x.problem_id, x.sent_idx,
+    {div('coalesce(t.types, 0)', 'coalesce(t.ntok, 0)')} AS ttr,
+    CASE WHEN coalesce(f.n_alpha, 0) > 0 THEN 1e4 * (f.m1 - f.n_alpha) / (CAST(f.n_alpha AS DOUBLE) ^ 2) ELSE 0.0 END AS yules_k,
+    {div('coalesce(t.sum_len, 0)', 'coalesce(t.ntok, 0)')} AS avg_word_len,
+    length(x.s) AS sentence_char_len,
+    CAST(coalesce(t.ntok, 0) AS BIGINT) AS sentence_token_len,
+    {div("len(regexp_extract_all(x.s, '\\p{L}'))", 'length(x.s)')} AS char_alpha_ratio,
+    {div('length(x.s)', 'coalesce(t.ntok, 0)')} AS char_per_token,
+    {div("len(regexp_extract_all(x.s, '\\p{Lu}'))", 'length(x.s)')} AS char_upper_ratio,
+    {div("len(regexp_extract_all(x.s, '\\p{Nd}'))", 'length(x.s)')} AS char_digit_ratio,
+    CAST(regexp_matches(x.s, {q(lx.REPEATED_PUNCT_REGEX)}) AS INTEGER) AS repeated_punct,
+    CAST(contains(x.s, '*') OR contains(x.s, '_') AS INTEGER) AS markdown_emphasis,
+    CAST(coalesce(t.all_caps_words, 0) AS BIGINT) AS all_caps_words,
+    {div('coalesce(t.fw, 0)', 'coalesce(t.ntok, 0)')} AS function_word_ratio,
+    {div('coalesce(t.pron, 0)', 'coalesce(t.ntok, 0)')} AS pronoun_ratio,
+    {div('coalesce(t.cconj, 0)', 'coalesce(t.ntok, 0)')} AS conjunction_ratio,
+    {div('coalesce(t.adp, 0)', 'coalesce(t.ntok, 0)')} AS preposition_ratio,
+    {div('coalesce(t.p1, 0)', 'coalesce(t.ntok, 0)')} AS first_person_ratio,
+    {div('coalesce(t.p2, 0)', 'coalesce(t.ntok, 0)')} AS second_person_ratio,
+    {div('coalesce(t.p3, 0)', 'coalesce(t.ntok, 0)')} AS third_person_ratio,
+    {div('coalesce(t.stop, 0)', 'coalesce(t.ntok, 0)')} AS stopword_ratio,
+    coalesce(t.words, 0) AS words, greatest(1, len(regexp_extract_all(x.s, '[.!?]+'))) AS rd_sents,
+    coalesce(t.syllables, 0) AS syllable_count, coalesce(t.complex, 0) AS complex,
+    coalesce(t.difficult, 0) AS difficult, coalesce(t.word_chars, 0) AS word_chars,
+    CASE WHEN coalesce(t.ntok, 0) > 0 THEN 50.0 + 0.5 * t.formal / t.ntok ELSE 50.0 END AS formality_score,
+    {div('coalesce(e.n_ent, 0)', 'coalesce(t.ntok, 0)')} AS ner_density,
+    {div('coalesce(t.modal, 0)', 'coalesce(t.ntok, 0)')} AS modal_word_ratio,
+    {div(' + '.join(f'CAST(contains(x.ls, {q(m)}) AS INTEGER)' for m in lx.DISCOURSE_MARKERS), 'coalesce(t.ntok, 0)')} AS discourse_marker_ratio,
+    CAST(regexp_matches(x.s, {q(lx.EMOJI_CLASS)}) AS INTEGER) AS has_emoji,
+    CAST(regexp_matches(x.s, '[^\\x00-\\x7F]') AS INTEGER) AS has_non_ascii,
+    CAST(regexp_matches(x.s, {q('[' + lx.QUOTE_CHARS + '].+[' + lx.QUOTE_CHARS + ']')}) AS INTEGER) AS has_quoted_text,
+    coalesce(sa.pol, 0.0) AS sentiment_polarity, coalesce(sa.subj, 0.0) AS subjectivity_score,
+    CAST(ends_with(x.s, '?') AND coalesce(list_contains({lst(lx.RHETORICAL_FIRST_WORDS)}, lower(x.words_ws[1])), false) AS INTEGER) AS rhetorical_question,
+    CAST(len(list_filter(x.words_ws, lambda w: w = upper(w) AND w <> lower(w) AND length(w) > 2)) > 0 AS INTEGER) AS has_all_caps,
+    CAST({' OR '.join(f'contains(x.ls, {q(m)})' for m in lx.SARCASM_MARKERS)} AS INTEGER) AS sarcasm_marker,
+    {', '.join(f"CAST(len(list_filter(x.lwords_ws, lambda w: list_contains({lst(v)}, w))) AS INTEGER) AS {k}" for k, v in lx.LIWC_CATEGORIES.items())},
+    CAST(coalesce(list_contains({lst(lx.DISCOURSE_MARKERS)}, lower(x.toks[1])), false) AS INTEGER) AS starts_with_discourse
+  FROM sstr x LEFT JOIN tagg t USING (problem_id, sent_idx) LEFT JOIN freq f USING (problem_id, sent_idx)
+  LEFT JOIN senti_agg sa USING (problem_id, sent_idx) LEFT JOIN ents e USING (problem_id, sent_idx)),
+lexical2 AS (
+  SELECT *,
+    CASE WHEN words > 0 THEN 206.835 - 1.015 * (words / rd_sents) - 84.6 * (syllable_count / words) ELSE 0.0 END AS flesch_reading_ease,
+    CASE WHEN words > 0 THEN 0.4 * ((words / rd_sents) + 100.0 * (complex / words)) ELSE 0.0 END AS gunning_fog,
+    CASE WHEN words > 0 THEN 4.71 * (word_chars / words) + 0.5 * (words / rd_sents) - 21.43 ELSE 0.0 END AS automated_readability_index,
+    CASE WHEN words > 0 THEN 0.1579 * (100.0 * difficult / words) + 0.0496 * (words / rd_sents)
+      + CASE WHEN 100.0 * difficult / words > 5 THEN 3.6365 ELSE 0.0 END ELSE 0.0 END AS dale_chall_score
+  FROM lexical)"""
+
+LEX_BASE = TOK_BASE + [SENTI, LEX]
+
+_INT_COLS = {"sentence_char_len", "sentence_token_len", "all_caps_words", "syllable_count", "repeated_punct",
+             "markdown_emphasis", "sarcasm_marker", "has_emoji", "has_non_ascii", "has_quoted_text",
+             "starts_with_discourse", "rhetorical_question", "has_all_caps", *lx.LIWC_CATEGORIES.keys()}
+
+
+def _lex_sql(cols) -> str:
+    sel = ", ".join(c if c in _INT_COLS else f"{R(c)} AS {c}" for c in cols)
+    return with_(*LEX_BASE) + f"SELECT problem_id, sent_idx, {sel} FROM lexical2"
+
+
+def register_lexical(queries: dict[str, list[str]]):
+    for name, cols in queries.items():
+        SQL[name] = _lex_sql(cols)

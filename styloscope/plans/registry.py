@@ -77,3 +77,43 @@ def q_pattern_type(spark, sf_dir):
 @query("pattern_blocks")
 def q_pattern_blocks(spark, sf_dir):
     return rh.pattern_blocks(_sentences(spark, sf_dir))
+
+
+# --- A1-A13, T3-T15 (lexical family) ---------------------------------------------------------
+
+def _lexical(spark, sf_dir):
+    from styloscope.operators.lexical import lexical_features
+    return lexical_features(_sentences(spark, sf_dir))
+
+
+def _lex_query(name, cols):
+    @query(name)
+    def fn(spark, sf_dir):
+        return _lexical(spark, sf_dir).select("problem_id", "sent_idx", *cols)
+    return fn
+
+
+LEXICAL_QUERIES = {
+    "lexical_stats": ["ttr", "avg_word_len", "sentence_char_len", "sentence_token_len", "char_per_token"],
+    "yules_k": ["yules_k"],
+    "char_ratios": ["char_alpha_ratio", "char_upper_ratio", "char_digit_ratio", "repeated_punct", "markdown_emphasis"],
+    "marker_flags": ["discourse_marker_ratio", "sarcasm_marker", "has_emoji", "has_non_ascii", "has_quoted_text",
+                     "starts_with_discourse"],
+    "rhetorical_caps": ["rhetorical_question", "has_all_caps", "all_caps_words"],
+    "person_ratios": ["first_person_ratio", "second_person_ratio", "third_person_ratio"],
+    "stopword_ratio": ["stopword_ratio"],
+    "liwc_counts": ["liwc_analytic_count", "liwc_affective_count", "liwc_authenticity_count", "liwc_certainty_count",
+                    "liwc_tentativeness_count"],
+    "readability": ["flesch_reading_ease", "gunning_fog", "automated_readability_index", "syllable_count",
+                    "dale_chall_score"],
+    "sentiment": ["sentiment_polarity", "subjectivity_score"],
+    "pos_ratios": ["function_word_ratio", "pronoun_ratio", "conjunction_ratio", "preposition_ratio"],
+    "formality": ["formality_score"],
+    "modal_ratio": ["modal_word_ratio"],
+}
+for _n, _c in LEXICAL_QUERIES.items():
+    _lex_query(_n, _c)
+
+from styloscope.plans import oracle as _oracle  # noqa: E402
+
+_oracle.register_lexical(LEXICAL_QUERIES)
