@@ -69,7 +69,8 @@ def is_entity_token(tok, tok_idx) -> Column:
 def entity_spans(tokens) -> Column:
     """Runs of consecutive entity tokens, joined by a space, in order (in-row, no shuffle)."""
     marked = F.transform(tokens, lambda t, i: F.when(is_entity_token(t, i), t).otherwise(F.lit("\u0001")))
-    runs = F.split(F.array_join(marked, " "), r" ?\x{0001}( ?\x{0001})* ?")
+    # character-class quantifiers only: Java's regex recursion on repeated groups overflows on long lines
+    runs = F.split(F.array_join(marked, " "), r"[ \x{0001}]*\x{0001}[ \x{0001}]*")
     return F.filter(runs, lambda r: F.length(r) > 0)
 
 

@@ -258,3 +258,126 @@ def _lex_sql(cols) -> str:
 def register_lexical(queries: dict[str, list[str]]):
     for name, cols in queries.items():
         SQL[name] = _lex_sql(cols)
+
+
+# ---------------------------------------------------------------------------------------------
+# POS n-grams, entropy, TF-IDF, overlaps
+# ---------------------------------------------------------------------------------------------
+
+PAIRS = """pairs AS (SELECT problem_id, sent_idx AS pair_idx FROM sentences
+  WHERE n_sentences >= 2 AND sent_idx < n_sentences - 1)"""
+
+NGRAM_WIN = """grams AS (
+  SELECT problem_id, sent_idx, tok_idx, upos,
+         lead(upos, 1) OVER w AS u1, lead(upos, 2) OVER w AS u2
+  FROM ann WINDOW w AS (PARTITION BY problem_id, sent_idx ORDER BY tok_idx))"""
+
+SQL["pos_ngrams"] = with_(*TOK_BASE, NGRAM_WIN) + """SELECT problem_id, sent_idx, kind, ngram, count(*) AS cnt FROM (
+  SELECT problem_id, sent_idx, 'bigram' AS kind, upos || '_' || u1 AS ngram FROM grams WHERE u1 IS NOT NULL
+  UNION ALL
+  SELECT problem_id, sent_idx, 'skipgram' AS kind, upos || '_' || u2 AS ngram FROM grams WHERE u2 IS NOT NULL)
+GROUP BY ALL"""
+
+ENTROPY = """ent_counts AS (
+  SELECT problem_id, sent_idx, g, count(*) AS c FROM (
+    SELECT problem_id, sent_idx, upos || ' ' || u1 AS g FROM grams WHERE u1 IS NOT NULL
+    UNION ALL SELECT problem_id, sent_idx, upos || ' ' || u1 || ' ' || u2 FROM grams WHERE u2 IS NOT NULL)
+  GROUP BY ALL),
+ent_tot AS (SELECT problem_id, sent_idx, sum(c) AS n FROM ent_counts GROUP BY ALL),
+entropy AS (
+  SELECT s.problem_id, s.sent_idx,
+         coalesce((SELECT -sum((c / t.n) * ln(c / t.n)) FROM ent_counts e, ent_tot t
+                   WHERE e.problem_id = s.problem_id AND e.sent_idx = s.sent_idx
+                     AND t.problem_id = s.problem_id AND t.sent_idx = s.sent_idx), 0.0) AS pos_entropy
+  FROM sentences s)"""
+
+SQL["pos_entropy"] = with_(*TOK_BASE, NGRAM_WIN, ENTROPY) + f"""SELECT problem_id, sent_idx,
+  {R('pos_entropy')} AS pos_entropy FROM entropy"""
+
+SQL["pos_entropy_pairs"] = with_(*TOK_BASE, NGRAM_WIN, ENTROPY) + f"""SELECT a.problem_id, a.sent_idx AS pair_idx,
+  {R('b.pos_entropy - a.pos_entropy')} AS pos_entropy_diff, {R('abs(b.pos_entropy - a.pos_entropy)')} AS pos_entropy_abs_diff
+FROM entropy a JOIN entropy b ON a.problem_id = b.problem_id AND b.sent_idx = a.sent_idx + 1"""
+
+
+def _ngram_sim_sql(kind: str, n: int, skip: int) -> str:
+    last = "u2" if (n == 3 or skip == 1) else "u1"
+    expr = {("bigram"): "upos || '_' || u1", "skipgram": "upos || '_' || u2",
+            "trigram": "upos || '_' || u1 || '_' || u2"}[kind]
+    return f"""c_{kind} AS (
+  SELECT problem_id, sent_idx, {expr} AS term, count(*) AS c FROM grams WHERE {last} IS NOT NULL GROUP BY ALL),
+n_{kind} AS (SELECT problem_id, sent_idx, sqrt(sum(c * c)) AS nrm, count(*) AS k FROM c_{kind} GROUP BY ALL),
+d_{kind} AS (
+  SELECT a.problem_id, a.sent_idx AS pair_idx, sum(a.c * b.c) AS dot, count(*) AS inter
+  FROM c_{kind} a JOIN c_{kind} b ON a.problem_id = b.problem_id AND b.sent_idx = a.sent_idx + 1 AND a.term = b.term
+  GROUP BY ALL),
+s_{kind} AS (
+  SELECT p.problem_id, p.pair_idx,
+    CASE WHEN na.k > 0 AND nb.k > 0 THEN coalesce(d.dot, 0) / (na.nrm * nb.nrm) ELSE 0.0 END AS pos_{kind}_cosine,
+    CASE WHEN na.k > 0 AND nb.k > 0 THEN CAST(coalesce(d.inter, 0) AS DOUBLE) / (na.k + nb.k - coalesce(d.inter, 0)) ELSE 0.0 END
+      AS pos_{kind}_jaccard
+  FROM pairs p LEFT JOIN n_{kind} na ON na.problem_id = p.problem_id AND na.sent_idx = p.pair_idx
+  LEFT JOIN n_{kind} nb ON nb.problem_id = p.problem_id AND nb.sent_idx = p.pair_idx + 1
+  LEFT JOIN d_{kind} d ON d.problem_id = p.problem_id AND d.pair_idx = p.pair_idx)"""
+
+
+SQL["pos_ngram_similarity"] = with_(*TOK_BASE, PAIRS, NGRAM_WIN, _ngram_sim_sql("bigram", 2, 0),
+                                    _ngram_sim_sql("trigram", 3, 0)) + f"""SELECT problem_id, pair_idx,
+  {R('b.pos_bigram_cosine')} AS pos_bigram_cosine, {R('b.pos_bigram_jaccard')} AS pos_bigram_jaccard,
+  {R('t.pos_trigram_cosine')} AS pos_trigram_cosine, {R('t.pos_trigram_jaccard')} AS pos_trigram_jaccard
+FROM s_bigram b JOIN s_trigram t USING (problem_id, pair_idx)"""
+
+SQL["pos_tfidf_cosine"] = with_(*TOK_BASE, PAIRS) + f""", lt AS (
+  SELECT problem_id, sent_idx, lower(upos) AS t,
+         row_number() OVER (PARTITION BY problem_id, sent_idx ORDER BY tok_idx) AS pos
+  FROM ann WHERE length(upos) >= 2),
+lg AS (SELECT problem_id, sent_idx, t, lead(t, 1) OVER w AS t1, lead(t, 2) OVER w AS t2
+  FROM lt WINDOW w AS (PARTITION BY problem_id, sent_idx ORDER BY pos)),
+terms AS (
+  SELECT problem_id, sent_idx, t || ' ' || t1 AS term FROM lg WHERE t1 IS NOT NULL
+  UNION ALL SELECT problem_id, sent_idx, t || ' ' || t1 || ' ' || t2 FROM lg WHERE t2 IS NOT NULL),
+tf AS (SELECT problem_id, sent_idx, term, count(*) AS tf FROM terms GROUP BY ALL),
+dfreq AS (SELECT problem_id, term, count(*) AS df FROM tf GROUP BY ALL),
+nsent AS (SELECT DISTINCT problem_id, n_sentences FROM sentences),
+w AS (
+  SELECT tf.problem_id, tf.sent_idx, tf.term, tf.tf * (ln((1.0 + n.n_sentences) / (1.0 + d.df)) + 1.0) AS w
+  FROM tf JOIN dfreq d USING (problem_id, term) JOIN nsent n USING (problem_id)),
+nw AS (SELECT problem_id, sent_idx, term, w / sqrt(sum(w * w) OVER (PARTITION BY problem_id, sent_idx)) AS v FROM w),
+dots AS (
+  SELECT a.problem_id, a.sent_idx AS pair_idx, sum(a.v * b.v) AS dot
+  FROM nw a JOIN nw b ON a.problem_id = b.problem_id AND b.sent_idx = a.sent_idx + 1 AND a.term = b.term
+  GROUP BY ALL)
+SELECT p.problem_id, p.pair_idx, {R('coalesce(d.dot, 0.0)')} AS pos_tfidf_cosine
+FROM pairs p LEFT JOIN dots d USING (problem_id, pair_idx)"""
+
+ENTS = """ent_runs AS (
+  SELECT problem_id, sent_idx, lower(string_agg(text, ' ' ORDER BY tok_idx)) AS ent FROM (
+    SELECT problem_id, sent_idx, tok_idx, text,
+           tok_idx - row_number() OVER (PARTITION BY problem_id, sent_idx ORDER BY tok_idx) AS grp
+    FROM ann WHERE tok_idx > 0 AND is_alpha AND regexp_matches(text, '^\\p{Lu}'))
+  GROUP BY problem_id, sent_idx, grp),
+ent_sets AS (SELECT DISTINCT problem_id, sent_idx, ent AS item FROM ent_runs)"""
+
+LEMMAS = """lem_sets AS (SELECT DISTINCT problem_id, sent_idx, lemma AS item FROM ann WHERE is_alpha)"""
+
+
+def _overlap_sql(sets: str, out: str) -> str:
+    return f"""{out}_k AS (SELECT problem_id, sent_idx, count(*) AS k FROM {sets} GROUP BY ALL),
+{out}_i AS (
+  SELECT a.problem_id, a.sent_idx, count(*) AS inter FROM {sets} a JOIN {sets} b
+    ON a.problem_id = b.problem_id AND b.sent_idx = a.sent_idx + 1 AND a.item = b.item GROUP BY ALL),
+{out} AS (
+  SELECT s.problem_id, s.sent_idx,
+    CASE WHEN s.sent_idx = s.n_sentences - 1 THEN 0.0
+         WHEN coalesce(ka.k, 0) + coalesce(kb.k, 0) - coalesce(i.inter, 0) = 0 THEN 0.0
+         ELSE CAST(coalesce(i.inter, 0) AS DOUBLE) / (coalesce(ka.k, 0) + coalesce(kb.k, 0) - coalesce(i.inter, 0)) END AS {out}
+  FROM sentences s LEFT JOIN {out}_k ka ON ka.problem_id = s.problem_id AND ka.sent_idx = s.sent_idx
+  LEFT JOIN {out}_k kb ON kb.problem_id = s.problem_id AND kb.sent_idx = s.sent_idx + 1
+  LEFT JOIN {out}_i i ON i.problem_id = s.problem_id AND i.sent_idx = s.sent_idx)"""
+
+
+SQL["entity_density_overlap"] = with_(*LEX_BASE, ENTS, _overlap_sql("ent_sets", "ner_overlap_next")) + f"""SELECT
+  l.problem_id, l.sent_idx, {R('l.ner_density')} AS ner_density, {R('o.ner_overlap_next')} AS ner_overlap_next
+FROM lexical2 l JOIN ner_overlap_next o USING (problem_id, sent_idx)"""
+
+SQL["lemma_overlap"] = with_(*TOK_BASE, LEMMAS, _overlap_sql("lem_sets", "lemma_overlap_next")) + f"""SELECT
+  problem_id, sent_idx, {R('lemma_overlap_next')} AS lemma_overlap_next FROM lemma_overlap_next"""

@@ -117,3 +117,53 @@ for _n, _c in LEXICAL_QUERIES.items():
 from styloscope.plans import oracle as _oracle  # noqa: E402
 
 _oracle.register_lexical(LEXICAL_QUERIES)
+
+
+# --- A16, A17, V9-V11, A12, W6, W7 ------------------------------------------------------------
+
+@query("pos_ngrams")
+def q_pos_ngrams(spark, sf_dir):
+    from styloscope.operators.pos import ngram_counts
+    s = _sentences(spark, sf_dir)
+    return (ngram_counts(s, 2, 0).withColumn("kind", F.lit("bigram"))
+            .unionByName(ngram_counts(s, 2, 1).withColumn("kind", F.lit("skipgram")))
+            .select("problem_id", "sent_idx", "kind", "ngram", "cnt"))
+
+
+@query("pos_entropy")
+def q_pos_entropy(spark, sf_dir):
+    from styloscope.operators.pos import pos_entropy
+    return pos_entropy(_sentences(spark, sf_dir))
+
+
+@query("pos_entropy_pairs")
+def q_pos_entropy_pairs(spark, sf_dir):
+    from styloscope.operators.pos import entropy_pairs
+    return entropy_pairs(_sentences(spark, sf_dir))
+
+
+@query("pos_tfidf_cosine")
+def q_pos_tfidf_cosine(spark, sf_dir):
+    from styloscope.operators.pos import tfidf_cosine
+    return tfidf_cosine(_sentences(spark, sf_dir))
+
+
+@query("pos_ngram_similarity")
+def q_pos_ngram_similarity(spark, sf_dir):
+    from styloscope.operators.pos import ngram_similarity
+    s = _sentences(spark, sf_dir)
+    return ngram_similarity(s, "bigram").join(ngram_similarity(s, "trigram"), ["problem_id", "pair_idx"])
+
+
+@query("entity_density_overlap")
+def q_entity_density_overlap(spark, sf_dir):
+    from styloscope.operators.context import entity_overlap
+    s = _sentences(spark, sf_dir)
+    return _lexical(spark, sf_dir).select("problem_id", "sent_idx", "ner_density").join(
+        entity_overlap(s), ["problem_id", "sent_idx"])
+
+
+@query("lemma_overlap")
+def q_lemma_overlap(spark, sf_dir):
+    from styloscope.operators.context import lemma_overlap
+    return lemma_overlap(_sentences(spark, sf_dir))
