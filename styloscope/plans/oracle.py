@@ -381,3 +381,158 @@ FROM lexical2 l JOIN ner_overlap_next o USING (problem_id, sent_idx)"""
 
 SQL["lemma_overlap"] = with_(*TOK_BASE, LEMMAS, _overlap_sql("lem_sets", "lemma_overlap_next")) + f"""SELECT
   problem_id, sent_idx, {R('lemma_overlap_next')} AS lemma_overlap_next FROM lemma_overlap_next"""
+
+
+# ---------------------------------------------------------------------------------------------
+# Word adjacency networks
+# ---------------------------------------------------------------------------------------------
+
+PRESETS = f"""presets AS (SELECT * FROM {_values([(k, *map(str, v)) for k, v in lx.PRESETS.items()],
+                                               ['preset', 'rp', 'rs', 'lm', 'ip'])}),
+dpreset AS (SELECT * FROM {_values(list(lx.DIFFICULTY_PRESET.items()), ['difficulty', 'preset'])}),
+pflags AS (SELECT difficulty, rp = 'True' AS remove_punct, rs = 'True' AS remove_stopwords, lm = 'True' AS lemmatize,
+                  ip = 'True' AS include_pos FROM dpreset JOIN presets USING (preset))"""
+
+
+def _lemma_sql(w: str) -> str:
+    rules = ' '.join(f"WHEN regexp_matches({w}, {q(p)}) THEN regexp_replace({w}, {q(p)}, {q(r.replace('$1', chr(92) + '1'))})"
+                     for p, r in lx.LEMMA_RULES)
+    return (f"(CASE WHEN list_contains({STOP_LIST}, {w}) OR NOT regexp_matches({w}, '^\\p{{L}}+$') OR length({w}) <= 4 "
+            f"THEN {w} {rules} ELSE {w} END)")
+
+
+def _upos_rules_sql(w: str) -> str:
+    rules = ' '.join(f"WHEN regexp_matches({w}, {q(p)}) THEN {q(tag)}" for tag, p in lx.OPEN_CLASS_RULES)
+    return (f"(CASE WHEN NOT regexp_matches({w}, '^[\\p{{L}}\\p{{M}}\\p{{N}}]') THEN "
+            f"(CASE WHEN regexp_matches({w}, '^\\p{{P}}+$') THEN 'PUNCT' ELSE 'SYM' END) {rules} ELSE 'NOUN' END)")
+
+
+def wan_sql(graph_src: str = "sentences", gkey: str = "sent_idx", text_col: str = "sentence",
+            flags: str = "pflags", flag_join: str = "USING (difficulty)") -> str:
+    """CTEs wan_words, wan_edges, wan_nodes, wan_deg for graphs keyed (problem_id, gkey)."""
+    return f"""nt0 AS (
+  SELECT problem_id, {gkey}, difficulty, CAST(unnest(range(len(toks))) AS INTEGER) AS k, unnest(toks) AS tok
+  FROM (SELECT problem_id, {gkey}, difficulty,
+               regexp_extract_all(replace(lower({text_col}), 'ß', 'ss'), '{TOKEN}') AS toks FROM {graph_src})),
+nt1 AS (
+  SELECT t.problem_id, t.{gkey}, f.include_pos, t.k,
+         CASE WHEN f.lemmatize THEN {_lemma_sql('lower(t.tok)')} ELSE t.tok END AS w
+  FROM nt0 t JOIN {flags} f {flag_join}
+  WHERE NOT ((f.remove_stopwords AND list_contains({STOP_LIST}, lower(t.tok)))
+             OR (f.remove_punct AND regexp_matches(t.tok, '^\\p{{P}}+$')))),
+wan_words AS (
+  SELECT n.problem_id, n.{gkey}, n.include_pos, n.w,
+         'POS_' || coalesce(c.upos, {_upos_rules_sql('lower(n.w)')}) AS tag,
+         row_number() OVER (PARTITION BY n.problem_id, n.{gkey} ORDER BY n.k) AS pos,
+         count(*) OVER (PARTITION BY n.problem_id, n.{gkey}) AS nw
+  FROM nt1 n LEFT JOIN closed_class c ON c.word = lower(n.w)),
+wan_seq AS (
+  SELECT *, lead(w) OVER x AS w1, lead(tag) OVER x AS t1 FROM wan_words
+  WINDOW x AS (PARTITION BY problem_id, {gkey} ORDER BY pos)),
+wan_edges AS (
+  SELECT problem_id, {gkey}, src, dst, edge_type, count(*) AS weight FROM (
+    SELECT problem_id, {gkey}, w AS src, w1 AS dst, 'word' AS edge_type FROM wan_seq WHERE w1 IS NOT NULL
+    UNION ALL
+    SELECT problem_id, {gkey}, tag, t1, 'pos_pos' FROM wan_seq WHERE t1 IS NOT NULL AND include_pos)
+  WHERE src <> dst GROUP BY ALL),
+wan_nodes AS (
+  SELECT DISTINCT problem_id, {gkey}, w AS node, 'word' AS node_type FROM wan_words WHERE nw >= 2
+  UNION SELECT DISTINCT problem_id, {gkey}, tag, 'POS' FROM wan_words WHERE nw >= 2 AND include_pos),
+wan_deg AS (
+  SELECT n.problem_id, n.{gkey}, n.node, n.node_type,
+         coalesce(i.c, 0) AS in_deg, coalesce(o.c, 0) AS out_deg, coalesce(i.c, 0) + coalesce(o.c, 0) AS deg
+  FROM wan_nodes n
+  LEFT JOIN (SELECT problem_id, {gkey}, dst AS node, count(*) AS c FROM wan_edges GROUP BY ALL) i USING (problem_id, {gkey}, node)
+  LEFT JOIN (SELECT problem_id, {gkey}, src AS node, count(*) AS c FROM wan_edges GROUP BY ALL) o USING (problem_id, {gkey}, node)),
+wan_und AS (SELECT DISTINCT problem_id, {gkey}, least(src, dst) AS a, greatest(src, dst) AS b FROM wan_edges),
+wan_tri AS (
+  SELECT e1.problem_id, e1.{gkey}, e1.a AS x, e1.b AS y, e2.b AS z
+  FROM wan_und e1 JOIN wan_und e2 ON e1.problem_id = e2.problem_id AND e1.{gkey} = e2.{gkey} AND e1.a = e2.a AND e1.b < e2.b
+  JOIN wan_und e3 ON e3.problem_id = e1.problem_id AND e3.{gkey} = e1.{gkey} AND e3.a = e1.b AND e3.b = e2.b),
+wan_k AS (
+  SELECT problem_id, {gkey}, node, count(*) AS k FROM (
+    SELECT problem_id, {gkey}, a AS node FROM wan_und UNION ALL SELECT problem_id, {gkey}, b FROM wan_und) GROUP BY ALL),
+wan_t AS (
+  SELECT problem_id, {gkey}, node, count(*) AS t FROM (
+    SELECT problem_id, {gkey}, x AS node FROM wan_tri UNION ALL SELECT problem_id, {gkey}, y FROM wan_tri
+    UNION ALL SELECT problem_id, {gkey}, z FROM wan_tri) GROUP BY ALL),
+wan_m AS (
+  SELECT d.problem_id, d.{gkey}, count(*) AS V, CAST(sum(d.out_deg) AS BIGINT) AS E,
+    avg(d.deg) AS deg_mean, stddev_pop(d.deg) AS deg_std, max(d.deg) AS deg_max, min(d.deg) AS deg_min,
+    avg(d.in_deg) AS in_degree_mean, stddev_pop(d.in_deg) AS in_degree_std,
+    avg(d.out_deg) AS out_degree_mean, stddev_pop(d.out_deg) AS out_degree_std,
+    count(*) FILTER (WHERE d.deg >= 3) AS star, count(*) FILTER (WHERE d.node_type = 'POS') AS vp,
+    coalesce(sum(d.out_deg) FILTER (WHERE d.node_type = 'POS'), 0) AS ep,
+    avg(d.deg) FILTER (WHERE d.node_type = 'POS') AS pdeg_mean, stddev_pop(d.deg) FILTER (WHERE d.node_type = 'POS') AS pdeg_std,
+    sum(CASE WHEN coalesce(k.k, 0) >= 2 THEN 2.0 * coalesce(t.t, 0) / (k.k * (k.k - 1)) ELSE 0.0 END) AS csum
+  FROM wan_deg d LEFT JOIN wan_k k USING (problem_id, {gkey}, node) LEFT JOIN wan_t t USING (problem_id, {gkey}, node)
+  GROUP BY ALL),
+wan_hist AS (SELECT problem_id, {gkey}, deg, count(*) AS c FROM wan_deg GROUP BY ALL),
+wan_dent AS (
+  SELECT h.problem_id, h.{gkey}, -sum((h.c / m.V) * ln(h.c / m.V)) AS degree_entropy
+  FROM wan_hist h JOIN wan_m m USING (problem_id, {gkey}) GROUP BY ALL),
+wan_pte AS (
+  SELECT problem_id, {gkey}, ln(count(*)) AS pte,
+         -sum((weight / tot) * ln(weight / tot)) AS ptew
+  FROM (SELECT *, sum(weight) OVER (PARTITION BY problem_id, {gkey}) AS tot FROM wan_edges
+        WHERE contains(src, 'POS_') AND contains(dst, 'POS_')) GROUP BY ALL),
+wan_assort AS (
+  SELECT e.problem_id, e.{gkey},
+         CAST(count(*) * sum(s.out_deg * d.in_deg) - sum(s.out_deg) * sum(d.in_deg) AS DOUBLE) AS cov,
+         sqrt(CAST(count(*) * sum(s.out_deg * s.out_deg) - sum(s.out_deg) * sum(s.out_deg) AS DOUBLE)
+              * CAST(count(*) * sum(d.in_deg * d.in_deg) - sum(d.in_deg) * sum(d.in_deg) AS DOUBLE)) AS den
+  FROM wan_edges e JOIN wan_deg s ON s.problem_id = e.problem_id AND s.{gkey} = e.{gkey} AND s.node = e.src
+  JOIN wan_deg d ON d.problem_id = e.problem_id AND d.{gkey} = e.{gkey} AND d.node = e.dst GROUP BY ALL),
+wan_ntri AS (SELECT problem_id, {gkey}, count(*) AS tc FROM wan_tri GROUP BY ALL),
+wan_metrics AS (
+  SELECT m.problem_id, m.{gkey}, m.V, m.E,
+    CAST(2 * m.E AS DOUBLE) / m.V AS average_degree,
+    CASE WHEN m.V > 1 THEN CAST(m.E AS DOUBLE) / (m.V * (m.V - 1)) ELSE 0.0 END AS density,
+    CASE WHEN m.V = 1 THEN 1.0 ELSE m.deg_mean / (m.V - 1) END AS degree_centrality_mean,
+    CASE WHEN m.V <= 1 THEN 0.0 ELSE m.deg_std / (m.V - 1) END AS degree_centrality_std,
+    CASE WHEN m.V = 1 THEN 1.0 ELSE m.deg_max / (m.V - 1) END AS degree_centrality_max,
+    CASE WHEN m.V = 1 THEN 1.0 ELSE m.deg_min / (m.V - 1) END AS degree_centrality_min,
+    m.in_degree_mean, m.in_degree_std, m.out_degree_mean, m.out_degree_std,
+    CAST(m.star AS DOUBLE) / m.V AS star_ratio, CAST(m.vp AS BIGINT) AS pos_node_count,
+    CASE WHEN m.vp > 0 THEN 2.0 * m.ep / m.vp ELSE 0.0 END AS pos_avg_degree,
+    CASE WHEN m.vp > 1 THEN CAST(m.ep AS DOUBLE) / (m.vp * (m.vp - 1)) ELSE 0.0 END AS pos_density,
+    CASE WHEN m.vp = 0 THEN 0.0 WHEN m.vp = 1 THEN 1.0 ELSE m.pdeg_mean / (m.vp - 1) END AS pos_centrality_mean,
+    CASE WHEN m.vp <= 1 THEN 0.0 ELSE m.pdeg_std / (m.vp - 1) END AS pos_centrality_std,
+    CASE WHEN m.V > 1 THEN m.csum / m.V ELSE 0.0 END AS average_clustering,
+    CAST(coalesce(nt.tc, 0) AS BIGINT) AS triangle_count,
+    CASE WHEN m.V <= 1 THEN 0.0 WHEN coalesce(a.den, 0) = 0 THEN NULL ELSE a.cov / a.den END AS assortativity,
+    de.degree_entropy, coalesce(p.pte, 0.0) AS pos_transition_entropy, coalesce(p.ptew, 0.0) AS pos_transition_entropy_weighted
+  FROM wan_m m LEFT JOIN wan_dent de USING (problem_id, {gkey}) LEFT JOIN wan_pte p USING (problem_id, {gkey})
+  LEFT JOIN wan_assort a USING (problem_id, {gkey}) LEFT JOIN wan_ntri nt USING (problem_id, {gkey}))"""
+
+
+WAN_BASE = TOK_BASE + [PRESETS, wan_sql()]
+_WAN_INT = {"V", "E", "pos_node_count", "triangle_count"}
+
+
+def register_wan(queries: dict[str, list[str]]):
+    for name, cols in queries.items():
+        sel = ", ".join(c if c in _WAN_INT else f"{R(c)} AS {c}" for c in cols)
+        SQL[name] = with_(*WAN_BASE) + f"SELECT problem_id, sent_idx, {sel} FROM wan_metrics"
+
+
+SQL["wan_edges"] = with_(*WAN_BASE) + "SELECT problem_id, sent_idx, src, dst, weight, edge_type FROM wan_edges"
+
+SQL["wan_pairwise"] = with_(*WAN_BASE) + f""", dc AS (
+  SELECT d.problem_id, d.sent_idx, d.node, CASE WHEN m.V = 1 THEN 1.0 ELSE CAST(d.deg AS DOUBLE) / (m.V - 1) END AS dc
+  FROM wan_deg d JOIN wan_m m USING (problem_id, sent_idx)),
+gn AS (SELECT problem_id, sent_idx, count(*) AS nv, sqrt(sum(dc * dc)) AS nrm FROM dc GROUP BY ALL),
+ge AS (SELECT problem_id, sent_idx, count(*) AS ne FROM wan_edges GROUP BY ALL),
+ni AS (SELECT a.problem_id, a.sent_idx, count(*) AS i, sum(a.dc * b.dc) AS dot FROM dc a JOIN dc b
+  ON a.problem_id = b.problem_id AND b.sent_idx = a.sent_idx + 1 AND a.node = b.node GROUP BY ALL),
+ei AS (SELECT a.problem_id, a.sent_idx, count(*) AS i FROM wan_edges a JOIN wan_edges b
+  ON a.problem_id = b.problem_id AND b.sent_idx = a.sent_idx + 1 AND a.src = b.src AND a.dst = b.dst GROUP BY ALL)
+SELECT a.problem_id, a.sent_idx AS pair_idx,
+  {R("CASE WHEN coalesce(ea.ne, 0) + coalesce(eb.ne, 0) - coalesce(ei.i, 0) = 0 THEN 0.0 ELSE CAST(coalesce(ei.i, 0) AS DOUBLE) / (coalesce(ea.ne, 0) + coalesce(eb.ne, 0) - coalesce(ei.i, 0)) END")} AS edge_jaccard,
+  {R("CAST(coalesce(ni.i, 0) AS DOUBLE) / (a.nv + b.nv - coalesce(ni.i, 0))")} AS node_jaccard,
+  {R("CASE WHEN a.nrm = 0 OR b.nrm = 0 THEN 0.0 ELSE coalesce(ni.dot, 0.0) / (a.nrm * b.nrm) END")} AS centrality_cosine
+FROM gn a JOIN gn b ON a.problem_id = b.problem_id AND b.sent_idx = a.sent_idx + 1
+LEFT JOIN ge ea ON ea.problem_id = a.problem_id AND ea.sent_idx = a.sent_idx
+LEFT JOIN ge eb ON eb.problem_id = b.problem_id AND eb.sent_idx = b.sent_idx
+LEFT JOIN ni ON ni.problem_id = a.problem_id AND ni.sent_idx = a.sent_idx
+LEFT JOIN ei ON ei.problem_id = a.problem_id AND ei.sent_idx = a.sent_idx"""

@@ -167,3 +167,54 @@ def q_entity_density_overlap(spark, sf_dir):
 def q_lemma_overlap(spark, sf_dir):
     from styloscope.operators.context import lemma_overlap
     return lemma_overlap(_sentences(spark, sf_dir))
+
+
+# --- G1-G9, G13-G22 (word adjacency networks) ------------------------------------------------
+
+def _wan(spark, sf_dir):
+    from styloscope.operators.graphs import wan_for_sentences
+    return wan_for_sentences(spark, _sentences(spark, sf_dir))
+
+
+def _wan_metrics(spark, sf_dir):
+    from styloscope.operators.graphs import KEY, wan_metrics
+    edges, nodes = _wan(spark, sf_dir)
+    return wan_metrics(edges, nodes, KEY)
+
+
+@query("wan_edges")
+def q_wan_edges(spark, sf_dir):
+    edges, _ = _wan(spark, sf_dir)
+    return edges.select("problem_id", "sent_idx", "src", "dst", "weight", "edge_type")
+
+
+WAN_QUERIES = {
+    "wan_global": ["V", "E", "average_degree", "density"],
+    "wan_degree": ["degree_centrality_mean", "degree_centrality_std", "degree_centrality_max",
+                   "degree_centrality_min", "in_degree_mean", "in_degree_std", "out_degree_mean", "out_degree_std"],
+    "wan_clustering": ["average_clustering"],
+    "wan_assortativity": ["assortativity"],
+    "wan_entropy": ["degree_entropy", "pos_transition_entropy", "pos_transition_entropy_weighted"],
+    "wan_star_triangles": ["triangle_count", "star_ratio"],
+    "wan_pos": ["pos_node_count", "pos_avg_degree", "pos_density", "pos_centrality_mean", "pos_centrality_std"],
+}
+
+
+def _wan_query(name, cols):
+    @query(name)
+    def fn(spark, sf_dir):
+        return _wan_metrics(spark, sf_dir).select("problem_id", "sent_idx", *cols)
+    return fn
+
+
+for _n, _c in WAN_QUERIES.items():
+    _wan_query(_n, _c)
+
+
+@query("wan_pairwise")
+def q_wan_pairwise(spark, sf_dir):
+    from styloscope.operators.graphs import wan_pairwise
+    edges, nodes = _wan(spark, sf_dir)
+    return wan_pairwise(edges, nodes)
+
+_oracle.register_wan(WAN_QUERIES)
