@@ -536,3 +536,58 @@ LEFT JOIN ge ea ON ea.problem_id = a.problem_id AND ea.sent_idx = a.sent_idx
 LEFT JOIN ge eb ON eb.problem_id = b.problem_id AND eb.sent_idx = b.sent_idx
 LEFT JOIN ni ON ni.problem_id = a.problem_id AND ni.sent_idx = a.sent_idx
 LEFT JOIN ei ON ei.problem_id = a.problem_id AND ei.sent_idx = a.sent_idx"""
+
+
+# ---------------------------------------------------------------------------------------------
+# Embeddings
+# ---------------------------------------------------------------------------------------------
+
+EMB = """emb AS (
+  SELECT CAST(label AS BIGINT) AS problem_id,
+         CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INTEGER) AS sent_idx,
+         CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+embn AS (
+  SELECT problem_id, sent_idx, e, lag(e) OVER w AS ep, lead(e, 1) OVER w AS e1, lead(e, 2) OVER w AS e2,
+         lead(e, 3) OVER w AS e3
+  FROM emb WINDOW w AS (PARTITION BY problem_id ORDER BY sent_idx))"""
+
+
+def _dot(a, b):
+    return f"list_sum(list_transform(list_zip({a}, {b}), lambda p: p[1] * p[2]))"
+
+
+def _nrm(a):
+    return f"sqrt(list_sum(list_transform({a}, lambda x: x * x)))"
+
+
+def _cos(a, b):
+    return f"(CASE WHEN {_nrm(a)} * {_nrm(b)} = 0 THEN 0.0 ELSE {_dot(a, b)} / ({_nrm(a)} * {_nrm(b)}) END)"
+
+
+def _euc(a, b):
+    return f"sqrt(list_sum(list_transform(list_zip({a}, {b}), lambda p: (p[2] - p[1]) ^ 2)))"
+
+
+def _sub(a, b):
+    return f"list_transform(list_zip({a}, {b}), lambda p: p[1] - p[2])"
+
+
+SQL["embedding_pairs"] = with_(EMB) + f"""SELECT problem_id, sent_idx AS pair_idx,
+  {R(_cos('e', 'e1'))} AS sbert_cosine_similarity, {R('1.0 - ' + _cos('e', 'e1'))} AS sbert_cosine_distance,
+  {R(_euc('e', 'e1'))} AS sbert_euclidean,
+  {R("list_sum(list_transform(list_zip(e, e1), lambda p: abs(p[2] - p[1])))")} AS sbert_manhattan,
+  {R(f"CASE WHEN {_nrm('e')} = 0 THEN 0.0 ELSE {_nrm('e1')} / {_nrm('e')} END")} AS sbert_norm_ratio
+FROM embn WHERE e1 IS NOT NULL"""
+
+SQL["multi_skip_drift"] = with_(EMB) + "SELECT problem_id, sent_idx AS pair_idx, " + ", ".join(
+    f"{R(f'CASE WHEN e{k} IS NULL THEN NULL ELSE {_euc(chr(101), f"e{k}")} END')} AS semantic_drift_distance_skip{k}, "
+    f"{R(f'CASE WHEN e{k} IS NULL THEN NULL ELSE {_cos(chr(101), f"e{k}")} END')} AS semantic_drift_cosine_skip{k}"
+    for k in lx.DRIFT_SKIPS) + " FROM embn WHERE e1 IS NOT NULL"
+
+SQL["directional_cosine"] = with_(EMB) + f"""SELECT problem_id, sent_idx AS pair_idx,
+  {R(f"CASE WHEN e2 IS NULL THEN 0.0 ELSE {_cos(_sub('e1', 'e'), _sub('e2', 'e1'))} END")} AS sbert_directional_cosine
+FROM embn WHERE e1 IS NOT NULL"""
+
+SQL["neighbor_cosine"] = with_(EMB) + f"""SELECT problem_id, sent_idx,
+  {R(f"CASE WHEN ep IS NULL OR e1 IS NULL THEN 0.0 ELSE ({_cos('e', 'ep')} + {_cos('e', 'e1')}) / 2.0 END")} AS avg_sbert_cosine_neighbors
+FROM embn"""

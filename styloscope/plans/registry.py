@@ -218,3 +218,41 @@ def q_wan_pairwise(spark, sf_dir):
     return wan_pairwise(edges, nodes)
 
 _oracle.register_wan(WAN_QUERIES)
+
+
+# --- V1-V6, W5, W10, W11 (embeddings) -------------------------------------------------------
+
+def _emb_nb(spark, sf_dir):
+    from styloscope.operators.vectors import neighbour_vectors
+    return neighbour_vectors(tb.embedding_sentences(spark, sf_dir))
+
+
+@query("embedding_pairs")
+def q_embedding_pairs(spark, sf_dir):
+    from styloscope.operators.vectors import embedding_pairs
+    return embedding_pairs(_emb_nb(spark, sf_dir))
+
+
+@query("multi_skip_drift")
+def q_multi_skip_drift(spark, sf_dir):
+    from styloscope.operators.vectors import multi_skip_drift
+    return multi_skip_drift(_emb_nb(spark, sf_dir))
+
+
+@query("directional_cosine")
+def q_directional_cosine(spark, sf_dir):
+    from styloscope.operators.vectors import directional_cosine
+    return directional_cosine(_emb_nb(spark, sf_dir))
+
+
+@query("neighbor_cosine")
+def q_neighbor_cosine(spark, sf_dir):
+    from styloscope.operators.vectors import neighbour_cosine
+    return neighbour_cosine(_emb_nb(spark, sf_dir))
+
+
+@query("embedding_pca")
+def q_embedding_pca(spark, sf_dir):
+    from styloscope.operators.vectors import pca_reduce
+    return pca_reduce(tb.embedding_sentences(spark, sf_dir)).select(
+        "problem_id", "sent_idx", F.size("pca").alias("dims"))
