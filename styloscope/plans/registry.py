@@ -256,3 +256,37 @@ def q_embedding_pca(spark, sf_dir):
     from styloscope.operators.vectors import pca_reduce
     return pca_reduce(tb.embedding_sentences(spark, sf_dir)).select(
         "problem_id", "sent_idx", F.size("pca").alias("dims"))
+
+
+# --- G10-G12 path and spectral metrics (kernel per graph; no SQL oracle) ---------------------
+
+def _centralities(spark, sf_dir):
+    from styloscope.operators.graphs import KEY
+    from styloscope.operators.paths import node_centralities
+    edges, nodes = _wan(spark, sf_dir)
+    return node_centralities(edges, nodes, KEY)
+
+
+def _path_query(name, metric):
+    @query(name)
+    def fn(spark, sf_dir):
+        from styloscope.operators.graphs import KEY
+        from styloscope.operators.paths import centrality_summaries
+        s = centrality_summaries(_centralities(spark, sf_dir), KEY)
+        cols = [f"{metric}_centrality_{x}" for x in ("mean", "std", "max", "min")]
+        extra = ["eigenvector_converged"] if metric == "eigenvector" else []
+        return s.select("problem_id", "sent_idx", *cols, *extra)
+    return fn
+
+
+for _m in ("closeness", "betweenness", "eigenvector"):
+    _path_query(f"wan_{_m}", _m)
+
+
+@query("wan_path_pairwise")
+def q_wan_path_pairwise(spark, sf_dir):
+    from styloscope.operators.graphs import wan_pairwise
+    from styloscope.operators.paths import pairwise_path_cosines
+    edges, nodes = _wan(spark, sf_dir)
+    return wan_pairwise(edges, nodes, node_values=pairwise_path_cosines(_centralities(spark, sf_dir))).select(
+        "problem_id", "pair_idx", "closeness_cosine", "eigenvector_cosine")
