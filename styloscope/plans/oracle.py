@@ -591,3 +591,59 @@ FROM embn WHERE e1 IS NOT NULL"""
 SQL["neighbor_cosine"] = with_(EMB) + f"""SELECT problem_id, sent_idx,
   {R(f"CASE WHEN ep IS NULL OR e1 IS NULL THEN 0.0 ELSE ({_cos('e', 'ep')} + {_cos('e', 'e1')}) / 2.0 END")} AS avg_sbert_cosine_neighbors
 FROM embn"""
+
+
+# ---------------------------------------------------------------------------------------------
+# Dependency operators over the rule parse
+# ---------------------------------------------------------------------------------------------
+
+PARSE = """pz AS (
+  SELECT a.*, coalesce(min(tok_idx) FILTER (WHERE upos IN ('VERB', 'AUX')) OVER (PARTITION BY problem_id, sent_idx), 0) AS root,
+         count(*) OVER (PARTITION BY problem_id, sent_idx) AS n,
+         lag(lower) OVER w AS prev_low, lag(upos) OVER w AS prev_tag
+  FROM ann a WINDOW w AS (PARTITION BY problem_id, sent_idx ORDER BY tok_idx)),
+rootinfo AS (
+  SELECT r.problem_id, r.sent_idx,
+         (r.upos = 'VERB' AND ends_with(r.lower, 'ed') AND r.tok_idx > 0
+          AND coalesce(list_contains(['is', 'are', 'was', 'were', 'be', 'been', 'being'], r.prev_low), false)) AS passive
+  FROM pz r WHERE r.tok_idx = r.root),
+parse AS (
+  SELECT pz.problem_id, pz.sent_idx, pz.tok_idx, pz.text, pz.upos,
+    CASE WHEN tok_idx = root THEN tok_idx WHEN upos IN ('DET', 'ADJ') AND tok_idx + 1 < n THEN tok_idx + 1 ELSE root END AS head_idx,
+    CASE WHEN tok_idx = root THEN 'ROOT' WHEN upos = 'DET' THEN 'det' WHEN upos = 'ADJ' THEN 'amod'
+         WHEN upos IN ('PRON', 'NOUN') AND tok_idx < root THEN (CASE WHEN ri.passive THEN 'nsubjpass' ELSE 'nsubj' END)
+         WHEN upos = 'VERB' AND prev_low = 'to' THEN 'xcomp'
+         WHEN upos = 'VERB' AND prev_tag = 'SCONJ' THEN 'advcl'
+         WHEN upos = 'VERB' AND list_contains(['who', 'which', 'that'], prev_low) THEN 'relcl'
+         WHEN upos = 'VERB' THEN 'ccomp' ELSE 'dep' END AS dep
+  FROM pz LEFT JOIN rootinfo ri USING (problem_id, sent_idx))"""
+
+SQL["clause_ratio"] = with_(*TOK_BASE, PARSE) + f"""SELECT s.problem_id, s.sent_idx,
+  {R("coalesce(c.r, 0.0)")} AS clause_complexity
+FROM sentences s LEFT JOIN (SELECT problem_id, sent_idx,
+  CAST(count(*) FILTER (WHERE list_contains({lst(lx.CLAUSE_DEPS)}, dep)) AS DOUBLE) / count(*) AS r FROM parse GROUP BY ALL) c
+USING (problem_id, sent_idx)"""
+
+SQL["passive_ratio"] = with_(*TOK_BASE, PARSE) + f"""SELECT s.problem_id, s.sent_idx, {R("coalesce(c.r, 0.0)")} AS passive_ratio
+FROM sentences s LEFT JOIN (
+  SELECT v.problem_id, v.sent_idx,
+         CAST(count(*) FILTER (WHERE EXISTS (SELECT 1 FROM parse c WHERE c.problem_id = v.problem_id
+             AND c.sent_idx = v.sent_idx AND c.head_idx = v.tok_idx AND c.dep = 'nsubjpass')) AS DOUBLE) / count(*) AS r
+  FROM parse v WHERE v.upos = 'VERB' GROUP BY ALL) c USING (problem_id, sent_idx)"""
+
+SQL["dep_depth"] = "WITH RECURSIVE " + ",\n".join([*TOK_BASE, PARSE]) + f""",
+walk(problem_id, sent_idx, tok_idx, cur, d) AS (
+  SELECT problem_id, sent_idx, tok_idx, tok_idx, 0 FROM parse
+  UNION ALL
+  SELECT w.problem_id, w.sent_idx, w.tok_idx, p.head_idx, w.d + 1 FROM walk w JOIN parse p
+    ON p.problem_id = w.problem_id AND p.sent_idx = w.sent_idx AND p.tok_idx = w.cur WHERE p.head_idx <> p.tok_idx),
+depth AS (SELECT problem_id, sent_idx, tok_idx, max(d) AS d FROM walk GROUP BY ALL)
+SELECT s.problem_id, s.sent_idx, {R("coalesce(x.a, 0.0)")} AS dependency_avg_depth
+FROM sentences s LEFT JOIN (SELECT problem_id, sent_idx, avg(d) AS a FROM depth GROUP BY ALL) x USING (problem_id, sent_idx)"""
+
+SQL["subject_overlap"] = with_(*TOK_BASE, PARSE) + """, subj AS (SELECT DISTINCT problem_id, sent_idx, lower(text) AS w FROM parse WHERE dep = 'nsubj')
+SELECT s.problem_id, s.sent_idx,
+  CASE WHEN s.sent_idx = 0 THEN 0 ELSE CAST(EXISTS (SELECT 1 FROM subj a JOIN subj b ON a.w = b.w
+    WHERE a.problem_id = s.problem_id AND a.sent_idx = s.sent_idx AND b.problem_id = s.problem_id
+      AND b.sent_idx = s.sent_idx - 1) AS INTEGER) END AS subject_overlap_prev
+FROM sentences s"""

@@ -290,3 +290,44 @@ def q_wan_path_pairwise(spark, sf_dir):
     edges, nodes = _wan(spark, sf_dir)
     return wan_pairwise(edges, nodes, node_values=pairwise_path_cosines(_centralities(spark, sf_dir))).select(
         "problem_id", "pair_idx", "closeness_cosine", "eigenvector_cosine")
+
+
+# --- A14, A18, A19, W8 (dependency operators over the built-in rule parse) -------------------
+
+def _parse(spark, sf_dir):
+    from styloscope.operators.syntax import heuristic_parse
+    s = _sentences(spark, sf_dir)
+    return s, heuristic_parse(s)
+
+
+def _per_sentence(s, df, col):
+    return s.select("problem_id", "sent_idx").join(df, ["problem_id", "sent_idx"], "left").select(
+        "problem_id", "sent_idx", F.coalesce(F.col(col), F.lit(0.0)).alias(col))
+
+
+@query("dep_depth")
+def q_dep_depth(spark, sf_dir):
+    from styloscope.operators.syntax import dependency_depth
+    s, p = _parse(spark, sf_dir)
+    return _per_sentence(s, dependency_depth(p), "dependency_avg_depth")
+
+
+@query("passive_ratio")
+def q_passive_ratio(spark, sf_dir):
+    from styloscope.operators.syntax import passive_ratio
+    s, p = _parse(spark, sf_dir)
+    return _per_sentence(s, passive_ratio(p), "passive_ratio")
+
+
+@query("clause_ratio")
+def q_clause_ratio(spark, sf_dir):
+    from styloscope.operators.syntax import clause_complexity
+    s, p = _parse(spark, sf_dir)
+    return _per_sentence(s, clause_complexity(p), "clause_complexity")
+
+
+@query("subject_overlap")
+def q_subject_overlap(spark, sf_dir):
+    from styloscope.operators.syntax import subject_overlap
+    s, p = _parse(spark, sf_dir)
+    return subject_overlap(p, s)
