@@ -177,6 +177,11 @@ def triangles(edges: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     return node_kt, totals
 
 
+def _round12(x):
+    """Drop float summation-order noise (1e-16) so equal graphs compare equal; 12 decimals."""
+    return F.floor(x * 1e12 + 0.5).cast("double") / 1e12
+
+
 def clustering(edges: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
     """G6 + G16: average_clustering (mean over *all* nodes) and triangle_count per graph."""
     node_kt, totals = triangles(edges, keys)
@@ -184,7 +189,7 @@ def clustering(edges: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame
     csum = node_kt.groupBy(*keys).agg(F.sum(c).alias("_csum"))
     v = nodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_v"))
     return (v.join(csum, keys, "left").join(totals, keys, "left")
-            .select(*keys, F.when(F.col("_v") > 1, safe_div(F.coalesce(F.col("_csum"), F.lit(0.0)), F.col("_v")))
+            .select(*keys, F.when(F.col("_v") > 1, _round12(safe_div(F.coalesce(F.col("_csum"), F.lit(0.0)), F.col("_v"))))
                     .otherwise(0.0).alias("average_clustering"),
                     F.coalesce(F.col("triangle_count"), F.lit(0)).cast("long").alias("triangle_count")))
 

@@ -239,8 +239,8 @@ lexical2 AS (
     CASE WHEN words > 0 THEN 206.835 - 1.015 * (words / rd_sents) - 84.6 * (syllable_count / words) ELSE 0.0 END AS flesch_reading_ease,
     CASE WHEN words > 0 THEN 0.4 * ((words / rd_sents) + 100.0 * (complex / words)) ELSE 0.0 END AS gunning_fog,
     CASE WHEN words > 0 THEN 4.71 * (word_chars / words) + 0.5 * (words / rd_sents) - 21.43 ELSE 0.0 END AS automated_readability_index,
-    CASE WHEN words > 0 THEN 0.1579 * (100.0 * difficult / words) + 0.0496 * (words / rd_sents)
-      + CASE WHEN 100.0 * difficult / words > 5 THEN 3.6365 ELSE 0.0 END ELSE 0.0 END AS dale_chall_score
+    CASE WHEN words > 0 THEN 0.1579 * (100.0 * (difficult / words)) + 0.0496 * (words / rd_sents)
+      + CASE WHEN 100.0 * (difficult / words) > 5 THEN 3.6365 ELSE 0.0 END ELSE 0.0 END AS dale_chall_score
   FROM lexical)"""
 
 LEX_BASE = TOK_BASE + [SENTI, LEX]
@@ -498,7 +498,7 @@ wan_metrics AS (
     CASE WHEN m.vp > 1 THEN CAST(m.ep AS DOUBLE) / (m.vp * (m.vp - 1)) ELSE 0.0 END AS pos_density,
     CASE WHEN m.vp = 0 THEN 0.0 WHEN m.vp = 1 THEN 1.0 ELSE m.pdeg_mean / (m.vp - 1) END AS pos_centrality_mean,
     CASE WHEN m.vp <= 1 THEN 0.0 ELSE m.pdeg_std / (m.vp - 1) END AS pos_centrality_std,
-    CASE WHEN m.V > 1 THEN m.csum / m.V ELSE 0.0 END AS average_clustering,
+    CASE WHEN m.V > 1 THEN floor((m.csum / m.V) * 1e12 + 0.5) / 1e12 ELSE 0.0 END AS average_clustering,
     CAST(coalesce(nt.tc, 0) AS BIGINT) AS triangle_count,
     CASE WHEN m.V <= 1 THEN 0.0 WHEN coalesce(a.den, 0) = 0 THEN NULL ELSE a.cov / a.den END AS assortativity,
     de.degree_entropy, coalesce(p.pte, 0.0) AS pos_transition_entropy, coalesce(p.ptew, 0.0) AS pos_transition_entropy_weighted
@@ -647,3 +647,108 @@ SELECT s.problem_id, s.sent_idx,
     WHERE a.problem_id = s.problem_id AND a.sent_idx = s.sent_idx AND b.problem_id = s.problem_id
       AND b.sent_idx = s.sent_idx - 1) AS INTEGER) END AS subject_overlap_prev
 FROM sentences s"""
+
+
+# ---------------------------------------------------------------------------------------------
+# Pair assembly over the core families
+# ---------------------------------------------------------------------------------------------
+
+def _core_lists():
+    from styloscope.operators import pairs as pr
+    return pr
+
+
+PB = """pb AS (
+  SELECT problem_id, sent_idx, pattern_type,
+    CAST(pattern_type = 1 AS INTEGER) AS flag_pattern_1, CAST(pattern_type = 2 AS INTEGER) AS flag_pattern_2,
+    CAST(pattern_type = 3 AS INTEGER) AS flag_pattern_3, CAST(pattern_type = 4 AS INTEGER) AS flag_pattern_4,
+    CAST(pattern_type > 0 AS INTEGER) AS flag_special_meta,
+    CAST(pattern_type <> 0 AND pattern_type = coalesce(lead(pattern_type) OVER w, 0) AS INTEGER) AS pattern_same_block,
+    CAST(pattern_type <> coalesce(lead(pattern_type) OVER w, 0) AS INTEGER) AS pattern_boundary_cross,
+    CAST(pattern_type <> 0 AND pattern_type <> coalesce(lag(pattern_type) OVER w, 0) AS INTEGER) AS pattern_block_start,
+    CAST(pattern_type <> 0 AND pattern_type <> coalesce(lead(pattern_type) OVER w, 0) AS INTEGER) AS pattern_block_end
+  FROM pt WINDOW w AS (PARTITION BY problem_id ORDER BY sent_idx))"""
+
+
+def _sent_core(extra: list[str]) -> str:
+    pr = _core_lists()
+    g = ", ".join(
+        f"CASE WHEN g.problem_id IS NULL THEN 0.0 ELSE {'g.' + c if c == 'assortativity' else f'coalesce(g.{c}, 0.0)'} END AS {c}"
+        for c in pr.GRAPH_COUNT_FEATURES)
+    lex = ", ".join(f"l.{c}" for c in pr.LEXICAL_FEATURES + pr.DEEP_FEATURES)
+    pat = ", ".join(f"p.{c}" for c in pr.PATTERN_FEATURES)
+    ex = "".join(f", coalesce(x.{c}, 0.0) AS {c}" for c in extra)
+    xj = """ LEFT JOIN (SELECT problem_id, sent_idx,
+  CAST(count(*) FILTER (WHERE list_contains(['relcl', 'advcl', 'ccomp', 'xcomp'], dep)) AS DOUBLE) / count(*) AS clause_complexity
+  FROM parse GROUP BY ALL) x USING (problem_id, sent_idx)""" if extra else ""
+    return f"""sent_core AS (
+  SELECT s.problem_id, s.sent_idx, s.n_sentences, {g}, {lex}, {pat}{ex}
+  FROM sentences s LEFT JOIN lexical2 l USING (problem_id, sent_idx) LEFT JOIN pb p USING (problem_id, sent_idx)
+  LEFT JOIN wan_metrics g USING (problem_id, sent_idx){xj})"""
+
+
+def pair_parts(extra: list[str]):
+    """(ctes, expressions, integer columns) of the pair assembly over the core families."""
+    from styloscope.functions import lexicons as lx2
+    pr = _core_lists()
+    cols = list(pr.CORE_FEATURES) + list(extra)
+    a = [f"CAST(a.{c} AS DOUBLE)" for c in cols]
+    b = [f"CAST(b.{c} AS DOUBLE)" for c in cols]
+    za = [f"coalesce({x}, 0.0)" for x in a]
+    zb = [f"coalesce({y}, 0.0)" for y in b]
+    dot = " + ".join(f"{x} * {y}" for x, y in zip(za, zb))
+    na = "sqrt(" + " + ".join(f"{x} * {x}" for x in za) + ")"
+    nb = "sqrt(" + " + ".join(f"{y} * {y}" for y in zb) + ")"
+    euc = "sqrt(" + " + ".join(f"({x} - {y}) * ({x} - {y})" for x, y in zip(za, zb)) + ")"
+    exprs = {
+        "position_ratio": "CAST(a.sent_idx AS DOUBLE) / greatest(1, a.n_sentences - 1)",
+        "cosine_similarity": f"CASE WHEN {na} * {nb} = 0 THEN 0.0 ELSE ({dot}) / ({na} * {nb}) END",
+        "euclidean_distance": euc,
+    }
+    for c, x, y in zip(cols, a, b):
+        exprs[f"f1_{c}"] = f"coalesce({x}, 0.0)"
+        exprs[f"f2_{c}"] = f"coalesce({y}, 0.0)"
+        exprs[f"delta_{c}"] = f"coalesce({y} - {x}, 0.0)"
+        exprs[f"diff_{c}"] = f"coalesce(abs({x} - {y}), 0.0)"
+    ints = set()
+    for k in lx2.INCREASED_KEYS:
+        if k in cols:
+            exprs[f"{k}_increased"] = f"coalesce(CAST(b.{k} > a.{k} AS INTEGER), 0)"
+            ints.add(f"{k}_increased")
+    if all(k in cols for k in lx2.DEEP_STYLE_KEYS):
+        x = [f"coalesce(CAST(a.{k} AS DOUBLE), 0.0)" for k in lx2.DEEP_STYLE_KEYS]
+        y = [f"coalesce(CAST(b.{k} AS DOUBLE), 0.0)" for k in lx2.DEEP_STYLE_KEYS]
+        d = " + ".join(f"{p} * {q}" for p, q in zip(x, y))
+        den = "sqrt(" + " + ".join(f"{p} * {p}" for p in x) + ") * sqrt(" + " + ".join(f"{q} * {q}" for q in y) + ")"
+        exprs["deep_style_cosine"] = f"CASE WHEN {den} = 0 THEN 0.0 ELSE ({d}) / ({den}) END"
+    ctes = [*TOK_BASE, SENTI, LEX, PRESETS, wan_sql(), PATTERN, PB] + ([PARSE] if extra else []) + [_sent_core(extra)]
+    return ctes, exprs, ints
+
+
+PAIR_FROM = """FROM sent_core a JOIN sent_core b ON a.problem_id = b.problem_id AND b.sent_idx = a.sent_idx + 1
+WHERE a.n_sentences >= 2"""
+
+
+def pair_sql(extra: list[str], select_cols: list[str] | None = None) -> str:
+    ctes, exprs, ints = pair_parts(extra)
+    names = select_cols or list(exprs)
+    sel = ",\n  ".join(f"{exprs[n]} AS {n}" if n in ints else f"{R(exprs[n])} AS {n}" for n in names)
+    return with_(*ctes) + f"SELECT a.problem_id, a.sent_idx AS pair_idx,\n  {sel}\n{PAIR_FROM}"
+
+
+def smooth_sql() -> str:
+    ctes, exprs, _ = pair_parts(["clause_complexity"])
+    p0 = f"""p0 AS (SELECT a.problem_id, a.sent_idx AS pair_idx, {exprs['cosine_similarity']} AS cosine_similarity,
+  {exprs['deep_style_cosine']} AS deep_style_cosine {PAIR_FROM})"""
+    p1 = """p1 AS (SELECT p0.*, coalesce(t.pos_trigram_cosine, 0.0) AS pos_trigram_cosine
+  FROM p0 LEFT JOIN s_trigram t USING (problem_id, pair_idx))"""
+    keys = ["cosine_similarity", "deep_style_cosine", "pos_trigram_cosine"]
+    sel = ", ".join(f"{R(f'avg({k}) OVER w')} AS {k}_smooth" for k in keys)
+    return with_(*ctes, PAIRS, NGRAM_WIN, _ngram_sim_sql("trigram", 3, 0), p0, p1) + f"""SELECT problem_id, pair_idx, {sel}
+FROM p1 WINDOW w AS (PARTITION BY problem_id ORDER BY pair_idx ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)"""
+
+
+SQL["pair_features"] = pair_sql([])
+SQL["pair_row_similarity"] = pair_sql(["clause_complexity"], ["cosine_similarity", "euclidean_distance",
+                                                              "deep_style_cosine"])
+SQL["smooth_features"] = smooth_sql()

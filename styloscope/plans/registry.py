@@ -14,6 +14,7 @@ from styloscope.functions.text import pattern_flags
 from styloscope.operators import rhythm as rh
 from styloscope.operators import sentences as se
 from styloscope.plans.common import finalize
+from styloscope.session import configure
 from styloscope.sources import tables as tb
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,7 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 def query(name: str):
     def deco(fn):
-        QUERIES[name] = lambda spark, sf_dir: finalize(fn(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: finalize(fn(configure(spark), sf_dir))
         QUERIES[name].__name__ = name
         return fn
     return deco
@@ -331,3 +332,41 @@ def q_subject_overlap(spark, sf_dir):
     from styloscope.operators.syntax import subject_overlap
     s, p = _parse(spark, sf_dir)
     return subject_overlap(p, s)
+
+
+# --- J1, J3, V7, V8, V12-V14, P6-P10, W3 (pair assembly over the core families) --------------
+
+def _core_pairs(spark, sf_dir, extra_cols=()):
+    from styloscope.operators import pairs as pr
+    from styloscope.operators.sentences import pair_positions
+    from styloscope.plans.features import core_sentence_features
+    s = _sentences(spark, sf_dir)
+    sent = core_sentence_features(spark, s)
+    cols = list(pr.CORE_FEATURES)
+    if extra_cols:
+        from styloscope.operators.syntax import clause_complexity, heuristic_parse
+        sent = sent.join(clause_complexity(heuristic_parse(s)), ["problem_id", "sent_idx"], "left").fillna(
+            0.0, ["clause_complexity"])
+        cols += list(extra_cols)
+    return pr.fill_numeric(pr.assemble_pairs(sent, cols, pair_positions(s))).drop("label")
+
+
+@query("pair_features")
+def q_pair_features(spark, sf_dir):
+    return _core_pairs(spark, sf_dir)
+
+
+@query("pair_row_similarity")
+def q_pair_row_similarity(spark, sf_dir):
+    return _core_pairs(spark, sf_dir, ("clause_complexity",)).select(
+        "problem_id", "pair_idx", "cosine_similarity", "euclidean_distance", "deep_style_cosine")
+
+
+@query("smooth_features")
+def q_smooth_features(spark, sf_dir):
+    from styloscope.operators import pairs as pr
+    from styloscope.operators.pos import ngram_similarity
+    p = _core_pairs(spark, sf_dir, ("clause_complexity",)).select(
+        "problem_id", "pair_idx", "cosine_similarity", "deep_style_cosine")
+    p = p.join(ngram_similarity(_sentences(spark, sf_dir), "trigram"), pr.PAIR_KEY, "left")
+    return pr.smooth(p, ["cosine_similarity", "deep_style_cosine", "pos_trigram_cosine"])

@@ -20,8 +20,25 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # wide generated projections (the pair table) make constraint propagation explode in the optimizer
+    "spark.sql.constraintPropagation.enabled": "false",
 }
 
+# Runtime SQL settings every registered query relies on; applied to whatever session runs it.
+RUNTIME_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.constraintPropagation.enabled": "false",
+}
+
+
+def configure(spark: SparkSession) -> SparkSession:
+    """Apply the runtime SQL settings and make sure a checkpoint folder is known."""
+    for k, v in RUNTIME_CONF.items():
+        spark.conf.set(k, v)
+    ensure_checkpoint_dir(spark)
+    return spark
+
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "styloscope") -> SparkSession:
