@@ -752,3 +752,83 @@ SQL["pair_features"] = pair_sql([])
 SQL["pair_row_similarity"] = pair_sql(["clause_complexity"], ["cosine_similarity", "euclidean_distance",
                                                               "deep_style_cosine"])
 SQL["smooth_features"] = smooth_sql()
+
+
+# ---------------------------------------------------------------------------------------------
+# Presets, normaliser, labels, evaluation, scaling, window graphs
+# ---------------------------------------------------------------------------------------------
+
+SQL["preset_lookup"] = with_(PROBLEMS, PRESETS) + """SELECT p.problem_id, p.difficulty, d.preset, f.remove_punct,
+  f.remove_stopwords, f.lemmatize, f.include_pos
+FROM problems p JOIN dpreset d USING (difficulty) JOIN pflags f USING (difficulty)"""
+
+SQL["normalize_sentence"] = with_(*TOK_BASE, PRESETS, wan_sql()) + """SELECT s.problem_id, s.sent_idx, d.preset,
+  coalesce((SELECT string_agg(w, ' ' ORDER BY k) FROM nt1 WHERE nt1.problem_id = s.problem_id AND nt1.sent_idx = s.sent_idx), '')
+    AS normalized
+FROM sentences s JOIN dpreset d USING (difficulty)"""
+
+STITCH = f"""st0 AS (
+  SELECT doc_id, CAST(unnest(range(len(parts))) AS INTEGER) AS line_idx, unnest(parts) AS sentence
+  FROM (SELECT doc_id, string_split(regexp_replace(text, '^{WS}+|{WS}+$', '', 'g'), chr(10)) AS parts FROM documents)),
+st AS (
+  SELECT CAST(doc_id // 4 AS BIGINT) AS problem_id, ['easy', 'medium', 'hard'][CAST((doc_id // 4) % 3 AS INTEGER) + 1] AS difficulty,
+         doc_id AS author, sentence,
+         CAST(row_number() OVER (PARTITION BY doc_id // 4 ORDER BY doc_id, line_idx) - 1 AS INTEGER) AS sent_idx
+  FROM st0 WHERE line_idx < 5),
+stl AS (
+  SELECT problem_id, difficulty, sent_idx AS pair_idx, CAST(author <> lead(author) OVER w AS INTEGER) AS label,
+         length(sentence) AS len, lead(length(sentence)) OVER w AS len1
+  FROM st WINDOW w AS (PARTITION BY problem_id ORDER BY sent_idx))"""
+
+SQL["change_labels"] = with_(STITCH) + "SELECT problem_id, pair_idx, label FROM stl WHERE len1 IS NOT NULL"
+
+SQL["macro_f1"] = with_(STITCH) + """, z AS (
+  SELECT difficulty, label AS y,
+         CAST(CAST(abs(len1 - len) AS DOUBLE) / greatest(len, len1, 1) > 0.5 AS INTEGER) AS p
+  FROM stl WHERE len1 IS NOT NULL),
+c AS (
+  SELECT difficulty, count(*) AS n_pairs,
+    count(*) FILTER (WHERE y = 0 AND p = 0) AS tp0, count(*) FILTER (WHERE y <> 0 AND p = 0) AS fp0,
+    count(*) FILTER (WHERE y = 0 AND p <> 0) AS fn0,
+    count(*) FILTER (WHERE y = 1 AND p = 1) AS tp1, count(*) FILTER (WHERE y <> 1 AND p = 1) AS fp1,
+    count(*) FILTER (WHERE y = 1 AND p <> 1) AS fn1
+  FROM z GROUP BY difficulty)
+SELECT difficulty,
+  (floor(((CASE WHEN 2 * tp0 + fp0 + fn0 = 0 THEN 0.0 ELSE 2.0 * tp0 / (2 * tp0 + fp0 + fn0) END)
+   + (CASE WHEN 2 * tp1 + fp1 + fn1 = 0 THEN 0.0 ELSE 2.0 * tp1 / (2 * tp1 + fp1 + fn1) END)) / 2.0 * 1000000.0 + 0.5)
+   / 1000000.0) AS macro_f1,
+  CAST(n_pairs AS BIGINT) AS n_pairs
+FROM c"""
+
+
+def _minmax_sql() -> str:
+    ctes, exprs, _ = pair_parts(["clause_complexity"])
+    cols = ["position_ratio", "cosine_similarity", "euclidean_distance", "deep_style_cosine"]
+    p0 = "p0 AS (SELECT a.problem_id, a.sent_idx AS pair_idx, " + ", ".join(
+        f"{exprs[c]} AS {c}" for c in cols) + f" {PAIR_FROM})"
+    sel = ", ".join(f"{R(f'CASE WHEN max({c}) OVER () = min({c}) OVER () THEN 0.0 ELSE ({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) END')} AS {c}"
+                    for c in cols)
+    return with_(*ctes, p0) + f"SELECT problem_id, pair_idx, {sel} FROM p0"
+
+
+SQL["minmax_scale"] = _minmax_sql()
+
+WINDOWS = f"""wsrc AS (
+  SELECT problem_id, sent_idx AS window_start, 'x' AS difficulty,
+         sentence || ' ' || lead(sentence, 1) OVER w || ' ' || lead(sentence, 2) OVER w AS wtext, n_sentences
+  FROM sentences WINDOW w AS (PARTITION BY problem_id ORDER BY sent_idx)),
+windows AS (SELECT * FROM wsrc WHERE n_sentences >= 4 AND window_start <= n_sentences - 3),
+wflags AS (SELECT false AS remove_punct, false AS remove_stopwords, false AS lemmatize, true AS include_pos)"""
+
+
+def _window_graph_sql() -> str:
+    from styloscope.operators.pairs import GRAPH_COUNT_FEATURES
+    w = wan_sql("windows", "window_start", "wtext", "wflags", "ON true")
+    sel = ", ".join(
+        f"{R(f'CASE WHEN m.problem_id IS NULL THEN 0.0 ELSE ' + ('m.' + c if c == 'assortativity' else f'coalesce(m.{c}, 0.0)') + ' END')} AS {c}"
+        for c in GRAPH_COUNT_FEATURES)
+    return with_(*TOK_BASE, WINDOWS, w) + f"""SELECT x.problem_id, x.window_start, {sel}
+FROM windows x LEFT JOIN wan_metrics m USING (problem_id, window_start)"""
+
+
+SQL["wan_window_graphs"] = _window_graph_sql()

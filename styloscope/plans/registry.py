@@ -370,3 +370,106 @@ def q_smooth_features(spark, sf_dir):
         "problem_id", "pair_idx", "cosine_similarity", "deep_style_cosine")
     p = p.join(ngram_similarity(_sentences(spark, sf_dir), "trigram"), pr.PAIR_KEY, "left")
     return pr.smooth(p, ["cosine_similarity", "deep_style_cosine", "pos_trigram_cosine"])
+
+
+# --- S9, P4, P5 (presets and the sentence normaliser) ----------------------------------------
+
+@query("preset_lookup")
+def q_preset_lookup(spark, sf_dir):
+    from styloscope.operators.tokens import with_preset
+    p = tb.problems(spark, sf_dir).select("problem_id", "difficulty")
+    return with_preset(spark, p).select("problem_id", "difficulty", "preset", "remove_punct", "remove_stopwords",
+                                        "lemmatize", "include_pos")
+
+
+@query("normalize_sentence")
+def q_normalize_sentence(spark, sf_dir):
+    from styloscope.operators.tokens import normalize_sentences
+    n = normalize_sentences(spark, _sentences(spark, sf_dir))
+    return n.select("problem_id", "sent_idx", "preset", F.array_join("norm_tokens", " ").alias("normalized"))
+
+
+# --- J5, J7, A20, A21, M1-M5 (labels, evaluation, model) --------------------------------------
+
+def _truth(spark, sf_dir):
+    from styloscope.operators.evaluate import author_change_labels, collect_changes
+    return collect_changes(author_change_labels(tb.stitched_sentences(spark, sf_dir)), "label", extra=["difficulty"])
+
+
+@query("change_labels")
+def q_change_labels(spark, sf_dir):
+    from styloscope.operators.evaluate import explode_changes
+    return explode_changes(_truth(spark, sf_dir)).select("problem_id", "pair_idx", "label")
+
+
+@query("macro_f1")
+def q_macro_f1(spark, sf_dir):
+    from styloscope.operators.evaluate import collect_changes, macro_f1, relative_length_predictor
+    sol = collect_changes(relative_length_predictor(tb.stitched_sentences(spark, sf_dir)), "y_pred")
+    return macro_f1(_truth(spark, sf_dir), sol)
+
+
+MINMAX_COLS = ["position_ratio", "cosine_similarity", "euclidean_distance", "deep_style_cosine"]
+
+
+@query("minmax_scale")
+def q_minmax_scale(spark, sf_dir):
+    from styloscope.operators.model import minmax_fit, minmax_transform
+    p = _core_pairs(spark, sf_dir, ("clause_complexity",)).select("problem_id", "pair_idx", *MINMAX_COLS)
+    return minmax_transform(p, minmax_fit(p, MINMAX_COLS))
+
+
+def _stitched_pairs(spark, sf_dir):
+    from styloscope.operators.evaluate import explode_changes
+    from styloscope.operators.tokens import tokens
+    from styloscope.operators.vectors import hashed_embeddings
+    from styloscope.plans.features import pair_feature_table
+    s = tb.stitched_sentences(spark, sf_dir)
+    labels = explode_changes(_truth(spark, sf_dir)).select("problem_id", "pair_idx", "label")
+    table = pair_feature_table(spark, s, hashed_embeddings(tokens(s)), labels)
+    diff = s.select("problem_id", "difficulty").distinct()
+    return table.join(diff, "problem_id")
+
+
+def _scored(spark, sf_dir):
+    from styloscope.operators import pairs as pr
+    from styloscope.operators.model import fit_models, model_input, score
+    table = _stitched_pairs(spark, sf_dir)
+    cols = [c for c in pr.numeric_feature_columns(table) if c not in ("difficulty",)]
+    data = model_input(table, cols).checkpoint()
+    return score(data, fit_models(data, cols), cols)
+
+
+@query("score_changes")
+def q_score_changes(spark, sf_dir):
+    return _scored(spark, sf_dir)
+
+
+@query("collect_changes")
+def q_collect_changes(spark, sf_dir):
+    from styloscope.operators.evaluate import collect_changes
+    return collect_changes(_scored(spark, sf_dir), "y_pred", extra=["difficulty"])
+
+
+@query("style_change_features")
+def q_style_change_features(spark, sf_dir):
+    """The full fixed-schema pair table of the documents (embeddings hashed from tokens)."""
+    from styloscope.operators.tokens import tokens
+    from styloscope.operators.vectors import hashed_embeddings
+    from styloscope.plans.features import pair_feature_table
+    s = _sentences(spark, sf_dir)
+    return pair_feature_table(spark, s, hashed_embeddings(tokens(s)))
+
+
+# --- W9 / J4 (sliding-window graph drift) -----------------------------------------------------
+
+@query("wan_window_graphs")
+def q_wan_window_graphs(spark, sf_dir):
+    from styloscope.operators.drift import window_features
+    return window_features(_sentences(spark, sf_dir), with_paths=False)
+
+
+@query("wan_window_drift")
+def q_wan_window_drift(spark, sf_dir):
+    from styloscope.operators.drift import wan_window_drift
+    return wan_window_drift(spark, _sentences(spark, sf_dir))
