@@ -832,3 +832,14 @@ FROM windows x LEFT JOIN wan_metrics m USING (problem_id, window_start)"""
 
 
 SQL["wan_window_graphs"] = _window_graph_sql()
+
+SQL["roundtrip_problem_files"] = with_(PROBLEMS) + """SELECT problem_id, difficulty,
+  CAST(len(string_split(text, chr(10))) AS INTEGER) AS n_sentences FROM problems"""
+
+SQL["graph_sink"] = with_(*WAN_BASE) + """SELECT p.difficulty, e.edge_type, count(*) AS n_edges,
+  CAST(sum(e.weight) AS BIGINT) AS total_weight
+FROM wan_edges e JOIN problems p USING (problem_id) GROUP BY ALL"""
+
+SQL["metric_sink"] = "WITH f1 AS (" + SQL["macro_f1"] + """)
+SELECT CASE difficulty WHEN 'easy' THEN 'task1_f1_score' WHEN 'medium' THEN 'task2_f1_score'
+            ELSE 'task3_f1_score' END AS key, macro_f1 AS value FROM f1"""

@@ -473,3 +473,46 @@ def q_wan_window_graphs(spark, sf_dir):
 def q_wan_window_drift(spark, sf_dir):
     from styloscope.operators.drift import wan_window_drift
     return wan_window_drift(spark, _sentences(spark, sf_dir))
+
+
+# --- S1-S8 (file scans and sinks, round-tripped through the shared checkpoint folder) --------
+
+@query("roundtrip_problem_files")
+def q_roundtrip_problem_files(spark, sf_dir):
+    from styloscope.session import scratch_path
+    from styloscope.sources.files import read_problem_files, write_problems
+    out = scratch_path(spark, "problems")
+    write_problems(tb.problems(spark, sf_dir), out)
+    back = read_problem_files(spark, out, pattern="*.txt")
+    return back.select("problem_id", "difficulty", F.size(F.split("text", "\n")).cast("int").alias("n_sentences"))
+
+
+@query("graph_sink")
+def q_graph_sink(spark, sf_dir):
+    from styloscope.session import scratch_path
+    from styloscope.sources.files import write_graphs
+    edges, _ = _wan(spark, sf_dir)
+    out = scratch_path(spark, "graphs")
+    write_graphs(edges.join(tb.problems(spark, sf_dir).select("problem_id", "difficulty"), "problem_id"), out)
+    back = spark.read.parquet(out)
+    return back.groupBy("difficulty", "edge_type").agg(F.count(F.lit(1)).alias("n_edges"),
+                                                       F.sum("weight").alias("total_weight"))
+
+
+@query("metric_sink")
+def q_metric_sink(spark, sf_dir):
+    from styloscope.operators.evaluate import collect_changes, macro_f1, relative_length_predictor
+    from styloscope.session import scratch_path
+    from styloscope.sources.files import read_metrics, read_solutions, write_metrics, write_solutions
+    st = tb.stitched_sentences(spark, sf_dir)
+    sol = collect_changes(relative_length_predictor(st), "y_pred").join(
+        st.select("problem_id", "difficulty").distinct(), "problem_id")
+    sol_dir = scratch_path(spark, "solutions")
+    write_solutions(sol, sol_dir)
+    scores = macro_f1(_truth(spark, sf_dir), read_solutions(spark, sol_dir).select("problem_id", "changes"))
+    task = F.create_map(F.lit("easy"), F.lit("task1_f1_score"), F.lit("medium"), F.lit("task2_f1_score"),
+                        F.lit("hard"), F.lit("task3_f1_score"))
+    metrics = scores.select(task[F.col("difficulty")].alias("key"), F.col("macro_f1").alias("value"))
+    out = scratch_path(spark, "metrics")
+    write_metrics(metrics, out)
+    return read_metrics(spark, out).select("key", F.col("value").cast("double").alias("value"))
