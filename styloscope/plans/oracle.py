@@ -843,3 +843,5 @@ FROM wan_edges e JOIN problems p USING (problem_id) GROUP BY ALL"""
 SQL["metric_sink"] = "WITH f1 AS (" + SQL["macro_f1"] + """)
 SELECT CASE difficulty WHEN 'easy' THEN 'task1_f1_score' WHEN 'medium' THEN 'task2_f1_score'
             ELSE 'task3_f1_score' END AS key, macro_f1 AS value FROM f1"""
+
+SQL["stream_rhythm_pairs"] = SQL["rhythm_pairs"]

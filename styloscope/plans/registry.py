@@ -516,3 +516,13 @@ def q_metric_sink(spark, sf_dir):
     out = scratch_path(spark, "metrics")
     write_metrics(metrics, out)
     return read_metrics(spark, out).select("key", F.col("value").cast("double").alias("value"))
+
+
+# --- Incremental (Structured Streaming) run of the flagship ----------------------------------
+
+@query("stream_rhythm_pairs")
+def q_stream_rhythm_pairs(spark, sf_dir):
+    from styloscope.streaming.problems import document_stream, run_incremental
+    out = run_incremental(spark, document_stream(spark, sf_dir),
+                          lambda problems: rh.rhythm_pairs(se.split_sentences(problems)), name="rhythm")
+    return spark.read.parquet(out)
