@@ -43,13 +43,25 @@ def is_stop(tok) -> Column:
     return F.lower(tok).isin(_STOP)
 
 
+_CLOSED_BY_TAG: dict[str, list[str]] = {}
+for _w, _t in _CLOSED:
+    _CLOSED_BY_TAG.setdefault(_t, []).append(_w)
+
+
 def upos(tok) -> Column:
-    """Universal POS tag: closed-class lookup, then punctuation/symbol, then suffix rules, else NOUN."""
+    """Universal POS tag: closed-class lookup, then punctuation/symbol, then suffix rules, else NOUN.
+
+    One ``isin`` per closed class (Catalyst turns each into a hash-set lookup); a word belongs to
+    exactly one class (``closed_class_rows`` keeps the first tag listed).
+    """
     low = F.lower(tok)
-    rules = F.when(~is_word(tok), F.when(is_punct(tok), F.lit("PUNCT")).otherwise(F.lit("SYM")))
+    out = None
+    for tag, words in _CLOSED_BY_TAG.items():
+        out = F.when(low.isin(words), F.lit(tag)) if out is None else out.when(low.isin(words), F.lit(tag))
+    out = out.when(~is_word(tok), F.when(is_punct(tok), F.lit("PUNCT")).otherwise(F.lit("SYM")))
     for tag, pattern in lx.OPEN_CLASS_RULES:
-        rules = rules.when(low.rlike(pattern), F.lit(tag))
-    return F.coalesce(F.try_element_at(closed_class_map(), low), rules.otherwise(F.lit("NOUN")))
+        out = out.when(low.rlike(pattern), F.lit(tag))
+    return out.otherwise(F.lit("NOUN"))
 
 
 def lemma(tok) -> Column:

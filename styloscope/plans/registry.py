@@ -201,10 +201,31 @@ WAN_QUERIES = {
 }
 
 
+def _wan_family(spark, sf_dir, name):
+    """Only the metric family a query needs (the full join of families is ``wan_metrics``)."""
+    from styloscope.operators import graphs as gr
+    edges, nodes = _wan(spark, sf_dir)
+    k = gr.KEY
+    if name in ("wan_global", "wan_degree", "wan_pos"):
+        return gr.degree_metrics(gr.node_degrees(edges, nodes, k), k)
+    if name == "wan_clustering":
+        return gr.clustering(edges, nodes, k)
+    if name == "wan_assortativity":
+        return gr.assortativity(edges, gr.node_degrees(edges, nodes, k), k)
+    if name == "wan_entropy":
+        deg = gr.node_degrees(edges, nodes, k)
+        return gr.degree_entropy(deg, k).join(gr.pos_transition_entropy(edges, k), k, "left").fillna(
+            0.0, ["pos_transition_entropy", "pos_transition_entropy_weighted"])
+    if name == "wan_star_triangles":
+        deg = gr.node_degrees(edges, nodes, k)
+        return gr.degree_metrics(deg, k).join(gr.clustering(edges, nodes, k), k)
+    return gr.wan_metrics(edges, nodes, k)
+
+
 def _wan_query(name, cols):
     @query(name)
     def fn(spark, sf_dir):
-        return _wan_metrics(spark, sf_dir).select("problem_id", "sent_idx", *cols)
+        return _wan_family(spark, sf_dir, name).select("problem_id", "sent_idx", *cols)
     return fn
 
 
