@@ -46,20 +46,32 @@ def build_wan(graph_in: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFram
     Nodes: keys, node, node_type ('word' | 'POS'). A graph gets nodes only when it has at least two
     tokens (a single token adds no edge, hence no node); self-loops are dropped after the node table
     is derived, so their nodes stay.
+
+    Edges and nodes come out of one explode and one ``groupBy`` (distinct nodes, pair counts): both
+    tables are filters over the same exchange, which Spark reuses, so the tokens are tagged once.
     """
     has_pairs = F.size("words") >= 2
-    word_pairs = F.transform(_adjacent(F.col("words")), lambda p: F.struct(p["src"], p["dst"], F.lit("word").alias("edge_type")))
-    pos_pairs = F.transform(_adjacent(F.col("tags")), lambda p: F.struct(p["src"], p["dst"], F.lit("pos_pos").alias("edge_type")))
-    pairs = F.when(F.col("include_pos"), F.concat(word_pairs, pos_pairs)).otherwise(word_pairs)
-    edges = (graph_in.select(*keys, F.explode(pairs).alias("e"))
-             .select(*keys, "e.src", "e.dst", "e.edge_type")
-             .filter(F.col("src") != F.col("dst"))
-             .groupBy(*keys, "src", "dst", "edge_type").agg(F.count(F.lit(1)).alias("weight")))
-    word_nodes = F.transform(F.array_distinct("words"), lambda w: F.struct(w.alias("node"), F.lit("word").alias("node_type")))
-    pos_nodes = F.transform(F.array_distinct("tags"), lambda w: F.struct(w.alias("node"), F.lit("POS").alias("node_type")))
-    node_arr = F.when(~has_pairs, F.array().cast("array<struct<node:string,node_type:string>>")) \
-        .when(F.col("include_pos"), F.concat(word_nodes, pos_nodes)).otherwise(word_nodes)
-    nodes = graph_in.select(*keys, F.explode(node_arr).alias("n")).select(*keys, "n.node", "n.node_type")
+    elem = "struct<kind:string,a:string,b:string,t:string>"
+
+    def pair_elems(arr, etype):
+        return F.transform(_adjacent(F.col(arr)), lambda p: F.struct(F.lit("e").alias("kind"), p["src"].alias("a"),
+                                                                      p["dst"].alias("b"), F.lit(etype).alias("t")))
+
+    def node_elems(arr, ntype):
+        return F.transform(F.array_distinct(arr), lambda w: F.struct(F.lit("n").alias("kind"), w.alias("a"),
+                                                                     F.lit(None).cast("string").alias("b"),
+                                                                     F.lit(ntype).alias("t")))
+
+    words = F.concat(pair_elems("words", "word"), node_elems("words", "word"))
+    with_pos = F.concat(words, pair_elems("tags", "pos_pos"), node_elems("tags", "POS"))
+    elems = F.when(~has_pairs, F.array().cast(f"array<{elem}>")).when(F.col("include_pos"), with_pos).otherwise(words)
+    grouped = (graph_in.select(*keys, F.explode(elems).alias("x"))
+               .select(*keys, "x.kind", "x.a", "x.b", "x.t")
+               .groupBy(*keys, "kind", "a", "b", "t").agg(F.count(F.lit(1)).alias("c")))
+    edges = (grouped.filter((F.col("kind") == "e") & (F.col("a") != F.col("b")))
+             .select(*keys, F.col("a").alias("src"), F.col("b").alias("dst"), F.col("c").alias("weight"),
+                     F.col("t").alias("edge_type")))
+    nodes = grouped.filter(F.col("kind") == "n").select(*keys, F.col("a").alias("node"), F.col("t").alias("node_type"))
     return edges, nodes
 
 
@@ -71,14 +83,11 @@ def wan_for_sentences(spark: SparkSession, sentences: DataFrame, preset: str | N
 
 def node_degrees(edges: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, node, node_type, in_deg, out_deg, deg) for every node, isolated ones included."""
-    parts = [
-        nodes.select(*keys, "node", "node_type", F.lit(0).alias("i"), F.lit(0).alias("o")),
-        edges.select(*keys, F.col("src").alias("node"), F.lit(None).cast("string").alias("node_type"),
-                     F.lit(0).alias("i"), F.lit(1).alias("o")),
-        edges.select(*keys, F.col("dst").alias("node"), F.lit(None).cast("string").alias("node_type"),
-                     F.lit(1).alias("i"), F.lit(0).alias("o")),
-    ]
-    u = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    ends = edges.select(*keys, F.explode(F.array(
+        F.struct(F.col("src").alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o")),
+        F.struct(F.col("dst").alias("node"), F.lit(1).alias("i"), F.lit(0).alias("o")))).alias("x"))
+    u = (nodes.select(*keys, "node", "node_type", F.lit(0).alias("i"), F.lit(0).alias("o"))
+         .unionByName(ends.select(*keys, "x.node", F.lit(None).cast("string").alias("node_type"), "x.i", "x.o")))
     return (u.groupBy(*keys, "node").agg(F.max("node_type").alias("node_type"), F.sum("i").alias("in_deg"),
                                          F.sum("o").alias("out_deg"))
             .withColumn("deg", F.col("in_deg") + F.col("out_deg")))
