@@ -48,31 +48,51 @@ for _w, _t in _CLOSED:
     _CLOSED_BY_TAG.setdefault(_t, []).append(_w)
 
 
-def upos(tok) -> Column:
-    """Universal POS tag: closed-class lookup, then punctuation/symbol, then suffix rules, else NOUN.
+# Open-class suffixes (the rules of lexicons.OPEN_CLASS_RULES written as suffix tests, so a tag costs
+# one regex instead of six: the word must be all letters and longer than the suffix).
+_SUFFIX_TAGS = [("ADV", ["ly"]), ("VERB", ["ing", "ed"]),
+                ("ADJ", ["ous", "ful", "ive", "able", "ible", "less", "ish", "ical"])]
+
+
+def _ends(low: Column, suffixes: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.endswith(low, F.lit(x)) & (F.length(low) > len(x)) for x in suffixes])
 
-    One ``isin`` per closed class (Catalyst turns each into a hash-set lookup); a word belongs to
-    exactly one class (``closed_class_rows`` keeps the first tag listed).
+
+def upos_lower(low: Column) -> Column:
+    """Universal POS tag of an already-lowercased token.
+
+    Closed-class lookup (one ``isin`` per class, each a hash-set test; a word belongs to exactly one
+    class), then the suffix rules for alphabetic words, then number / punctuation / symbol, else
+    NOUN. Inside ``transform`` lambdas Spark shares no subexpressions, so callers lowercase once.
     """
-    low = F.lower(tok)
     out = None
     for tag, words in _CLOSED_BY_TAG.items():
         out = F.when(low.isin(words), F.lit(tag)) if out is None else out.when(low.isin(words), F.lit(tag))
-    out = out.when(~is_word(tok), F.when(is_punct(tok), F.lit("PUNCT")).otherwise(F.lit("SYM")))
-    for tag, pattern in lx.OPEN_CLASS_RULES:
-        out = out.when(low.rlike(pattern), F.lit(tag))
+    alpha = low.rlike(r"^\p{L}+$")
+    for tag, suffixes in _SUFFIX_TAGS:
+        out = out.when(alpha & _ends(low, suffixes), F.lit(tag))
+    out = out.when(alpha, F.lit("NOUN"))
+    out = out.when(~is_word(low), F.when(is_punct(low), F.lit("PUNCT")).otherwise(F.lit("SYM")))
+    out = out.when(low.rlike(r"^\p{N}+$"), F.lit("NUM"))
     return out.otherwise(F.lit("NOUN"))
 
 
-def lemma(tok) -> Column:
-    """Lowercase form with suffix rules for open-class alphabetic words longer than 4 characters."""
-    low = F.lower(tok)
-    out = F.when(low.isin(_STOP) | ~is_alpha(tok) | (F.length(low) <= 4), low)
+def upos(tok) -> Column:
+    return upos_lower(F.lower(tok))
+
+
+def lemma_lower(low: Column) -> Column:
+    """Lemma of an already-lowercased token: suffix rules for alphabetic, non-stop words longer than 4."""
+    out = F.when(low.isin(_STOP) | ~is_alpha(low) | (F.length(low) <= 4), low)
     for pattern, repl in lx.LEMMA_RULES:
         out = out.when(low.rlike(pattern), F.regexp_replace(low, pattern, repl))
     return out.otherwise(low)
 
 
+def lemma(tok) -> Column:
+    return lemma_lower(F.lower(tok))
+
+
 def is_entity_token(tok, tok_idx) -> Column:
     """Capitalised alphabetic token not at sentence start (entity runs are built from these)."""
     return (tok_idx > 0) & is_alpha(tok) & tok.rlike(r"^\p{Lu}")

@@ -53,9 +53,10 @@ def with_preset(spark: SparkSession, df: DataFrame, preset: str | None = None) -
 
 def normalized_tokens(sentence, remove_punct, remove_stopwords, lemmatize):
     """P4 as an array: casefold, drop stop/punct tokens per flags, lemma or text, in order."""
-    toks = tokenize(casefold(sentence))
-    kept = F.filter(toks, lambda t: ~((remove_stopwords & an.is_stop(t)) | (remove_punct & an.is_punct(t))))
-    return F.transform(kept, lambda t: F.when(lemmatize, an.lemma(t)).otherwise(t))
+    toks = tokenize(casefold(sentence))  # already lowercase: the annotator's *_lower forms apply directly
+    stop = lx.stopwords()
+    kept = F.filter(toks, lambda t: ~((remove_stopwords & t.isin(stop)) | (remove_punct & an.is_punct(t))))
+    return F.transform(kept, lambda t: F.when(lemmatize, an.lemma_lower(t)).otherwise(t))
 
 
 def normalize_sentences(spark: SparkSession, sentences: DataFrame, preset: str | None = None) -> DataFrame:

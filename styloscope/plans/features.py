@@ -66,7 +66,9 @@ def full_sentence_features(spark: SparkSession, sentences: DataFrame, embeddings
     fams = [graph["path_summaries"].drop("eigenvector_converged"), dependency_depth(parse), passive_ratio(parse),
             clause_complexity(parse), neighbour_cosine(neighbour_vectors(embeddings, (-1, 1))),
             entity_overlap(sentences), lemma_overlap(sentences), subject_overlap(parse, sentences)]
-    out = pr.join_families(core, fams).join(core, KEY)
+    out = core
+    for f in fams:
+        out = out.join(f, KEY, "left")
     fill = pr.GRAPH_PATH_FEATURES + pr.SYNTAX_FEATURES + [c for c in pr.CONTEXT_FEATURES if c != "starts_with_discourse"]
     return out.fillna(0.0, fill)
 

@@ -442,12 +442,11 @@ def q_minmax_scale(spark, sf_dir):
 
 def _stitched_pairs(spark, sf_dir):
     from styloscope.operators.evaluate import explode_changes
-    from styloscope.operators.tokens import tokens
     from styloscope.operators.vectors import hashed_embeddings
     from styloscope.plans.features import pair_feature_table
     s = tb.stitched_sentences(spark, sf_dir)
     labels = explode_changes(_truth(spark, sf_dir)).select("problem_id", "pair_idx", "label")
-    table = pair_feature_table(spark, s, hashed_embeddings(tokens(s)), labels)
+    table = pair_feature_table(spark, s, hashed_embeddings(s), labels)
     diff = s.select("problem_id", "difficulty").distinct()
     return table.join(diff, "problem_id")
 
@@ -475,11 +474,10 @@ def q_collect_changes(spark, sf_dir):
 @query("style_change_features")
 def q_style_change_features(spark, sf_dir):
     """The full fixed-schema pair table of the documents (embeddings hashed from tokens)."""
-    from styloscope.operators.tokens import tokens
     from styloscope.operators.vectors import hashed_embeddings
     from styloscope.plans.features import pair_feature_table
     s = _sentences(spark, sf_dir)
-    return pair_feature_table(spark, s, hashed_embeddings(tokens(s)))
+    return pair_feature_table(spark, s, hashed_embeddings(s))
 
 
 # --- W9 / J4 (sliding-window graph drift) -----------------------------------------------------
