@@ -68,10 +68,11 @@ def upos_lower(low: Column) -> Column:
     out = None
     for tag, words in _CLOSED_BY_TAG.items():
         out = F.when(low.isin(words), F.lit(tag)) if out is None else out.when(low.isin(words), F.lit(tag))
-    alpha = low.rlike(r"^\p{L}+$")
+    open_class = None
     for tag, suffixes in _SUFFIX_TAGS:
-        out = out.when(alpha & _ends(low, suffixes), F.lit(tag))
-    out = out.when(alpha, F.lit("NOUN"))
+        cond = _ends(low, suffixes)
+        open_class = F.when(cond, F.lit(tag)) if open_class is None else open_class.when(cond, F.lit(tag))
+    out = out.when(low.rlike(r"^\p{L}+$"), open_class.otherwise(F.lit("NOUN")))  # one regex per word
     out = out.when(~is_word(low), F.when(is_punct(low), F.lit("PUNCT")).otherwise(F.lit("SYM")))
     out = out.when(low.rlike(r"^\p{N}+$"), F.lit("NUM"))
     return out.otherwise(F.lit("NOUN"))

@@ -37,7 +37,8 @@ def graph_inputs(norm: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, words, tags, include_pos) with words = normalised tokens, tags = POS_<tag> per word."""
     return norm.select(*keys, "include_pos", F.col("norm_tokens").alias("words")).select(
         *keys, "include_pos", "words",
-        F.transform("words", lambda w: F.concat(F.lit(POS_PREFIX), an.upos_lower(F.lower(w)))).alias("tags"))
+        # words are casefolded already; passing an expression would re-evaluate it per reference
+        F.transform("words", lambda w: F.concat(F.lit(POS_PREFIX), an.upos_lower(w))).alias("tags"))
 
 
 def build_wan(graph_in: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
