@@ -111,11 +111,20 @@ def all_caps_word_count(sentence) -> Column:
 
 
 def liwc_counts(sentence) -> list[Column]:
-    words = ws_words(F.lower(col_(sentence)))
+    return liwc_counts_of_words(ws_words(F.lower(col_(sentence))))
 
+
+def liwc_counts_of_words(lower_words) -> list[Column]:
+    """A15 over an array of lowercased whitespace words. Pass a column reference: higher-order
+    functions do not share an argument expression, so an inline expression is recomputed per count."""
     def member_of(vals):
         return lambda w: w.isin(vals)
-    return [F.size(F.filter(words, member_of(vals))).alias(name) for name, vals in lx.LIWC_CATEGORIES.items()]
+    return [F.size(F.filter(col_(lower_words), member_of(vals))).alias(name)
+            for name, vals in lx.LIWC_CATEGORIES.items()]
+
+
+def all_caps_count_of_words(words) -> Column:
+    return F.size(F.filter(col_(words), lambda w: is_upper_word(w) & (F.length(w) > 2)))
 
 
 def repeated_punct(sentence) -> Column:

@@ -29,24 +29,26 @@ def _count_if(cond: Column) -> Column:
     return F.sum(F.when(cond, 1).otherwise(0))
 
 
-def word_frequency_moments(words: Column) -> Column:
-    """Struct(types, m1, n) of an array of words: distinct count, sum of squared frequencies, size.
+def with_word_moments(df: DataFrame, words: Column, prefix: str = "_") -> DataFrame:
+    """Add ``{prefix}types``, ``{prefix}m1``, ``{prefix}n_alpha`` for an array of words, in-row.
 
-    One pass over the sorted array: inside a run of equal words the k-th copy adds 2k+1, so a run of
-    length f adds f^2 (Yule's M1) with no grouping shuffle.
+    Distinct count and sum of squared frequencies (Yule's M1) from the sorted array: run starts are the
+    positions where the word changes, run lengths are differences of consecutive starts. Integer
+    arithmetic only (no per-element struct allocation), O(n log n) per row, no grouping shuffle.
     """
-    init = F.struct(F.lit(None).cast("string").alias("p"), F.lit(0).alias("r"),
-                    F.lit(0).cast("long").alias("m1"), F.lit(0).alias("types"))
-
-    def step(s, w):
-        same = F.coalesce(w == s["p"], F.lit(False))
-        return F.when(same, F.struct(w.alias("p"), (s["r"] + 1).alias("r"), (s["m1"] + 2 * s["r"] + 1).alias("m1"),
-                                     s["types"].alias("types"))) \
-            .otherwise(F.struct(w.alias("p"), F.lit(1).alias("r"), (s["m1"] + 1).alias("m1"),
-                                (s["types"] + 1).alias("types")))
-
-    agg = F.aggregate(F.array_sort(words), init, step)
-    return F.struct(agg["types"].alias("types"), agg["m1"].alias("m1"), F.size(words).alias("n"))
+    s = f"{prefix}sorted"
+    st = f"{prefix}starts"
+    out = df.withColumn(s, F.array_sort(words))
+    n = F.size(F.col(s))
+    idx = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    out = out.withColumn(st, F.filter(idx, lambda i: (i == 0) | (F.get(F.col(s), i) != F.get(F.col(s), i - 1))))
+    k = F.size(F.col(st))
+    runs = F.when(k > 0, F.sequence(F.lit(0), k - 1)).otherwise(F.array().cast("array<int>"))
+    length = lambda j: F.coalesce(F.get(F.col(st), j + 1), n) - F.get(F.col(st), j)
+    m1 = F.aggregate(F.transform(runs, lambda j: (length(j) * length(j)).cast("long")), F.lit(0).cast("long"),
+                     lambda acc, x: acc + x)
+    return (out.withColumn(f"{prefix}types", k).withColumn(f"{prefix}m1", m1).withColumn(f"{prefix}n_alpha", n)
+            .drop(s, st))
 
 
 def syllables(word: Column) -> Column:
@@ -57,13 +59,20 @@ def syllables(word: Column) -> Column:
 
 
 def string_features(sentences: DataFrame) -> DataFrame:
-    """In-row features of each sentence (no shuffle)."""
-    s = tx.strip_ws("sentence")
-    toks = tx.tokenize(s)
+    """In-row features of each sentence (no shuffle).
+
+    The shared arrays (tokens, whitespace words) are materialised as columns first: higher-order
+    functions re-evaluate an inline argument expression once per use.
+    """
+    base = sentences.select(*KEY, tx.strip_ws("sentence").alias("_s"), "sentence").select(
+        *KEY, "_s", "sentence", tx.tokenize("_s").alias("_toks"), tx.ws_words("_s").alias("_words"),
+        tx.ws_words(F.lower("_s")).alias("_lwords"))
+    s, toks = F.col("_s"), F.col("_toks")
     alpha_lower = F.filter(F.transform(toks, lambda t: F.lower(t)), lambda t: an.is_alpha(t))
-    mom = word_frequency_moments(alpha_lower)
     first = F.lower(F.get(toks, 0))
-    return sentences.select(
+    first_word = F.lower(F.get(F.col("_words"), 0))
+    rhetorical = (F.endswith(s, F.lit("?")) & F.coalesce(first_word.isin(lx.RHETORICAL_FIRST_WORDS), F.lit(False)))
+    out = base.select(
         *KEY,
         F.length(s).alias("sentence_char_len"),
         F.regexp_count(s, F.lit(r"\p{L}")).alias("_alpha"),
@@ -75,14 +84,14 @@ def string_features(sentences: DataFrame) -> DataFrame:
         tx.has_emoji("sentence").alias("has_emoji"),
         tx.has_non_ascii("sentence").alias("has_non_ascii"),
         tx.has_quoted_text("sentence").alias("has_quoted_text"),
-        tx.rhetorical_question("sentence").alias("rhetorical_question"),
-        (tx.all_caps_word_count("sentence") > 0).cast("int").alias("has_all_caps"),
+        rhetorical.cast("int").alias("rhetorical_question"),
+        (tx.all_caps_count_of_words("_words") > 0).cast("int").alias("has_all_caps"),
         tx.sarcasm_marker("sentence").alias("sarcasm_marker"),
         tx.discourse_count("sentence").alias("_discourse"),
-        *tx.liwc_counts("sentence"),
+        *tx.liwc_counts_of_words("_lwords"),
         F.coalesce(first.isin(lx.DISCOURSE_MARKERS), F.lit(False)).cast("int").alias("starts_with_discourse"),
-        mom["types"].alias("_types"), mom["m1"].alias("_m1"), mom["n"].alias("_n_alpha"),
-        F.size(an.entity_spans(toks)).alias("_entities"))
+        F.size(an.entity_spans(toks)).alias("_entities"), alpha_lower.alias("_alpha_words"))
+    return with_word_moments(out, F.col("_alpha_words")).drop("_alpha_words")
 
 
 def token_aggregates(tokens: DataFrame) -> DataFrame:
