@@ -19,10 +19,6 @@ _CLOSED = lx.closed_class_rows()
 _STOP = lx.stopwords()
 
 
-def closed_class_map() -> Column:
-    return F.create_map(*[F.lit(x) for pair in _CLOSED for x in pair])
-
-
 def is_alpha(tok) -> Column:
     return tok.rlike(r"^\p{L}+$")
 
@@ -105,7 +101,3 @@ def entity_spans(tokens) -> Column:
     # character-class quantifiers only: Java's regex recursion on repeated groups overflows on long lines
     runs = F.split(F.array_join(marked, " "), r"[ \x{0001}]*\x{0001}[ \x{0001}]*")
     return F.filter(runs, lambda r: F.length(r) > 0)
-
-
-def any_of(preds: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, preds)
