@@ -6,8 +6,17 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from styloscope.llm.common import prepare, read_table
+from styloscope.llm.common import held_out, read_table
+from styloscope.llm.decontaminate import find_leaks
+from styloscope.llm.html_text import main_text
+from styloscope.llm.language_id import held_out_languages
+from styloscope.llm.line_dedup import dedup_lines
+from styloscope.llm.packing import pack
+from styloscope.llm.ppm import ppm_scores
+from styloscope.llm.quality import assess
+from styloscope.llm.token_counts import token_counts
 from styloscope.llm.token_output import token_records
 
 
@@ -17,8 +26,117 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without repeated three-line windows."""
+    out = dedup_lines(read_table(spark, sf_dir, "documents"))
+    return out.select("row.doc_id", "n_lines", F.size("removed").alias("n_removed"), "row.text")
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics and the rule cascade's verdict for all documents."""
+    return assess(read_table(spark, sf_dir, "documents"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents through a digest cache that starts empty."""
+    docs = read_table(spark, sf_dir, "documents")
+    return token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 1024 tokens."""
+    docs = read_table(spark, sf_dir, "documents")
+    return digested(pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, window=1024))
+
+
+def digested(pieces: DataFrame) -> DataFrame:
+    """Packed pieces with the checksum of their ids in place of the ids."""
+    return pieces.withColumn("ids", F.crc32("ids")).withColumnRenamed("ids", "ids_crc32")
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents, with span and edits."""
+    return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents by mixture inference."""
+    return held_out_languages(read_table(spark, sf_dir, "documents"))
+
+
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and PPM scores of all documents."""
+    docs = read_table(spark, sf_dir, "documents")
+    out = ppm_scores(docs, ~held_out(F.col("doc_id"), 7, 2))
+    return out.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                      "base_score", "score")
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return main_text(read_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_token_records": op1_token_records,
-}
+    q.__name__: q for q in (op1_token_records, op2_line_dedup, op3_quality_rules, op4_token_counts, op6_packing,
+                            op7_decontamination, op8_language_id, op9_lm_scores, op10_html_text)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_line_dedup": """
+        WITH lines AS (
+            SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+        numbered AS (
+            SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS p FROM lines),
+        trimmed AS (
+            SELECT doc_id, p, line, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS t FROM numbered),
+        windows AS (
+            SELECT doc_id, p, [t, lead(t, 1) OVER w, lead(t, 2) OVER w] AS k, lead(p, 2) OVER w AS last
+            FROM trimmed WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+        marked AS (
+            SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS nth
+            FROM windows WHERE last IS NOT NULL AND (k[1] <> '' OR k[2] <> '' OR k[3] <> '')),
+        covered AS (
+            SELECT DISTINCT doc_id, p + d AS p FROM marked, (VALUES (0), (1), (2)) AS o(d) WHERE nth > 1),
+        kept AS (
+            SELECT n.doc_id, count(*) AS n_lines, count(c.p) AS n_removed,
+                   coalesce(string_agg(n.line, chr(10) ORDER BY n.p) FILTER (WHERE c.p IS NULL), '') AS text
+            FROM numbered n LEFT JOIN covered c ON n.doc_id = c.doc_id AND n.p = c.p GROUP BY n.doc_id)
+        SELECT doc_id, n_lines::INT AS n_lines, n_removed::INT AS n_removed, text FROM kept""",
+    "op3_quality_rules": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS text,
+                   list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws,
+                   list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]'))
+                       AS ls
+            FROM documents),
+        words AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS p FROM d),
+        windows AS (
+            SELECT doc_id, p, [w, lead(w, 1) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o, lead(w, 4) OVER o] AS k,
+                   lead(p, 4) OVER o AS last, w = lag(w) OVER o AS again
+            FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+        counted AS (
+            SELECT doc_id, p, last IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, k, last IS NULL) > 1 AS rep, again
+            FROM windows),
+        covered AS (
+            SELECT doc_id, count(*) FILTER (WHERE near) AS n_repeat_words, count(*) FILTER (WHERE again) AS n_again
+            FROM (SELECT doc_id, again, max(rep) OVER (PARTITION BY doc_id ORDER BY p ROWS 4 PRECEDING) AS near
+                  FROM counted)
+            GROUP BY doc_id),
+        base AS (
+            SELECT d.doc_id, text, len(ws) AS n_words, len(ls) AS n_lines,
+                   length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+                   length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+                   len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+                   coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_again, 0) AS n_again,
+                   length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_upper,
+                   length(text) - length(replace(text, '!', '')) AS n_exclamations
+            FROM d LEFT JOIN covered USING (doc_id)),
+        judged AS (
+            SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base)
+        SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+               n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+               NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words
+                    OR 10 * n_upper > 3 * word_chars OR 5 * n_exclamations > n_words OR 10 * n_dup_lines > 4 * n_lines
+                    OR 10 * n_again > 3 * n_words) AS kept
+        FROM judged""",
+}
