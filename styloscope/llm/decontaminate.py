@@ -50,7 +50,7 @@ def codes_of(text: str) -> np.ndarray:
 
 def qgrams(codes: np.ndarray) -> np.ndarray:
     """64-bit rolling hash of each run of Q codes, by doubling."""
-    h, width, base = codes.astype(np.uint64), 1, _MIX
+    h, width, base = codes.astype(np.uint64), 1, np.array([_MIX])  # arrays wrap around, as meant here
     while width < Q:
         h = h[:-width] * base + h[width:] if len(h) > width else h[:0]
         base, width = base * base, width * 2

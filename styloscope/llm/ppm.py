@@ -2,8 +2,9 @@
 
 The model is a trie of byte contexts up to ORDER bytes, learned from all training texts. A text is its lower-cased
 words, each closed by a space, then an end symbol; contexts reach back to the space before the word. A byte is
-predicted in the longest context seen; when it was not seen there, the model escapes to the next shorter context
-(escape estimate: distinct symbols / (occurrences + distinct symbols)) and excludes the symbols it has passed over.
+predicted in the longest context seen; when it was not seen there, the model escapes to the next shorter context and
+excludes the symbols it has passed over. Each distinct symbol of a context gives half an occurrence to the escape:
+its estimate is distinct / (2 * occurrences), a symbol's own (2 * c - 1) / (2 * occurrences).
 
 So a word's code length depends on the word alone, and everything is a join over distinct things:
 
@@ -144,8 +145,8 @@ def length_of(key: Column) -> Column:
 
 def suffix(key: Column, length: Column) -> Column:
     """The gram's last ``length`` bytes as a gram."""
-    return key.bitwiseAND(F.shiftleft(F.lit(1).cast("long"), (8 * length).cast("int")) - 1).bitwiseOR(
-        F.shiftleft(length.cast("long"), 56))
+    low = F.call_function("shiftleft", F.lit(1).cast("long"), (8 * length).cast("int")) - 1
+    return key.bitwiseAND(low).bitwiseOR(F.shiftleft(length.cast("long"), 56))
 
 
 def context_of(key: Column) -> Column:
@@ -202,10 +203,10 @@ def log10_probability(levels: list[tuple[int, int, int, int]]) -> float:
         if not total:
             continue  # context never seen: nothing to escape from
         new, occurrences = distinct - excluded, total - excluded_total
-        if c and (new or not excluded):
-            return float(np.log10(p * c / (occurrences + new)))
+        if c:
+            return float(np.log10(p * (2 * c - 1) / (2 * occurrences)))
         if new:
-            p *= new / (occurrences + new)
+            p *= new / (2 * occurrences)
         excluded, excluded_total = distinct, below
     return float(np.log10(p / max(1, SYMBOLS - excluded)))
 
@@ -304,7 +305,8 @@ def ppm_scores(docs: DataFrame, training: Column) -> DataFrame:
     tokens, types = total + ends, known + (ends > 0)
     scored, end_score = word_scores(words, ends)
     floor = float(np.log10(tokens + types + 1))
-    table = (vocabulary.select("block", "idx", "word").join(scored, "word").select("block", "idx", "n", "logp"))
+    table = (vocabulary.select(F.col("block").alias("of_block"), "idx", "word").join(scored, "word")
+             .select("of_block", "idx", "n", "logp"))
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         size = len(right)
@@ -324,7 +326,7 @@ def ppm_scores(docs: DataFrame, training: Column) -> DataFrame:
         return frame
 
     out = (texts.select("block", F.col("doc_id"), "training", "ids").groupBy("block")
-           .cogroup(table.groupBy("block"))
+           .cogroup(table.groupBy("of_block"))
            .applyInPandas(score, "doc_id long, training boolean, n_tokens long, n_known long, base_score double, "
                                  "score double"))
     return out.withColumn("train_tokens", F.lit(tokens).cast("long"))
