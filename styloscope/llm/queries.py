@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from styloscope.llm.common import held_out, read_table
 from styloscope.llm.decontaminate import find_leaks
 from styloscope.llm.html_text import main_text
+from styloscope.llm.jaccard_join import near_duplicates
 from styloscope.llm.language_id import held_out_languages
 from styloscope.llm.line_dedup import dedup_lines
 from styloscope.llm.packing import pack
@@ -43,6 +44,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents linked by five-word shingles at a Jaccard similarity of 0.8."""
+    return near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 1024 tokens."""
     docs = read_table(spark, sf_dir, "documents")
@@ -78,8 +84,9 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    q.__name__: q for q in (op1_token_records, op2_line_dedup, op3_quality_rules, op4_token_counts, op6_packing,
-                            op7_decontamination, op8_language_id, op9_lm_scores, op10_html_text)}
+    q.__name__: q for q in (op1_token_records, op2_line_dedup, op3_quality_rules, op4_token_counts,
+                            op5_jaccard_join, op6_packing, op7_decontamination, op8_language_id,
+                            op9_lm_scores, op10_html_text)}
 
 SQL: dict[str, str] = {
     "op2_line_dedup": """
