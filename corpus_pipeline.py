@@ -1,14 +1,56 @@
-"""Corpus pipeline over ``documents``: quality rules, line dedup, near-duplicate join, decontamination, packing."""
+"""Corpus pipeline over ``documents``: quality rules, line dedup, near-duplicate join, decontamination, packing.
+
+Every stage takes what its predecessor kept, whole, and its decisions take effect: rejected documents go, repeated
+lines are cut, one document of each near-duplicate group stays, documents that hold a benchmark item go, and what is
+left is packed. All stages but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from styloscope.llm.common import read_table, scratch_path
+from styloscope.llm.decontaminate import drop_leaks
+from styloscope.llm.jaccard_join import keep_one
+from styloscope.llm.line_dedup import without_repeats
+from styloscope.llm.packing import pack
+from styloscope.llm.quality import keep_good
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no quality rule rejects."""
+    return keep_good(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without repeated three-line windows; n_chars follows the text."""
+    out = without_repeats(docs)
+    if "n_chars" in out.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return out
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The least doc_id of each group of near duplicates."""
+    return keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return drop_leaks(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of packed sequences of at most 1024 tokens, with their ids (little-endian unsigned 32-bit)."""
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, window=1024)
+
 
-STAGES: list = []
+STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("jaccard_join", jaccard_join),
+          ("decontamination", decontamination), ("packing", packing)]
 
-#: Join components and packing are not SQL; tests/llm compares the stages with brute force.
+#: SQL has neither the join's components nor tokenizers; tests/llm/test_pipeline.py compares with brute force.
 ORACLE_SQL = None
 
 

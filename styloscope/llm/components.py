@@ -7,31 +7,44 @@ from pyspark.sql import functions as F
 
 from styloscope.llm.common import materialise
 
+#: Each round follows 2^DOUBLINGS steps to lesser neighbours.
+DOUBLINGS = 2
+#: Rounds after which the labels so far are written, to keep the plan short.
+ROUNDS_WRITTEN = 4
+
+
+def _tidy(links: DataFrame) -> DataFrame:
+    """Links (a, b) with a > b, once each."""
+    return links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def _moved(df: DataFrame, column: str, step: DataFrame) -> DataFrame:
+    """``df`` with the nodes in ``column`` replaced by where ``step`` (node, to) takes them."""
+    named = step.select(F.col("node").alias("_node"), F.col("to").alias("_to"))
+    return (df.join(named, F.col(column) == F.col("_node"), "left")
+            .withColumn(column, F.coalesce("_to", column)).drop("_node", "_to"))
+
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of ``links`` (a, b): the least node reachable.
 
-    Each round maps every node to its least neighbour (itself included) and relabels the links; the link to that
-    neighbour survives as a link between their new labels, so nothing is lost, and chains shrink by half or more.
-    Minima are pre-aggregated, joins are plain equi-joins that adaptive execution splits at hot nodes, and every
-    round is written to the shared folder, which cuts the lineage.
+    A round takes every node some steps down to its least neighbour's least neighbour and so on, and relabels the
+    links with the nodes reached. The link between a node and its least neighbour survives as a link between their
+    new labels, so nothing is lost, and a path shrinks to a fraction of its length. Minima are pre-aggregated, joins are
+    plain equi-joins that adaptive execution splits at hot nodes, and the links of every round are written to the
+    shared folder, which cuts the lineage.
     """
-    pair = F.struct(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    links = materialise(links.filter("a != b").select(pair.alias("p")).select("p.*").distinct(), "links")
-    nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    labels = nodes.select("node", F.col("node").alias("component"))
+    links = materialise(_tidy(links), "links")
+    labels = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node"))
+    rounds = 0
     while not links.isEmpty():
-        # "a" is the greater end, so its least neighbour is below it; other nodes stay
-        step = materialise(links.groupBy("a").agg(F.min("b").alias("to")).withColumnRenamed("a", "from"), "links-step")
-
-        def moved(column: str, step: DataFrame = step) -> DataFrame:
-            return step.select(F.col("from").alias(f"from_{column}"), F.col("to").alias(f"to_{column}"))
-
-        labels = materialise(
-            labels.join(moved("component"), F.col("component") == F.col("from_component"), "left")
-            .select("node", F.coalesce("to_component", "component").alias("component")), "labels")
-        new = (links.join(moved("a"), F.col("a") == F.col("from_a"), "left")
-               .join(moved("b"), F.col("b") == F.col("from_b"), "left")
-               .select(F.coalesce("to_a", "a").alias("a"), F.coalesce("to_b", "b").alias("b")))
-        links = materialise(new.filter("a != b").select(pair.alias("p")).select("p.*").distinct(), "links")
-    return labels
+        step = materialise(links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to")), "links-step")
+        for _ in range(DOUBLINGS):
+            step = _moved(step, "to", step)
+        step = materialise(step, "links-step")
+        labels = _moved(labels, "component", step)
+        links = materialise(_tidy(_moved(_moved(links, "a", step), "b", step)), "links")
+        rounds += 1
+        if rounds % ROUNDS_WRITTEN == 0:
+            labels = materialise(labels, "labels")
+    return materialise(labels, "labels")

@@ -20,8 +20,8 @@ How it is spread:
    over CHUNK classes is dealt to pairs of chunks, each a tree of its own.
 5. Surviving pairs are verified on their exact sets, and links are contracted to components.
 
-Routing and trees lose no linked pair of different components; stars only save work. Sets are recomputed from the
-text for the classes that some pair or group needs, found by a Bloom filter of fixed size.
+Routing and trees lose no linked pair of different components; stars only save work. Sets are never stored: they are
+recomputed from the text for the classes of surviving pairs, found by a Bloom filter of fixed size.
 
 Edge cases: null texts and texts without words are empty sets, linked with nothing and their own component; with fewer
 than five words the whole sequence is the one shingle; repeated rows are equal texts; rows with a null doc_id get the
@@ -53,6 +53,8 @@ LEAF = 24
 FANOUT = 8
 CHUNK = 4096
 BLOOM_BITS = 27
+#: Pairs that a task remembers as judged; it only spares judging them again.
+SEEN = 1 << 19
 #: Bytes of text that are hashed together.
 SLAB = 1 << 21
 
@@ -139,8 +141,23 @@ def prefix_length(n: int) -> int:
 
 # --- 1. sets, classes, coarse group counts -------------------------------------------------------------------------
 
+def point_of(shingles: np.ndarray) -> np.ndarray:
+    groups = (shingles >> np.uint64(8)) % np.uint64(DIMENSIONS)
+    return np.bincount(groups.astype(np.int64), minlength=DIMENSIONS)
+
+
+def pack_point(point: np.ndarray) -> bytes:
+    """Compressed, in the narrowest unsigned type that holds the counts."""
+    return zlib.compress(point.astype(np.min_scalar_type(int(point.max()))).tobytes(), 1)
+
+
+def unpack_point(packed: bytes) -> np.ndarray:
+    raw = zlib.decompress(packed)
+    return np.frombuffer(raw, f"<u{len(raw) // DIMENSIONS}").astype(np.uint32)
+
+
 def summarise(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, n, class, mins) per document and (task, chunk, counts) of each task's coarse group counts."""
+    """Rows (doc_id, n, class, mins, point) per document and (task, chunk, counts) of each task's coarse group counts."""
 
     def run(batches) -> Iterator[tuple]:
         from pyspark import TaskContext
@@ -150,18 +167,29 @@ def summarise(docs: DataFrame) -> DataFrame:
             seen = []
             for doc_id, shingles in zip(doc_ids, shingle_sets(texts)):
                 seen.append(shingles)
-                mins = [int((shingles * odd).min()) - (1 << 63) for odd in _ODD] if len(shingles) else None
-                yield doc_id, len(shingles), class_of(shingles), mins, None, None, None
+                mins = point = None
+                if len(shingles):
+                    mins = [int((shingles * odd).min()) - (1 << 63) for odd in _ODD]
+                    point = pack_point(point_of(shingles))
+                yield doc_id, len(shingles), class_of(shingles), mins, point, None, None, None
             every = np.concatenate(seen)
             counts += np.bincount((every >> np.uint64(64 - GROUP_BITS)).astype(np.int64), minlength=len(counts))
         task = TaskContext.get().partitionId()
         for chunk, part in enumerate(counts.reshape(-1, GROUP_CHUNK)):
             if part.any():
-                yield None, None, None, None, task, chunk, zlib.compress(part.tobytes(), 1)
+                yield None, None, None, None, None, task, chunk, zlib.compress(part.tobytes(), 1)
 
     return materialise(stream(docs.select(F.col("doc_id").cast("long"), "text"),
-                              "doc_id long, n long, class long, mins array<long>, task int, chunk int, counts binary",
-                              run), "jaccard-sets")
+                              "doc_id long, n long, class long, mins array<long>, point binary, task int, chunk int, "
+                              "counts binary", run), "jaccard-summary")
+
+
+def classes_of(summary: DataFrame) -> DataFrame:
+    """(class, n, least, mins, point): distinct non-empty sets with their least doc_id."""
+    return materialise(
+        summary.filter("n > 0").groupBy("class").agg(
+            F.max("n").alias("n"), F.min("doc_id").alias("least"), F.first("mins").alias("mins"),
+            F.first("point").alias("point")), "jaccard-classes")
 
 
 def coarse_ranks(summary: DataFrame) -> np.ndarray:
@@ -217,13 +245,26 @@ def shared_routes(routed: DataFrame) -> DataFrame:
 
 # --- 3. stars --------------------------------------------------------------------------------------------------------
 
-def star_pairs(summary: DataFrame) -> DataFrame:
-    """(a, b): each class with the least class that shares one of its min-hashes."""
-    sketches = summary.filter("n > 0").select("class", F.posexplode("mins").alias("which", "value"))
+def star_pairs(classes: DataFrame) -> DataFrame:
+    """(a, b): each class with the least class that shares one of its min-hashes, if sizes and points allow a link."""
+    sketches = classes.select("class", F.posexplode("mins").alias("which", "value"))
     centres = (sketches.groupBy("which", "value").agg(F.min("class").alias("b"), F.max("class").alias("most"))
                .filter("b < most").drop("most"))
-    return (sketches.join(centres, ["which", "value"]).filter(F.col("class") != F.col("b"))
-            .select(F.col("class").alias("a"), "b").distinct())
+    pairs = (sketches.join(centres, ["which", "value"]).filter(F.col("class") != F.col("b"))
+             .select(F.col("class").alias("a"), "b").distinct())
+    sides = [classes.select(F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col("point").alias(f"point_{x}"))
+             for x in "ab"]
+    near = (pairs.join(sides[0], "a").join(sides[1], "b")
+            .filter(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")))
+
+    def run(batches) -> Iterator[tuple]:
+        for firsts, seconds, sizes_a, sizes_b, points_a, points_b in batches:
+            for a, b, n, m, x, y in zip(firsts, seconds, sizes_a, sizes_b, points_a, points_b):
+                if int(np.minimum(unpack_point(x), unpack_point(y)).sum()) >= least_common(n + m):
+                    yield a, b
+
+    return materialise(stream(near.select("a", "b", "n_a", "n_b", "point_a", "point_b"), "a long, b long", run),
+                       "jaccard-stars")
 
 
 # --- sets of the classes that take part ------------------------------------------------------------------------------
@@ -233,22 +274,23 @@ def bloom_of(classes: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             slots = np.unique(batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - BLOOM_BITS)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(slots >> 16), pa.array(slots & 0xFFFF)], names=["page", "bit"])
+            yield pa.RecordBatch.from_arrays([pa.array(slots >> 20), pa.array(slots & (1 << 20) - 1)],
+                                             names=["page", "bit"])
 
     def page(frame: pd.DataFrame) -> pd.DataFrame:
-        bits = np.zeros(1 << 16, bool)
+        bits = np.zeros(1 << 20, bool)
         bits[frame["bit"].to_numpy()] = True
         return pd.DataFrame({"page": frame["page"].iloc[:1], "bits": [np.packbits(bits).tobytes()]})
 
     slots = classes.select("class").mapInArrow(run, "page long, bit long").distinct()
     bloom = np.zeros(1 << BLOOM_BITS, bool)
     for row in slots.groupBy("page").applyInPandas(page, "page long, bits binary").collect():
-        bloom[row.page << 16:(row.page + 1) << 16] = np.unpackbits(np.frombuffer(row.bits, np.uint8)).astype(bool)
+        bloom[row.page << 20:(row.page + 1) << 20] = np.unpackbits(np.frombuffer(row.bits, np.uint8)).astype(bool)
     return np.packbits(bloom)
 
 
 def sets_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(class, n, shingles) once for each of ``classes``, from the texts; and a few more."""
+    """(class, shingles) once for each of ``classes``, from the texts; and a few more."""
     bloom = docs.sparkSession.sparkContext.broadcast(bloom_of(classes))  # 2^BLOOM_BITS bits
 
     def run(batches) -> Iterator[tuple]:
@@ -259,19 +301,16 @@ def sets_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
                     name = class_of(shingles)
                     slot = (name & (1 << 64) - 1) >> (64 - BLOOM_BITS)
                     if bits[slot >> 3] >> (7 - (slot & 7)) & 1:
-                        yield name, len(shingles), shingles.tobytes()
+                        yield name, shingles.tobytes()
 
-    found = stream(docs.select("text"), "class long, n long, shingles binary", run, per_batch=512)
-    return materialise(found.groupBy("class").agg(F.max("n").alias("n"), F.first("shingles").alias("shingles")),
-                       "jaccard-members")
+    found = stream(docs.select("text"), "class long, shingles binary", run, per_batch=512)
+    return found.groupBy("class").agg(F.first("shingles").alias("shingles"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets link; sizes are compared before sets are sent."""
-    sizes = sets.select("class", "n")
-    close = (pairs.join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b")
-             .filter((100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))).select("a", "b"))
-    both = (close.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("set_a")), "a")
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose exact sets link. Both joins read one exchange of the sets by class."""
+    sets = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct())
+    both = (pairs.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("set_a")), "a")
             .join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("set_b")), "b"))
 
     def run(batches) -> Iterator[tuple]:
@@ -336,73 +375,94 @@ class Tree:
             yield int(mine[i]), int(theirs[j])
 
 
-def point_of(shingles: bytes) -> np.ndarray:
-    groups = (np.frombuffer(shingles, np.uint64) >> np.uint64(8)) % np.uint64(DIMENSIONS)
-    return np.bincount(groups.astype(np.int64), minlength=DIMENSIONS)
-
-
-def tree_pairs(shared: DataFrame, sets: DataFrame, joined: DataFrame) -> DataFrame:
+def group_pairs(rows: list[tuple], seen: set[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Pairs of one group's rows (mine, low, high, class, part, n, point) that may link; ``seen`` were judged before."""
+    low, high = rows[0][1], rows[0][2]
+    if len(rows) <= LEAF:
+        points: dict[int, np.ndarray] = {}
+        for i, (mine, _, _, a, part, n, packed) in enumerate(rows):
+            for other, _, _, b, part_b, m, packed_b in rows[i + 1:]:
+                if part == part_b or 100 * min(n, m) < PERCENT * max(n, m) or low != high and mine == other:
+                    continue
+                pair = (a, b) if a > b else (b, a)
+                if pair not in seen:
+                    seen.add(pair)
+                    for name, p in ((a, packed), (b, packed_b)):
+                        if name not in points:
+                            points[name] = unpack_point(p)
+                    if int(np.minimum(points[a], points[b]).sum()) >= least_common(n + m):
+                        yield pair
+        return
+    mine, names, parts, sizes = (np.array([r[k] for r in rows]) for k in (0, 3, 4, 5))
+    points = np.array([unpack_point(r[6]) for r in rows])
+    sides = [np.flatnonzero(mine == low)] + [np.flatnonzero(mine == high)] * (low != high)
+    if all(len(side) for side in sides):
+        trees = [Tree(points[side], sizes[side], parts[side]) for side in sides]
+        for i, j in trees[0].pairs(trees[-1]):
+            a, b = int(names[sides[0][i]]), int(names[sides[-1][j]])
+            pair = (a, b) if a > b else (b, a)
+            if pair not in seen:
+                seen.add(pair)
+                yield pair
+
+
+def tree_pairs(shared: DataFrame, classes: DataFrame, joined: DataFrame) -> DataFrame:
     """(a, b) of different components that share a route and pass the trees' bound.
 
     ``joined``: (node, component) of the links found so far.
     """
-    def points(batches) -> Iterator[tuple]:
-        for names, sizes, found in batches:
-            for name, n, shingles in zip(names, sizes, found):
-                yield name, n, zlib.compress(point_of(shingles).astype(np.uint32).tobytes(), 1)
-
-    labelled = (shared.join(joined, F.col("class") == F.col("node"), "left")
-                .select("key", "class", F.coalesce("component", "class").alias("part")))
-    labelled = materialise(labelled, "jaccard-labelled")
+    labelled = materialise(
+        shared.join(joined, F.col("class") == F.col("node"), "left")
+        .select("key", "class", F.coalesce("component", "class").alias("part")), "jaccard-labelled")
     keys = (labelled.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most"),
                                         F.count("*").alias("size")).filter("least < most"))
-    dense = stream(sets.select("class", "n", "shingles"), "class long, n long, point binary", points)
     chunks = F.ceil(F.col("size") / CHUNK).cast("int")
-    mine = F.pmod(F.xxhash64("class"), chunks).cast("int")
-    rows = (labelled.join(keys.select("key", "size"), "key").withColumn("mine", mine)
+    rows = (labelled.join(keys.select("key", "size"), "key")
+            .withColumn("mine", F.pmod(F.xxhash64("class"), chunks).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
             .withColumn("low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other"))
-            .join(dense, "class"))
+            .join(classes.select("class", "n", "point"), "class"))
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        names, parts, sizes = (frame[c].to_numpy() for c in ("class", "part", "n"))
-        points = np.array([np.frombuffer(zlib.decompress(p), np.uint32) for p in frame["point"]])
-        first = (frame["mine"] == frame["low"]).to_numpy()
-        trees = [Tree(points[rows], sizes[rows], parts[rows]) for rows in (first, ~first) if rows.any()]
-        inside = names[first], names[~first]
-        found = [(inside[0][i], inside[-1 if len(trees) > 1 else 0][j]) for i, j in trees[0].pairs(trees[-1])] if (
-            len(trees) > 1 or frame["low"].iloc[0] == frame["high"].iloc[0]) else []
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    return (rows.groupBy("key", "low", "high").applyInPandas(run, "a long, b long")
-            .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    def run(batches) -> Iterator[tuple]:
+        group, held, seen = [], None, set()
+        for columns in batches:
+            for key, *row in zip(*columns):
+                if (key, row[1], row[2]) != held:
+                    if len(group) > 1:
+                        yield from group_pairs(group, seen)
+                    group, held = [], (key, row[1], row[2])
+                    if len(seen) > SEEN:
+                        seen = set()
+                group.append(row)
+        if len(group) > 1:
+            yield from group_pairs(group, seen)
+
+    grouped = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return materialise(stream(grouped.select("key", "mine", "low", "high", "class", "part", "n", "point"),
+                              "a long, b long", run).distinct(), "jaccard-pairs")
 
 
 # --- the join --------------------------------------------------------------------------------------------------------
 
-def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The summary rows of ``docs`` and (a, b) links between classes that connect all linked classes."""
+def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents (doc_id, n, class), the classes, and links (a, b) that connect all linked classes."""
     prepare(docs.sparkSession)
     summary = summarise(docs)
+    classes = classes_of(summary)
     shared = shared_routes(routes(docs, coarse_ranks(summary)))
-    stars = materialise(star_pairs(summary), "jaccard-stars")
-    needed = shared.select("class").union(stars.select(F.col("a"))).union(stars.select("b")).distinct()
-    sets = sets_of(docs, needed)
-    first = verified(stars, sets)
-    more = verified(tree_pairs(shared, sets, components(first)), sets)
-    return summary, first.union(more)
+    first = verified(star_pairs(classes), docs)
+    more = verified(tree_pairs(shared, classes, components(first)), docs)
+    return summary.filter("n is not null").select("doc_id", "n", "class"), classes, first.union(more)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (least doc_id reachable by links, itself included), class."""
-    summary, links = jaccard_links(docs)
-    documents = summary.filter("n is not null").select("doc_id", "n", "class")
-    classes = (documents.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
-               .join(components(links), F.col("class") == F.col("node"), "left")
-               .select("class", F.coalesce("component", "class").alias("component"), "least"))
-    named = materialise(classes, "jaccard-classes")
-    components_named = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    known = named.join(components_named, "component").select("class", "component_id")
+    documents, classes, links = jaccard_links(docs)
+    named = materialise(
+        classes.join(components(links), F.col("class") == F.col("node"), "left")
+        .select("class", F.coalesce("component", "class").alias("component"), "least"), "jaccard-named")
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    known = named.join(least, "component").select("class", "component_id")
     return (documents.join(known, "class", "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
