@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DECIMALS = 6
+#: Values from here on are not rounded: times 1e6 they would not fit a long.
+ROUND_LIMIT = 1e12
 
 
 def c_(x) -> Column:
@@ -28,11 +30,12 @@ def r6(x) -> Column:
     """Round a double to 6 decimals as floor(x * 1e6 + 0.5) / 1e6.
 
     The same IEEE operations in Spark and in the SQL oracle give bit-identical results (Spark's
-    ``round`` goes through BigDecimal and breaks ties differently from binary rounding).
+    ``round`` goes through BigDecimal and breaks ties differently from binary rounding). Values too
+    large for the integer in between (or infinite, or NaN) have no such decimals and stay as they are.
     """
     x = c_(x).cast("double")
     scale = float(10 ** DECIMALS)
-    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), x).otherwise(
+    return F.when(F.isnan(x) | (F.abs(x) >= ROUND_LIMIT), x).otherwise(
         F.floor(x * scale + 0.5).cast("double") / scale)
 
 

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from styloscope.functions import annotate as an
 from styloscope.functions.numeric import safe_div
 from styloscope.operators.tokens import normalize_sentences
+from styloscope.session import store
 
 KEY = ["problem_id", "sent_idx"]
 POS_PREFIX = "POS_"
@@ -41,15 +42,16 @@ def graph_inputs(norm: DataFrame, keys: list[str]) -> DataFrame:
         F.transform("words", lambda w: F.concat(F.lit(POS_PREFIX), an.upos_lower(w))).alias("tags"))
 
 
-def build_wan(graph_in: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+def build_wan(graph_in: DataFrame, keys: list[str], stored: bool = False) -> tuple[DataFrame, DataFrame]:
     """(edges, nodes). Edges: keys, src, dst, weight, edge_type ('word' | 'pos_pos').
 
     Nodes: keys, node, node_type ('word' | 'POS'). A graph gets nodes only when it has at least two
     tokens (a single token adds no edge, hence no node); self-loops are dropped after the node table
     is derived, so their nodes stay.
 
-    Edges and nodes come out of one explode and one ``groupBy`` (distinct nodes, pair counts): both
-    tables are filters over the same exchange, which Spark reuses, so the tokens are tagged once.
+    Edges and nodes come out of one explode and one ``groupBy`` (distinct nodes, pair counts). With
+    ``stored`` that table is written to the shared folder and both are filters over it: metrics read edges and
+    nodes many times, and without a stored table every one of these reads would tag the tokens again.
     """
     has_pairs = F.size("words") >= 2
     elem = "struct<kind:string,a:string,b:string,t:string>"
@@ -69,6 +71,7 @@ def build_wan(graph_in: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFram
     grouped = (graph_in.select(*keys, F.explode(elems).alias("x"))
                .select(*keys, "x.kind", "x.a", "x.b", "x.t")
                .groupBy(*keys, "kind", "a", "b", "t").agg(F.count(F.lit(1)).alias("c")))
+    grouped = store(grouped, "wan") if stored else grouped
     edges = (grouped.filter((F.col("kind") == "e") & (F.col("a") != F.col("b")))
              .select(*keys, F.col("a").alias("src"), F.col("b").alias("dst"), F.col("c").alias("weight"),
                      F.col("t").alias("edge_type")))
@@ -79,7 +82,7 @@ def build_wan(graph_in: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFram
 def wan_for_sentences(spark: SparkSession, sentences: DataFrame, preset: str | None = None):
     """Graphs of every sentence under its problem's preset (or a fixed preset)."""
     norm = normalize_sentences(spark, sentences, preset)
-    return build_wan(graph_inputs(norm, KEY), KEY)
+    return build_wan(graph_inputs(norm, KEY), KEY, stored=True)
 
 
 def node_degrees(edges: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,11 +1,12 @@
 """Betweenness, closeness and eigenvector centrality per graph.
 
-Exact all-pairs path metrics need a whole graph in one place, so this is the one family that runs
-a kernel: nodes and edges are co-grouped by graph key (``cogroup().applyInPandas``), and a numpy
-routine computes level-synchronous BFS for all sources at once (dense matrices up to
-``DENSE_LIMIT`` nodes, per-source sparse BFS above it). A graph is bounded by one sentence, and the
-groups are the many small graphs, so the shuffle spreads by graph; everything before and after
-the kernel is relational.
+Exact path metrics need a whole graph in one place, so this is the one family that runs a kernel. Node and edge
+rows are dealt by graph and streamed in graph order through Arrow, so a task turns many small graphs into rows
+without a call per graph. A graph is bounded by one sentence (or window of sentences).
+
+Distances are found by level-synchronous breadth-first search over the edge list, for a block of sources at a time:
+each level adds the path counts of every edge's source to its target. A block has so many sources that its arrays
+hold about ``BLOCK_CELLS`` numbers, so memory is linear in nodes + edges at every size, by one algorithm.
 
 Definitions (directed, unweighted):
 * closeness(u) uses distances *into* u: with r nodes reaching u (u included) and total distance T,
@@ -17,99 +18,61 @@ Definitions (directed, unweighted):
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
 
-DENSE_LIMIT = 2048
+BLOCK_CELLS = 1 << 20
 TOL = 1e-6
-
-
-def _bfs_dense(adj: np.ndarray):
-    """All-sources BFS on a dense 0/1 matrix: (dist, sigma, level masks)."""
-    n = adj.shape[0]
-    a = adj.astype(np.float64)
-    dist = np.full((n, n), np.inf)
-    np.fill_diagonal(dist, 0.0)
-    sigma = np.eye(n)
-    frontier = np.eye(n)
-    seen = np.eye(n, dtype=bool)
-    levels = [np.eye(n, dtype=bool)]
-    d = 0
-    while True:
-        nxt = frontier @ a
-        new = (nxt > 0) & ~seen
-        if not new.any():
-            break
-        d += 1
-        nxt = np.where(new, nxt, 0.0)
-        dist[new] = d
-        sigma += nxt
-        seen |= new
-        levels.append(new)
-        frontier = nxt
-    return dist, sigma, levels
-
-
-def _betweenness_dense(adj: np.ndarray, sigma: np.ndarray, levels) -> np.ndarray:
-    n = adj.shape[0]
-    at = adj.T.astype(np.float64)
-    delta = np.zeros((n, n))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        for lvl in range(len(levels) - 1, 0, -1):
-            coef = np.where(levels[lvl], (1.0 + delta) / sigma, 0.0)
-            contrib = coef @ at  # [s, v] = sum_w A[v, w] * coef[s, w]
-            delta += np.where(levels[lvl - 1], sigma * contrib, 0.0)
-    np.fill_diagonal(delta, 0.0)
-    return delta.sum(axis=0)
-
-
-def _bfs_sparse_one(s: int, indptr, indices, n: int):
-    dist = np.full(n, -1, dtype=np.int64)
-    sigma = np.zeros(n)
-    dist[s], sigma[s] = 0, 1.0
-    order, frontier = [np.array([s])], np.array([s])
-    d = 0
-    while frontier.size:
-        d += 1
-        starts, ends = indptr[frontier], indptr[frontier + 1]
-        if not (ends - starts).sum():
-            break
-        srcs = np.repeat(frontier, ends - starts)
-        nbrs = np.concatenate([indices[a:b] for a, b in zip(starts, ends)])
-        fresh = dist[nbrs] < 0
-        new_nodes = np.unique(nbrs[fresh])
-        dist[new_nodes] = d
-        on_level = dist[nbrs] == d
-        np.add.at(sigma, nbrs[on_level], sigma[srcs[on_level]])
-        frontier = new_nodes
-        if new_nodes.size:
-            order.append(new_nodes)
-    return dist, sigma, order
-
-
-def _centralities_sparse(src: np.ndarray, dst: np.ndarray, n: int):
-    order_idx = np.argsort(src, kind="stable")
-    s_sorted, d_sorted = src[order_idx], dst[order_idx]
-    indptr = np.searchsorted(s_sorted, np.arange(n + 1))
-    closeness_in_sum, closeness_in_cnt = np.zeros(n), np.zeros(n)
-    btw = np.zeros(n)
-    for s in range(n):
-        dist, sigma, order = _bfs_sparse_one(s, indptr, d_sorted, n)
-        reach = dist >= 0
-        closeness_in_sum[reach] += dist[reach]
-        closeness_in_cnt[reach] += 1
-        delta = np.zeros(n)
-        for lvl in range(len(order) - 1, 0, -1):
-            for w in order[lvl]:
-                preds_mask = (d_sorted == w)
-                preds = s_sorted[preds_mask]
-                preds = preds[dist[preds] == lvl - 1]
-                delta[preds] += sigma[preds] / sigma[w] * (1.0 + delta[w])
-            btw[order[lvl]] += delta[order[lvl]]
-    return closeness_in_sum, closeness_in_cnt, btw
+METRICS = ("betweenness", "closeness", "eigenvector")
+
+
+def _add_by(groups: np.ndarray, ends: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sum the columns of ``values`` into n columns; ``groups`` are the distinct targets, ``ends`` where each begins."""
+    out = np.zeros((len(values), n))
+    if len(groups):
+        out[:, groups] = np.add.reduceat(values, ends, axis=1)
+    return out
+
+
+def path_metrics(src: np.ndarray, dst: np.ndarray, n: int, between: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per node: total distance from the nodes that reach it, their number, and the dependency sum (if ``between``)."""
+    total, reached, dependency = np.zeros(n), np.zeros(n), np.zeros(n)
+    by_dst, by_src = np.argsort(dst, kind="stable"), np.argsort(src, kind="stable")
+    into, into_at = np.unique(dst[by_dst], return_index=True)
+    out_of, out_at = np.unique(src[by_src], return_index=True)
+    block = max(1, BLOCK_CELLS // max(1, n + len(src)))
+    for first in range(0, n, block):
+        sources = np.arange(first, min(n, first + block))
+        rows = np.arange(len(sources))
+        dist = np.full((len(sources), n), -1, np.int64)
+        paths = np.zeros((len(sources), n))
+        dist[rows, sources] = 0
+        paths[rows, sources] = 1.0
+        frontier, level = paths.copy(), 0
+        while True:
+            new = _add_by(into, into_at, frontier[:, src[by_dst]], n)
+            new[dist >= 0] = 0.0
+            if not new.any():
+                break
+            level += 1
+            dist[new > 0] = level
+            paths += new
+            frontier = new
+        total += np.where(dist > 0, dist, 0).sum(axis=0)
+        reached += (dist >= 0).sum(axis=0)
+        if between:
+            delta = np.zeros((len(sources), n))
+            for at in range(level, 0, -1):
+                share = np.divide(1.0 + delta, paths, out=np.zeros_like(delta), where=dist == at)
+                back = _add_by(out_of, out_at, share[:, dst[by_src]], n)
+                delta += np.where(dist == at - 1, paths * back, 0.0)
+            delta[rows, sources] = 0.0
+            dependency += delta.sum(axis=0)
+    return total, reached, dependency
 
 
 def _eigenvector(src: np.ndarray, dst: np.ndarray, n: int, max_iter: int):
@@ -124,67 +87,101 @@ def _eigenvector(src: np.ndarray, dst: np.ndarray, n: int, max_iter: int):
     return x, max_iter, False
 
 
-def graph_centralities(nodes: list[str], src_names, dst_names, max_iter: int = 50_000_000):
-    """(nodes sorted, betweenness, closeness, eigenvector, iterations, converged) of one directed graph."""
+def graph_centralities(nodes: list[str], src_names, dst_names, max_iter: int = 50_000_000, metrics=METRICS):
+    """(nodes sorted, betweenness, closeness, eigenvector, iterations, converged) of one directed graph.
+
+    A metric that is not asked for is None.
+    """
     names = sorted(set(nodes))
     n = len(names)
     pos = {v: i for i, v in enumerate(names)}
     src = np.array([pos[s] for s in src_names], dtype=np.int64)
     dst = np.array([pos[d] for d in dst_names], dtype=np.int64)
-    if n <= DENSE_LIMIT:
-        adj = np.zeros((n, n), dtype=bool)
-        adj[src, dst] = True
-        dist, sigma, levels = _bfs_dense(adj)
-        finite = np.isfinite(dist)
-        tot = np.where(finite, dist, 0.0).sum(axis=0)
-        cnt = finite.sum(axis=0).astype(np.float64)
-        btw = _betweenness_dense(adj, sigma, levels)
-    else:
-        tot, cnt, btw = _centralities_sparse(src, dst, n)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        close = np.where(tot > 0, ((cnt - 1) / tot) * ((cnt - 1) / max(n - 1, 1)), 0.0)
-    if n > 2:
-        btw = btw / ((n - 1) * (n - 2))
-    eig, iters, ok = _eigenvector(src, dst, n, max_iter)
-    return names, btw, close, eig, iters, ok
+    btw = close = eig = None
+    iters, ok = 0, True
+    if "betweenness" in metrics or "closeness" in metrics:
+        total, reached, btw = path_metrics(src, dst, n, "betweenness" in metrics)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            close = np.where(total > 0, ((reached - 1) / total) * ((reached - 1) / max(n - 1, 1)), 0.0)
+        if n > 2:
+            btw = btw / ((n - 1) * (n - 2))
+    if "eigenvector" in metrics:
+        eig, iters, ok = _eigenvector(src, dst, n, max_iter)
+    return (names, btw if "betweenness" in metrics else None, close if "closeness" in metrics else None, eig, iters, ok)
 
 
 def node_centralities(edges: DataFrame, nodes: DataFrame, keys: list[str], max_iter: int = 50_000_000,
-                      min_nodes: int = 1) -> DataFrame:
-    """(keys, node, betweenness, closeness, eigenvector, eig_iterations, converged) per graph node."""
-    key_fields = [f for f in nodes.schema.fields if f.name in keys]
-    schema = StructType(key_fields + [
-        StructField("node", StringType()), StructField("betweenness", DoubleType()),
-        StructField("closeness", DoubleType()), StructField("eigenvector", DoubleType()),
-        StructField("eig_iterations", IntegerType()), StructField("converged", BooleanType())])
-
-    def kernel(key, node_pdf: pd.DataFrame, edge_pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(node_pdf) < min_nodes:
-            return pd.DataFrame(columns=[f.name for f in schema.fields])
-        names, btw, close, eig, iters, ok = graph_centralities(
-            node_pdf["node"].tolist(), edge_pdf["src"].tolist(), edge_pdf["dst"].tolist(), max_iter)
-        out = pd.DataFrame({"node": names, "betweenness": btw, "closeness": close, "eigenvector": eig,
-                            "eig_iterations": np.int32(iters), "converged": ok})
-        for k, v in zip(keys, key):
-            out.insert(keys.index(k), k, v)
-        return out
-
-    # fresh attribute ids for the keys: nodes and edges share lineage, which cogroup cannot resolve
-    n = nodes.select(*[F.col(k).alias(k) for k in keys], "node")
-    e = edges.select(*[F.col(k).alias(k) for k in keys], "src", "dst")
-    return n.groupBy(*keys).cogroup(e.groupBy(*keys)).applyInPandas(kernel, schema)
-
-
-def centrality_summaries(cent: DataFrame, keys: list[str]) -> DataFrame:
+                      metrics=METRICS) -> DataFrame:
+    """(keys, node, betweenness, closeness, eigenvector, eig_iterations, converged) per graph node.
+
+    Only the ``metrics`` asked for are computed; the others are null.
+    """
+    types = dict(nodes.dtypes)
+    key_ddl = ", ".join(f"{k} {types[k]}" for k in keys)
+    key_arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    out_schema = pa.schema([(k, key_arrow[types[k]]) for k in keys] + [
+        ("node", pa.string()), ("betweenness", pa.float64()), ("closeness", pa.float64()),
+        ("eigenvector", pa.float64()), ("eig_iterations", pa.int32()), ("converged", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, names, ends, out, size = None, [], [], [[] for _ in out_schema], 0
+
+        def close() -> None:
+            nonlocal size
+            order, btw, near, eig, iters, ok = graph_centralities(
+                names, [a for a, _ in ends], [b for _, b in ends], max_iter, metrics)
+            n = len(order)
+            columns = [[k] * n for k in held] + [order] + [
+                [None] * n if x is None else x.tolist() for x in (btw, near, eig)] + [[iters] * n, [bool(ok)] * n]
+            for whole, part in zip(out, columns):
+                whole.extend(part)
+            size += n
+
+        def flush() -> pa.RecordBatch:
+            nonlocal size
+            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, out_schema)], schema=out_schema)
+            for c in out:
+                c.clear()
+            size = 0
+            return batch
+
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            for row in zip(*columns):
+                key, (node, src, dst) = row[:len(keys)], row[len(keys):]
+                if key != held:
+                    if names:
+                        close()
+                    if size >= 8192:
+                        yield flush()
+                    held, names, ends = key, [], []
+                if node is None:
+                    ends.append((src, dst))
+                else:
+                    names.append(node)
+        if names:
+            close()
+        if size:
+            yield flush()
+
+    none = F.lit(None).cast("string")
+    rows = (nodes.select(*keys, "node", none.alias("src"), none.alias("dst"))
+            .unionByName(edges.select(*keys, none.alias("node"), "src", "dst")))
+    return (rows.repartition(*keys).sortWithinPartitions(*keys)
+            .mapInArrow(run, f"{key_ddl}, node string, betweenness double, closeness double, eigenvector double, "
+                             f"eig_iterations int, converged boolean"))
+
+
+def centrality_summaries(cent: DataFrame, keys: list[str], metrics=METRICS) -> DataFrame:
     """Mean, population std, max, min of each centrality per graph with at least 2 nodes
     (single-node graphs get no path metrics, so their summaries are 0 downstream)."""
-    sizes = cent.groupBy(*keys).agg(F.count(F.lit(1)).alias("_v"))
-    cent = cent.join(sizes.filter(F.col("_v") >= 2), keys, "left_semi")
     aggs = []
-    for m in ("closeness", "betweenness", "eigenvector"):
+    for m in (m for m in ("closeness", "betweenness", "eigenvector") if m in metrics):
         aggs += [F.avg(m).alias(f"{m}_centrality_mean"), F.stddev_pop(m).alias(f"{m}_centrality_std"),
                  F.max(m).alias(f"{m}_centrality_max"), F.min(m).alias(f"{m}_centrality_min")]
-    return cent.groupBy(*keys).agg(*aggs, F.min(F.col("converged").cast("int")).cast("boolean").alias("eigenvector_converged"))
+    return (cent.groupBy(*keys).agg(F.count(F.lit(1)).alias("_v"), *aggs,
+                                    F.min(F.col("converged").cast("int")).cast("boolean").alias("eigenvector_converged"))
+            .filter("_v >= 2").drop("_v"))
 
 
 def pairwise_path_cosines(cent: DataFrame, pair_max_iter: int = 5000) -> dict[str, DataFrame]:

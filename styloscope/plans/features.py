@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from styloscope.functions import lexicons as lx
 from styloscope.operators import pairs as pr
+from styloscope.session import store
 
 KEY = ["problem_id", "sent_idx"]
 
@@ -19,15 +20,15 @@ KEY = ["problem_id", "sent_idx"]
 def _graph_features(spark: SparkSession, sentences: DataFrame, with_paths: bool):
     from styloscope.operators.graphs import KEY as GK, build_wan, graph_inputs, node_degrees, wan_metrics
     from styloscope.operators.tokens import normalize_sentences
-    edges, nodes = build_wan(graph_inputs(normalize_sentences(spark, sentences), GK), GK)
-    metrics = wan_metrics(edges, nodes, GK)
+    edges, nodes = build_wan(graph_inputs(normalize_sentences(spark, sentences), GK), GK, stored=True)
+    metrics = store(wan_metrics(edges, nodes, GK), "graph-metrics")
     out = {"metrics": metrics, "edges": edges, "nodes": nodes}
     if with_paths:
         from styloscope.operators.paths import centrality_summaries, node_centralities
-        cent = node_centralities(edges, nodes, GK)
+        cent = store(node_centralities(edges, nodes, GK), "centralities")
         out["centralities"] = cent
         out["path_summaries"] = centrality_summaries(cent, GK)
-        out["degrees"] = node_degrees(edges, nodes, GK)
+        out["degrees"] = store(node_degrees(edges, nodes, GK), "degrees")
     return out
 
 
@@ -45,9 +46,10 @@ def core_sentence_features(spark: SparkSession, sentences: DataFrame, graph: dic
     from styloscope.functions.text import pattern_flags
 
     graph = graph or _graph_features(spark, sentences, with_paths=False)
-    lex = lexical_features(sentences).select(*KEY, *pr.LEXICAL_FEATURES, *pr.DEEP_FEATURES, "starts_with_discourse")
+    lex = store(lexical_features(sentences).select(*KEY, *pr.LEXICAL_FEATURES, *pr.DEEP_FEATURES,
+                                                   "starts_with_discourse"), "lexical")
     pb = pattern_blocks(sentences)
-    pb = pb.select("*", *pattern_flags("pattern_type"))
+    pb = store(pb.select("*", *pattern_flags("pattern_type")), "patterns")
     gm = graph["metrics"].select(*KEY, *pr.GRAPH_COUNT_FEATURES, F.lit(1).alias("_has_graph"))
     base = sentences.select(*KEY).join(lex, KEY, "left").join(pb, KEY, "left").join(gm, KEY, "left")
     return _zero_fill(base, pr.GRAPH_COUNT_FEATURES)
@@ -62,20 +64,25 @@ def full_sentence_features(spark: SparkSession, sentences: DataFrame, embeddings
 
     graph = graph or _graph_features(spark, sentences, with_paths=True)
     core = core_sentence_features(spark, sentences, graph)
-    parse = heuristic_parse(sentences)
+    parse = store(heuristic_parse(sentences), "parse")
     fams = [graph["path_summaries"].drop("eigenvector_converged"), dependency_depth(parse), passive_ratio(parse),
             clause_complexity(parse), neighbour_cosine(neighbour_vectors(embeddings, (-1, 1))),
             entity_overlap(sentences), lemma_overlap(sentences), subject_overlap(parse, sentences)]
     out = core
     for f in fams:
-        out = out.join(f, KEY, "left")
+        out = out.join(store(f, "family"), KEY, "left")
     fill = pr.GRAPH_PATH_FEATURES + pr.SYNTAX_FEATURES + [c for c in pr.CONTEXT_FEATURES if c != "starts_with_discourse"]
     return out.fillna(0.0, fill)
 
 
 def pair_feature_table(spark: SparkSession, sentences: DataFrame, embeddings: DataFrame,
-                       labels: DataFrame | None = None, with_drift: bool = True) -> DataFrame:
-    """The full pair table (fixed schema), smoothed, NaN/inf/null -> 0, label last."""
+                       labels: DataFrame | None = None, with_drift: bool = True,
+                       drift_paths: bool = False) -> DataFrame:
+    """The full pair table (fixed schema), smoothed, NaN/inf/null -> 0, label last.
+
+    Every family is written once in the shared folder, so no branch computes another's input again; smoothing reads
+    its few key columns from the written table. ``drift_paths`` adds path metrics to the windows that drift compares.
+    """
     from styloscope.operators.graphs import wan_pairwise
     from styloscope.operators.paths import pairwise_path_cosines
     from styloscope.operators.pos import entropy_pairs, ngram_similarity, tfidf_cosine
@@ -83,9 +90,10 @@ def pair_feature_table(spark: SparkSession, sentences: DataFrame, embeddings: Da
     from styloscope.operators.sentences import pair_positions
     from styloscope.operators.vectors import directional_cosine, embedding_pairs, multi_skip_drift, neighbour_vectors
 
+    sentences, embeddings = store(sentences, "sentences"), store(embeddings, "embeddings")
     graph = _graph_features(spark, sentences, with_paths=True)
-    sent = full_sentence_features(spark, sentences, embeddings, graph)
-    nb = neighbour_vectors(embeddings, (1, 2, 3))
+    sent = store(full_sentence_features(spark, sentences, embeddings, graph), "sentence-features")
+    nb = store(neighbour_vectors(embeddings, (1, 2, 3)), "neighbour-vectors")
     extras = [
         ngram_similarity(sentences, "trigram"), ngram_similarity(sentences, "bigram"), tfidf_cosine(sentences),
         entropy_pairs(sentences), rhythm_pairs(sentences), embedding_pairs(nb), multi_skip_drift(nb),
@@ -94,11 +102,13 @@ def pair_feature_table(spark: SparkSession, sentences: DataFrame, embeddings: Da
     ]
     if with_drift:
         from styloscope.operators.drift import wan_window_drift
-        extras.append(wan_window_drift(spark, sentences).select(
+        extras.append(wan_window_drift(spark, sentences, with_paths=drift_paths).select(
             "problem_id", F.col("wan_window_index").alias("pair_idx"),
             F.col("wan_window_cosine_sim").alias("wan_cosine_drift"),
             F.col("wan_window_euclidean").alias("wan_euclidean_drift")))
-    table = pr.assemble_pairs(sent, pr.FULL_FEATURES, pair_positions(sentences), extras, labels)
+    extras = [store(e, "pair-family") for e in extras]
+    table = store(pr.assemble_pairs(sent, pr.FULL_FEATURES, pair_positions(sentences), extras, labels), "pairs")
     keys = [k for k in lx.SMOOTH_KEYS if k in table.columns]
-    table = table.join(pr.smooth(table, keys), pr.PAIR_KEY, "left")
-    return pr.label_last(pr.fill_numeric(table))
+    smoothed = store(pr.smooth(table.select(*pr.PAIR_KEY, *keys), keys), "smoothed")
+    table = table.join(smoothed, pr.PAIR_KEY, "left")
+    return store(pr.label_last(pr.fill_numeric(table)), "pair-table")

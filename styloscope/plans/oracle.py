@@ -23,7 +23,8 @@ def lst(values) -> str:
 
 
 def R(expr: str) -> str:
-    return f"(floor(CAST({expr} AS DOUBLE) * 1000000.0 + 0.5) / 1000000.0)"
+    x = f"CAST({expr} AS DOUBLE)"
+    return f"(CASE WHEN abs({x}) >= 1e12 THEN {x} ELSE floor({x} * 1000000.0 + 0.5) / 1000000.0 END)"
 
 
 def div(num: str, den: str, default: str = "0.0") -> str:
@@ -774,7 +775,7 @@ st AS (
   SELECT CAST(doc_id // 4 AS BIGINT) AS problem_id, ['easy', 'medium', 'hard'][CAST((doc_id // 4) % 3 AS INTEGER) + 1] AS difficulty,
          doc_id AS author, sentence,
          CAST(row_number() OVER (PARTITION BY doc_id // 4 ORDER BY doc_id, line_idx) - 1 AS INTEGER) AS sent_idx
-  FROM st0 WHERE line_idx < 5),
+  FROM st0),
 stl AS (
   SELECT problem_id, difficulty, sent_idx AS pair_idx, CAST(author <> lead(author) OVER w AS INTEGER) AS label,
          length(sentence) AS len, lead(length(sentence)) OVER w AS len1
@@ -833,7 +834,7 @@ FROM windows x LEFT JOIN wan_metrics m USING (problem_id, window_start)"""
 
 SQL["wan_window_graphs"] = _window_graph_sql()
 
-SQL["roundtrip_problem_files"] = with_(PROBLEMS) + """SELECT problem_id, difficulty,
+SQL["roundtrip_problem_files"] = with_(PROBLEMS) + """SELECT CAST(problem_id AS VARCHAR) AS problem_id, difficulty,
   CAST(len(string_split(text, chr(10))) AS INTEGER) AS n_sentences FROM problems"""
 
 SQL["graph_sink"] = with_(*WAN_BASE) + """SELECT p.difficulty, e.edge_type, count(*) AS n_edges,
@@ -845,3 +846,35 @@ SELECT CASE difficulty WHEN 'easy' THEN 'task1_f1_score' WHEN 'medium' THEN 'tas
             ELSE 'task3_f1_score' END AS key, macro_f1 AS value FROM f1"""
 
 SQL["stream_rhythm_pairs"] = SQL["rhythm_pairs"]
+
+
+def _window_drift_sql() -> str:
+    """Cosine and euclidean between the unrounded feature rows of consecutive windows."""
+    from styloscope.operators.pairs import GRAPH_COUNT_FEATURES
+    w = wan_sql("windows", "window_start", "wtext", "wflags", "ON true")
+    feats = ", ".join(
+        f"CASE WHEN m.problem_id IS NULL THEN 0.0 ELSE {'m.' + c if c == 'assortativity' else f'coalesce(m.{c}, 0.0)'} END AS {c}"
+        for c in GRAPH_COUNT_FEATURES)
+    rows = f"""wfeat AS (SELECT x.problem_id, x.window_start, {feats}
+  FROM windows x LEFT JOIN wan_metrics m USING (problem_id, window_start))"""
+    total = lambda f: " + ".join(f(c) for c in GRAPH_COUNT_FEATURES)
+    dot = total(lambda c: f"CAST(a.{c} AS DOUBLE) * b.{c}")
+    norms = "sqrt(" + total(lambda c: f"CAST(a.{c} AS DOUBLE) * a.{c}") + ") * sqrt(" + total(
+        lambda c: f"CAST(b.{c} AS DOUBLE) * b.{c}") + ")"
+    apart = "sqrt(" + total(lambda c: f"(CAST(a.{c} AS DOUBLE) - b.{c}) * (a.{c} - b.{c})") + ")"
+    return with_(*TOK_BASE, WINDOWS, w, rows) + f"""SELECT a.problem_id, a.window_start AS wan_window_index,
+  {lx.WINDOW_SIZE} AS wan_window_size,
+  {R(f"CASE WHEN coalesce({norms}, 0) > 0 THEN ({dot}) / ({norms}) ELSE 0.0 END")} AS wan_window_cosine_sim,
+  {R(apart)} AS wan_window_euclidean
+FROM wfeat a JOIN wfeat b ON a.problem_id = b.problem_id AND b.window_start = a.window_start + 1"""
+
+
+SQL["wan_window_drift"] = _window_drift_sql()
+
+SQL["scoring_split"] = with_(STITCH) + """SELECT problem_id, difficulty, CAST(count(*) - 1 AS INTEGER) AS n_pairs,
+  substr(md5(CAST(problem_id AS VARCHAR)), 1, 1) >= '4' AS in_training
+FROM st GROUP BY problem_id, difficulty HAVING count(*) >= 2"""
+
+SQL["truth_scan"] = with_(STITCH) + """SELECT problem_id, difficulty, CAST(count(*) AS INTEGER) AS n_pairs,
+  CAST(sum(label) AS INTEGER) AS n_changes
+FROM stl WHERE len1 IS NOT NULL GROUP BY problem_id, difficulty"""

@@ -14,7 +14,7 @@ from styloscope.functions.text import pattern_flags
 from styloscope.operators import rhythm as rh
 from styloscope.operators import sentences as se
 from styloscope.plans.common import finalize
-from styloscope.session import configure
+from styloscope.session import configure, store
 from styloscope.sources import tables as tb
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -244,49 +244,52 @@ _oracle.register_wan(WAN_QUERIES)
 
 # --- V1-V6, W5, W10, W11 (embeddings) -------------------------------------------------------
 
-def _emb_nb(spark, sf_dir):
+def _emb_nb(spark, sf_dir, *offsets):
     from styloscope.operators.vectors import neighbour_vectors
-    return neighbour_vectors(tb.embedding_sentences(spark, sf_dir))
+    return neighbour_vectors(tb.embedding_sentences(spark, sf_dir), offsets)
 
 
 @query("embedding_pairs")
 def q_embedding_pairs(spark, sf_dir):
     from styloscope.operators.vectors import embedding_pairs
-    return embedding_pairs(_emb_nb(spark, sf_dir))
+    return embedding_pairs(_emb_nb(spark, sf_dir, 1))
 
 
 @query("multi_skip_drift")
 def q_multi_skip_drift(spark, sf_dir):
     from styloscope.operators.vectors import multi_skip_drift
-    return multi_skip_drift(_emb_nb(spark, sf_dir))
+    return multi_skip_drift(_emb_nb(spark, sf_dir, 1, 2, 3))
 
 
 @query("directional_cosine")
 def q_directional_cosine(spark, sf_dir):
     from styloscope.operators.vectors import directional_cosine
-    return directional_cosine(_emb_nb(spark, sf_dir))
+    return directional_cosine(_emb_nb(spark, sf_dir, 1, 2))
 
 
 @query("neighbor_cosine")
 def q_neighbor_cosine(spark, sf_dir):
     from styloscope.operators.vectors import neighbour_cosine
-    return neighbour_cosine(_emb_nb(spark, sf_dir))
+    return neighbour_cosine(_emb_nb(spark, sf_dir, -1, 1))
 
 
 @query("embedding_pca")
 def q_embedding_pca(spark, sf_dir):
     from styloscope.operators.vectors import pca_reduce
+    from styloscope.functions.numeric import norm
+    # the sign of a component is arbitrary, so the squares and the length are shown
     return pca_reduce(tb.embedding_sentences(spark, sf_dir)).select(
-        "problem_id", "sent_idx", F.size("pca").alias("dims"))
+        "problem_id", "sent_idx", norm("pca").alias("length"),
+        *[F.pow(F.get("pca", F.lit(k)), 2).alias(f"square_{k}") for k in range(8)])
 
 
 # --- G10-G12 path and spectral metrics (kernel per graph; no SQL oracle) ---------------------
 
-def _centralities(spark, sf_dir):
+def _centralities(spark, sf_dir, metrics):
     from styloscope.operators.graphs import KEY
     from styloscope.operators.paths import node_centralities
     edges, nodes = _wan(spark, sf_dir)
-    return node_centralities(edges, nodes, KEY)
+    return node_centralities(edges, nodes, KEY, metrics=metrics)
 
 
 def _path_query(name, metric):
@@ -294,7 +297,7 @@ def _path_query(name, metric):
     def fn(spark, sf_dir):
         from styloscope.operators.graphs import KEY
         from styloscope.operators.paths import centrality_summaries
-        s = centrality_summaries(_centralities(spark, sf_dir), KEY)
+        s = centrality_summaries(_centralities(spark, sf_dir, (metric,)), KEY, (metric,))
         cols = [f"{metric}_centrality_{x}" for x in ("mean", "std", "max", "min")]
         extra = ["eigenvector_converged"] if metric == "eigenvector" else []
         return s.select("problem_id", "sent_idx", *cols, *extra)
@@ -307,10 +310,11 @@ for _m in ("closeness", "betweenness", "eigenvector"):
 
 @query("wan_path_pairwise")
 def q_wan_path_pairwise(spark, sf_dir):
-    from styloscope.operators.graphs import wan_pairwise
-    from styloscope.operators.paths import pairwise_path_cosines
+    from styloscope.operators.graphs import KEY, wan_pairwise
+    from styloscope.operators.paths import node_centralities, pairwise_path_cosines
     edges, nodes = _wan(spark, sf_dir)
-    return wan_pairwise(edges, nodes, node_values=pairwise_path_cosines(_centralities(spark, sf_dir))).select(
+    values = store(node_centralities(edges, nodes, KEY, metrics=("closeness", "eigenvector")), "centralities")
+    return wan_pairwise(edges, nodes, node_values=pairwise_path_cosines(values)).select(
         "problem_id", "pair_idx", "closeness_cosine", "eigenvector_cosine")
 
 
@@ -319,7 +323,7 @@ def q_wan_path_pairwise(spark, sf_dir):
 def _parse(spark, sf_dir):
     from styloscope.operators.syntax import heuristic_parse
     s = _sentences(spark, sf_dir)
-    return s, heuristic_parse(s)
+    return s, store(heuristic_parse(s), "parse")
 
 
 def _per_sentence(s, df, col):
@@ -361,7 +365,7 @@ def _core_pairs(spark, sf_dir, extra_cols=()):
     from styloscope.operators import pairs as pr
     from styloscope.operators.sentences import pair_positions
     from styloscope.plans.features import core_sentence_features
-    s = _sentences(spark, sf_dir)
+    s = store(_sentences(spark, sf_dir), "sentences")
     sent = core_sentence_features(spark, s)
     cols = list(pr.CORE_FEATURES)
     if extra_cols:
@@ -369,7 +373,8 @@ def _core_pairs(spark, sf_dir, extra_cols=()):
         sent = sent.join(clause_complexity(heuristic_parse(s)), ["problem_id", "sent_idx"], "left").fillna(
             0.0, ["clause_complexity"])
         cols += list(extra_cols)
-    return pr.fill_numeric(pr.assemble_pairs(sent, cols, pair_positions(s))).drop("label")
+    sent = store(sent, "sentence-features")
+    return store(pr.fill_numeric(pr.assemble_pairs(sent, cols, pair_positions(s))).drop("label"), "pairs")
 
 
 @query("pair_features")
@@ -453,11 +458,12 @@ def _stitched_pairs(spark, sf_dir):
 
 def _scored(spark, sf_dir):
     from styloscope.operators import pairs as pr
-    from styloscope.operators.model import fit_models, model_input, score
+    from styloscope.operators.model import fit_models, in_training, model_input, score
     table = _stitched_pairs(spark, sf_dir)
     cols = [c for c in pr.numeric_feature_columns(table) if c not in ("difficulty",)]
-    data = model_input(table, cols).checkpoint()
-    return score(data, fit_models(data, cols), cols)
+    data = store(model_input(table, cols).withColumn("in_training", in_training()), "model-input")
+    out = score(data, fit_models(data.filter("in_training"), cols), cols)
+    return out.withColumn("in_training", in_training())
 
 
 @query("score_changes")
@@ -471,6 +477,15 @@ def q_collect_changes(spark, sf_dir):
     return collect_changes(_scored(spark, sf_dir), "y_pred", extra=["difficulty"])
 
 
+@query("scoring_split")
+def q_scoring_split(spark, sf_dir):
+    """The problems that scoring trains on and holds out, with their pairs."""
+    from styloscope.operators.model import in_training
+    s = tb.stitched_sentences(spark, sf_dir).filter("n_sentences >= 2")
+    return (s.select("problem_id", "difficulty", (F.col("n_sentences") - 1).alias("n_pairs")).distinct()
+            .withColumn("in_training", in_training()))
+
+
 @query("style_change_features")
 def q_style_change_features(spark, sf_dir):
     """The full fixed-schema pair table of the documents (embeddings hashed from tokens)."""
@@ -491,7 +506,7 @@ def q_wan_window_graphs(spark, sf_dir):
 @query("wan_window_drift")
 def q_wan_window_drift(spark, sf_dir):
     from styloscope.operators.drift import wan_window_drift
-    return wan_window_drift(spark, _sentences(spark, sf_dir))
+    return wan_window_drift(spark, _sentences(spark, sf_dir), with_paths=False)
 
 
 # --- S1-S8 (file scans and sinks, round-tripped through the shared checkpoint folder) --------
@@ -499,13 +514,24 @@ def q_wan_window_drift(spark, sf_dir):
 @query("roundtrip_problem_files")
 def q_roundtrip_problem_files(spark, sf_dir):
     from styloscope.session import scratch_path
-    from styloscope.sources.files import read_problem_files, write_problems
+    from styloscope.sources.files import read_problems, write_problems
     out = scratch_path(spark, "problems")
     write_problems(tb.problems(spark, sf_dir), out)
-    back = read_problem_files(spark, out, pattern="*.txt")
+    back = read_problems(spark, out)
     return back.select("problem_id", "difficulty", F.size(F.split("text", "\n")).cast("int").alias("n_sentences"))
 
 
+@query("truth_scan")
+def q_truth_scan(spark, sf_dir):
+    """Truth arrays written as records and scanned back."""
+    from styloscope.session import scratch_path
+    from styloscope.sources.files import read_solutions, write_solutions
+    out = scratch_path(spark, "truth")
+    write_solutions(_truth(spark, sf_dir), out)
+    return read_solutions(spark, out).select("problem_id", "difficulty", F.size("changes").alias("n_pairs"),
+                                             F.aggregate("changes", F.lit(0), lambda a, x: a + x).alias("n_changes"))
+
+
 @query("graph_sink")
 def q_graph_sink(spark, sf_dir):
     from styloscope.session import scratch_path
@@ -544,4 +570,4 @@ def q_stream_rhythm_pairs(spark, sf_dir):
     from styloscope.streaming.problems import document_stream, run_incremental
     out = run_incremental(spark, document_stream(spark, sf_dir),
                           lambda problems: rh.rhythm_pairs(se.split_sentences(problems)), name="rhythm")
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).drop("epoch")

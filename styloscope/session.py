@@ -1,7 +1,7 @@
 """Spark session and shared-storage helpers.
 
 Every job reads its scratch location from ``spark.checkpoint.dir`` (the shared folder a cluster
-names); a local default is set only when the session has none, as in tests and the bench.
+names); a local default is set only on a local master whose session has none, as in tests and the bench.
 """
 
 from __future__ import annotations
@@ -9,8 +9,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -20,26 +22,42 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    # wide generated projections (the pair table) make constraint propagation explode in the optimizer
-    "spark.sql.constraintPropagation.enabled": "false",
-}
-
-# Runtime SQL settings every registered query relies on; applied to whatever session runs it.
-RUNTIME_CONF = {
-    "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.constraintPropagation.enabled": "false",
 }
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime SQL settings and make sure a checkpoint folder is known."""
-    for k, v in RUNTIME_CONF.items():
-        spark.conf.set(k, v)
+    """Make sure that a shared checkpoint folder is known; the caller's SQL settings stay as they are."""
     ensure_checkpoint_dir(spark)
     return spark
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A SQL setting for the jobs run inside the block; the caller's value is restored after it."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def store(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it back.
+
+    For tables that several branches of a query read: they are computed once, lineage is cut, and a lost executor
+    costs a re-read. Constraint propagation is off meanwhile, as it explodes on wide generated projections.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    with setting(spark, "spark.sql.constraintPropagation.enabled", "false"):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "styloscope") -> SparkSession:
     """Build (or reuse) a session with AQE on and the UI off."""
@@ -56,8 +74,11 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's shared checkpoint folder, setting a local one only if none is set."""
+    """The session's shared checkpoint folder. A local one is set only on a local master that has none (tests, bench);
+    on a cluster a missing setting is an error, since executors do not share the driver's folders."""
     current = spark.conf.get("spark.checkpoint.dir", None)
+    if not current and not spark.conf.get("spark.master", "local").split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not current:
         current = tempfile.mkdtemp(prefix="styloscope-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
@@ -70,6 +91,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique folder under the shared checkpoint dir (never a machine-local temp dir)."""
+    """A fresh, unique folder under the shared checkpoint dir."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"

@@ -1,10 +1,10 @@
 """Problem / truth / solution scans and the solution, graph and metric sinks.
 
 Scans are single Spark reads over a folder tree (``recursiveFileLookup`` + ``pathGlobFilter``); the
-problem id and the difficulty come from each file's path (``input_file_name``), so all three
-difficulties are one job and absent difficulty folders simply contribute no rows.
-Layouts accepted: the per-file layout ``<root>/<difficulty>/problem-<id>.txt`` and Spark's own
-partitioned layout ``<root>/difficulty=<d>/problem=problem-<id>/part-*.txt``.
+problem id (a string, as ids may hold letters) and the difficulty come from each file's path
+(``input_file_name``), so all three difficulties are one job and absent difficulty folders simply
+contribute no rows. One file per problem is an input layout only; what is written here are record
+files, as many as Spark has tasks, that carry the id as a column.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ CHANGES_SCHEMA = StructType([StructField("changes", ArrayType(IntegerType()))])
 def _path_columns(path_col) -> list:
     pid = F.regexp_extract(path_col, ID_REGEX, 1)
     diff = F.regexp_extract(path_col, DIFFICULTY_REGEX, 1)
-    return [F.coalesce(F.try_to_number(pid, F.lit("9" * 18)).cast("long"), F.lit(None)).alias("problem_id"),
+    return [F.when(pid != "", pid).alias("problem_id"),
             F.concat(F.lit("problem-"), pid).alias("problem_name"),
             F.when(diff == "", F.lit(None)).otherwise(diff).alias("difficulty")]
 
@@ -63,9 +63,16 @@ def read_solutions(spark: SparkSession, out: str) -> DataFrame:
 
 
 def write_problems(problems: DataFrame, out: str) -> None:
-    """Problem texts in Spark's partitioned layout: difficulty=<d>/problem=problem-<id>/part-*.txt."""
-    (problems.select("text", "difficulty", F.concat(F.lit("problem-"), F.col("problem_id").cast("string")).alias("problem"))
-     .write.mode("overwrite").partitionBy("difficulty", "problem").text(out))
+    """Problem texts as JSON records (problem_id, text) below difficulty=<d>."""
+    (problems.select(F.col("problem_id").cast("string").alias("problem_id"), "text", "difficulty")
+     .write.mode("overwrite").partitionBy("difficulty").json(out))
+
+
+def read_problems(spark: SparkSession, out: str) -> DataFrame:
+    """Read back what ``write_problems`` wrote: the columns of ``read_problem_files``, text stripped."""
+    df = spark.read.schema("problem_id string, text string, difficulty string").json(out)
+    return df.select("problem_id", F.concat(F.lit("problem-"), "problem_id").alias("problem_name"), "difficulty",
+                     strip_ws("text").alias("text"))
 
 
 def write_graphs(edges: DataFrame, out: str) -> None:

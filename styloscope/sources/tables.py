@@ -2,7 +2,7 @@
 
 Mapping (FIXTURES.md): a ``documents`` row is a problem and each of its lines a sentence;
 ``embeddings`` rows form problems by ``label`` ordered by ``vec_id``; change labels come from
-*stitched* problems (four consecutive documents, first five lines each, author = document).
+*stitched* problems (four consecutive documents, all their lines, author = document).
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from styloscope.functions import lexicons as lx
 from styloscope.functions.text import strip_ws
 
 STITCH_DOCS = 4
-STITCH_LINES = 5
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,26 +61,22 @@ def embedding_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stitched_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stitched problems: problem_id = doc_id div 4; the first 5 lines of each document in doc order.
+    """Stitched problems: problem_id = doc_id div 4; all lines of its documents in doc order.
 
-    Returns (problem_id, difficulty, sent_idx, sentence, author, n_sentences). Each problem holds at
-    most 20 rows by construction, so the window below is bounded.
+    Returns (problem_id, difficulty, sent_idx, sentence, author, n_sentences). A line's position is its place in its
+    document plus the line counts of the problem's earlier documents; only those counts, at most STITCH_DOCS
+    numbers a problem, go through a window, never the lines.
     """
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    lines = docs.select("doc_id", F.posexplode(F.split(strip_ws("text"), "\n")).alias("line_idx", "sentence"))
-    lines = lines.filter(F.col("line_idx") < STITCH_LINES)
-    lines = lines.withColumn("problem_id", F.floor(F.col("doc_id") / STITCH_DOCS).cast("long"))
-    w = Window.partitionBy("problem_id").orderBy("doc_id", "line_idx")
-    w_all = Window.partitionBy("problem_id")
+    docs = read_table(spark, sf_dir, "documents").select(
+        "doc_id", F.floor(F.col("doc_id") / STITCH_DOCS).cast("long").alias("problem_id"),
+        F.split(strip_ws("text"), "\n").alias("lines"))
+    counts = docs.select("problem_id", "doc_id", F.size("lines").alias("n"))
+    before = Window.partitionBy("problem_id").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("doc_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"),
+                            F.sum("n").over(Window.partitionBy("problem_id")).cast("int").alias("n_sentences"))
+    lines = docs.join(offsets, "doc_id").select(
+        "problem_id", "doc_id", "offset", "n_sentences", F.posexplode("lines").alias("line_idx", "sentence"))
     return lines.select(
         "problem_id", difficulty_of(F.col("problem_id")).alias("difficulty"),
-        (F.row_number().over(w) - 1).cast("int").alias("sent_idx"), "sentence",
-        F.col("doc_id").alias("author"), F.count(F.lit(1)).over(w_all).cast("int").alias("n_sentences"))
-
-
-def stitched_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stitched problems as problem rows (problem_id, difficulty, text) for the feature jobs."""
-    s = stitched_sentences(spark, sf_dir)
-    return (s.groupBy("problem_id", "difficulty")
-            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sent_idx", "sentence"))),
-                                          lambda x: x["sentence"]), "\n").alias("text")))
+        (F.col("offset") + F.col("line_idx")).cast("int").alias("sent_idx"), "sentence",
+        F.col("doc_id").alias("author"), "n_sentences")

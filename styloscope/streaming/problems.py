@@ -2,10 +2,9 @@
 
 The reference processes a folder of problems in one go and keeps no state between problems, so a
 stream needs no stateful operator: each problem arrives whole (a file or a table row), every
-micro-batch runs the same DataFrame -> DataFrame operators through ``foreachBatch``, and results
-are appended to a Parquet sink. The stream's checkpoint lives in the shared checkpoint folder, so a
-restarted query resumes where it stopped (exactly-once per micro-batch via the file sink's batch
-ids).
+micro-batch runs the same DataFrame -> DataFrame operators through ``foreachBatch`` and writes to a
+folder of its own, ``epoch=<id>``, replacing what a failed attempt left there: a retried batch counts
+once. With the checkpoint folder of an earlier run, a query resumes where that run stopped.
 """
 
 from __future__ import annotations
@@ -35,21 +34,24 @@ def problem_file_stream(spark: SparkSession, root: str) -> DataFrame:
     raw = (spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True)
            .option("pathGlobFilter", "problem-*.txt").load(root))
     path = F.input_file_name()
-    return raw.select(F.regexp_extract(path, ID_REGEX, 1).cast("long").alias("problem_id"),
+    return raw.select(F.regexp_extract(path, ID_REGEX, 1).alias("problem_id"),
                       F.regexp_extract(path, DIFFICULTY_REGEX, 1).alias("difficulty"), strip_ws("value").alias("text"))
 
 
 def run_incremental(spark: SparkSession, stream: DataFrame, transform: Callable[[DataFrame], DataFrame],
-                    out: str | None = None, name: str = "stream") -> str:
-    """Apply ``transform`` (problems -> result rows) to every micro-batch, appending to Parquet at
-    ``out``; processes everything available, then stops. Returns the output path."""
+                    out: str | None = None, name: str = "stream", checkpoint: str | None = None) -> str:
+    """Apply ``transform`` (problems -> result rows) to every micro-batch, writing Parquet below
+    ``out``/epoch=<id>; processes everything available, then stops. Returns the output path.
+
+    ``out`` and ``checkpoint``: folders to go on from an earlier run; fresh ones in the shared folder by default.
+    """
     out = out or scratch_path(spark, f"{name}-out")
-    ckpt = scratch_path(spark, f"{name}-ckpt")
 
     def batch(df: DataFrame, epoch_id: int) -> None:
-        transform(df).write.mode("append").parquet(out)
+        transform(df).write.mode("overwrite").parquet(f"{out}/epoch={epoch_id}")
 
-    q = (stream.writeStream.foreachBatch(batch).option("checkpointLocation", ckpt)
+    q = (stream.writeStream.foreachBatch(batch)
+         .option("checkpointLocation", checkpoint or scratch_path(spark, f"{name}-ckpt"))
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return out

@@ -2,6 +2,7 @@ import random
 from collections import deque
 
 import numpy as np
+import pytest
 
 import styloscope.operators.paths as P
 
@@ -64,28 +65,29 @@ def brute(nodes, edges):
     return nodes, btw, close, x
 
 
-def test_kernel_matches_brute_force():
+@pytest.mark.parametrize("cells", [P.BLOCK_CELLS, 1])  # all sources in one block, and one source at a time
+def test_kernel_matches_brute_force(monkeypatch, cells):
+    monkeypatch.setattr(P, "BLOCK_CELLS", cells)
     random.seed(11)
-    saved = P.DENSE_LIMIT
-    try:
-        for _ in range(40):
-            n = random.randint(1, 10)
-            nodes = [f"w{i}" for i in range(n)]
-            edges = sorted({(random.choice(nodes), random.choice(nodes)) for _ in range(random.randint(0, 25))})
-            edges = [e for e in edges if e[0] != e[1]]
-            want = brute(nodes, edges)
-            for limit in (saved, 0):  # dense and sparse code paths
-                P.DENSE_LIMIT = limit
-                names, b, c, e, _, ok = P.graph_centralities(nodes, [a for a, _ in edges], [y for _, y in edges], 100000)
-                assert ok and names == want[0]
-                assert np.allclose(b, [want[1][v] for v in names], atol=1e-9)
-                assert np.allclose(c, [want[2][v] for v in names], atol=1e-9)
-                assert np.allclose(e, [want[3][v] for v in names], atol=1e-9)
-    finally:
-        P.DENSE_LIMIT = saved
+    for _ in range(40):
+        n = random.randint(1, 10)
+        nodes = [f"w{i}" for i in range(n)]
+        edges = sorted({(random.choice(nodes), random.choice(nodes)) for _ in range(random.randint(0, 25))})
+        edges = [e for e in edges if e[0] != e[1]]
+        want = brute(nodes, edges)
+        names, b, c, e, _, ok = P.graph_centralities(nodes, [a for a, _ in edges], [y for _, y in edges], 100000)
+        assert ok and names == want[0]
+        assert np.allclose(b, [want[1][v] for v in names], atol=1e-9)
+        assert np.allclose(c, [want[2][v] for v in names], atol=1e-9)
+        assert np.allclose(e, [want[3][v] for v in names], atol=1e-9)
 
 
-def test_cogrouped_kernel_on_spark(spark):
+def test_only_the_metrics_asked_for():
+    _, b, c, e, _, _ = P.graph_centralities(["a", "b"], ["a"], ["b"], metrics=("closeness",))
+    assert b is None and e is None and c.tolist() == [0.0, 1.0]
+
+
+def test_streamed_kernel_on_spark(spark):
     from styloscope.operators.paths import centrality_summaries, node_centralities
     nodes = spark.createDataFrame([(0, 0, v) for v in "abc"] + [(0, 1, "z")],
                                   "problem_id long, sent_idx int, node string")

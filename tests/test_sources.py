@@ -7,7 +7,7 @@ from styloscope.sources.files import read_problem_files, read_solution_files, re
 
 def test_per_file_layout(spark):
     root = tempfile.mkdtemp(prefix="styloscope-files-")
-    for diff, pid, text in [("easy", 1, "a\nb\n"), ("hard", 2, "  x\ny z  ")]:
+    for diff, pid, text in [("easy", 1, "a\nb\n"), ("hard", "b_2", "  x\ny z  ")]:
         os.makedirs(os.path.join(root, diff), exist_ok=True)
         with open(os.path.join(root, diff, f"problem-{pid}.txt"), "w") as f:
             f.write(text)
@@ -16,8 +16,17 @@ def test_per_file_layout(spark):
     with open(os.path.join(root, "easy", "solution-problem-1.json"), "w") as f:
         json.dump({"changes": [0]}, f, indent=4)
     p = {r.problem_id: r for r in read_problem_files(spark, root).collect()}
-    assert p[1].text == "a\nb" and p[1].difficulty == "easy" and p[2].text == "x\ny z" and p[2].difficulty == "hard"
+    assert p["1"].text == "a\nb" and p["1"].difficulty == "easy"
+    assert p["b_2"].text == "x\ny z" and p["b_2"].difficulty == "hard"
     t = {r.problem_id: r.changes for r in read_truth(spark, root).collect()}
-    assert t == {1: [1], 2: [1]}
+    assert t == {"1": [1], "b_2": [1]}
     s = read_solution_files(spark, root).collect()
-    assert [(r.problem_id, r.changes, r.problem_name) for r in s] == [(1, [0], "problem-1")]
+    assert [(r.problem_id, r.changes, r.problem_name) for r in s] == [("1", [0], "problem-1")]
+
+
+def test_problem_records_round_trip(spark, tmp_path):
+    from styloscope.sources.files import read_problems, write_problems
+    rows = [("1", "easy", "a\nb"), ("b_2", "hard", " x\ty ")]
+    write_problems(spark.createDataFrame(rows, "problem_id string, difficulty string, text string"), f"{tmp_path}/p")
+    got = {(r.problem_id, r.problem_name, r.difficulty, r.text) for r in read_problems(spark, f"{tmp_path}/p").collect()}
+    assert got == {("1", "problem-1", "easy", "a\nb"), ("b_2", "problem-b_2", "hard", "x\ty")}

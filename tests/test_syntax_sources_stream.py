@@ -34,7 +34,7 @@ def test_passive_from_table(spark):
 def test_cycle_gives_null_depth(spark):
     rows = [(0, 0, 0, 1), (0, 0, 1, 0), (0, 0, 2, 2)]
     p = spark.createDataFrame(rows, "problem_id long, sent_idx int, tok_idx int, head_idx int")
-    d = {r.tok_idx: r.depth for r in token_depths(p, max_len=3).collect()}
+    d = {r.tok_idx: r.depth for r in token_depths(p).collect()}
     assert d == {0: None, 1: None, 2: 0}
 
 
@@ -56,3 +56,29 @@ def test_streamed_flagship_equals_batch(spark):
     b = sorted(tuple(r) for r in q["stream_rhythm_pairs"](spark, sf).select(
         "problem_id", "pair_idx", "delta_punctuation_burstiness", "delta_length_variance").collect())
     assert a == b and len(a) > 0
+
+
+def test_retried_batch_counts_once_and_runs_resume(spark, tmp_path):
+    from styloscope.streaming.problems import problem_file_stream, run_incremental
+    (tmp_path / "in" / "easy").mkdir(parents=True)
+    (tmp_path / "in" / "easy" / "problem-a1.txt").write_text("one\ntwo")
+    out, state = f"{tmp_path}/out", f"{tmp_path}/state"
+    seen = []
+
+    def transform(problems):
+        seen.append(1)
+        return problems.select("problem_id", "difficulty")
+
+    for _ in range(2):  # nothing new the second time
+        run_incremental(spark, problem_file_stream(spark, f"{tmp_path}/in"), transform, out, checkpoint=state)
+    (tmp_path / "in" / "easy" / "problem-b_2.txt").write_text("three")
+    run_incremental(spark, problem_file_stream(spark, f"{tmp_path}/in"), transform, out, checkpoint=state)
+    rows = spark.read.parquet(out).select("problem_id", "difficulty").collect()
+    assert sorted(tuple(r) for r in rows) == [("a1", "easy"), ("b_2", "easy")] and len(seen) == 2
+
+
+def test_deep_chain_and_missing_head(spark):
+    rows = [(0, 0, k, k - 1 if k else 0) for k in range(200)] + [(0, 1, 0, 0), (0, 1, 1, 9)]
+    p = spark.createDataFrame(rows, "problem_id long, sent_idx int, tok_idx int, head_idx int")
+    d = {(r.sent_idx, r.tok_idx): r.depth for r in token_depths(p).collect()}
+    assert all(d[0, k] == k for k in range(200)) and d[1, 0] == 0 and d[1, 1] is None
