@@ -42,10 +42,6 @@ def ws_words(c) -> Column:
     return F.filter(F.split(strip_ws(c), rf"{WS_CLASS}+"), lambda w: F.length(w) > 0)
 
 
-def count_regex(c, pattern: str) -> Column:
-    return F.regexp_count(col_(c), F.lit(pattern))
-
-
 def contains_any(c, phrases) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(col_(c), F.lit(p)) for p in phrases])
 
@@ -105,11 +101,6 @@ def rhetorical_question(sentence) -> Column:
     return (F.endswith(s, F.lit("?")) & F.coalesce(first.isin(lx.RHETORICAL_FIRST_WORDS), F.lit(False))).cast("int")
 
 
-def all_caps_word_count(sentence) -> Column:
-    """Whitespace words that are upper case and longer than 2 characters."""
-    return F.size(F.filter(ws_words(sentence), lambda w: is_upper_word(w) & (F.length(w) > 2)))
-
-
 def liwc_counts(sentence) -> list[Column]:
     return liwc_counts_of_words(ws_words(F.lower(col_(sentence))))
 

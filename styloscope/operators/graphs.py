@@ -36,6 +36,9 @@ def _adjacent(arr: Column) -> Column:
 
 def graph_inputs(norm: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, words, tags, include_pos) with words = normalised tokens, tags = POS_<tag> per word."""
+    if "norm_tags" in norm.columns:  # a caller's annotations
+        tags = F.transform("norm_tags", lambda t: F.concat(F.lit(POS_PREFIX), t))
+        return norm.select(*keys, "include_pos", F.col("norm_tokens").alias("words"), tags.alias("tags"))
     return norm.select(*keys, "include_pos", F.col("norm_tokens").alias("words")).select(
         *keys, "include_pos", "words",
         # words are casefolded already; passing an expression would re-evaluate it per reference
@@ -79,9 +82,11 @@ def build_wan(graph_in: DataFrame, keys: list[str], stored: bool = False) -> tup
     return edges, nodes
 
 
-def wan_for_sentences(spark: SparkSession, sentences: DataFrame, preset: str | None = None):
-    """Graphs of every sentence under its problem's preset (or a fixed preset)."""
-    norm = normalize_sentences(spark, sentences, preset)
+def wan_for_sentences(spark: SparkSession, sentences: DataFrame, preset: str | None = None,
+                      annotations: DataFrame | None = None):
+    """Graphs of every sentence under its problem's preset (or a fixed preset), from the built-in annotator or a
+    caller's ``annotations`` (the ``tokens`` table)."""
+    norm = normalize_sentences(spark, sentences, preset, annotations)
     return build_wan(graph_inputs(norm, KEY), KEY, stored=True)
 
 

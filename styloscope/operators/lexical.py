@@ -94,11 +94,28 @@ def string_features(sentences: DataFrame) -> DataFrame:
     return with_word_moments(out, F.col("_alpha_words")).drop("_alpha_words")
 
 
-def token_aggregates(tokens: DataFrame) -> DataFrame:
-    """One grouped pass over the tokens table: every count the ratios need."""
+def token_aggregates(tokens: DataFrame, sentiment: DataFrame | None = None,
+                     easy_words: DataFrame | None = None) -> DataFrame:
+    """One grouped pass over the tokens table: every count the ratios need.
+
+    ``sentiment`` (word, polarity, subjectivity) and ``easy_words`` (word) are lexicon tables in place of the built-in
+    list and rule: they are joined on the lower-cased token, words once each.
+    """
     up, low = F.col("upos"), F.col("lower")
     word = an.is_word(F.col("text"))
     syl = syllables(low)
+    polarity, subjectivity = F.try_element_at(_sentiment_map(0), low), F.try_element_at(_sentiment_map(1), low)
+    difficult = word & (syl >= 3) & ~F.col("is_stop")
+    if sentiment is not None:
+        table = sentiment.groupBy(F.col("word").alias("lower")).agg(
+            F.first("polarity").cast("double").alias("_polarity"),
+            F.first("subjectivity").cast("double").alias("_subjectivity"))
+        tokens = tokens.join(table, "lower", "left")
+        polarity, subjectivity = F.col("_polarity"), F.col("_subjectivity")
+    if easy_words is not None:
+        tokens = tokens.join(easy_words.select(F.col("word").alias("lower")).distinct().withColumn("_easy", F.lit(True)),
+                             "lower", "left")
+        difficult = word & F.col("_easy").isNull()
     return tokens.groupBy(*KEY).agg(
         F.count(F.lit(1)).alias("_ntok"),
         F.sum(F.length("text")).alias("_sum_len"),
@@ -110,16 +127,17 @@ def token_aggregates(tokens: DataFrame) -> DataFrame:
         _count_if(F.col("is_alpha") & low.isin(lx.FIRST_PERSON)).alias("_p1"),
         _count_if(F.col("is_alpha") & low.isin(lx.SECOND_PERSON)).alias("_p2"),
         _count_if(F.col("is_alpha") & low.isin(lx.THIRD_PERSON)).alias("_p3"),
+        _count_if(F.col("is_alpha") & low.isin(lx.WH_WORDS)).alias("_wh"),
         _count_if(F.col("is_stop")).alias("_stop"),
         (_count_if(up.isin(lx.FORMALITY_PLUS)) - _count_if(up.isin(lx.FORMALITY_MINUS))).alias("_formal"),
         _count_if(F.lower("lemma").isin(lx.MODAL_WORDS)).alias("_modal"),
         _count_if(word).alias("_words"),
         F.sum(F.when(word, syl).otherwise(0)).alias("syllable_count"),
         _count_if(word & (syl >= 3)).alias("_complex"),
-        _count_if(word & (syl >= 3) & ~F.col("is_stop")).alias("_difficult"),
+        _count_if(difficult).alias("_difficult"),
         F.sum(F.when(word, F.length("text")).otherwise(0)).alias("_word_chars"),
-        F.avg(F.try_element_at(_sentiment_map(0), low)).alias("_pol"),
-        F.avg(F.try_element_at(_sentiment_map(1), low)).alias("_subj"),
+        F.avg(polarity).alias("_pol"),
+        F.avg(subjectivity).alias("_subj"),
     )
 
 
@@ -156,11 +174,15 @@ DEEP_COLUMNS = [
 ]
 
 
-def lexical_features(sentences: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
-    """(problem_id, sent_idx, LEXICAL_COLUMNS..., DEEP_COLUMNS..., starts_with_discourse)."""
+def lexical_features(sentences: DataFrame, tokens: DataFrame | None = None, sentiment: DataFrame | None = None,
+                     easy_words: DataFrame | None = None) -> DataFrame:
+    """(problem_id, sent_idx, LEXICAL_COLUMNS..., DEEP_COLUMNS..., wh_word_ratio, starts_with_discourse).
+
+    A caller's annotations (``tokens``) and lexicon tables (see ``token_aggregates``) replace the built-in ones.
+    """
     tokens = tokens if tokens is not None else make_tokens(sentences)
     sf = string_features(sentences)
-    ta = token_aggregates(tokens)
+    ta = token_aggregates(tokens, sentiment, easy_words)
     j = sf.join(ta, KEY, "left")
     n = F.coalesce(F.col("_ntok"), F.lit(0))
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
@@ -188,6 +210,7 @@ def lexical_features(sentences: DataFrame, tokens: DataFrame | None = None) -> D
         safe_div(z("_p2"), n).alias("second_person_ratio"),
         safe_div(z("_p3"), n).alias("third_person_ratio"),
         safe_div(z("_stop"), n).alias("stopword_ratio"),
+        safe_div(z("_wh"), n).alias("wh_word_ratio"),
         *readability(z("_words"), F.greatest(F.lit(1), F.col("_rd_sents")),
                      z("syllable_count"), z("_complex"), z("_difficult"), z("_word_chars")),
         z("syllable_count").cast("long").alias("syllable_count"),

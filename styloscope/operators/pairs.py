@@ -54,11 +54,6 @@ FULL_FEATURES = (GRAPH_COUNT_FEATURES + GRAPH_PATH_FEATURES + LEXICAL_FEATURES +
                  + PATTERN_FEATURES + CONTEXT_FEATURES)
 
 
-def join_families(base: DataFrame, families: list[DataFrame]) -> DataFrame:
-    """Left-join sentence families on (problem_id, sent_idx)."""
-    return reduce(lambda acc, f: acc.join(f, KEY, "left"), families, base.select(*KEY))
-
-
 def _vec_sum(terms: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, terms)
 

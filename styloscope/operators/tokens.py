@@ -29,6 +29,13 @@ def tokens(sentences: DataFrame) -> DataFrame:
         an.is_entity_token(tok, F.col("tok_idx")).alias("is_entity"))
 
 
+def token_arrays(annotations: DataFrame, *columns: str) -> DataFrame:
+    """(problem_id, sent_idx, tokens): a sentence's annotated tokens in order, as structs of ``columns``."""
+    pair = F.struct("tok_idx", F.struct(*columns).alias("token"))
+    rows = annotations.groupBy(*KEY).agg(F.array_sort(F.collect_list(pair)).alias("_pairs"))
+    return rows.select(*KEY, F.transform("_pairs", lambda p: p["token"]).alias("tokens"))
+
+
 def preset_table(spark: SparkSession) -> DataFrame:
     """The 16 presets as a DataFrame (remove_punct, remove_stopwords, lemmatize, include_pos)."""
     rows = [(name, *flags) for name, flags in lx.PRESETS.items()]
@@ -59,8 +66,23 @@ def normalized_tokens(sentence, remove_punct, remove_stopwords, lemmatize):
     return F.transform(kept, lambda t: F.when(lemmatize, an.lemma_lower(t)).otherwise(t))
 
 
-def normalize_sentences(spark: SparkSession, sentences: DataFrame, preset: str | None = None) -> DataFrame:
-    """P5: (problem_id, sent_idx, preset, normalized) for every sentence, using the problem's preset."""
+def normalize_sentences(spark: SparkSession, sentences: DataFrame, preset: str | None = None,
+                        annotations: DataFrame | None = None) -> DataFrame:
+    """P5: (problem_id, sent_idx, preset, include_pos, norm_tokens) for every sentence, using the problem's preset.
+
+    With a caller's ``annotations`` (the ``tokens`` table) its texts, lemmas, stop and punctuation flags are used,
+    and norm_tags carries its upos for the graphs' tag nodes.
+    """
     s = with_preset(spark, sentences, preset)
+    if annotations is not None:
+        s = s.join(token_arrays(annotations, "lower", "lemma", "upos", "is_stop", "is_punct"), KEY, "left")
+        dropped = lambda t: (F.col("remove_stopwords") & t["is_stop"]) | (F.col("remove_punct") & t["is_punct"])
+        kept = F.filter("tokens", lambda t: ~dropped(t))
+        s = s.withColumn("kept", kept)
+        empty = F.array().cast("array<string>")
+        word = lambda t: F.when(F.col("lemmatize"), F.lower(t["lemma"])).otherwise(t["lower"])
+        return s.select(*KEY, "preset", "include_pos",
+                        F.coalesce(F.transform("kept", word), empty).alias("norm_tokens"),
+                        F.coalesce(F.transform("kept", lambda t: t["upos"]), empty).alias("norm_tags"))
     norm = normalized_tokens(F.col("sentence"), F.col("remove_punct"), F.col("remove_stopwords"), F.col("lemmatize"))
     return s.select(*KEY, "preset", "include_pos", norm.alias("norm_tokens"))

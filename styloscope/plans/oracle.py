@@ -168,6 +168,7 @@ tagg AS (
     count(*) FILTER (WHERE is_alpha AND list_contains({lst(lx.FIRST_PERSON)}, lower)) AS p1,
     count(*) FILTER (WHERE is_alpha AND list_contains({lst(lx.SECOND_PERSON)}, lower)) AS p2,
     count(*) FILTER (WHERE is_alpha AND list_contains({lst(lx.THIRD_PERSON)}, lower)) AS p3,
+    count(*) FILTER (WHERE is_alpha AND list_contains({lst(lx.WH_WORDS)}, lower)) AS wh,
     count(*) FILTER (WHERE is_stop) AS stop,
     count(*) FILTER (WHERE list_contains({lst(lx.FORMALITY_PLUS)}, upos))
       - count(*) FILTER (WHERE list_contains({lst(lx.FORMALITY_MINUS)}, upos)) AS formal,
@@ -214,6 +215,7 @@ lexical AS (
     {div('coalesce(t.cconj, 0)', 'coalesce(t.ntok, 0)')} AS conjunction_ratio,
     {div('coalesce(t.adp, 0)', 'coalesce(t.ntok, 0)')} AS preposition_ratio,
     {div('coalesce(t.p1, 0)', 'coalesce(t.ntok, 0)')} AS first_person_ratio,
+    {div('coalesce(t.wh, 0)', 'coalesce(t.ntok, 0)')} AS wh_word_ratio,
     {div('coalesce(t.p2, 0)', 'coalesce(t.ntok, 0)')} AS second_person_ratio,
     {div('coalesce(t.p3, 0)', 'coalesce(t.ntok, 0)')} AS third_person_ratio,
     {div('coalesce(t.stop, 0)', 'coalesce(t.ntok, 0)')} AS stopword_ratio,

@@ -103,6 +103,7 @@ LEXICAL_QUERIES = {
     "rhetorical_caps": ["rhetorical_question", "has_all_caps", "all_caps_words"],
     "person_ratios": ["first_person_ratio", "second_person_ratio", "third_person_ratio"],
     "stopword_ratio": ["stopword_ratio"],
+    "wh_word_ratio": ["wh_word_ratio"],
     "liwc_counts": ["liwc_analytic_count", "liwc_affective_count", "liwc_authenticity_count", "liwc_certainty_count",
                     "liwc_tentativeness_count"],
     "readability": ["flesch_reading_ease", "gunning_fog", "automated_readability_index", "syllable_count",
@@ -177,12 +178,6 @@ def _wan(spark, sf_dir):
     return wan_for_sentences(spark, _sentences(spark, sf_dir))
 
 
-def _wan_metrics(spark, sf_dir):
-    from styloscope.operators.graphs import KEY, wan_metrics
-    edges, nodes = _wan(spark, sf_dir)
-    return wan_metrics(edges, nodes, KEY)
-
-
 @query("wan_edges")
 def q_wan_edges(spark, sf_dir):
     edges, _ = _wan(spark, sf_dir)
