@@ -12,9 +12,9 @@ How it is spread:
    ``n - ceil(0.8 n) + 1`` of each; a class goes to the subtree of each of those groups. "Rare" is by counts of 2^20
    coarse groups over all texts, so a passage that many texts share routes hardly any of them. Groups that a single
    class goes to are dropped by a pre-aggregated count.
-3. *Stars.* Classes that agree in one of eight min-hashes are compared with the least class among them. These links
-   are verified and contracted first: a large family of copies becomes one component and its subtrees are dropped,
-   instead of holding all pairs of the family.
+3. *Stars.* Classes that agree in one of SKETCHES min-hashes are compared with the most central class among them.
+   These links are verified and contracted first: a large family of copies becomes one component and its subtrees
+   are dropped, instead of holding all pairs of the family.
 4. *Trees.* What remains of a group is an R-tree over dense points of DIMENSIONS group counts. It is searched against
    itself; nodes of one component, of incompatible sizes or whose bound is too small are passed over. A group of
    over CHUNK classes is dealt to pairs of chunks, each a tree of its own.
@@ -47,8 +47,8 @@ WORDS = 5
 PERCENT = 80
 GROUP_BITS = 20
 GROUP_CHUNK = 4096
-SKETCHES = 8
-DIMENSIONS = 256
+SKETCHES = 32
+DIMENSIONS = 1024
 LEAF = 24
 FANOUT = 8
 CHUNK = 4096
@@ -246,11 +246,19 @@ def shared_routes(routed: DataFrame) -> DataFrame:
 # --- 3. stars --------------------------------------------------------------------------------------------------------
 
 def star_pairs(classes: DataFrame) -> DataFrame:
-    """(a, b): each class with the least class that shares one of its min-hashes, if sizes and points allow a link."""
+    """(a, b): each class with the centre of every min-hash that it shares, if sizes and points allow a link.
+
+    The centre is the class whose min-hashes are shared most (by the sum of the logarithms of the numbers of classes
+    that share them): in a family of edited copies that is the text which they were made from, or one close to it,
+    and most of the family links to it though its members hardly link with each other.
+    """
     sketches = classes.select("class", F.posexplode("mins").alias("which", "value"))
-    centres = (sketches.groupBy("which", "value").agg(F.min("class").alias("b"), F.max("class").alias("most"))
-               .filter("b < most").drop("most"))
-    pairs = (sketches.join(centres, ["which", "value"]).filter(F.col("class") != F.col("b"))
+    sizes = sketches.groupBy("which", "value").agg(F.count("*").alias("size")).filter("size > 1")
+    common = materialise(sketches.join(sizes, ["which", "value"]), "jaccard-sketches")
+    scores = common.groupBy("class").agg(F.sum(F.log2("size")).alias("score"))
+    centres = (common.join(scores, "class").groupBy("which", "value")
+               .agg(F.max(F.struct("score", "class")).alias("top")).select("which", "value", F.col("top.class").alias("b")))
+    pairs = (common.join(centres, ["which", "value"]).filter(F.col("class") != F.col("b"))
              .select(F.col("class").alias("a"), "b").distinct())
     sides = [classes.select(F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col("point").alias(f"point_{x}"))
              for x in "ab"]
