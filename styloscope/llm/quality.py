@@ -26,8 +26,7 @@ from styloscope.llm.common import materialise
 #: Rows (expected) that costs and rejection shares are measured on.
 SAMPLE_ROWS = 2000
 WINDOW = 5
-SPACES = " \t\n\x0b\f\r"
-SYMBOLS = "#*$%&|<>"
+SPACES = "[ \\t-\\r]"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -36,7 +35,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    return F.array_remove(F.split(text, "[ \\t-\\r]+"), "")
+    return F.array_remove(F.split(text, SPACES + "+"), "")
 
 
 def lines_of(text: Column) -> Column:
@@ -44,16 +43,18 @@ def lines_of(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda line: line.rlike("[^ \\t-\\r]"))
 
 
-def without(text: Column, characters: str) -> Column:
-    return F.translate(text, characters, "")
+def count_of(text: Column, pattern: str) -> Column:
+    return F.regexp_count(text, F.lit(pattern)).cast("long")
 
 
 def word_chars(text: Column) -> Column:
-    return F.char_length(without(text, SPACES)).cast("long")
+    for space in " \t\n\x0b\f\r":
+        text = F.replace(text, F.lit(space), F.lit(""))
+    return F.char_length(text).cast("long")
 
 
 def n_symbols(text: Column) -> Column:
-    return (F.char_length(text) - F.char_length(without(text, SYMBOLS))).cast("long")
+    return count_of(text, "[#*$%&|<>]")
 
 
 def n_dup_lines(text: Column) -> Column:
@@ -62,9 +63,8 @@ def n_dup_lines(text: Column) -> Column:
 
 def _windows(words: Column) -> Column:
     """A 64-bit hash for each run of WINDOW words, in order."""
-    n = F.size(words) - (WINDOW - 1)
-    shifted = [F.slice(words, k + 1, n) for k in range(WINDOW)]
-    return F.transform(F.arrays_zip(*shifted), lambda w: F.xxhash64(w))
+    starts = F.slice(words, 1, F.size(words) - (WINDOW - 1))
+    return F.transform(starts, lambda w, k: F.xxhash64(w, *[F.get(words, k + n) for n in range(1, WINDOW)]))
 
 
 def _covered(windows: Column) -> Column:
@@ -85,47 +85,63 @@ def _covered(windows: Column) -> Column:
 
 
 def n_repeat_words(words: Column) -> Column:
-    """Words in windows of five words found twice or more in the text; ``words`` should be a stored column."""
+    """Words in windows of five words found twice or more in the text, from the words' hashes (a stored column)."""
     counted = let(_windows(words), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long"))
                   .otherwise(_covered(h)))
     return F.when(F.size(words) > WINDOW, counted).otherwise(F.lit(0).cast("long"))
 
 
 def n_adjacent_repeats(words: Column) -> Column:
-    """Words equal to the word before them."""
-    n = F.size(words) - 1
-    pairs = F.arrays_zip(F.slice(words, 1, n).alias("a"), F.slice(words, 2, n).alias("b"))
-    return F.when(n > 0, F.size(F.filter(pairs, lambda p: p["a"] == p["b"]))).otherwise(F.lit(0))
+    """Words equal to the word before them, from the words' hashes (a stored column)."""
+    return F.size(F.filter(words, lambda w, k: F.coalesce(F.get(words, k - 1) == w, F.lit(False))))
+
+
+#: What rules are made of: statistics of the text and of the hashes of its words (both stored columns).
+STATISTICS: dict[str, Callable[[Column, Column], Column]] = {
+    "n_words": lambda text, words: F.size(words).cast("long"),
+    "word_chars": lambda text, words: word_chars(text),
+    "n_symbols": lambda text, words: n_symbols(text),
+    "n_lines": lambda text, words: F.size(lines_of(text)).cast("long"),
+    "n_dup_lines": lambda text, words: n_dup_lines(text),
+    "n_upper": lambda text, words: count_of(text, "[A-Z]"),
+    "n_exclamations": lambda text, words: (F.char_length(text) - F.char_length(F.replace(
+        text, F.lit("!"), F.lit("")))).cast("long"),
+    "n_adjacent_repeats": lambda text, words: n_adjacent_repeats(words).cast("long"),
+    "n_repeat_words": lambda text, words: n_repeat_words(words),
+}
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``reject`` gets the columns text and words (both stored) and is true for a text to be dropped."""
+    """``reject`` gets a function from a statistic's name to its Column and is true for a text to be dropped."""
 
     name: str
-    reject: Callable[[Column, Column], Column]
+    reject: Callable[[Callable[[str], Column]], Column]
 
 
 #: Ratios are compared in integers, so that every engine agrees.
 RULES = [
-    Rule("few_words", lambda text, words: F.size(words) < 10),
-    Rule("symbols", lambda text, words: 10 * n_symbols(text) > F.size(words)),
-    Rule("word_length", lambda text, words: (word_chars(text) < 2 * F.size(words))
-         | (word_chars(text) > 15 * F.size(words))),
-    Rule("upper_case", lambda text, words: 10 * (F.char_length(text) - F.char_length(without(
-        text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))) > 3 * word_chars(text)),
-    Rule("exclamations", lambda text, words: 5 * (F.char_length(text) - F.char_length(without(text, "!")))
-         > F.size(words)),
-    Rule("duplicate_lines", lambda text, words: 10 * n_dup_lines(text) > 4 * F.size(lines_of(text))),
-    Rule("adjacent_repeats", lambda text, words: 10 * n_adjacent_repeats(words) > 3 * F.size(words)),
-    Rule("repeated_windows", lambda text, words: 100 * n_repeat_words(words) > 20 * F.size(words)),
+    Rule("few_words", lambda t: t("n_words") < 10),
+    Rule("symbols", lambda t: 10 * t("n_symbols") > t("n_words")),
+    Rule("word_length", lambda t: (t("word_chars") < 2 * t("n_words")) | (t("word_chars") > 15 * t("n_words"))),
+    Rule("upper_case", lambda t: 10 * t("n_upper") > 3 * t("word_chars")),
+    Rule("exclamations", lambda t: 5 * t("n_exclamations") > t("n_words")),
+    Rule("duplicate_lines", lambda t: 10 * t("n_dup_lines") > 4 * t("n_lines")),
+    Rule("adjacent_repeats", lambda t: 10 * t("n_adjacent_repeats") > 3 * t("n_words")),
+    Rule("repeated_windows", lambda t: 100 * t("n_repeat_words") > 20 * t("n_words")),
 ]
 
 
+def computed(name: str) -> Column:
+    """The statistic as an expression over text and words, evaluated only where a rule is reached."""
+    return STATISTICS[name](F.col("text"), F.col("words"))
+
+
 def with_words(docs: DataFrame) -> DataFrame:
-    """The input row as ``row`` beside ``text`` (null: empty) and ``words``, stored for the rules."""
+    """The input row as ``row`` beside ``text`` (null: empty) and ``words``, its words' hashes, for the rules."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.struct("*").alias("row"), text.alias("text")).withColumn("words", words_of(F.col("text")))
+    hashes = F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w))
+    return docs.select(F.struct("*").alias("row"), text.alias("text")).withColumn("words", hashes)
 
 
 def ordered_rules(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
@@ -145,35 +161,32 @@ def ordered_rules(docs: DataFrame, rules: list[Rule] | None = None, sample_rows:
             seconds.append(time.monotonic() - began)
         return min(seconds), share
 
-    text, words = F.col("text"), F.col("words")
-    idle, _ = run((F.size(words) < 0) | (F.char_length(text) < 0))
-    measured = {rule.name: run(rule.reject(text, words)) for rule in rules}
+    idle, _ = run((F.size("words") < 0) | (F.char_length("text") < 0))
+    measured = {rule.name: run(rule.reject(computed)) for rule in rules}
     rank = {name: share / max(seconds - idle, 1e-3) for name, (seconds, share) in measured.items()}
     return sorted(rules, key=lambda rule: -rank[rule.name])
 
 
-def accepted(rules: list[Rule]) -> Column:
+def accepted(rules: list[Rule], statistic: Callable[[str], Column] = computed) -> Column:
     """CASE over the rules in their order: false at the first that rejects."""
-    text, words = F.col("text"), F.col("words")
     verdict = F
     for rule in rules:
-        verdict = verdict.when(rule.reject(text, words), F.lit(False))
+        verdict = verdict.when(rule.reject(statistic), F.lit(False))
     return verdict.otherwise(F.lit(True)) if rules else F.lit(True)
 
 
 def keep_good(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
-    """Rows of ``docs`` that no rule rejects, with their columns."""
+    """Rows of ``docs`` that no rule rejects, with their columns; statistics are computed as rules are reached."""
     return with_words(docs).filter(accepted(ordered_rules(docs, rules))).select("row.*")
 
 
+BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
 def assess(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
-    """Base statistics of every document and the cascade's verdict (kept)."""
-    text, words = F.col("text"), F.col("words")
-    judged = with_words(docs).select(
-        F.col("row.doc_id").alias("doc_id"), F.size(words).cast("long").alias("n_words"),
-        word_chars(text).alias("word_chars"), n_symbols(text).alias("n_symbols"),
-        n_dup_lines(text).alias("n_dup_lines"), n_repeat_words(words).alias("n_repeat_words"),
-        accepted(ordered_rules(docs, rules)).alias("accepted"))
+    """Base statistics of every document and the cascade's verdict (kept), which takes the base from its columns."""
+    base = with_words(docs).select(F.col("row.doc_id").alias("doc_id"), "text", "words",
+                                   *[computed(name).alias(name) for name in BASE])
+    verdict = accepted(ordered_rules(docs, rules), lambda name: F.col(name) if name in BASE else computed(name))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                         failed.alias("base_failed"), (~failed & F.col("accepted")).alias("kept"))
+    return base.select("doc_id", *BASE, failed.alias("base_failed"), (~failed & verdict).alias("kept"))

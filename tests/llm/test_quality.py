@@ -63,7 +63,7 @@ def test_keep_good_keeps_columns_and_any_order_agrees(spark):
 
 def test_order_is_by_rejection_per_cost(spark):
     docs = spark.range(500).select(F.col("id").alias("doc_id"), F.lit("some words " * 20).alias("text"))
-    rules = [q.Rule("never", lambda text, words: F.size(words) < 0), q.Rule("always", lambda text, words: F.size(words) > 0)]
+    rules = [q.Rule("never", lambda t: t("n_words") < 0), q.Rule("always", lambda t: t("n_words") > 0)]
     assert [r.name for r in q.ordered_rules(docs, rules)] == ["always", "never"]
 
 
