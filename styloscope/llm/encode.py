@@ -47,6 +47,8 @@ class Encoder:
         self.memo: dict[str, bytes] = {"": b""}
         #: Pieces without a leading space (byte-level BPE only; for word-end BPE the two memos coincide).
         self.bare: dict[str, bytes] = {"": b""} if self.kind == "byte" else self.memo
+        #: Chunks of the texts at hand that are too long to be kept.
+        self.long: list[tuple[dict[str, bytes], str]] = []
 
     @staticmethod
     def _kind(spec: dict) -> str:
@@ -81,6 +83,7 @@ class Encoder:
             self.bare[tail] = ids
         for chunk, (letters, tail) in glued.items():
             memo[chunk] = memo[letters] + self.bare[tail]
+        self.long += [(memo, c) for c in (*plain, *glued) if len(c) > MEMO_CHARS]
 
     def _trim(self) -> None:
         for memo in {id(m): m for m in (self.memo, self.bare)}.values():
@@ -117,10 +120,9 @@ class Encoder:
             self._fill(self.memo, set().union(*(p[1:] for _, p in split)), " ")
             for i, parts in split:
                 out[i] = self.bare[parts[0]] + b"".join(map(self.memo.__getitem__, parts[1:]))
-        for memo in (self.memo, self.bare):
-            if long := [c for _, parts in split for c in parts if len(c) > MEMO_CHARS and c in memo]:
-                for c in set(long):
-                    memo.pop(c, None)
+        for memo, chunk in self.long:
+            memo.pop(chunk, None)
+        self.long.clear()
         return [np.frombuffer(b, self.dtype) for b in out]
 
 
