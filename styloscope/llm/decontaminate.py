@@ -78,6 +78,7 @@ class Items:
         self.least = np.array([shared_least(m) for m in lengths], np.int64)
         self.edits = np.array([budget(m) for m in lengths], np.int64)
         self.band = int(max([budget(m) for m in lengths], default=0)) + 1
+        self.reach = max(lengths, default=0) + self.band
         #: Hits that some TILE positions of a region hold: its t hits lie in so many tiles.
         self.in_tile = int(min([-(-shared_least(m) // -(-(m + budget(m)) // TILE)) for m in lengths], default=0))
         grams = [qgrams(c) for _, c in self.items]
@@ -125,10 +126,9 @@ class Items:
         np.add.at(change, opens + held[opens], -1)
         dense = np.flatnonzero(np.cumsum(change)[:-1] > 0)
         # an item's region may reach past its dense stretch: take in the hits around it
-        reach = int(max(len(c) for _, c in self.items)) + self.band
         change[:] = 0
-        np.add.at(change, np.searchsorted(at, at[dense] - reach), 1)
-        np.add.at(change, np.searchsorted(at, at[dense] + reach, "right"), -1)
+        np.add.at(change, np.searchsorted(at, at[dense] - self.reach), 1)
+        np.add.at(change, np.searchsorted(at, at[dense] + self.reach, "right"), -1)
         near = np.flatnonzero(np.cumsum(change)[:-1] > 0)
         yield from self._verify(codes, *self._bands(at[near], found[near]))
 
@@ -190,6 +190,8 @@ def align(item: np.ndarray, region: np.ndarray, most: int, starts: int) -> tuple
         source = width - 1 - leftmost % width
         through = new[source] + step - source
         better = through < new
+        if min(new.min(), through.min()) > most:
+            return None  # edits never go down from row to row
         cost, origin = np.where(inside & better, through, new), np.where(better, start[source], start)
     end = int(np.argmin(cost))
     if cost[end] > most:
