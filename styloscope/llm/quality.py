@@ -138,10 +138,15 @@ def computed(name: str) -> Column:
 
 
 def with_words(docs: DataFrame) -> DataFrame:
-    """The input row as ``row`` beside ``text`` (null: empty) and ``words``, its words' hashes, for the rules."""
+    """The input row as ``row`` beside ``text`` (null: empty) and ``words``, its words' hashes, for the rules.
+
+    A filter over rules would be pushed below the projection that stores the words, and they would be split anew for
+    every word that a rule looks at. The row number, which is always >= 0 but not deterministic, keeps them stored.
+    """
     text = F.coalesce("text", F.lit(""))
     hashes = F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w))
-    return docs.select(F.struct("*").alias("row"), text.alias("text")).withColumn("words", hashes)
+    return docs.select(F.struct("*").alias("row"), text.alias("text")).withColumn(
+        "words", F.when(F.monotonically_increasing_id() >= 0, hashes))
 
 
 def ordered_rules(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
