@@ -32,7 +32,7 @@ def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)  # an empty partitioned table leaves no file to read one from
 
 
 def stream(df: DataFrame, schema: str, rows: Callable[..., Iterator[tuple]], per_batch: int = 8192) -> DataFrame:
