@@ -73,7 +73,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram and PPM scores of all documents."""
     docs = read_table(spark, sf_dir, "documents")
-    out = ppm_scores(docs, ~held_out(F.col("doc_id"), 7, 2))
+    out = ppm_scores(docs, ~held_out(F.col("doc_id"), 7, 2), within_words=False)
     return out.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
                       "base_score", "score")
 
