@@ -6,7 +6,8 @@ distinct articles, not pages, keeps copies of one article at several addresses f
 ``article`` and ``main`` only containers can be template: paragraphs and headings are prose, even when they recur.
 
 Boilerplate that does not recur is known by its element, role or class (menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles, reader comments). What remains of the articles (or of ``main``, or of the body when
+adverts, forms, scripts, styles, reader comments). Classes and ids count as whole tokens, and never against an element
+that holds the article, main or most of the page's text. What remains of the articles (or of ``main``, or of the body when
 a page has neither) is the text: references decoded, white space in a block made one space, blocks joined by a blank
 line in page order.
 
@@ -50,6 +51,9 @@ CLASSES = frozenset("ad ads advert adverts advertisement advertising sponsor spo
                     "menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments disqus reply "
                     "replies share sharing social related recommended widget toolbar pagination pager login signup "
                     "skip".split())
+#: Of these, what marks reader comments (also on an article element), and what may stand on a part of an article.
+COMMENTS = frozenset("comment comments disqus reply replies".split())
+ASIDES = frozenset("notice notices".split())
 #: Elements that a start tag of the key closes when they are open in the same container.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"},
@@ -61,28 +65,35 @@ SCOPES = frozenset("html body article main section div nav aside header footer f
 _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)
     |<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']+|"[^"]*"|'[^']*'|["'])*)(?:>|\Z)""", re.S | re.X)
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-_WORD = re.compile(r"[a-z0-9]+")
 
 
 def is_boilerplate(tag: str, attrs: str, inside_article: bool) -> bool:
-    """Whether the element alone tells that it is not article text."""
+    """Whether the element's tag, role or hiding alone tells that it is not article text."""
     if tag in DROPPED or tag == "header" and not inside_article:
         return True
     if not attrs or tag in ("html", "body", "article", "main"):
         return False
     for name, *values in _ATTR.findall(attrs):
         value, name = "".join(values).lower(), name.lower()
-        if name == "role" and value in ROLES or name in ("class", "id") and not CLASSES.isdisjoint(
-                _WORD.findall(value)) or name == "hidden" or name == "aria-hidden" and value == "true":
+        if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
     return False
 
 
+def boilerplate_classes(tag: str, attrs: str, inside_article: bool) -> frozenset[str]:
+    """The element's classes and id, as whole tokens, that speak against article text."""
+    if not attrs or tag in ("html", "body", "main") or inside_article and tag in PROSE:
+        return frozenset()
+    names = {token for name, *values in _ATTR.findall(attrs) if name.lower() in ("class", "id")
+             for token in "".join(values).lower().split()}
+    return (COMMENTS if tag == "article" else CLASSES - ASIDES if inside_article else CLASSES) & names
+
+
 class Element:
-    __slots__ = ("tag", "drop", "scope", "node", "above", "parts")
+    __slots__ = ("tag", "drop", "scope", "node", "above", "doubt", "parts")
 
-    def __init__(self, tag: str, drop: bool, scope: str, node: int, above: tuple[int, ...]):
-        self.tag, self.drop, self.scope, self.node, self.above = tag, drop, scope, node, above
+    def __init__(self, tag: str, drop: bool, scope: str, node: int, above: tuple[int, ...], doubt: tuple[int, ...]):
+        self.tag, self.drop, self.scope, self.node, self.above, self.doubt = tag, drop, scope, node, above, doubt
         self.parts: list[str] = []
 
 
@@ -91,9 +102,11 @@ class Page:
 
     def __init__(self, html: str):
         self.hashes: list[int] = []
-        self.blocks: list[tuple[str, str, tuple[int, ...]]] = []  # (scope, text, containers)
+        # (scope, text, containers, elements around whose class speaks against them)
+        self.blocks: list[tuple[str, str, tuple[int, ...], tuple[int, ...]]] = []
+        self.doubted: list[list[bool]] = []  # per element with such a class: [holds reader comments, holds article or main]
         self._run: list[str] = []
-        self._open = [Element("", False, "", -1, ())]
+        self._open = [Element("", False, "", -1, (), ())]
         at, size = 0, len(html)
         while at < size:
             found = _MARKUP.search(html, at)
@@ -128,7 +141,8 @@ class Page:
             text = " ".join(unescape("".join(self._run)).split())
             self._run.clear()
             if text:
-                self.blocks.append((self._open[-1].scope, text, self._open[-1].above))
+                top = self._open[-1]
+                self.blocks.append((top.scope, text, top.above, top.doubt))
 
     def _start(self, tag: str, attrs: str) -> None:
         if tag == "br" or tag in VOID:
@@ -150,7 +164,18 @@ class Page:
         if counted:
             self.hashes.append(0)
         drop = top.drop or is_boilerplate(tag, attrs, top.scope == "article")
-        self._open.append(Element(tag, drop, scope, node, (*top.above, node) if counted else top.above))
+        doubt = top.doubt
+        if not drop:
+            found = boilerplate_classes(tag, attrs, top.scope == "article")
+            if found and inline:
+                drop = True
+            elif found:
+                doubt = (*doubt, len(self.doubted))
+                self.doubted.append([not COMMENTS.isdisjoint(found), False])
+            elif tag in ("article", "main"):
+                for k in doubt:
+                    self.doubted[k][1] = True
+        self._open.append(Element(tag, drop, scope, node, (*top.above, node) if counted else top.above, doubt))
 
     def _close_implied(self, tag: str) -> None:
         """Close an open paragraph, and what else ``tag`` ends, up to the nearest container."""
@@ -189,10 +214,24 @@ class Page:
         self._open[-1].parts.append(f"\1{digest:x}")
 
     def content(self) -> list[tuple[str, tuple[int, ...]]]:
-        """Blocks of the articles, else of main, else of the whole page, with their containers."""
-        scopes = {scope for scope, _, _ in self.blocks}
+        """Blocks of the articles, else of main, else of the whole page, with their containers.
+
+        An element goes for its class unless it holds most of the page's text, or the article or main when none
+        stands elsewhere; reader comments always go.
+        """
+        sizes, total, elsewhere = [0] * len(self.doubted), 0, False
+        for scope, text, _, doubt in self.blocks:
+            if not any(self.doubted[k][0] for k in doubt):
+                total += len(text)
+                for k in doubt:
+                    sizes[k] += len(text)
+            elsewhere |= bool(scope) and not doubt
+        gone = {k for k, (comments, holds) in enumerate(self.doubted)
+                if comments or not (2 * sizes[k] > total or holds and not elsewhere)}
+        blocks = [block for block in self.blocks if gone.isdisjoint(block[3])] if gone else self.blocks
+        scopes = {block[0] for block in blocks}
         wanted = next((s for s in ("article", "main") if s in scopes), "")
-        return [(text, above) for scope, text, above in self.blocks if scope == wanted]
+        return [(text, above) for scope, text, above, _ in blocks if scope == wanted]
 
 
 def host_of(url: Column) -> Column:
