@@ -77,11 +77,12 @@ def full_sentence_features(spark: SparkSession, sentences: DataFrame, embeddings
 
 def pair_feature_table(spark: SparkSession, sentences: DataFrame, embeddings: DataFrame,
                        labels: DataFrame | None = None, with_drift: bool = True,
-                       drift_paths: bool = False) -> DataFrame:
+                       drift_paths: bool = True) -> DataFrame:
     """The full pair table (fixed schema), smoothed, NaN/inf/null -> 0, label last.
 
     Every family is written once in the shared folder, so no branch computes another's input again; smoothing reads
-    its few key columns from the written table. ``drift_paths`` adds path metrics to the windows that drift compares.
+    its few key columns from the written table. ``drift_paths``: drift compares windows over all 30 graph features, path
+    metrics among them (False: the 18 count features).
     """
     from styloscope.operators.graphs import wan_pairwise
     from styloscope.operators.paths import pairwise_path_cosines
