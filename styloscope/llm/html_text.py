@@ -33,8 +33,9 @@ from styloscope.llm.common import prepare, stream
 
 #: A subtree is template when it stands beside at least this many distinct articles of its host ...
 MIN_ARTICLES = 5
-#: ... and beside at least this share of them.
+#: ... and beside at least this share of them, or this many whatever the host's size.
 MIN_SHARE = 0.05
+ENOUGH_ARTICLES = 50
 
 # HTML elements by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -261,7 +262,8 @@ def templates(pages: DataFrame, min_articles: int = MIN_ARTICLES, min_share: flo
               .groupBy("host", "hash").agg(F.count("one").alias("n")))
     totals = counts.filter("hash is null").select("host", F.col("n").alias("articles"))
     return (counts.filter((F.col("n") >= min_articles) & F.col("hash").isNotNull()).join(totals, "host")
-            .filter(F.col("n") >= min_share * F.col("articles")).select("host", "hash"))
+            .filter(F.col("n") >= F.least(min_share * F.col("articles"), F.lit(float(max(min_articles, ENOUGH_ARTICLES)))))
+            .select("host", "hash"))
 
 
 def main_text(pages: DataFrame, min_articles: int = MIN_ARTICLES, min_share: float = MIN_SHARE) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import pytest
 
-from styloscope.llm.html_text import Page
+from styloscope.llm.html_text import Page, main_text
 
 STORY = "<p>" + "The story goes on. " * 8 + "</p>"
 TOLD = ("The story goes on. " * 8).strip()
@@ -23,3 +23,11 @@ CASES = {
 @pytest.mark.parametrize("html", CASES)
 def test_wrappers(html):
     assert "\n\n".join(text for text, _ in Page(html).content()) == CASES[html]
+
+
+def test_a_section_box_of_a_large_host_is_template(spark):
+    box = "<div><p>Section box</p></div>"
+    rows = [(k, f"https://big.example/{k}", f"<body><article><p>Story {k}</p>{box if k < 50 else ''}</article></body>")
+            for k in range(1100)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in main_text(pages).collect()} == {k: f"Story {k}" for k, _, _ in rows}
