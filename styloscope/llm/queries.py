@@ -14,6 +14,7 @@ from styloscope.llm.html_text import main_text
 from styloscope.llm.jaccard_join import near_duplicates
 from styloscope.llm.language_id import held_out_languages
 from styloscope.llm.line_dedup import dedup_lines
+from styloscope.llm.merkle import manifest
 from styloscope.llm.packing import pack
 from styloscope.llm.ppm import ppm_scores
 from styloscope.llm.quality import assess
@@ -83,10 +84,21 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(read_table(spark, sf_dir, "pages"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves, roots and checked proofs of all documents."""
+    return merkle_columns(read_table(spark, sf_dir, "documents"))
+
+
+def merkle_columns(docs: DataFrame) -> DataFrame:
+    """The manifest by language, with n_chars changed where 7 divides the crc32 of doc_id."""
+    out = manifest(docs, forge=held_out(F.col("doc_id"), 7, 0), forged={"n_chars": F.col("n_chars") + 1})
+    return out.drop("proof")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q for q in (op1_token_records, op2_line_dedup, op3_quality_rules, op4_token_counts,
                             op5_jaccard_join, op6_packing, op7_decontamination, op8_language_id,
-                            op9_lm_scores, op10_html_text)}
+                            op9_lm_scores, op10_html_text, op11_merkle_manifest)}
 
 SQL: dict[str, str] = {
     "op2_line_dedup": """
@@ -146,4 +158,69 @@ SQL: dict[str, str] = {
                     OR 10 * n_upper > 3 * word_chars OR 5 * n_exclamations > n_words OR 10 * n_dup_lines > 4 * n_lines
                     OR 10 * n_again > 3 * n_words) AS kept
         FROM judged""",
+    "op11_merkle_manifest": """
+        WITH RECURSIVE crc_table AS (
+            SELECT list(c ORDER BY i) AS crc_of FROM (
+                SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b:
+                       CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c
+                FROM range(256) AS r(i))),
+        fields AS (
+            SELECT doc_id, CASE WHEN lang IS NULL THEN '' ELSE '=' || lang END AS tree,
+                   coalesce(strlen(doc_id::VARCHAR)::VARCHAR || ':' || doc_id, '-')
+                   || coalesce(strlen(source)::VARCHAR || ':' || source, '-')
+                   || coalesce(strlen(lang)::VARCHAR || ':' || lang, '-') AS head,
+                   coalesce(strlen(n_chars::VARCHAR)::VARCHAR || ':' || n_chars, '-') AS chars,
+                   coalesce(strlen((n_chars + 1)::VARCHAR)::VARCHAR || ':' || (n_chars + 1), '-') AS more_chars,
+                   coalesce(strlen(text)::VARCHAR || ':' || text, '-') AS body,
+                   coalesce(xor(list_reduce(
+                       list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+                       lambda a, b: xor(a >> 8, crc_of[(xor(a, b) & 255) + 1])), 4294967295) % 7 = 0, false) AS forged
+            FROM documents, crc_table),
+        hashed AS (
+            SELECT doc_id, tree, sha256(head || chars || body) AS leaf,
+                   sha256(head || CASE WHEN forged THEN more_chars ELSE chars END || body) AS shown
+            FROM fields),
+        leaves AS (
+            SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM hashed),
+        node AS (
+            SELECT tree, 0 AS level, idx, leaf AS node FROM leaves
+            UNION ALL
+            SELECT tree, level + 1, idx // 2, sha256(string_agg(node, '' ORDER BY idx))
+            FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS m FROM node) WHERE m > 1 GROUP BY tree, level, idx // 2),
+        height AS (SELECT tree, max(level) AS height FROM node GROUP BY tree),
+        subroots AS (
+            SELECT tree, height, node AS subroot, row_number() OVER (ORDER BY tree) - 1 AS idx
+            FROM node JOIN height USING (tree) WHERE level = height),
+        top AS (
+            SELECT 0 AS level, idx, subroot AS node FROM subroots
+            UNION ALL
+            SELECT level + 1, idx // 2, sha256(string_agg(node, '' ORDER BY idx))
+            FROM (SELECT *, count(*) OVER () AS m FROM top) WHERE m > 1 GROUP BY level, idx // 2),
+        root AS (SELECT level AS height, node AS root FROM top ORDER BY level DESC LIMIT 1),
+        wanted AS (
+            SELECT tree, idx, unnest(range(height)) AS level FROM leaves JOIN height USING (tree)),
+        steps AS (
+            SELECT w.tree, w.idx, list(CASE WHEN n.node IS NULL THEN '' WHEN (w.idx >> w.level) & 1 = 1 THEN '<' || n.node
+                                       ELSE '>' || n.node END ORDER BY w.level) AS steps
+            FROM wanted w LEFT JOIN node n
+                ON n.tree = w.tree AND n.level = w.level AND n.idx = xor(w.idx >> w.level, 1::BIGINT)
+            GROUP BY w.tree, w.idx),
+        above AS (
+            SELECT tree, subroot, root, list(CASE WHEN n.node IS NULL THEN '' WHEN (w.idx >> w.level) & 1 = 1
+                   THEN '<' || n.node ELSE '>' || n.node END ORDER BY w.level) FILTER (WHERE w.level >= 0) AS steps
+            FROM (SELECT s.*, root, unnest(range(-1, r.height)) AS level FROM subroots s, root r) w
+            LEFT JOIN top n ON n.level = w.level AND n.idx = xor(w.idx >> greatest(w.level, 0), 1::BIGINT)
+            GROUP BY tree, subroot, root),
+        proved AS (
+            SELECT doc_id, leaf, shown, subroot, root, l.idx,
+                   list_concat(coalesce(s.steps, []), coalesce(a.steps, [])) AS steps
+            FROM leaves l JOIN above a ON a.tree = l.tree LEFT JOIN steps s ON s.tree = l.tree AND s.idx = l.idx),
+        folded AS (
+            SELECT *, list_reduce(list_prepend(shown, steps), lambda a, s: sha256(
+                   CASE WHEN s[1] = '<' THEN s[2:] || a ELSE a || s[2:] END)) AS folded_root
+            FROM proved)
+        SELECT doc_id, leaf, subroot, root, folded_root, folded_root = root AS verified,
+               sha256(coalesce(array_to_string(list_transform(steps, lambda s: s[2:]), ''), '')) AS proof_sha256,
+               idx::BIGINT AS idx, (2 * idx - bit_count(idx))::BIGINT AS position
+        FROM folded""",
 }
