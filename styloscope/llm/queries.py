@@ -18,8 +18,10 @@ from styloscope.llm.merkle import manifest
 from styloscope.llm.packing import pack
 from styloscope.llm.ppm import ppm_scores
 from styloscope.llm.quality import assess
+from styloscope.llm.secret_scan import scan_secrets
 from styloscope.llm.token_counts import token_counts
 from styloscope.llm.token_output import token_records
+from styloscope.llm.variants import spelling_variants
 
 
 def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,10 +97,21 @@ def merkle_columns(docs: DataFrame) -> DataFrame:
     return out.drop("proof")
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their near words' most frequent form and its root."""
+    return spelling_variants(read_table(spark, sf_dir, "documents"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents, with linked weak candidates."""
+    return scan_secrets(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q for q in (op1_token_records, op2_line_dedup, op3_quality_rules, op4_token_counts,
                             op5_jaccard_join, op6_packing, op7_decontamination, op8_language_id,
-                            op9_lm_scores, op10_html_text, op11_merkle_manifest)}
+                            op9_lm_scores, op10_html_text, op11_merkle_manifest, op12_spelling_variants,
+                            op13_secret_scan)}
 
 SQL: dict[str, str] = {
     "op2_line_dedup": """
@@ -223,4 +236,47 @@ SQL: dict[str, str] = {
                sha256(coalesce(array_to_string(list_transform(steps, lambda s: s[2:]), ''), '')) AS proof_sha256,
                idx::BIGINT AS idx, (2 * idx - bit_count(idx))::BIGINT AS position
         FROM folded""",
+    "op12_spelling_variants": r"""
+        WITH RECURSIVE crc_table AS (
+            SELECT list(c ORDER BY i) AS crc_of FROM (
+                SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b:
+                       CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c
+                FROM range(256) AS r(i))),
+        runs AS (
+            SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS k
+            FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents)
+            GROUP BY ALL),
+        hashed AS (
+            SELECT run, k, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(
+                       string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''), lambda x:
+                       CASE WHEN ord(x) < 128 THEN [ord(x)::BIGINT] ELSE [195::BIGINT, ord(x)::BIGINT - 64] END))),
+                       lambda a, b: xor(a >> 8, crc_of[(xor(a, b) & 255) + 1])), 4294967295) AS h
+            FROM runs, crc_table),
+        words AS (
+            SELECT word, sum(k)::BIGINT AS n
+            FROM (SELECT k, CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2)
+                            ELSE run END AS word FROM hashed)
+            WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+        cut AS (
+            SELECT word, n, p, left(word, p) || substr(word, p + 2) AS rest
+            FROM (SELECT word, n, unnest(range(length(word))) AS p FROM words)),
+        near AS (
+            SELECT a.word, b.word AS other, b.n AS other_n FROM cut a JOIN cut b
+                ON a.p = b.p AND a.rest = b.rest AND a.word <> b.word AND length(a.word) = length(b.word)
+            UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+            UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word),
+        best AS (
+            SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS form, max(other_n) AS form_n
+            FROM near GROUP BY word),
+        formed AS (
+            SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * w.n THEN form END AS form,
+                   CASE WHEN form_n >= 5 * w.n THEN form_n END AS form_n
+            FROM words w LEFT JOIN best USING (word)),
+        walk AS (
+            SELECT word, word AS root FROM formed
+            UNION ALL
+            SELECT k.word, f.form FROM walk k JOIN formed f ON f.word = k.root WHERE f.form IS NOT NULL),
+        ends AS (
+            SELECT k.word, k.root FROM walk k JOIN formed f ON f.word = k.root WHERE f.form IS NULL)
+        SELECT word, form, root, n, n_near::BIGINT AS n_near, form_n::BIGINT AS form_n FROM formed JOIN ends USING (word)""",
 }
