@@ -83,7 +83,8 @@ def sarcasm_marker(sentence) -> Column:
 
 
 def has_emoji(sentence) -> Column:
-    return col_(sentence).rlike(lx.EMOJI_CLASS).cast("int")
+    s = col_(sentence)  # the exact class has many ranges, which are tested one by one for every character
+    return F.when(s.rlike(lx.EMOJI_SPAN), s.rlike(lx.EMOJI_CLASS)).when(s.isNotNull(), F.lit(False)).cast("int")
 
 
 def has_non_ascii(sentence) -> Column:

@@ -523,7 +523,7 @@ def q_truth_scan(spark, sf_dir):
     from styloscope.sources.files import read_solutions, write_solutions
     out = scratch_path(spark, "truth")
     write_solutions(_truth(spark, sf_dir), out)
-    return read_solutions(spark, out).select("problem_id", "difficulty", F.size("changes").alias("n_pairs"),
+    return read_solutions(spark, out).select(F.col("problem_id").cast("long").alias("problem_id"), "difficulty", F.size("changes").alias("n_pairs"),
                                              F.aggregate("changes", F.lit(0), lambda a, x: a + x).alias("n_changes"))
 
 
@@ -549,7 +549,8 @@ def q_metric_sink(spark, sf_dir):
         st.select("problem_id", "difficulty").distinct(), "problem_id")
     sol_dir = scratch_path(spark, "solutions")
     write_solutions(sol, sol_dir)
-    scores = macro_f1(_truth(spark, sf_dir), read_solutions(spark, sol_dir).select("problem_id", "changes"))
+    read = read_solutions(spark, sol_dir).select(F.col("problem_id").cast("long").alias("problem_id"), "changes")
+    scores = macro_f1(_truth(spark, sf_dir), read)
     task = F.create_map(F.lit("easy"), F.lit("task1_f1_score"), F.lit("medium"), F.lit("task2_f1_score"),
                         F.lit("hard"), F.lit("task3_f1_score"))
     metrics = scores.select(task[F.col("difficulty")].alias("key"), F.col("macro_f1").alias("value"))

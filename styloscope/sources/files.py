@@ -53,12 +53,12 @@ def read_solution_files(spark: SparkSession, root: str) -> DataFrame:
 
 def write_solutions(solutions: DataFrame, out: str) -> None:
     """One JSON record per problem (problem_id, changes), partitioned by difficulty."""
-    solutions.select("problem_id", "changes", "difficulty").write.mode("overwrite").partitionBy("difficulty").json(out)
+    solutions.select(F.col("problem_id").cast("string").alias("problem_id"), "changes", "difficulty").write.mode("overwrite").partitionBy("difficulty").json(out)
 
 
 def read_solutions(spark: SparkSession, out: str) -> DataFrame:
-    """Read back what ``write_solutions`` wrote (difficulty from partition discovery)."""
-    schema = "problem_id long, changes array<int>, difficulty string"
+    """Read back what ``write_solutions`` wrote; ids are strings, as file names give them (difficulty is the partition)."""
+    schema = "problem_id string, changes array<int>, difficulty string"
     return spark.read.schema(schema).json(out).select("problem_id", "difficulty", "changes")
 
 

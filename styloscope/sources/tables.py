@@ -14,12 +14,31 @@ from styloscope.functions import lexicons as lx
 from styloscope.functions.text import strip_ws
 
 STITCH_DOCS = 4
+#: The usual size of a Parquet row group, which is what one task reads at least.
+ROW_GROUP_BYTES = 128 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` of a small input with its rows dealt out evenly to all cores.
+
+    A file of one row group is one task however it is split, and what it writes is one file again. Only inputs of fewer
+    files than cores, and of less than ROW_GROUP_BYTES a core, are dealt out; results do not depend on it.
+    """
+    spark = df.sparkSession
+    cores, files = spark.sparkContext.defaultParallelism, df.inputFiles()
+    if not 0 < len(files) < cores:
+        return df
+    conf, total = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    for f in files:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spark.sparkContext._jvm.java.net.URI(f))
+        total += path.getFileSystem(conf).getFileStatus(path).getLen()
+    return df.repartition(cores) if total < cores * ROW_GROUP_BYTES else df
+
+
 def difficulty_of(problem_id) -> "F.Column":
     """easy / medium / hard by problem id modulo 3 (fixture rule)."""
     return F.element_at(F.array(*[F.lit(d) for d in lx.DIFFICULTIES]), (problem_id % 3).cast("int") + 1)
@@ -27,7 +46,7 @@ def difficulty_of(problem_id) -> "F.Column":
 
 def problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """problems(problem_id, difficulty, text): one per document, text stripped."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = dealt(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select(F.col("doc_id").alias("problem_id"),
                        difficulty_of(F.col("doc_id")).alias("difficulty"),
                        strip_ws("text").alias("text"))
@@ -67,7 +86,7 @@ def stitched_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     document plus the line counts of the problem's earlier documents; only those counts, at most STITCH_DOCS
     numbers a problem, go through a window, never the lines.
     """
-    docs = read_table(spark, sf_dir, "documents").select(
+    docs = dealt(read_table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", F.floor(F.col("doc_id") / STITCH_DOCS).cast("long").alias("problem_id"),
         F.split(strip_ws("text"), "\n").alias("lines"))
     counts = docs.select("problem_id", "doc_id", F.size("lines").alias("n"))
