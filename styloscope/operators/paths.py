@@ -24,6 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
+
+from styloscope.functions.arrays import MASK
 
 BLOCK_CELLS = 1 << 20
 TOL = 1e-6
@@ -92,11 +95,14 @@ def graph_centralities(nodes: list[str], src_names, dst_names, max_iter: int = 5
 
     A metric that is not asked for is None.
     """
-    names = sorted(set(nodes))
-    n = len(names)
-    pos = {v: i for i, v in enumerate(names)}
-    src = np.array([pos[s] for s in src_names], dtype=np.int64)
-    dst = np.array([pos[d] for d in dst_names], dtype=np.int64)
+    if isinstance(nodes, np.ndarray):  # places already
+        names, n, src, dst = nodes, len(nodes), src_names, dst_names
+    else:
+        names = sorted(set(nodes))
+        n = len(names)
+        pos = {v: i for i, v in enumerate(names)}
+        src = np.array([pos[s] for s in src_names], dtype=np.int64)
+        dst = np.array([pos[d] for d in dst_names], dtype=np.int64)
     btw = close = eig = None
     iters, ok = 0, True
     if "betweenness" in metrics or "closeness" in metrics:
@@ -172,6 +178,62 @@ def node_centralities(edges: DataFrame, nodes: DataFrame, keys: list[str], max_i
                              f"eig_iterations int, converged boolean"))
 
 
+def centrality_rows(rows: DataFrame, metrics=METRICS, arrays: tuple[str, ...] = (),
+                    max_iter: int = 50_000_000) -> DataFrame:
+    """G18 on graph rows (``adjacency``): the columns of ``rows`` but ``graph``, and for each metric its mean, population
+    standard deviation, max and min over the nodes, and eigenvector_converged.
+
+    Graphs of fewer than two nodes or tokens get nulls. ``arrays`` names metrics whose values per node are added as well
+    (``eigenvector`` with eig_iterations). A row in, a row out: no shuffle, and node names stay in the JVM.
+    """
+    others = [c for c in rows.columns if c != "graph"]
+    names = [f"{m}_centrality_{x}" for m in metrics for x in ("mean", "std", "max", "min")]
+    added = ([(n, "double", pa.float64()) for n in names]
+             + [("eigenvector_converged", "boolean", pa.bool_())] * ("eigenvector" in metrics)
+             + [(m, "array<double>", pa.list_(pa.float64())) for m in arrays]
+             + [("eig_iterations", "int", pa.int32())] * ("eigenvector" in arrays))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            new: list[list] = [[] for _ in added]
+            sizes, tokens, edges = (batch.column(len(others) + k) for k in range(3))
+            for n, count, packed in zip(sizes.to_pylist(), tokens.to_pylist(), edges):
+                if n is None or n < 2 or count < 2:
+                    values = [None] * len(added)
+                else:
+                    codes = packed.values.to_numpy(zero_copy_only=False)
+                    per_node, iters, ok = placed_centralities(codes >> 31, codes & MASK, n, max_iter, metrics)
+                    values = [x for m in metrics for x in (per_node[m].mean(), per_node[m].std(), per_node[m].max(),
+                                                           per_node[m].min())]
+                    values += [ok] * ("eigenvector" in metrics) + [per_node[m].tolist() for m in arrays]
+                    values += [iters] * ("eigenvector" in arrays)
+                for column, value in zip(new, values):
+                    column.append(value)
+            kept = [(f.name, c) for f, c in zip(batch.schema, batch.columns)][:len(others)]
+            made = [(a[0], pa.array(c, a[2])) for a, c in zip(added, new)]
+            yield pa.RecordBatch.from_arrays([c for _, c in kept + made], names=[n for n, _ in kept + made])
+
+    schema = StructType(rows.select(*others).schema.fields
+                        + _parse_datatype_string(", ".join(f"{n} {t}" for n, t, _ in added)).fields)
+    g = F.col("graph")
+    return rows.select(*others, F.size(g["nodes"]).alias("_n"), g["n_tokens"].alias("_t"), g["edges"].alias("_e")) \
+        .mapInArrow(run, schema)
+
+
+def pair_values(rows: DataFrame, pair_max_iter: int = 5000) -> DataFrame:
+    """``rows`` with closeness and eigenvector as G22 compares them: an eigenvector that did not converge within
+    ``pair_max_iter`` iterations counts as zeros."""
+    sure = F.col("eigenvector_converged") & (F.col("eig_iterations") <= pair_max_iter)
+    return rows.withColumn("eigenvector", F.transform("eigenvector", lambda x: F.when(sure, x).otherwise(0.0)))
+
+
+def placed_centralities(src: np.ndarray, dst: np.ndarray, n: int, max_iter: int, metrics) -> tuple[dict, int, bool]:
+    """Centralities of nodes 0 .. n - 1, the iterations of the eigenvector and whether they converged."""
+    names = np.arange(n)
+    _, btw, close, eig, iters, ok = graph_centralities(names, src, dst, max_iter, metrics)
+    return {"betweenness": btw, "closeness": close, "eigenvector": eig}, iters, bool(ok)
+
+
 def centrality_summaries(cent: DataFrame, keys: list[str], metrics=METRICS) -> DataFrame:
     """Mean, population std, max, min of each centrality per graph with at least 2 nodes
     (single-node graphs get no path metrics, so their summaries are 0 downstream)."""

@@ -17,19 +17,17 @@ from styloscope.session import store
 KEY = ["problem_id", "sent_idx"]
 
 
-def _graph_features(spark: SparkSession, sentences: DataFrame, with_paths: bool):
-    from styloscope.operators.graphs import KEY as GK, build_wan, graph_inputs, node_degrees, wan_metrics
-    from styloscope.operators.tokens import normalize_sentences
-    edges, nodes = build_wan(graph_inputs(normalize_sentences(spark, sentences), GK), GK, stored=True)
-    metrics = store(wan_metrics(edges, nodes, GK), "graph-metrics")
-    out = {"metrics": metrics, "edges": edges, "nodes": nodes}
-    if with_paths:
-        from styloscope.operators.paths import centrality_summaries, node_centralities
-        cent = store(node_centralities(edges, nodes, GK), "centralities")
-        out["centralities"] = cent
-        out["path_summaries"] = centrality_summaries(cent, GK)
-        out["degrees"] = store(node_degrees(edges, nodes, GK), "degrees")
-    return out
+def _graph_features(spark: SparkSession, sentences: DataFrame, with_paths: bool) -> DataFrame:
+    """A stored row for each sentence that has a graph: its metrics; with paths the path summaries, the graph and its
+    closeness and eigenvector values per node too."""
+    from styloscope.operators import adjacency as ad
+    rows = ad.sentence_graphs(spark, sentences)
+    if not with_paths:
+        return store(ad.metrics(rows, KEY), "graph-metrics")
+    from styloscope.operators.paths import centrality_rows
+    measured = ad.metrics(store(rows, "graphs"), [*KEY, "graph"]).withColumn("kept", F.col("graph"))
+    found = centrality_rows(measured, arrays=("closeness", "eigenvector"))
+    return store(found.withColumnRenamed("kept", "graph"), "graph-metrics")
 
 
 def _zero_fill(df: DataFrame, cols: list[str], keep_null: tuple[str, ...] = ("assortativity",)) -> DataFrame:
@@ -40,32 +38,32 @@ def _zero_fill(df: DataFrame, cols: list[str], keep_null: tuple[str, ...] = ("as
                        .otherwise(F.lit(0.0)).cast("double").alias(c) for c in cols])
 
 
-def core_sentence_features(spark: SparkSession, sentences: DataFrame, graph: dict | None = None) -> DataFrame:
+def core_sentence_features(spark: SparkSession, sentences: DataFrame, graph: DataFrame | None = None) -> DataFrame:
     from styloscope.operators.lexical import lexical_features
     from styloscope.operators.rhythm import pattern_blocks
     from styloscope.functions.text import pattern_flags
 
-    graph = graph or _graph_features(spark, sentences, with_paths=False)
+    graph = _graph_features(spark, sentences, with_paths=False) if graph is None else graph
     lex = store(lexical_features(sentences).select(*KEY, *pr.LEXICAL_FEATURES, *pr.DEEP_FEATURES,
                                                    "starts_with_discourse"), "lexical")
     pb = pattern_blocks(sentences)
     pb = store(pb.select("*", *pattern_flags("pattern_type")), "patterns")
-    gm = graph["metrics"].select(*KEY, *pr.GRAPH_COUNT_FEATURES, F.lit(1).alias("_has_graph"))
+    gm = graph.select(*KEY, *pr.GRAPH_COUNT_FEATURES, F.lit(1).alias("_has_graph"))
     base = sentences.select(*KEY).join(lex, KEY, "left").join(pb, KEY, "left").join(gm, KEY, "left")
     return _zero_fill(base, pr.GRAPH_COUNT_FEATURES)
 
 
 def full_sentence_features(spark: SparkSession, sentences: DataFrame, embeddings: DataFrame,
-                           graph: dict | None = None) -> DataFrame:
+                           graph: DataFrame | None = None) -> DataFrame:
     from styloscope.operators.context import entity_overlap, lemma_overlap
     from styloscope.operators.syntax import clause_complexity, dependency_depth, heuristic_parse, passive_ratio, \
         subject_overlap
     from styloscope.operators.vectors import neighbour_cosine, neighbour_vectors
 
-    graph = graph or _graph_features(spark, sentences, with_paths=True)
+    graph = _graph_features(spark, sentences, with_paths=True) if graph is None else graph
     core = core_sentence_features(spark, sentences, graph)
     parse = store(heuristic_parse(sentences), "parse")
-    fams = [graph["path_summaries"].drop("eigenvector_converged"), dependency_depth(parse), passive_ratio(parse),
+    fams = [graph.select(*KEY, *pr.GRAPH_PATH_FEATURES), dependency_depth(parse), passive_ratio(parse),
             clause_complexity(parse), neighbour_cosine(neighbour_vectors(embeddings, (-1, 1))),
             entity_overlap(sentences), lemma_overlap(sentences), subject_overlap(parse, sentences)]
     out = core
@@ -84,8 +82,8 @@ def pair_feature_table(spark: SparkSession, sentences: DataFrame, embeddings: Da
     its few key columns from the written table. ``drift_paths``: drift compares windows over all 30 graph features, path
     metrics among them (False: the 18 count features).
     """
-    from styloscope.operators.graphs import wan_pairwise
-    from styloscope.operators.paths import pairwise_path_cosines
+    from styloscope.operators import adjacency as ad
+    from styloscope.operators.paths import pair_values
     from styloscope.operators.pos import entropy_pairs, ngram_similarity, tfidf_cosine
     from styloscope.operators.rhythm import rhythm_pairs
     from styloscope.operators.sentences import pair_positions
@@ -95,11 +93,12 @@ def pair_feature_table(spark: SparkSession, sentences: DataFrame, embeddings: Da
     graph = _graph_features(spark, sentences, with_paths=True)
     sent = store(full_sentence_features(spark, sentences, embeddings, graph), "sentence-features")
     nb = store(neighbour_vectors(embeddings, (1, 2, 3)), "neighbour-vectors")
+    both = ("closeness", "eigenvector")
     extras = [
         ngram_similarity(sentences, "trigram"), ngram_similarity(sentences, "bigram"), tfidf_cosine(sentences),
         entropy_pairs(sentences), rhythm_pairs(sentences), embedding_pairs(nb), multi_skip_drift(nb),
         directional_cosine(nb),
-        wan_pairwise(graph["edges"], graph["nodes"], graph["degrees"], pairwise_path_cosines(graph["centralities"])),
+        ad.pairwise(ad.with_next(pair_values(graph).select(*KEY, "graph", *both), both), both),
     ]
     if with_drift:
         from styloscope.operators.drift import wan_window_drift

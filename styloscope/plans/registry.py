@@ -174,14 +174,14 @@ def q_lemma_overlap(spark, sf_dir):
 # --- G1-G9, G13-G22 (word adjacency networks) ------------------------------------------------
 
 def _wan(spark, sf_dir):
-    from styloscope.operators.graphs import wan_for_sentences
-    return wan_for_sentences(spark, _sentences(spark, sf_dir))
+    from styloscope.operators.adjacency import sentence_graphs
+    return sentence_graphs(spark, _sentences(spark, sf_dir))
 
 
 @query("wan_edges")
 def q_wan_edges(spark, sf_dir):
-    edges, _ = _wan(spark, sf_dir)
-    return edges.select("problem_id", "sent_idx", "src", "dst", "weight", "edge_type")
+    from styloscope.operators import adjacency as ad
+    return ad.edge_table(_wan(spark, sf_dir), ad.KEY)
 
 
 WAN_QUERIES = {
@@ -196,31 +196,17 @@ WAN_QUERIES = {
 }
 
 
-def _wan_family(spark, sf_dir, name):
-    """Only the metric family a query needs (the full join of families is ``wan_metrics``)."""
-    from styloscope.operators import graphs as gr
-    edges, nodes = _wan(spark, sf_dir)
-    k = gr.KEY
-    if name in ("wan_global", "wan_degree", "wan_pos"):
-        return gr.degree_metrics(gr.node_degrees(edges, nodes, k), k)
-    if name == "wan_clustering":
-        return gr.clustering(edges, nodes, k)
-    if name == "wan_assortativity":
-        return gr.assortativity(edges, gr.node_degrees(edges, nodes, k), k)
-    if name == "wan_entropy":
-        deg = gr.node_degrees(edges, nodes, k)
-        return gr.degree_entropy(deg, k).join(gr.pos_transition_entropy(edges, k), k, "left").fillna(
-            0.0, ["pos_transition_entropy", "pos_transition_entropy_weighted"])
-    if name == "wan_star_triangles":
-        deg = gr.node_degrees(edges, nodes, k)
-        return gr.degree_metrics(deg, k).join(gr.clustering(edges, nodes, k), k)
-    return gr.wan_metrics(edges, nodes, k)
+#: The metric families of a query whose columns do not all belong to the degree family.
+WAN_FAMILIES = {"wan_clustering": ("clustering",), "wan_assortativity": ("assortativity",),
+                "wan_entropy": ("degree", "transition"), "wan_star_triangles": ("degree", "clustering")}
 
 
 def _wan_query(name, cols):
     @query(name)
     def fn(spark, sf_dir):
-        return _wan_family(spark, sf_dir, name).select("problem_id", "sent_idx", *cols)
+        from styloscope.operators import adjacency as ad
+        found = ad.metrics(_wan(spark, sf_dir), ad.KEY, WAN_FAMILIES.get(name, ("degree",)))
+        return found.select("problem_id", "sent_idx", *cols)
     return fn
 
 
@@ -230,9 +216,9 @@ for _n, _c in WAN_QUERIES.items():
 
 @query("wan_pairwise")
 def q_wan_pairwise(spark, sf_dir):
-    from styloscope.operators.graphs import wan_pairwise
-    edges, nodes = _wan(spark, sf_dir)
-    return wan_pairwise(edges, nodes)
+    from styloscope.operators import adjacency as ad
+    return ad.pairwise(ad.with_next(_wan(spark, sf_dir)))
+
 
 _oracle.register_wan(WAN_QUERIES)
 
@@ -280,22 +266,14 @@ def q_embedding_pca(spark, sf_dir):
 
 # --- G10-G12 path and spectral metrics (kernel per graph; no SQL oracle) ---------------------
 
-def _centralities(spark, sf_dir, metrics):
-    from styloscope.operators.graphs import KEY
-    from styloscope.operators.paths import node_centralities
-    edges, nodes = _wan(spark, sf_dir)
-    return node_centralities(edges, nodes, KEY, metrics=metrics)
-
-
 def _path_query(name, metric):
     @query(name)
     def fn(spark, sf_dir):
-        from styloscope.operators.graphs import KEY
-        from styloscope.operators.paths import centrality_summaries
-        s = centrality_summaries(_centralities(spark, sf_dir, (metric,)), KEY, (metric,))
+        from styloscope.operators.paths import centrality_rows
         cols = [f"{metric}_centrality_{x}" for x in ("mean", "std", "max", "min")]
         extra = ["eigenvector_converged"] if metric == "eigenvector" else []
-        return s.select("problem_id", "sent_idx", *cols, *extra)
+        found = centrality_rows(_wan(spark, sf_dir), (metric,)).filter(F.col(cols[0]).isNotNull())
+        return found.select("problem_id", "sent_idx", *cols, *extra)
     return fn
 
 
@@ -305,12 +283,13 @@ for _m in ("closeness", "betweenness", "eigenvector"):
 
 @query("wan_path_pairwise")
 def q_wan_path_pairwise(spark, sf_dir):
-    from styloscope.operators.graphs import KEY, wan_pairwise
-    from styloscope.operators.paths import node_centralities, pairwise_path_cosines
-    edges, nodes = _wan(spark, sf_dir)
-    values = store(node_centralities(edges, nodes, KEY, metrics=("closeness", "eigenvector")), "centralities")
-    return wan_pairwise(edges, nodes, node_values=pairwise_path_cosines(values)).select(
-        "problem_id", "pair_idx", "closeness_cosine", "eigenvector_cosine")
+    from styloscope.operators import adjacency as ad
+    from styloscope.operators.paths import centrality_rows, pair_values
+    both = ("closeness", "eigenvector")
+    rows = centrality_rows(_wan(spark, sf_dir).withColumn("kept", F.col("graph")), both, both)
+    rows = pair_values(rows).withColumnRenamed("kept", "graph")
+    return ad.pairwise(ad.with_next(rows, both), both).select("problem_id", "pair_idx", "closeness_cosine",
+                                                              "eigenvector_cosine")
 
 
 # --- A14, A18, A19, W8 (dependency operators over the built-in rule parse) -------------------
@@ -530,8 +509,9 @@ def q_truth_scan(spark, sf_dir):
 @query("graph_sink")
 def q_graph_sink(spark, sf_dir):
     from styloscope.session import scratch_path
+    from styloscope.operators.adjacency import KEY, edge_table
     from styloscope.sources.files import write_graphs
-    edges, _ = _wan(spark, sf_dir)
+    edges = edge_table(_wan(spark, sf_dir), KEY)
     out = scratch_path(spark, "graphs")
     write_graphs(edges.join(tb.problems(spark, sf_dir).select("problem_id", "difficulty"), "problem_id"), out)
     back = spark.read.parquet(out)

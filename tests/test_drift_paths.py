@@ -18,10 +18,12 @@ def test_pair_table_drift_has_path_features(spark, monkeypatch, build):
         raise Reached
 
     monkeypatch.setattr("styloscope.operators.drift.wan_window_drift", drift)
-    monkeypatch.setattr("styloscope.operators.graphs.wan_pairwise", lambda *a: None)
-    monkeypatch.setattr("styloscope.operators.paths.pairwise_path_cosines", lambda *a: None)
+    monkeypatch.setattr("styloscope.operators.adjacency.pairwise", lambda *a: None)
+    monkeypatch.setattr("styloscope.operators.adjacency.with_next", lambda *a: None)
+    monkeypatch.setattr("styloscope.operators.paths.pair_values", lambda rows: rows)
     monkeypatch.setattr(features, "store", lambda df, name: df)
-    monkeypatch.setattr(features, "_graph_features", lambda *a, **k: dict.fromkeys(("edges", "nodes", "degrees", "centralities")))
+    columns = "problem_id long, sent_idx int, graph int, closeness double, eigenvector double"
+    monkeypatch.setattr(features, "_graph_features", lambda *a, **k: spark.createDataFrame([], columns))
     monkeypatch.setattr(features, "full_sentence_features", lambda spark, sentences, *a: sentences)
     with pytest.raises(Reached):
         getattr(registry, build)(spark, "/root/testdata/sf0.001")
