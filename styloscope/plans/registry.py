@@ -414,9 +414,9 @@ MINMAX_COLS = ["position_ratio", "cosine_similarity", "euclidean_distance", "dee
 
 @query("minmax_scale")
 def q_minmax_scale(spark, sf_dir):
-    from styloscope.operators.model import minmax_fit, minmax_transform
+    from styloscope.operators.model import ZeroMinMax
     p = _core_pairs(spark, sf_dir, ("clause_complexity",)).select("problem_id", "pair_idx", *MINMAX_COLS)
-    return minmax_transform(p, minmax_fit(p, MINMAX_COLS))
+    return ZeroMinMax(inputCols=MINMAX_COLS).fit(p).transform(p)
 
 
 def _stitched_pairs(spark, sf_dir):
@@ -431,13 +431,16 @@ def _stitched_pairs(spark, sf_dir):
 
 
 def _scored(spark, sf_dir):
+    """Predictions of the stored pair table by stored models: fitted on the training problems, saved and read back."""
     from styloscope.operators import pairs as pr
-    from styloscope.operators.model import fit_models, in_training, model_input, score
+    from styloscope.operators.model import fit_models, in_training, load_models, model_input, save_models, score
+    from styloscope.session import scratch_path
     table = _stitched_pairs(spark, sf_dir)
     cols = [c for c in pr.numeric_feature_columns(table) if c not in ("difficulty",)]
     data = store(model_input(table, cols).withColumn("in_training", in_training()), "model-input")
-    out = score(data, fit_models(data.filter("in_training"), cols), cols)
-    return out.withColumn("in_training", in_training())
+    models = scratch_path(spark, "models")
+    save_models(fit_models(data.filter("in_training"), cols), models)
+    return score(data, load_models(spark, models)).withColumn("in_training", in_training())
 
 
 @query("score_changes")
