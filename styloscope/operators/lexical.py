@@ -1,11 +1,8 @@
 """Sentence-level lexical, character, marker, readability and sentiment features.
 
-Two kinds of work, both without a per-problem shuffle:
-
-* in-row features of the sentence string (character ratios, markers, LIWC counts, Yule's K, TTR,
-  entity runs) -- Column expressions and higher-order functions on the row's own arrays;
-* token aggregates -- one ``groupBy(problem_id, sent_idx)`` over the exploded ``tokens`` table with
-  conditional counts, partially aggregated map-side (tokens of a sentence share a partition).
+All of it is read from the sentence's annotated row (``operators.annotated``) by Column expressions and higher-order
+functions, without a shuffle. Only a caller's token table or lexicon tables take the other way: one
+``groupBy(problem_id, sent_idx)`` over the tokens with conditional counts, partially aggregated map-side.
 
 Sentences with no tokens (blank lines) keep their row through a left join and get the defaults of
 the definitions (0, or 50 for formality).
@@ -17,9 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from styloscope.functions import annotate as an
+from styloscope.functions.arrays import let, total
 from styloscope.functions import lexicons as lx
 from styloscope.functions.numeric import safe_div
 from styloscope.functions import text as tx
+from styloscope.operators.annotated import COLUMNS, annotate, count_of
 from styloscope.operators.tokens import tokens as make_tokens
 
 KEY = ["problem_id", "sent_idx"]
@@ -64,11 +63,11 @@ def string_features(sentences: DataFrame) -> DataFrame:
     The shared arrays (tokens, whitespace words) are materialised as columns first: higher-order
     functions re-evaluate an inline argument expression once per use.
     """
-    base = sentences.select(*KEY, tx.strip_ws("sentence").alias("_s"), "sentence").select(
-        *KEY, "_s", "sentence", tx.tokenize("_s").alias("_toks"), tx.ws_words("_s").alias("_words"),
-        tx.ws_words(F.lower("_s")).alias("_lwords"))
-    s, toks = F.col("_s"), F.col("_toks")
-    alpha_lower = F.filter(F.transform(toks, lambda t: F.lower(t)), lambda t: an.is_alpha(t))
+    rows = annotate(sentences)
+    base = rows.select(*KEY, "sentence", *COLUMNS, tx.strip_ws("sentence").alias("_s")).select(
+        *KEY, "_s", "sentence", *COLUMNS, tx.ws_words("_s").alias("_words"), tx.ws_words(F.lower("_s")).alias("_lwords"))
+    s, toks = F.col("_s"), F.col("tok_text")
+    alpha_lower = F.filter("tok_lower", lambda t: an.is_alpha(t))
     first = F.lower(F.get(toks, 0))
     first_word = F.lower(F.get(F.col("_words"), 0))
     rhetorical = (F.endswith(s, F.lit("?")) & F.coalesce(first_word.isin(lx.RHETORICAL_FIRST_WORDS), F.lit(False)))
@@ -90,10 +89,41 @@ def string_features(sentences: DataFrame) -> DataFrame:
         tx.discourse_count("sentence").alias("_discourse"),
         *tx.liwc_counts_of_words("_lwords"),
         F.coalesce(first.isin(lx.DISCOURSE_MARKERS), F.lit(False)).cast("int").alias("starts_with_discourse"),
-        F.size(an.entity_spans(toks)).alias("_entities"), alpha_lower.alias("_alpha_words"))
+        F.size("tok_ents").alias("_entities"), *token_counts(), alpha_lower.alias("_alpha_words"))
     return with_word_moments(out, F.col("_alpha_words")).drop("_alpha_words")
 
 
+def token_counts() -> list[Column]:
+    """The counts of ``token_aggregates`` from the arrays of an annotated row, with the built-in list and rule."""
+    low, tag = F.col("tok_lower"), F.col("tok_tag")
+    words = F.filter("tok_text", lambda t: an.is_word(t))
+    listed = lambda values, names: count_of(values, lambda t: t.isin(names))
+    person = lambda names: count_of(low, lambda t: t.isin(names) & an.is_alpha(t))
+    feeling = F.filter(low, lambda t: t.isin([w for w, *_ in lx.SENTIMENT_LEXICON]))
+    mean = lambda found, k: let(found, lambda f: F.when(F.size(f) > 0, total(
+        F.transform(f, lambda t: F.try_element_at(_sentiment_map(k), t)), "double") / F.size(f)))
+
+    def of_words(w: Column) -> Column:
+        measured = F.transform(w, lambda t: let(F.lower(t), lambda x: F.struct(
+            syllables(x).alias("syl"), x.isin(lx.stopwords()).alias("stop"), F.length(t).alias("len"))))
+        return let(measured, lambda m: F.struct(
+            F.size(m).alias("_words"), total(F.transform(m, lambda x: x["syl"])).alias("syllable_count"),
+            count_of(m, lambda x: x["syl"] >= 3).alias("_complex"),
+            count_of(m, lambda x: (x["syl"] >= 3) & ~x["stop"]).alias("_difficult"),
+            total(F.transform(m, lambda x: x["len"])).alias("_word_chars")))
+
+    return [F.size(low).alias("_ntok"), total(F.transform("tok_text", lambda t: F.length(t))).alias("_sum_len"),
+            count_of(F.col("tok_text"), lambda t: an.is_upper(t) & (F.length(t) > 1)).alias("all_caps_words"),
+            listed(tag, lx.FUNCTION_POS_TAGS).alias("_fw"), listed(tag, ["PRON"]).alias("_pron"),
+            listed(tag, ["CCONJ"]).alias("_cconj"), listed(tag, ["ADP"]).alias("_adp"),
+            person(lx.FIRST_PERSON).alias("_p1"), person(lx.SECOND_PERSON).alias("_p2"),
+            person(lx.THIRD_PERSON).alias("_p3"), person(lx.WH_WORDS).alias("_wh"),
+            count_of(F.col("tok_stop"), lambda x: x).alias("_stop"),
+            (listed(tag, lx.FORMALITY_PLUS) - listed(tag, lx.FORMALITY_MINUS)).alias("_formal"),
+            count_of(F.col("tok_lemma"), lambda t: F.lower(t).isin(lx.MODAL_WORDS)).alias("_modal"),
+            let(words, of_words).alias("_w"), mean(feeling, 0).alias("_pol"), mean(feeling, 1).alias("_subj")]
+
+
 def token_aggregates(tokens: DataFrame, sentiment: DataFrame | None = None,
                      easy_words: DataFrame | None = None) -> DataFrame:
     """One grouped pass over the tokens table: every count the ratios need.
@@ -180,10 +210,14 @@ def lexical_features(sentences: DataFrame, tokens: DataFrame | None = None, sent
 
     A caller's annotations (``tokens``) and lexicon tables (see ``token_aggregates``) replace the built-in ones.
     """
-    tokens = tokens if tokens is not None else make_tokens(sentences)
-    sf = string_features(sentences)
-    ta = token_aggregates(tokens, sentiment, easy_words)
-    j = sf.join(ta, KEY, "left")
+    j = string_features(sentences)
+    if tokens is None and sentiment is None and easy_words is None:
+        j = j.select("*", "_w.*")
+    else:
+        counted = ["_ntok", "_sum_len", "all_caps_words", "_fw", "_pron", "_cconj", "_adp", "_p1", "_p2", "_p3", "_wh",
+                   "_stop", "_formal", "_modal", "_w", "_pol", "_subj"]
+        ta = token_aggregates(tokens if tokens is not None else make_tokens(sentences), sentiment, easy_words)
+        j = j.drop(*counted).join(ta, KEY, "left")
     n = F.coalesce(F.col("_ntok"), F.lit(0))
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
     chars = F.col("sentence_char_len")

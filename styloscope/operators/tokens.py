@@ -84,5 +84,10 @@ def normalize_sentences(spark: SparkSession, sentences: DataFrame, preset: str |
         return s.select(*KEY, "preset", "include_pos",
                         F.coalesce(F.transform("kept", word), empty).alias("norm_tokens"),
                         F.coalesce(F.transform("kept", lambda t: t["upos"]), empty).alias("norm_tags"))
+    if "tok_tag" in s.columns:  # an annotated sentence row
+        from styloscope.operators.annotated import normalized
+        s = s.select(*KEY, "preset", "include_pos", normalized().alias("norm"))
+        return s.select(*KEY, "preset", "include_pos", F.col("norm.word").alias("norm_tokens"),
+                        F.col("norm.tag").alias("norm_tags"))
     norm = normalized_tokens(F.col("sentence"), F.col("remove_punct"), F.col("remove_stopwords"), F.col("lemmatize"))
     return s.select(*KEY, "preset", "include_pos", norm.alias("norm_tokens"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from styloscope.functions import lexicons as lx
 from styloscope.operators import pairs as pr
+from styloscope.operators.annotated import annotate
 from styloscope.session import store
 
 KEY = ["problem_id", "sent_idx"]
@@ -89,7 +90,7 @@ def pair_feature_table(spark: SparkSession, sentences: DataFrame, embeddings: Da
     from styloscope.operators.sentences import pair_positions
     from styloscope.operators.vectors import directional_cosine, embedding_pairs, multi_skip_drift, neighbour_vectors
 
-    sentences, embeddings = store(sentences, "sentences"), store(embeddings, "embeddings")
+    sentences, embeddings = store(annotate(sentences), "annotated"), store(embeddings, "embeddings")
     graph = _graph_features(spark, sentences, with_paths=True)
     sent = store(full_sentence_features(spark, sentences, embeddings, graph), "sentence-features")
     nb = store(neighbour_vectors(embeddings, (1, 2, 3)), "neighbour-vectors")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from styloscope.functions.text import pattern_flags
 from styloscope.operators import rhythm as rh
 from styloscope.operators import sentences as se
+from styloscope.operators.annotated import annotate
 from styloscope.plans.common import finalize
 from styloscope.session import configure, store
 from styloscope.sources import tables as tb
@@ -339,7 +340,7 @@ def _core_pairs(spark, sf_dir, extra_cols=()):
     from styloscope.operators import pairs as pr
     from styloscope.operators.sentences import pair_positions
     from styloscope.plans.features import core_sentence_features
-    s = store(_sentences(spark, sf_dir), "sentences")
+    s = store(annotate(_sentences(spark, sf_dir)), "annotated")
     sent = core_sentence_features(spark, s)
     cols = list(pr.CORE_FEATURES)
     if extra_cols:
