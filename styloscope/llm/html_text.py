@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from styloscope.llm.common import prepare, stream
+from styloscope.llm.common import materialise, prepare, stream
 
 #: A subtree is template when it stands beside at least this many distinct articles of its host ...
 MIN_ARTICLES = 5
@@ -65,7 +65,8 @@ SCOPES = frozenset("html body article main section div nav aside header footer f
 
 _MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)
     |<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']+|"[^"]*"|'[^']*'|["'])*)(?:>|\Z)""", re.S | re.X)
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: A whole attribute: its name up to = or white space, and its value if any; names are compared exactly.
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 
 def is_boilerplate(tag: str, attrs: str, inside_article: bool) -> bool:
@@ -91,23 +92,32 @@ def boilerplate_classes(tag: str, attrs: str, inside_article: bool) -> frozenset
 
 
 class Element:
-    __slots__ = ("tag", "drop", "scope", "node", "above", "doubt", "parts")
+    """An open element; ``inner`` is the nearest container and ``doubt`` the nearest doubted element at or around it."""
 
-    def __init__(self, tag: str, drop: bool, scope: str, node: int, above: tuple[int, ...], doubt: tuple[int, ...]):
-        self.tag, self.drop, self.scope, self.node, self.above, self.doubt = tag, drop, scope, node, above, doubt
+    __slots__ = ("tag", "drop", "scope", "node", "inner", "doubt", "parts")
+
+    def __init__(self, tag: str, drop: bool, scope: str, node: int, inner: int, doubt: int):
+        self.tag, self.drop, self.scope, self.node, self.inner, self.doubt = tag, drop, scope, node, inner, doubt
         self.parts: list[str] = []
 
 
 class Page:
-    """One pass over a page: hashes of container subtrees, and text blocks with the containers around them."""
+    """One pass over a page: hashes of container subtrees, and text blocks with the containers around them.
+
+    Containers are numbered as they open, so those inside container k are k + 1 .. ends[k] - 1, and a block needs only the
+    nearest one; elements whose class speaks against them know the nearest such element around them. Both keep memory
+    linear in the page, whatever its depth.
+    """
 
     def __init__(self, html: str):
         self.hashes: list[int] = []
-        # (scope, text, containers, elements around whose class speaks against them)
-        self.blocks: list[tuple[str, str, tuple[int, ...], tuple[int, ...]]] = []
-        self.doubted: list[list[bool]] = []  # per element with such a class: [holds reader comments, holds article or main]
+        self.ends: list[int] = []
+        self.blocks: list[tuple[str, str, int, int]] = []  # scope, text, nearest container, nearest doubted element
+        # per element with such a class: the one around it, [reader comments here or around, holds article or main]
+        self.around: list[int] = []
+        self.doubted: list[list[bool]] = []
         self._run: list[str] = []
-        self._open = [Element("", False, "", -1, (), ())]
+        self._open = [Element("", False, "", -1, -1, -1)]
         at, size = 0, len(html)
         while at < size:
             found = _MARKUP.search(html, at)
@@ -143,7 +153,7 @@ class Page:
             self._run.clear()
             if text:
                 top = self._open[-1]
-                self.blocks.append((top.scope, text, top.above, top.doubt))
+                self.blocks.append((top.scope, text, top.inner, top.doubt))
 
     def _start(self, tag: str, attrs: str) -> None:
         if tag == "br" or tag in VOID:
@@ -164,6 +174,7 @@ class Page:
         node = len(self.hashes) if counted else -1
         if counted:
             self.hashes.append(0)
+            self.ends.append(0)
         drop = top.drop or is_boilerplate(tag, attrs, top.scope == "article")
         doubt = top.doubt
         if not drop:
@@ -171,12 +182,13 @@ class Page:
             if found and inline:
                 drop = True
             elif found:
-                doubt = (*doubt, len(self.doubted))
-                self.doubted.append([not COMMENTS.isdisjoint(found), False])
-            elif tag in ("article", "main"):
-                for k in doubt:
-                    self.doubted[k][1] = True
-        self._open.append(Element(tag, drop, scope, node, (*top.above, node) if counted else top.above, doubt))
+                self.around.append(doubt)
+                comments = not COMMENTS.isdisjoint(found) or doubt >= 0 and self.doubted[doubt][0]
+                doubt = len(self.doubted)
+                self.doubted.append([comments, False])
+            elif tag in ("article", "main") and doubt >= 0:
+                self.doubted[doubt][1] = True
+        self._open.append(Element(tag, drop, scope, node, node if counted else top.inner, doubt))
 
     def _close_implied(self, tag: str) -> None:
         """Close an open paragraph, and what else ``tag`` ends, up to the nearest container."""
@@ -212,27 +224,34 @@ class Page:
         digest = xxhash.xxh3_64_intdigest("\0".join((element.tag, *element.parts)))
         if element.node >= 0:
             self.hashes[element.node] = digest - (1 << 63)
+            self.ends[element.node] = len(self.hashes)
         self._open[-1].parts.append(f"\1{digest:x}")
 
-    def content(self) -> list[tuple[str, tuple[int, ...]]]:
-        """Blocks of the articles, else of main, else of the whole page, with their containers.
+    def content(self) -> list[tuple[str, int]]:
+        """Blocks of the articles, else of main, else of the whole page, with their nearest container (-1: none).
 
         An element goes for its class unless it holds most of the page's text, or the article or main when none
         stands elsewhere; reader comments always go.
         """
         sizes, total, elsewhere = [0] * len(self.doubted), 0, False
         for scope, text, _, doubt in self.blocks:
-            if not any(self.doubted[k][0] for k in doubt):
+            if doubt < 0 or not self.doubted[doubt][0]:
                 total += len(text)
-                for k in doubt:
-                    sizes[k] += len(text)
-            elsewhere |= bool(scope) and not doubt
-        gone = {k for k, (comments, holds) in enumerate(self.doubted)
-                if comments or not (2 * sizes[k] > total or holds and not elsewhere)}
-        blocks = [block for block in self.blocks if gone.isdisjoint(block[3])] if gone else self.blocks
+                if doubt >= 0:
+                    sizes[doubt] += len(text)
+            elsewhere |= bool(scope) and doubt < 0
+        for k in range(len(self.doubted) - 1, -1, -1):  # what an element holds, those around it hold too
+            if (outer := self.around[k]) >= 0:
+                sizes[outer] += sizes[k]
+                self.doubted[outer][1] |= self.doubted[k][1]
+        gone: list[bool] = []
+        for k, (comments, holds) in enumerate(self.doubted):
+            outer = self.around[k]
+            gone.append(comments or not (2 * sizes[k] > total or holds and not elsewhere) or outer >= 0 and gone[outer])
+        blocks = [block for block in self.blocks if block[3] < 0 or not gone[block[3]]]
         scopes = {block[0] for block in blocks}
         wanted = next((s for s in ("article", "main") if s in scopes), "")
-        return [(text, above) for scope, text, above, _ in blocks if scope == wanted]
+        return [(text, inner) for scope, text, inner, _ in blocks if scope == wanted]
 
 
 def host_of(url: Column) -> Column:
@@ -245,19 +264,25 @@ def keyed(pages: DataFrame) -> DataFrame:
                         .alias("host"), F.coalesce("html", F.lit("")).alias("html"))
 
 
-def templates(pages: DataFrame, min_articles: int = MIN_ARTICLES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, hash) of the subtrees that recur beside many distinct articles of their host."""
-
-    def subtrees(batches) -> Iterator[tuple]:
-        for hosts, htmls in batches:
-            for host, html in zip(hosts, htmls):
+def parsed(pages: DataFrame) -> DataFrame:
+    """page_id, url, key, host, article (hash of the content), hashes and ends of the containers, blocks; written once."""
+    def parse(batches) -> Iterator[tuple]:
+        for page_ids, urls, keys, hosts, htmls in batches:
+            for page_id, url, key, host, html in zip(page_ids, urls, keys, hosts, htmls):
                 page = Page(html)
-                article = xxhash.xxh3_64_intdigest("\n".join(text for text, _ in page.content())) - (1 << 63)
-                yield host, None, article  # counts the host's articles
-                for digest in set(page.hashes):
-                    yield host, digest, article
+                content = page.content()
+                article = xxhash.xxh3_64_intdigest("\n".join(text for text, _ in content)) - (1 << 63)
+                yield page_id, url, key, host, article, page.hashes, page.ends, content
+
+    return materialise(stream(keyed(pages), "page_id long, url string, key long, host string, article long, "
+                              "hashes array<long>, ends array<int>, blocks array<struct<text:string,inner:int>>", parse,
+                              per_batch=512), "html-parsed")
 
-    found = stream(keyed(pages).select("host", "html"), "host string, hash long, article long", subtrees)
+
+def templates(pages: DataFrame, min_articles: int = MIN_ARTICLES, min_share: float = MIN_SHARE) -> DataFrame:
+    """(host, hash) of the subtrees that recur beside many distinct articles of their host; ``pages`` as ``parsed``."""
+    none = F.array(F.lit(None).cast("long"))  # counts the host's articles
+    found = pages.select("host", "article", F.explode(F.concat(none, F.array_distinct("hashes"))).alias("hash"))
     counts = (found.groupBy("host", "hash", "article").agg(F.lit(1).alias("one"))
               .groupBy("host", "hash").agg(F.count("one").alias("n")))
     totals = counts.filter("hash is null").select("host", F.col("n").alias("articles"))
@@ -269,25 +294,15 @@ def templates(pages: DataFrame, min_articles: int = MIN_ARTICLES, min_share: flo
 def main_text(pages: DataFrame, min_articles: int = MIN_ARTICLES, min_share: float = MIN_SHARE) -> DataFrame:
     """page_id, url, text, n_chars for every row of ``pages`` (page_id, url, html)."""
     prepare(pages.sparkSession)
-
-    def parse(batches) -> Iterator[tuple]:
-        for page_ids, urls, keys, hosts, htmls in batches:
-            for page_id, url, key, host, html in zip(page_ids, urls, keys, hosts, htmls):
-                page = Page(html)
-                content = page.content()
-                around = sorted({n for _, above in content for n in above})  # containers that hold some text
-                place = {n: k for k, n in enumerate(around)}
-                yield (page_id, url, key, host, [page.hashes[n] for n in around],
-                       [(text, [place[n] for n in above]) for text, above in content])
-
-    parsed = stream(keyed(pages), "page_id long, url string, key long, host string, hashes array<long>, "
-                                  "blocks array<struct<text:string,above:array<int>>>", parse, per_batch=512)
-    gone = (parsed.select("key", "host", F.posexplode("hashes").alias("place", "hash"))
-            .join(templates(pages, min_articles, min_share), ["host", "hash"])
-            .groupBy("key").agg(F.collect_set("place").alias("gone")))
-    cut = F.coalesce("gone", F.array().cast("array<int>"))
-    kept = F.filter("blocks", lambda block: ~F.arrays_overlap(block["above"], F.col("cut")))
+    read = parsed(pages)
+    gone = (read.select("key", "host", F.posexplode(F.arrays_zip("hashes", "ends")).alias("start", "x"))
+            .select("key", "host", F.col("x.hashes").alias("hash"), "start", F.col("x.ends").alias("end"))
+            .join(templates(read, min_articles, min_share), ["host", "hash"])
+            .groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("gone")))
+    cut = F.coalesce("gone", F.array().cast("array<struct<start:int,end:int>>"))
+    kept = F.filter("blocks", lambda block: ~F.exists(
+        F.col("cut"), lambda c: (c["start"] <= block["inner"]) & (block["inner"] < c["end"])))
     text = F.array_join(F.transform(kept, lambda block: block["text"]), "\n\n")
-    return (parsed.drop("hashes", "host").join(gone, "key", "left").withColumn("cut", cut)
+    return (read.select("page_id", "url", "key", "blocks").join(gone, "key", "left").withColumn("cut", cut)
             .select("page_id", "url", text.alias("text"))
             .withColumn("n_chars", F.char_length("text").cast("long")))

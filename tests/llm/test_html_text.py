@@ -35,8 +35,28 @@ def test_text_of_a_page(html):
     assert text_of(html) == CASES[html]
 
 
-def test_deep_nesting_is_linear():
-    assert text_of("<div>" * 20000 + "x" + "</div>" * 20000) == "x"
+@pytest.mark.parametrize("open_, close", [("<div>", "</div>"), ("<div class='menu x'>", "</div>")])
+def test_deep_nesting_is_linear(open_, close):
+    import tracemalloc
+
+    peaks = []
+    for depth in (10_000, 100_000):
+        tracemalloc.start()
+        assert text_of(open_ * depth + "x" + close * depth) == "x"
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 15 * peaks[0]
+
+
+def test_attributes_are_whole_names():
+    story = "<article><p>Story.</p></article>"
+    assert text_of(f"<div style='overflow: hidden'>{story}</div>") == "Story."
+    kept = ["title='a hidden gem'", "data-id='share'", 'data-role="dialog"', "data-hidden", "data-class=menu",
+            "alt='class=menu role=navigation'", "title='x' data-x='id=\"share\"'", "style=overflow:hidden"]
+    for attrs in kept:
+        assert text_of(f"<article><p>Story.</p><div {attrs}>Inside</div></article>") == "Story.\n\nInside", attrs
+    for attrs in ["hidden", "HIDDEN=''", "role=dialog", "Role = 'dialog'", "aria-hidden='true'", "x hidden/"]:
+        assert text_of(f"<article><p>Story.</p><div {attrs}>Inside</div></article>") == "Story.", attrs
 
 
 def page(k, extra=""):
