@@ -264,23 +264,33 @@ def keyed(pages: DataFrame) -> DataFrame:
                         .alias("host"), F.coalesce("html", F.lit("")).alias("html"))
 
 
-def parsed(pages: DataFrame) -> DataFrame:
-    """page_id, url, key, host, article (hash of the content), hashes and ends of the containers, blocks; written once."""
+def subtrees(pages: DataFrame) -> DataFrame:
+    """key, host, article (hash of the content), hashes and ends of the containers of every page, written once."""
     def parse(batches) -> Iterator[tuple]:
-        for page_ids, urls, keys, hosts, htmls in batches:
-            for page_id, url, key, host, html in zip(page_ids, urls, keys, hosts, htmls):
+        for keys, hosts, htmls in batches:
+            for key, host, html in zip(keys, hosts, htmls):
                 page = Page(html)
-                content = page.content()
-                article = xxhash.xxh3_64_intdigest("\n".join(text for text, _ in content)) - (1 << 63)
-                yield page_id, url, key, host, article, page.hashes, page.ends, content
+                article = xxhash.xxh3_64_intdigest("\n".join(text for text, _ in page.content())) - (1 << 63)
+                yield key, host, article, page.hashes, page.ends
 
-    return materialise(stream(keyed(pages), "page_id long, url string, key long, host string, article long, "
-                              "hashes array<long>, ends array<int>, blocks array<struct<text:string,inner:int>>", parse,
-                              per_batch=512), "html-parsed")
+    return materialise(stream(keyed(pages).select("key", "host", "html"),
+                              "key long, host string, article long, hashes array<long>, ends array<int>", parse),
+                       "html-subtrees")
+
+
+def contents(pages: DataFrame) -> DataFrame:
+    """page_id, url, key and the blocks of every page; parsed again, as storing the texts takes more disk than it saves."""
+    def parse(batches) -> Iterator[tuple]:
+        for page_ids, urls, keys, htmls in batches:
+            for page_id, url, key, html in zip(page_ids, urls, keys, htmls):
+                yield page_id, url, key, Page(html).content()
+
+    return stream(keyed(pages).select("page_id", "url", "key", "html"), "page_id long, url string, key long, "
+                  "blocks array<struct<text:string,inner:int>>", parse, per_batch=512)
 
 
 def templates(pages: DataFrame, min_articles: int = MIN_ARTICLES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, hash) of the subtrees that recur beside many distinct articles of their host; ``pages`` as ``parsed``."""
+    """(host, hash) of the subtrees that recur beside many distinct articles of their host; ``pages`` as ``subtrees``."""
     none = F.array(F.lit(None).cast("long"))  # counts the host's articles
     found = pages.select("host", "article", F.explode(F.concat(none, F.array_distinct("hashes"))).alias("hash"))
     counts = (found.groupBy("host", "hash", "article").agg(F.lit(1).alias("one"))
@@ -294,7 +304,7 @@ def templates(pages: DataFrame, min_articles: int = MIN_ARTICLES, min_share: flo
 def main_text(pages: DataFrame, min_articles: int = MIN_ARTICLES, min_share: float = MIN_SHARE) -> DataFrame:
     """page_id, url, text, n_chars for every row of ``pages`` (page_id, url, html)."""
     prepare(pages.sparkSession)
-    read = parsed(pages)
+    read = subtrees(pages)
     gone = (read.select("key", "host", F.posexplode(F.arrays_zip("hashes", "ends")).alias("start", "x"))
             .select("key", "host", F.col("x.hashes").alias("hash"), "start", F.col("x.ends").alias("end"))
             .join(templates(read, min_articles, min_share), ["host", "hash"])
@@ -303,6 +313,6 @@ def main_text(pages: DataFrame, min_articles: int = MIN_ARTICLES, min_share: flo
     kept = F.filter("blocks", lambda block: ~F.exists(
         F.col("cut"), lambda c: (c["start"] <= block["inner"]) & (block["inner"] < c["end"])))
     text = F.array_join(F.transform(kept, lambda block: block["text"]), "\n\n")
-    return (read.select("page_id", "url", "key", "blocks").join(gone, "key", "left").withColumn("cut", cut)
+    return (contents(pages).join(gone, "key", "left").withColumn("cut", cut)
             .select("page_id", "url", text.alias("text"))
             .withColumn("n_chars", F.char_length("text").cast("long")))
