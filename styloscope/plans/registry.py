@@ -56,17 +56,17 @@ def q_position_ratio(spark, sf_dir):
 
 @query("punct_burstiness")
 def q_punct_burstiness(spark, sf_dir):
-    return rh.rhythm(_sentences(spark, sf_dir)).select("problem_id", "sent_idx", "punctuation_burstiness")
+    return rh.rhythm_of_problems(tb.problems(spark, sf_dir)).select("problem_id", "sent_idx", "punctuation_burstiness")
 
 
 @query("length_variance")
 def q_length_variance(spark, sf_dir):
-    return rh.rhythm(_sentences(spark, sf_dir)).select("problem_id", "sent_idx", "length_variance")
+    return rh.rhythm_of_problems(tb.problems(spark, sf_dir)).select("problem_id", "sent_idx", "length_variance")
 
 
 @query("rhythm_pairs")
 def q_rhythm_pairs(spark, sf_dir):
-    return rh.rhythm_pairs(_sentences(spark, sf_dir))
+    return rh.rhythm_pairs_of_problems(tb.problems(spark, sf_dir))
 
 
 @query("pattern_type")
