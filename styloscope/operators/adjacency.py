@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from styloscope.functions import arrays as ar
 from styloscope.functions.arrays import high, let, lets, low, pack, total, upto
 from styloscope.functions.numeric import safe_div
-from styloscope.operators.graphs import graph_inputs
+from styloscope.operators.graphs import POS_PREFIX, graph_inputs
 from styloscope.operators.sequence import with_neighbours
 from styloscope.operators.tokens import normalize_sentences
 
@@ -264,6 +264,29 @@ def edge_table(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, F.inline(let(F.col("graph"), of)))
 
 
+def node_table(norm: DataFrame, keys: list[str]) -> DataFrame:
+    """G2 as rows: keys, node, node_type, pos of every node, from (keys, words, tags, include_pos).
+
+    ``pos`` is the tag of a word's last occurrence (null without tag nodes, and for these themselves): the words are sorted
+    with their places, and the last entry of each run has it.
+    """
+    def of(w: Column, t: Column, with_tags: Column) -> Column:
+        placed = F.sort_array(F.transform(w, lambda x, i: F.struct(x.alias("w"), i.alias("i"), F.get(t, i).alias("t"))))
+
+        def words(s: Column, h: Column) -> Column:
+            last = lambda k: F.get(s, F.coalesce(F.get(h, k + 1), F.size(s)) - 1)
+            return F.transform(h, lambda at, k: F.struct(
+                F.get(s, at)["w"].alias("node"), F.lit("word").alias("node_type"),
+                F.when(with_tags, F.substr(last(k)["t"], F.lit(len(POS_PREFIX) + 1))).alias("pos")))
+
+        tags = F.transform(F.array_distinct(t), lambda x: F.struct(
+            x.alias("node"), F.lit("POS").alias("node_type"), F.lit(None).cast("string").alias("pos")))
+        found = let(placed, lambda s: let(ar.run_heads(F.transform(s, lambda x: x["w"])), lambda h: words(s, h)))
+        return F.when(F.size(w) >= 2, F.when(with_tags, F.concat(found, tags)).otherwise(found))
+
+    return norm.select(*keys, F.inline(lets([F.col("words"), F.col("tags"), F.col("include_pos")], of)))
+
+
 def with_next(rows: DataFrame, values: tuple[str, ...] = ()) -> DataFrame:
     """Graph rows with the next sentence's graph and ``values`` (``graph_next``, ...; null for the last sentence)."""
     return with_neighbours(rows, ["problem_id"], "sent_idx", ["graph", *values], [1])

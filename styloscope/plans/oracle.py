@@ -521,6 +521,11 @@ def register_wan(queries: dict[str, list[str]]):
 
 SQL["wan_edges"] = with_(*WAN_BASE) + "SELECT problem_id, sent_idx, src, dst, weight, edge_type FROM wan_edges"
 
+SQL["wan_nodes"] = with_(*WAN_BASE) + """SELECT problem_id, sent_idx, w AS node, 'word' AS node_type,
+  max_by(CASE WHEN include_pos THEN substr(tag, 5) END, pos) AS pos
+FROM wan_words WHERE nw >= 2 GROUP BY problem_id, sent_idx, w
+UNION ALL SELECT problem_id, sent_idx, node, node_type, NULL FROM wan_nodes WHERE node_type = 'POS'"""
+
 SQL["wan_pairwise"] = with_(*WAN_BASE) + f""", dc AS (
   SELECT d.problem_id, d.sent_idx, d.node, CASE WHEN m.V = 1 THEN 1.0 ELSE CAST(d.deg AS DOUBLE) / (m.V - 1) END AS dc
   FROM wan_deg d JOIN wan_m m USING (problem_id, sent_idx)),

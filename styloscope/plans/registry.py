@@ -185,6 +185,14 @@ def q_wan_edges(spark, sf_dir):
     return ad.edge_table(_wan(spark, sf_dir), ad.KEY)
 
 
+@query("wan_nodes")
+def q_wan_nodes(spark, sf_dir):
+    from styloscope.operators import adjacency as ad
+    from styloscope.operators.graphs import graph_inputs
+    from styloscope.operators.tokens import normalize_sentences
+    return ad.node_table(graph_inputs(normalize_sentences(spark, _sentences(spark, sf_dir)), ad.KEY), ad.KEY)
+
+
 WAN_QUERIES = {
     "wan_global": ["V", "E", "average_degree", "density"],
     "wan_degree": ["degree_centrality_mean", "degree_centrality_std", "degree_centrality_max",

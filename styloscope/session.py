@@ -85,7 +85,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The session's shared checkpoint folder. A local one is set only on a local master that has none (tests, bench);
     on a cluster a missing setting is an error, since executors do not share the driver's folders."""
     current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current and not spark.conf.get("spark.master", "local").split("[")[0] == "local":
+    if not current and not spark.conf.get("spark.master", "unknown").split("[")[0] == "local":
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not current:
         current = tempfile.mkdtemp(prefix="styloscope-ckpt-")

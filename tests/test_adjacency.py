@@ -96,3 +96,14 @@ def test_path_summaries_and_cosines_equal_the_table_form(spark):
 def test_metrics_need_no_exchange(spark):
     rows = ad.graph_rows(inputs(spark, ["a b c"]), KEY)
     assert "Exchange" not in ad.metrics(rows, KEY)._jdf.queryExecution().toString()
+
+
+def test_nodes_carry_the_tag_of_their_last_occurrence(spark):
+    rows = [(0, 0, ["run", "the", "run"], ["POS_NOUN", "POS_DET", "POS_VERB"], True), (0, 1, ["a", "b"], ["POS_X", "POS_Y"], False),
+            (0, 2, ["one"], ["POS_NUM"], True), (0, 3, [], [], True), (0, 4, ["é"] * 3, ["POS_B", "POS_C", "POS_A"], True)]
+    norm = spark.createDataFrame(rows, "problem_id long, sent_idx int, words array<string>, tags array<string>, include_pos boolean")
+    got = sorted((tuple(r[1:]) for r in ad.node_table(norm, KEY).collect()), key=lambda x: (x[0], x[1]))
+    assert got == sorted([
+        (0, "run", "word", "VERB"), (0, "the", "word", "DET"), (0, "POS_NOUN", "POS", None), (0, "POS_DET", "POS", None),
+        (0, "POS_VERB", "POS", None), (1, "a", "word", None), (1, "b", "word", None), (4, "é", "word", "A"),
+        (4, "POS_A", "POS", None), (4, "POS_B", "POS", None), (4, "POS_C", "POS", None)], key=lambda x: (x[0], x[1]))
