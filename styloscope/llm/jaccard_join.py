@@ -15,13 +15,17 @@ How it is spread:
 3. *Stars.* Classes that agree in one of SKETCHES min-hashes are compared with the most central class among them.
    These links are verified and contracted first: a large family of copies becomes one component and its subtrees
    are dropped, instead of holding all pairs of the family.
-4. *Trees.* What remains of a group is an R-tree over dense points of DIMENSIONS group counts. It is searched against
+4. *Crowds.* A family of edited copies without a common centre leaves groups that hold many components. Each class of
+   such a crowd goes to its largest group; the group's tree proposes at most two spanning forests: every class with
+   the hub (a class that most others may link to) that bounds best, and with its best partner of all. Proposals are
+   verified and contracted, and this is repeated as long as it links a fair part of the crowd.
+5. *Trees.* What remains of a group is an R-tree over dense points of DIMENSIONS group counts. It is searched against
    itself; nodes of one component, of incompatible sizes or whose bound is too small are passed over. A group of
    over CHUNK classes is dealt to pairs of chunks, each a tree of its own.
-5. Surviving pairs are verified on their exact sets, and links are contracted to components.
+6. Surviving pairs are verified on their exact sets, and links are contracted to components.
 
-Routing and trees lose no linked pair of different components; stars only save work. Sets are never stored: they are
-recomputed from the text for the classes of surviving pairs, found by a Bloom filter of fixed size.
+Routing and trees lose no linked pair of different components; stars and crowds only save work. Sets are never stored:
+they are recomputed from the text for the classes of surviving pairs, found by a Bloom filter of fixed size.
 
 Edge cases: null texts and texts without words are empty sets, linked with nothing and their own component; with fewer
 than five words the whole sequence is the one shingle; repeated rows are equal texts; rows with a null doc_id get the
@@ -52,6 +56,10 @@ DIMENSIONS = 1024
 LEAF = 24
 FANOUT = 8
 CHUNK = 4096
+#: Classes of a crowd that the others are held against first.
+HUBS = 16
+#: A round over the crowds is followed by another one while it links at least one in CROWD_SHARE of their classes.
+CROWD_SHARE = 16
 BLOOM_BITS = 27
 #: Pairs that a task remembers as judged; it only spares judging them again.
 SEEN = 1 << 19
@@ -237,7 +245,8 @@ def routes(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
 
 
 def shared_routes(routed: DataFrame) -> DataFrame:
-    """Distinct (key, class) of the keys that more than one class goes to."""
+    """Distinct (key, class) of the keys that more than one class goes to; ``routed`` is stored, as it is read twice."""
+    routed = materialise(routed, "jaccard-routed")
     keys = (routed.groupBy("key").agg(F.min("class").alias("least"), F.max("class").alias("most"))
             .filter("least < most").select("key"))
     return materialise(routed.join(keys, "key").distinct(), "jaccard-routes")
@@ -356,6 +365,11 @@ class Tree:
 
     def pairs(self, other: Tree) -> Iterator[tuple[int, int]]:
         """Row pairs (self, other) of different components that may link; for the same tree each pair once."""
+        for mine, theirs, _ in self.blocks(other):
+            yield from zip(mine.tolist(), theirs.tolist())
+
+    def blocks(self, other: Tree) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The pairs of ``pairs`` by leaf, with their bounds, as arrays."""
         stack = [(self.root, other.root)]
         while stack:
             x, y = stack.pop()
@@ -363,7 +377,7 @@ class Tree:
                     np.minimum(x[2], y[2]).sum(dtype=np.int64)) < least_common(x[3] + y[3]):
                 continue
             if x[1] is None and y[1] is None:
-                yield from self._leaves(x[0], other, y[0], x is y)
+                yield self._leaves(x[0], other, y[0], x is y)
             elif y[1] is None or x[1] is not None and len(x[0]) >= len(y[0]) and x is not y:
                 stack += [(child, y) for child in x[1]]
             elif x is y:
@@ -371,7 +385,7 @@ class Tree:
             else:
                 stack += [(x, child) for child in y[1]]
 
-    def _leaves(self, mine: np.ndarray, other: Tree, theirs: np.ndarray, same: bool) -> Iterator[tuple[int, int]]:
+    def _leaves(self, mine: np.ndarray, other: Tree, theirs: np.ndarray, same: bool) -> tuple[np.ndarray, ...]:
         most = np.minimum(self.points[mine][:, None, :], other.points[theirs][None, :, :]).sum(axis=2, dtype=np.int64)
         a, b = self.sizes[mine][:, None], other.sizes[theirs][None, :]
         keep = (100 + PERCENT) * most >= PERCENT * (a + b)
@@ -379,8 +393,8 @@ class Tree:
         keep &= self.parts[mine][:, None] != other.parts[theirs][None, :]
         if same:
             keep = np.triu(keep, 1)
-        for i, j in zip(*(axis.tolist() for axis in np.nonzero(keep))):
-            yield int(mine[i]), int(theirs[j])
+        i, j = np.nonzero(keep)
+        return mine[i], theirs[j], most[i, j]
 
 
 def group_pairs(rows: list[tuple], seen: set[tuple[int, int]]) -> Iterator[tuple[int, int]]:
@@ -401,11 +415,8 @@ def group_pairs(rows: list[tuple], seen: set[tuple[int, int]]) -> Iterator[tuple
                     if int(np.minimum(points[a], points[b]).sum()) >= least_common(n + m):
                         yield pair
         return
-    mine, names, parts, sizes = (np.array([r[k] for r in rows]) for k in (0, 3, 4, 5))
-    points = np.array([unpack_point(r[6]) for r in rows])
-    sides = [np.flatnonzero(mine == low)] + [np.flatnonzero(mine == high)] * (low != high)
-    if all(len(side) for side in sides):
-        trees = [Tree(points[side], sizes[side], parts[side]) for side in sides]
+    names, sides, trees = group_trees(rows)
+    if trees:
         for i, j in trees[0].pairs(trees[-1]):
             a, b = int(names[sides[0][i]]), int(names[sides[-1][j]])
             pair = (a, b) if a > b else (b, a)
@@ -414,40 +425,143 @@ def group_pairs(rows: list[tuple], seen: set[tuple[int, int]]) -> Iterator[tuple
                 yield pair
 
 
-def tree_pairs(shared: DataFrame, classes: DataFrame, joined: DataFrame) -> DataFrame:
-    """(a, b) of different components that share a route and pass the trees' bound.
+def group_trees(rows: list[tuple]) -> tuple[np.ndarray, list[np.ndarray], list[Tree]]:
+    """Class names, rows and tree of each side of a group; one side for a chunk with itself, no tree if one is empty."""
+    low, high = rows[0][1], rows[0][2]
+    mine, names, parts, sizes = (np.array([r[k] for r in rows]) for k in (0, 3, 4, 5))
+    points = np.array([unpack_point(r[6]) for r in rows])
+    sides = [np.flatnonzero(mine == low)] + [np.flatnonzero(mine == high)] * (low != high)
+    if not all(len(side) for side in sides):
+        return names, sides, []
+    return names, sides, [Tree(points[side], sizes[side], parts[side]) for side in sides]
 
-    ``joined``: (node, component) of the links found so far.
-    """
-    labelled = materialise(
+
+class Forest:
+    """Union-find over class names: ``join`` tells whether two names were apart."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (above := self.parent.get(x, x)) != x:
+            self.parent[x] = self.parent.get(above, above)
+            x = above
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        self.parent[max(a, b)] = min(a, b)
+        return a != b
+
+
+def group_proposals(rows: list[tuple], forests: tuple[Forest, Forest]) -> Iterator[tuple[int, int]]:
+    """Likely links of a crowd's rows: each class with its best hub and its best partner, as far as they join trees of
+    the two ``forests``: fewer than two pairs a class, whatever may link."""
+    names, sides, trees = group_trees(rows)
+    if not trees:
+        return
+    first, last = trees[0], trees[-1]
+    counts = [np.zeros(len(t.sizes), np.int64) for t in trees]
+    best = [np.zeros(len(t.sizes)) for t in trees]
+    partner = [np.full(len(t.sizes), -1, np.int64) for t in trees]
+    for i, j, most in first.blocks(last):
+        nearness = most / (first.sizes[i] + last.sizes[j])
+        for at, mine, theirs in ((0, i, j), (-1, j, i)):
+            counts[at] += np.bincount(mine, minlength=len(counts[at]))
+            order = np.argsort(nearness, kind="stable")  # of several pairs of one class the last, nearest one is set
+            nearer = order[nearness[order] > best[at][mine[order]]]
+            best[at][mine[nearer]], partner[at][mine[nearer]] = nearness[nearer], theirs[nearer]
+    found: tuple[list, list] = ([], [])
+    for at, facing in {0: -1, len(trees) - 1: 0}.items():
+        tree, other = trees[at], trees[facing]
+        hubs = np.argsort(-counts[facing], kind="stable")[:HUBS]
+        hubs = hubs[counts[facing][hubs] > 0]
+        near = np.zeros((len(tree.sizes), len(hubs)))
+        for k, hub in enumerate(hubs):
+            total = tree.sizes + other.sizes[hub]
+            near[:, k] = np.minimum(tree.points, other.points[hub]).sum(axis=1, dtype=np.int64) / total
+            near[(tree.parts == other.parts[hub]) | ((100 + PERCENT) * near[:, k] < PERCENT), k] = 0
+        for k in range(len(tree.sizes)):
+            if len(hubs) and near[k].max() > 0:
+                found[0].append((near[k].max(), sides[at][k], sides[facing][hubs[near[k].argmax()]]))
+            if partner[at][k] >= 0:
+                found[1].append((best[at][k], sides[at][k], sides[facing][partner[at][k]]))
+    for pairs, forest in zip(found, forests):
+        for _, i, j in sorted(pairs, key=lambda p: -p[0]):
+            a, b = int(names[i]), int(names[j])
+            if forest.join(a, b):
+                yield (a, b) if a > b else (b, a)
+
+
+def label(shared: DataFrame, links: DataFrame) -> DataFrame:
+    """Routes (key, class, part): ``part`` is the class's component by the links found so far."""
+    joined = components(links)
+    return materialise(
         shared.join(joined, F.col("class") == F.col("node"), "left")
         .select("key", "class", F.coalesce("component", "class").alias("part")), "jaccard-labelled")
-    keys = (labelled.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most"),
-                                        F.count("*").alias("size")).filter("least < most"))
+
+
+def mixed(labelled: DataFrame) -> DataFrame:
+    """(key, size) of the groups that hold more than one component."""
+    return (labelled.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most"),
+                                        F.count("*").alias("size")).filter("least < most").select("key", "size"))
+
+
+def crowds(labelled: DataFrame) -> DataFrame:
+    """(key, class, part, size): each class of a group of over LEAF components in the largest such group."""
+    rows = labelled.join(mixed(labelled).filter(F.col("size") > LEAF).select("key"), "key")
+    crowded = rows.groupBy("key").agg(F.count_distinct("part").alias("size")).filter(F.col("size") > LEAF)
+    own = (rows.join(crowded, "key").groupBy("class", "part").agg(F.max(F.struct("size", "key")).alias("top"))
+           .select(F.col("top.key").alias("key"), "class", "part"))
+    sizes = own.groupBy("key").agg(F.count("*").alias("size"))
+    return materialise(own.join(sizes, "key").select("key", "class", "part", "size"), "jaccard-crowds")
+
+
+def by_group(rows: DataFrame, classes: DataFrame, judge) -> DataFrame:
+    """Distinct (a, b) that ``judge`` (a maker of functions from a group's rows to pairs, one per task) yields for the
+    groups of ``rows`` (key, class, part, size), dealt to pairs of chunks and read in key order."""
     chunks = F.ceil(F.col("size") / CHUNK).cast("int")
-    rows = (labelled.join(keys.select("key", "size"), "key")
-            .withColumn("mine", F.pmod(F.xxhash64("class"), chunks).cast("int"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-            .withColumn("low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other"))
-            .join(classes.select("class", "n", "point"), "class"))
+    dealt = (rows.withColumn("mine", F.pmod(F.xxhash64("class"), chunks).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+             .withColumn("low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other"))
+             .join(classes.select("class", "n", "point"), "class"))
 
     def run(batches) -> Iterator[tuple]:
-        group, held, seen = [], None, set()
+        group, held, pairs = [], None, judge()
         for columns in batches:
             for key, *row in zip(*columns):
                 if (key, row[1], row[2]) != held:
                     if len(group) > 1:
-                        yield from group_pairs(group, seen)
+                        yield from pairs(group)
                     group, held = [], (key, row[1], row[2])
-                    if len(seen) > SEEN:
-                        seen = set()
                 group.append(row)
         if len(group) > 1:
-            yield from group_pairs(group, seen)
+            yield from pairs(group)
+
+    grouped = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return stream(grouped.select("key", "mine", "low", "high", "class", "part", "n", "point"),
+                  "a long, b long", run).distinct()
+
+
+def proposals(crowd: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): likely links within crowds, at most two forests per group."""
+    return materialise(by_group(crowd, classes, lambda: lambda group: group_proposals(group, (Forest(), Forest()))),
+                       "jaccard-proposals")
+
+
+def tree_pairs(labelled: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b) of different components that share a route and pass the trees' bound."""
+    def judge():
+        seen: set[tuple[int, int]] = set()
+
+        def pairs(group: list[tuple]) -> Iterator[tuple[int, int]]:
+            if len(seen) > SEEN:
+                seen.clear()
+            return group_pairs(group, seen)
+
+        return pairs
 
-    grouped = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return materialise(stream(grouped.select("key", "mine", "low", "high", "class", "part", "n", "point"),
-                              "a long, b long", run).distinct(), "jaccard-pairs")
+    return materialise(by_group(labelled.join(mixed(labelled), "key"), classes, judge), "jaccard-pairs")
 
 
 # --- the join --------------------------------------------------------------------------------------------------------
@@ -458,9 +572,15 @@ def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     summary = summarise(docs)
     classes = classes_of(summary)
     shared = shared_routes(routes(docs, coarse_ranks(summary)))
-    first = verified(star_pairs(classes), docs)
-    more = verified(tree_pairs(shared, classes, components(first)), docs)
-    return summary.filter("n is not null").select("doc_id", "n", "class"), classes, first.union(more)
+    links = verified(star_pairs(classes), docs)
+    labelled, linking = label(shared, links), True
+    while linking and (crowded := (crowd := crowds(labelled)).count()):
+        found = verified(proposals(crowd, classes), docs)
+        linking = CROWD_SHARE * found.count() >= crowded
+        links = links.union(found)
+        labelled = label(shared, links)
+    more = verified(tree_pairs(labelled, classes), docs)
+    return summary.filter("n is not null").select("doc_id", "n", "class"), classes, links.union(more)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -482,6 +602,18 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows with one doc_id count as one document; rows with a null doc_id go only when their group has another id.
     """
-    others = near_duplicates(docs).filter("component_id is not null and (doc_id is null or doc_id != component_id)")
+    others = materialise(near_duplicates(docs).filter("component_id is not null and (doc_id is null or "
+                                                      "doc_id != component_id)"), "jaccard-others")
     gone = others.filter("doc_id is not null").select(F.col("doc_id").alias("other_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("other_id"), "left_anti")
+    kept = docs.join(gone, docs["doc_id"] == F.col("other_id"), "left_anti")
+    nameless = others.filter("doc_id is null").select(F.col("class").alias("other_class")).distinct()
+    if nameless.isEmpty():
+        return kept
+
+    @F.pandas_udf("long")
+    def class_name(texts: pd.Series) -> pd.Series:
+        return pd.Series([class_of(s) for s in shingle_sets(texts.tolist())])
+
+    unnamed = docs.filter("doc_id is null")
+    return kept.filter("doc_id is not null").unionByName(
+        unnamed.join(nameless, class_name(unnamed["text"]) == F.col("other_class"), "left_anti"))

@@ -101,6 +101,44 @@ def test_null_ids_and_repeats(spark):
     assert got == sorted([(None, 7), (7, 7), (7, 7), (9, 7), (None, None)], key=str)
 
 
+def test_keep_one_drops_nameless_copies(spark):
+    text = "a b c d e f g"
+    docs = spark.createDataFrame([(None, text), (7, text), (9, text + " "), (None, "alone in here"), (None, None),
+                                  (None, "")], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in jj.keep_one(docs).collect()), key=str)
+    assert got == sorted([(7, text), (None, "alone in here"), (None, None), (None, "")], key=str)
+
+
+@pytest.mark.parametrize("chunk", [4096, 40])
+def test_family_without_centre_gives_few_pairs(spark, monkeypatch, chunk):
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(300)]
+    base = [rng.choice(words) for _ in range(120)]
+    shared = [rng.choice(words) for _ in range(40)]
+    texts = [t for t in family(rng, words, base, 150, 4) if t != " ".join(base)]
+    texts += [" ".join(shared + [rng.choice(words) for _ in range(rng.randrange(5, 40))]) for _ in range(60)]
+    rows = list(enumerate(texts))
+    made = defaultdict(int)
+
+    def counted(name):
+        inner = getattr(jj, name)
+
+        def run(*args):
+            out = inner(*args)
+            made[name] += out.count()
+            return out
+
+        monkeypatch.setattr(jj, name, run)
+
+    monkeypatch.setattr(jj, "CHUNK", chunk)
+    monkeypatch.setattr(jj, "star_pairs", lambda classes: classes.sparkSession.createDataFrame([], "a long, b long"))
+    counted("proposals")
+    counted("tree_pairs")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(jj.near_duplicates(docs)) == {d: (n, c) for d, (n, c) in brute(rows).items()}
+    assert 0 < made["proposals"] and made["proposals"] + made["tree_pairs"] < 12 * len(texts)
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert jj.near_duplicates(docs).collect() == []
