@@ -45,6 +45,11 @@ def nan_inf_to_zero(x) -> Column:
     return F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), F.lit(0.0)).otherwise(x)
 
 
+def repaired(x) -> Column:
+    """P7 for every element of an array; a null array stays null."""
+    return F.transform(c_(x), nan_inf_to_zero)
+
+
 def dot(a, b) -> Column:
     return F.aggregate(F.zip_with(c_(a), c_(b), lambda x, y: x.cast("double") * y.cast("double")),
                        F.lit(0.0), lambda acc, v: acc + v)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from styloscope.functions import lexicons as lx
-from styloscope.functions.numeric import nan_inf_to_zero
+from styloscope.functions.numeric import nan_inf_to_zero, repaired
 from styloscope.operators.sequence import framed, with_neighbours
 
 KEY = ["problem_id", "sent_idx"]
@@ -101,9 +101,11 @@ def assemble_pairs(sent: DataFrame, cols: list[str], positions: DataFrame,
 
 
 def fill_numeric(df: DataFrame, keep: tuple[str, ...] = ("problem_id", "pair_idx", "label", "difficulty")) -> DataFrame:
-    """NaN / +-inf / null -> 0 for every numeric column except keys and the label."""
-    from pyspark.sql.types import NumericType
-    return df.select(*[F.col(f.name) if f.name in keep or not isinstance(f.dataType, NumericType)
+    """NaN / +-inf / null -> 0 for every numeric column except keys and the label, and in arrays of floats."""
+    from pyspark.sql.types import ArrayType, DoubleType, FloatType, NumericType
+    return df.select(*[repaired(f.name).alias(f.name) if f.name not in keep and isinstance(f.dataType, ArrayType)
+                       and isinstance(f.dataType.elementType, (DoubleType, FloatType)) else
+                       F.col(f.name) if f.name in keep or not isinstance(f.dataType, NumericType)
                        else (nan_inf_to_zero(f.name) if f.dataType.typeName() in ("double", "float")
                              else F.coalesce(F.col(f.name), F.lit(0))).alias(f.name)
                        for f in df.schema.fields])

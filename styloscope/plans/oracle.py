@@ -587,6 +587,14 @@ SQL["embedding_pairs"] = with_(EMB) + f"""SELECT problem_id, sent_idx AS pair_id
   {R(f"CASE WHEN {_nrm('e')} = 0 THEN 0.0 ELSE {_nrm('e1')} / {_nrm('e')} END")} AS sbert_norm_ratio
 FROM embn WHERE e1 IS NOT NULL"""
 
+_FINITE = "CASE WHEN {0} IS NULL OR NOT isfinite({0}) THEN 0.0 ELSE {0} END"
+
+SQL["embedding_vectors"] = with_(EMB) + f"""SELECT problem_id, pair_idx, CAST(k - 1 AS INTEGER) AS dim,
+  {R(_FINITE.format("e[k]"))} AS f1_sbert, {R(_FINITE.format("e1[k]"))} AS f2_sbert,
+  {R(_FINITE.format("(e1[k] - e[k])"))} AS delta_sbert
+FROM (SELECT problem_id, sent_idx AS pair_idx, e, e1, unnest(range(1, greatest(len(e), len(e1)) + 1)) AS k
+      FROM embn WHERE e1 IS NOT NULL)"""
+
 SQL["multi_skip_drift"] = with_(EMB) + "SELECT problem_id, sent_idx AS pair_idx, " + ", ".join(
     f"{R(f'CASE WHEN e{k} IS NULL THEN NULL ELSE {_euc(chr(101), f"e{k}")} END')} AS semantic_drift_distance_skip{k}, "
     f"{R(f'CASE WHEN e{k} IS NULL THEN NULL ELSE {_cos(chr(101), f"e{k}")} END')} AS semantic_drift_cosine_skip{k}"

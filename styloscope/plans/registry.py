@@ -245,6 +245,15 @@ def q_embedding_pairs(spark, sf_dir):
     return embedding_pairs(_emb_nb(spark, sf_dir, 1))
 
 
+@query("embedding_vectors")
+def q_embedding_vectors(spark, sf_dir):
+    from styloscope.operators.vectors import vector_pairs
+    pairs = vector_pairs(_emb_nb(spark, sf_dir, 1))
+    return (pairs.select("problem_id", "pair_idx", F.posexplode(F.arrays_zip("f1_sbert", "f2_sbert", "delta_sbert"))
+                         .alias("dim", "v"))
+            .select("problem_id", "pair_idx", "dim", "v.f1_sbert", "v.f2_sbert", "v.delta_sbert"))
+
+
 @query("multi_skip_drift")
 def q_multi_skip_drift(spark, sf_dir):
     from styloscope.operators.vectors import multi_skip_drift

@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 SF = "/root/testdata/sf0.001"
 FAST = ["sentence_split", "position_ratio", "rhythm_pairs", "pattern_blocks", "lexical_stats", "yules_k",
         "marker_flags", "readability", "pos_entropy", "pos_tfidf_cosine", "lemma_overlap", "wan_global",
-        "wan_clustering", "wan_assortativity", "wan_pairwise", "embedding_pairs", "directional_cosine",
+        "wan_clustering", "wan_assortativity", "wan_pairwise", "embedding_pairs", "embedding_vectors", "directional_cosine",
         "clause_ratio", "subject_overlap", "change_labels", "macro_f1", "normalize_sentence"]
 
 

@@ -31,6 +31,21 @@ def emb_df(spark, vecs):
                                  "problem_id long, sent_idx int, embedding array<float>")
 
 
+def test_vectors_of_pairs_are_repaired(spark):
+    from styloscope.operators.pairs import fill_numeric
+    from styloscope.operators.vectors import vector_pairs
+
+    nan, inf = float("nan"), float("inf")
+    e = emb_df(spark, [[1.0, nan, 2.0], [3.0, 1.0, inf], [0.5, None, -inf]])
+    got = {r.pair_idx: r for r in vector_pairs(neighbour_vectors(e, (1,))).collect()}
+    assert sorted(got) == [0, 1]
+    assert got[0].f1_sbert == [1.0, 0.0, 2.0] and got[0].f2_sbert == [3.0, 1.0, 0.0]
+    assert got[0].delta_sbert == [2.0, 0.0, 0.0]
+    assert got[1].f2_sbert == [0.5, 0.0, 0.0] and got[1].delta_sbert == [-2.5, 0.0, 0.0]
+    filled = fill_numeric(emb_df(spark, [[nan, 1.0], None])).orderBy("sent_idx").collect()
+    assert [r.embedding for r in filled] == [[0.0, 1.0], None]
+
+
 def test_zero_vectors_and_edges(spark):
     e = emb_df(spark, [[0.0, 0.0], [1.0, 0.0], [1.0, 1.0], [0.0, 1.0]])
     nb = neighbour_vectors(e)
