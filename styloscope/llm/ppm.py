@@ -9,7 +9,7 @@ to the escape: its estimate is distinct / (2 * occurrences), a symbol's own (2 *
 A byte's code length depends on its (context, byte) gram alone, so everything is a join over distinct things:
 
 1. each task codes its documents as numbers of a vocabulary of its own (a block) and writes both, with the block's
-   distinct grams and their training counts, sorted and packed by bucket of grams;
+   distinct grams and their training counts, sorted and packed by bucket of grams, in planes of like bytes;
 2. vocabularies are summed to the words of the corpus, packed grams to the grams of the corpus. A bucket holds all grams
    of a pair of last context bytes, so it has all nodes of the trie above order 1 that its grams need, and each distinct
    gram is resolved once, in its bucket;
@@ -75,6 +75,16 @@ def spelled(words: list[bytes]) -> bytes:
     return b" ".join([b"", *words, END])
 
 
+def planes(values: np.ndarray) -> bytes:
+    """The values' lowest bytes, then their next ones and so on: like bytes lie together and compress, as integers that
+    are small or in near order do not otherwise."""
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def from_planes(data: bytes, dtype: type = np.int64) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
+
+
 def grams_of(text: bytes, first: int, last: int, within_words: bool) -> np.ndarray:
     """The grams of the text's bytes from ``first`` (at least 1) to before ``last``.
 
@@ -134,12 +144,12 @@ class GramCounts:
             self.parts = [summed(self.parts)]
 
     def buckets(self, n_buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(bucket, sorted keys, counts)."""
+        """(bucket, keys, counts), the keys by the pair of their last two context bytes and ascending."""
         self._count()
         keys, counts = summed(self.parts)
         pair = keys >> 8 & 0xFFFF  # the last two bytes of the context
         bucket = ((pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(n_buckets)
-        order = np.argsort(bucket, kind="stable")
+        order = np.argsort(bucket.astype(np.int64) << 16 | pair, kind="stable")
         ends = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
         for k in range(n_buckets):
             if ends[k] < ends[k + 1]:
@@ -175,7 +185,7 @@ def code_blocks(docs: DataFrame, training: Column, n_buckets: int, within_words:
                 yield batch("word", idx=np.arange(k, k + len(part), dtype=np.int32), word=part,
                             n=counts[k:k + len(part)])
             for k, keys, n in grams.buckets(n_buckets):
-                yield batch("gram", idx=[k], keys=[keys.tobytes()], counts=[n.tobytes()])
+                yield batch("gram", idx=[k], keys=[planes(keys)], counts=[planes(n)])
 
         for found in batches:
             doc_ids, texts, train = (c.to_pylist() for c in found.columns)
@@ -191,7 +201,7 @@ def code_blocks(docs: DataFrame, training: Column, n_buckets: int, within_words:
                 end = at + len(coded)
                 if coded:
                     yield batch("doc", doc_id=doc_ids[at:end], training=train[at:end],
-                                ids=[ids.tobytes() for ids in coded])
+                                ids=[planes(np.frombuffer(ids, np.uint32)) for ids in coded])
                     if any(train[at:end]):
                         used.append(np.concatenate([np.frombuffer(ids, np.uint32)
                                                     for ids, t in zip(coded, train[at:end]) if t]))
@@ -271,7 +281,7 @@ def corpus_grams(packed: DataFrame) -> DataFrame:
         def flush() -> Iterator[tuple]:
             if parts:
                 keys, counts = summed(parts)
-                yield held, keys.tobytes(), counts.tobytes(), None, None
+                yield held, planes(keys), planes(counts), None, None
                 low, place = np.unique(keys & 0xFFFF, return_inverse=True)
                 for k, n in zip(low.tolist(), np.bincount(place, counts).tolist()):
                     if n:
@@ -282,7 +292,7 @@ def corpus_grams(packed: DataFrame) -> DataFrame:
                 if bucket != held:
                     yield from flush()
                     held, parts, size = bucket, [], 0
-                parts.append((np.frombuffer(k, np.int64), np.frombuffer(n, np.int64)))
+                parts.append((from_planes(k), from_planes(n)))
                 size += len(parts[-1][0])
                 if size > SLICE and len(parts) > 1:
                     parts, size = [summed(parts)], 0
@@ -305,9 +315,9 @@ def block_scores(packed: DataFrame) -> DataFrame:
     def look_up(batches) -> Iterator[tuple]:
         for _, blocks, packed_keys, counts in batches:
             for block, k, n in zip(blocks, packed_keys, counts):
-                found = np.frombuffer(k, np.int64)
+                found = from_planes(k)
                 if block is None:  # a bucket's grams come before its blocks
-                    keys, logps = found, resolve(found, np.frombuffer(n, np.int64), low)
+                    keys, logps = found, resolve(found, from_planes(n), low)
                 else:
                     yield block, k, logps[np.searchsorted(keys, found)].tobytes()
 
@@ -340,13 +350,13 @@ def ppm_scores(docs: DataFrame, training: Column, within_words: bool = True) ->
         n, spelling = np.zeros(size, np.int64), np.empty(size, object)
         idx = coded_words["idx"].to_numpy().astype(np.int64)
         n[idx], spelling[idx] = coded_words["n"].to_numpy(), coded_words["word"].to_numpy()
-        keys = np.frombuffer(b"".join(grams["keys"]), np.int64)
+        keys = np.concatenate([np.zeros(0, np.int64), *map(from_planes, grams["keys"])])
         order = np.argsort(keys)
         keys, logp = keys[order], np.frombuffer(b"".join(grams["logps"]), np.float64)[order]
         base, seen = np.log10(n + 1.0) - floor, n > 0
         out = []
         for raw in left["ids"]:
-            ids = np.frombuffer(raw, np.uint32)
+            ids = from_planes(raw, np.uint32)
             text, found = spelled(spelling[ids].tolist()), 0.0
             for first in range(1, len(text), SLICE):
                 wanted = grams_of(text, first, min(first + SLICE, len(text)), within_words)

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,3 +82,15 @@ def test_query_scores_whole_texts(spark):
     want = sorted(brute([(r.doc_id, r.text) for r in docs]))
     assert [d for d, _ in got] == [d for d, _ in want]
     np.testing.assert_allclose([s for _, s in got], [s for _, s in want], rtol=1e-9)
+
+
+def test_packed_grams_and_ids_compress(spark):
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 9))) for _ in range(3000)]
+    docs = spark.createDataFrame([(k, " ".join(rng.choice(words, 200))) for k in range(150)], "doc_id long, text string")
+    rows = ppm.code_blocks(docs.coalesce(1), F.lit(True), 16, False).collect()
+    size = {c: sum(len(pa.compress(r[c], codec="lz4_raw", asbytes=True)) for r in rows if r[c]) for c in ("keys", "counts", "ids")}
+    grams, tokens = (sum(len(r[c]) for r in rows if r[c]) // width for c, width in (("keys", 8), ("ids", 4)))
+    assert size["keys"] < 3 * grams and size["counts"] < 1.5 * grams and size["ids"] < 2.5 * tokens
+    for values in (np.array([], np.int64), np.array([5, -1, 1 << 60, 300]), np.array([7, 70_000], np.uint32)):
+        assert np.array_equal(ppm.from_planes(ppm.planes(values), values.dtype), values)
