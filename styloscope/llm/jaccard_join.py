@@ -24,8 +24,9 @@ How it is spread:
    over CHUNK classes is dealt to pairs of chunks, each a tree of its own.
 6. Surviving pairs are verified on their exact sets, and links are contracted to components.
 
-Routing and trees lose no linked pair of different components; stars and crowds only save work. Sets are never stored:
-they are recomputed from the text for the classes of surviving pairs, found by a Bloom filter of fixed size.
+Routing and trees lose no linked pair of different components; stars and crowds only save work. Sets of all texts are
+never stored: they are recomputed for the classes of surviving pairs, each from one of its texts. That text's print (a
+hash of its bytes, much cheaper than its set) is found by a Bloom filter of fixed size.
 
 Edge cases: null texts and texts without words are empty sets, linked with nothing and their own component; with fewer
 than five words the whole sequence is the one shingle; repeated rows are equal texts; rows with a null doc_id get the
@@ -134,6 +135,11 @@ def class_of(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
+def print_of(text: str) -> int:
+    """Names a text: one text of each class is found again by it, without computing the sets of all others."""
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
 def linked(common: int, a: int, b: int) -> bool:
     return 100 * common >= PERCENT * (a + b - common)
 
@@ -165,7 +171,8 @@ def unpack_point(packed: bytes) -> np.ndarray:
 
 
 def summarise(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, n, class, mins, point) per document and (task, chunk, counts) of each task's coarse group counts."""
+    """Rows (doc_id, n, class, print, mins, point) per document and (task, chunk, counts) of each task's coarse group
+    counts."""
 
     def run(batches) -> Iterator[tuple]:
         from pyspark import TaskContext
@@ -173,30 +180,33 @@ def summarise(docs: DataFrame) -> DataFrame:
         counts = np.zeros(1 << GROUP_BITS, np.int64)
         for doc_ids, texts in batches:
             seen = []
-            for doc_id, shingles in zip(doc_ids, shingle_sets(texts)):
+            for doc_id, text, shingles in zip(doc_ids, texts, shingle_sets(texts)):
                 seen.append(shingles)
-                mins = point = None
+                name = mins = point = None
                 if len(shingles):
+                    name = print_of(text)
                     mins = [int((shingles * odd).min()) - (1 << 63) for odd in _ODD]
                     point = pack_point(point_of(shingles))
-                yield doc_id, len(shingles), class_of(shingles), mins, point, None, None, None
+                yield doc_id, len(shingles), class_of(shingles), name, mins, point, None, None, None
             every = np.concatenate(seen)
             counts += np.bincount((every >> np.uint64(64 - GROUP_BITS)).astype(np.int64), minlength=len(counts))
         task = TaskContext.get().partitionId()
         for chunk, part in enumerate(counts.reshape(-1, GROUP_CHUNK)):
             if part.any():
-                yield None, None, None, None, None, task, chunk, zlib.compress(part.tobytes(), 1)
+                yield None, None, None, None, None, None, task, chunk, zlib.compress(part.tobytes(), 1)
 
     return materialise(stream(docs.select(F.col("doc_id").cast("long"), "text"),
-                              "doc_id long, n long, class long, mins array<long>, point binary, task int, chunk int, "
-                              "counts binary", run), "jaccard-summary")
+                              "doc_id long, n long, class long, print long, mins array<long>, point binary, task int, "
+                              "chunk int, counts binary", run), "jaccard-summary")
 
 
 def classes_of(summary: DataFrame) -> DataFrame:
-    """(class, n, least, mins, point): distinct non-empty sets with their least doc_id."""
+    """(class, n, least, print, mins, point): distinct non-empty sets with their least doc_id and the print of one of
+    their texts."""
     return materialise(
         summary.filter("n > 0").groupBy("class").agg(
-            F.max("n").alias("n"), F.min("doc_id").alias("least"), F.first("mins").alias("mins"),
+            F.max("n").alias("n"), F.min("doc_id").alias("least"),
+            F.min("print").alias("print"), F.first("mins").alias("mins"),
             F.first("point").alias("point")), "jaccard-classes")
 
 
@@ -286,8 +296,8 @@ def star_pairs(classes: DataFrame) -> DataFrame:
 
 # --- sets of the classes that take part ------------------------------------------------------------------------------
 
-def bloom_of(classes: DataFrame) -> np.ndarray:
-    """Bit per class in 2^BLOOM_BITS bits (fixed size; false positives only cost work)."""
+def bloom_of(prints: DataFrame) -> np.ndarray:
+    """Bit per print in 2^BLOOM_BITS bits (fixed size; false positives only cost work)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             slots = np.unique(batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - BLOOM_BITS)).astype(np.int64)
@@ -299,34 +309,42 @@ def bloom_of(classes: DataFrame) -> np.ndarray:
         bits[frame["bit"].to_numpy()] = True
         return pd.DataFrame({"page": frame["page"].iloc[:1], "bits": [np.packbits(bits).tobytes()]})
 
-    slots = classes.select("class").mapInArrow(run, "page long, bit long").distinct()
+    slots = prints.mapInArrow(run, "page long, bit long").distinct()
     bloom = np.zeros(1 << BLOOM_BITS, bool)
     for row in slots.groupBy("page").applyInPandas(page, "page long, bits binary").collect():
         bloom[row.page << 20:(row.page + 1) << 20] = np.unpackbits(np.frombuffer(row.bits, np.uint8)).astype(bool)
     return np.packbits(bloom)
 
 
-def sets_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(class, shingles) once for each of ``classes``, from the texts; and a few more."""
-    bloom = docs.sparkSession.sparkContext.broadcast(bloom_of(classes))  # 2^BLOOM_BITS bits
+def asked(texts: list[str | None], bits: np.ndarray) -> list[str]:
+    """The texts whose prints the Bloom filter has."""
+    out = []
+    for text in texts:
+        if text:
+            slot = (print_of(text) & (1 << 64) - 1) >> (64 - BLOOM_BITS)
+            if bits[slot >> 3] >> (7 - (slot & 7)) & 1:
+                out.append(text)
+    return out
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame, classes: DataFrame) -> DataFrame:
+    """(class, shingles) once for each class of ``wanted``, from the texts; and a few more."""
+    prints = classes.join(wanted, "class", "left_semi").select("print")
+    bloom = docs.sparkSession.sparkContext.broadcast(bloom_of(prints))  # 2^BLOOM_BITS bits
 
     def run(batches) -> Iterator[tuple]:
-        bits = bloom.value
         for (texts,) in batches:
-            for shingles in shingle_sets(texts):
+            for shingles in shingle_sets(asked(texts, bloom.value)):
                 if len(shingles):
-                    name = class_of(shingles)
-                    slot = (name & (1 << 64) - 1) >> (64 - BLOOM_BITS)
-                    if bits[slot >> 3] >> (7 - (slot & 7)) & 1:
-                        yield name, shingles.tobytes()
+                    yield class_of(shingles), shingles.tobytes()
 
     found = stream(docs.select("text"), "class long, shingles binary", run, per_batch=512)
     return found.groupBy("class").agg(F.first("shingles").alias("shingles"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (a, b) whose exact sets link. Both joins read one exchange of the sets by class."""
-    sets = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct())
+    sets = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), classes)
     both = (pairs.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("set_a")), "a")
             .join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("set_b")), "b"))
 
@@ -572,14 +590,14 @@ def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     summary = summarise(docs)
     classes = classes_of(summary)
     shared = shared_routes(routes(docs, coarse_ranks(summary)))
-    links = verified(star_pairs(classes), docs)
+    links = verified(star_pairs(classes), docs, classes)
     labelled, linking = label(shared, links), True
     while linking and (crowded := (crowd := crowds(labelled)).count()):
-        found = verified(proposals(crowd, classes), docs)
+        found = verified(proposals(crowd, classes), docs, classes)
         linking = CROWD_SHARE * found.count() >= crowded
         links = links.union(found)
         labelled = label(shared, links)
-    more = verified(tree_pairs(labelled, classes), docs)
+    more = verified(tree_pairs(labelled, classes), docs, classes)
     return summary.filter("n is not null").select("doc_id", "n", "class"), classes, links.union(more)
 
 

@@ -139,6 +139,19 @@ def test_family_without_centre_gives_few_pairs(spark, monkeypatch, chunk):
     assert 0 < made["proposals"] and made["proposals"] + made["tree_pairs"] < 12 * len(texts)
 
 
+def test_sets_are_recomputed_from_one_text_a_class(spark):
+    rows = [(1, "a b c d e f g"), (2, "A b c d e f g "), (3, "h i j k l m n o"), (4, None), (5, ""), (None, "p q r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    classes = jj.classes_of(jj.summarise(docs))
+    name = {t: jj.class_of(s) for t, s in zip([t for _, t in rows], jj.shingle_sets([t for _, t in rows]))}
+    wanted = spark.createDataFrame([(name[rows[0][1]],), (name["p q r"],)], "class long")
+    bits = jj.bloom_of(classes.join(wanted, "class", "left_semi").select("print"))
+    asked = jj.asked([t for _, t in rows], bits)
+    assert len(asked) == 2 and "p q r" in asked and jj.asked([rows[0][1], rows[1][1]], bits) == asked[:1]
+    got = {r["class"]: bytes(r.shingles) for r in jj.sets_of(docs, wanted, classes).collect()}
+    assert got == {jj.class_of(s): s.tobytes() for s in jj.shingle_sets([rows[0][1], "p q r"])}
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert jj.near_duplicates(docs).collect() == []
