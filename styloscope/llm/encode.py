@@ -8,7 +8,9 @@ chunks in order:
   pattern always breaks there and takes that one space along.
 
 Inside a chunk, ASCII/Latin-1 letters followed by ASCII punctuation (no apostrophe) are two separate
-pre-tokens. Distinct chunks are encoded by the library; the memo only avoids encoding a word again. A text
+pre-tokens. Distinct chunks are encoded by the library; the memo only avoids encoding a word again. With byte-level
+BPE, letters alone are one pre-token and go straight to the library's BPE model, spelled in its byte-level alphabet;
+a line feed between two words (the first with or without punctuation) is a pre-token of its own. A text
 with ``<|`` could contain a special string and goes to the library whole, as does every text of a tokenizer
 whose pre-tokenizer is neither of the two.
 """
@@ -18,6 +20,8 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
+from itertools import chain
 
 import numpy as np
 
@@ -28,6 +32,23 @@ MEMO_CHARS = 48
 
 _GLUED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)").fullmatch
 _SPACE_BEFORE_WORD = re.compile(r" (?=\S)").split
+_OTHER_SPACE = re.compile(r" (?!\S)").search
+#: Word, punctuation, and maybe line feed, word, punctuation.
+_WORDS = re.compile(rf"{(w := "([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@[-`{-~]*)")}(?:\n{w})?").fullmatch
+
+
+class Memo(dict):
+    """Ids of the chunks of a byte-level BPE after ``prefix``, found when a chunk is looked up for the first time."""
+
+    def __init__(self, owner: Encoder, prefix: str):
+        super().__init__()
+        self.owner, self.prefix = owner, prefix
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.owner.chunk_ids(self, chunk)
+        if len(chunk) <= MEMO_CHARS:
+            self[chunk] = ids
+        return ids
 
 
 class Encoder:
@@ -44,9 +65,18 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.kind = self._kind(spec)
-        self.memo: dict[str, bytes] = {"": b""}
+        self.memo: dict[str, bytes] = Memo(self, " ") if self.kind == "byte" else {"": b""}
         #: Pieces without a leading space (byte-level BPE only; for word-end BPE the two memos coincide).
-        self.bare: dict[str, bytes] = {"": b""} if self.kind == "byte" else self.memo
+        self.bare: dict[str, bytes] = Memo(self, "") if self.kind == "byte" else self.memo
+        #: Byte-level spelling of a space and Latin-1 letters (ASCII letters stand for themselves); empty if an added
+        #: token could be inside a word.
+        self.spelling: dict[int, str] = {}
+        if self.kind == "byte" and all("<|" in t["content"] for t in spec.get("added_tokens") or []):
+            from tokenizers.pre_tokenizers import ByteLevel
+
+            spell = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+            self.spelling = {c: spell(chr(c))[0][0] for c in (ord(" "), *range(0xC0, 0x100))}
+        self.model, self.code = self.library.model, "H" if self.width == 2 else "I"
         #: Chunks of the texts at hand that are too long to be kept.
         self.long: list[tuple[dict[str, bytes], str]] = []
 
@@ -68,6 +98,19 @@ class Encoder:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in found]
 
+    def chunk_ids(self, memo: Memo, chunk: str) -> bytes:
+        """Ids of a chunk of byte-level BPE after the prefix of ``memo``."""
+        found = _WORDS(chunk) if self.spelling else None
+        if not found:
+            return self._library([memo.prefix + chunk])[0]
+        word, tail, second, last = found.groups("")
+        if word == chunk:
+            spelt = memo.prefix + word if word.isascii() else memo.prefix + word.translate(self.spelling)
+            spelt = spelt.replace(" ", self.spelling[32])
+            return array(self.code, [t.id for t in self.model.tokenize(spelt)]).tobytes()
+        ids = memo[word] + self.bare[tail]
+        return ids + self.bare["\n"] + self.bare[second] + self.bare[last] if second else ids
+
     def _fill(self, memo: dict[str, bytes], chunks: set[str], prefix: str) -> None:
         """Encode the chunks that ``memo`` lacks; letters with trailing punctuation are put together from two pieces."""
         new = chunks.difference(memo)
@@ -110,16 +153,12 @@ class Encoder:
                 split.append((i, t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
                               .replace("\n", " ").split(" ")))
             else:
-                split.append((i, _SPACE_BEFORE_WORD(t)))
-        if self.kind == "word":
+                parts = iter(_SPACE_BEFORE_WORD(t) if _OTHER_SPACE(t) else t.split(" "))
+                out[i] = b"".join(chain((self.bare[next(parts)],), map(self.memo.__getitem__, parts)))
+        if split:
             self._fill(self.memo, set().union(*(p for _, p in split)), "")
             for i, parts in split:
                 out[i] = b"".join(map(self.memo.__getitem__, parts))
-        else:
-            self._fill(self.bare, {p[0] for _, p in split}, "")
-            self._fill(self.memo, set().union(*(p[1:] for _, p in split)), " ")
-            for i, parts in split:
-                out[i] = self.bare[parts[0]] + b"".join(map(self.memo.__getitem__, parts[1:]))
         for memo, chunk in self.long:
             memo.pop(chunk, None)
         self.long.clear()
