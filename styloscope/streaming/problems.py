@@ -20,10 +20,12 @@ from styloscope.sources.tables import difficulty_of
 
 
 def document_stream(spark: SparkSession, sf_dir: str, max_files: int = 1) -> DataFrame:
-    """The ``documents`` table as a stream of problem rows (problem_id, difficulty, text)."""
-    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet").schema
-    raw = (spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet")
-           .option("maxFilesPerTrigger", max_files).parquet(sf_dir))
+    """The ``documents`` table, one file or a folder of part files, as a stream of problem rows (problem_id, difficulty,
+    text)."""
+    table = f"{sf_dir.rstrip('/')}/documents.parquet"
+    schema = spark.read.parquet(table).schema
+    # a stream takes a single file only by a pattern; this one matches the table's file or its folder
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(f"{table[:-1]}[t]")
     return raw.select(F.col("doc_id").alias("problem_id"), difficulty_of(F.col("doc_id")).alias("difficulty"),
                       strip_ws("text").alias("text"))
 

@@ -58,6 +58,17 @@ def test_streamed_flagship_equals_batch(spark):
     assert a == b and len(a) > 0
 
 
+def test_stream_of_a_table_of_several_files(spark, tmp_path):
+    import __spark_entry__ as entry
+    rows = [(i, f"One line {i}!\nTwo lines, {i}.\nThree? {'x' * i}") for i in range(12)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    q = entry.queries()
+    a = sorted(tuple(r) for r in q["rhythm_pairs"](spark, f"{tmp_path}").collect())
+    b = sorted(tuple(r) for r in q["stream_rhythm_pairs"](spark, f"{tmp_path}").select(
+        "problem_id", "pair_idx", "delta_punctuation_burstiness", "delta_length_variance").collect())
+    assert a == b and len(a) == 24
+
+
 def test_retried_batch_counts_once_and_runs_resume(spark, tmp_path):
     from styloscope.streaming.problems import problem_file_stream, run_incremental
     (tmp_path / "in" / "easy").mkdir(parents=True)
