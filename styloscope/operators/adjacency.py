@@ -11,12 +11,17 @@ the edges over the borders put in, so the tokens of a window are not gone throug
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from styloscope.functions import arrays as ar
 from styloscope.functions.arrays import high, let, lets, low, pack, total, upto
 from styloscope.functions.numeric import safe_div
+from styloscope.operators import graph_arrays as ga
 from styloscope.operators.graphs import POS_PREFIX, graph_inputs
 from styloscope.operators.sequence import with_neighbours
 from styloscope.operators.tokens import normalize_sentences
@@ -92,151 +97,54 @@ def joined(graphs: Column) -> Column:
     return let(F.filter(graphs, lambda x: x["n_tokens"] > 0), build)
 
 
-def _spread(n: Column, s: Column, q: Column) -> Column:
-    """Population standard deviation from count, sum and sum of squares (integers)."""
-    return F.when(n > 0, F.sqrt((n.cast("long") * q - s * s).cast("double")) / n).otherwise(0.0)
-
-
 def _squares(values: Column) -> Column:
     return total(F.transform(values, lambda x: x.cast("long") * x))
 
 
-def _summaries(prefix: str, n: Column, s: Column, q: Column, most: Column, least: Column) -> list[Column]:
-    """Degree centrality (degree / (n - 1), or 1 for one node): mean, standard deviation, max, min."""
-    scaled = lambda x: F.when(n == 0, 0.0).when(n == 1, 1.0).otherwise(safe_div(x, n - 1))
-    spread = F.when(n <= 1, 0.0).otherwise(safe_div(_spread(n, s, q), n - 1))
-    return [scaled(safe_div(s, n)).alias(f"{prefix}_mean"), spread.alias(f"{prefix}_std"),
-            scaled(most).alias(f"{prefix}_max"), scaled(least).alias(f"{prefix}_min")]
-
-
-def degree_fields(g: Column, out: Column, into: Column) -> list[Column]:
-    """G4, G5, G8, G9, G13, G15, G17, G18 (degree), G19, G20 from the degrees out of and into each node."""
-    v, e = F.size(g["nodes"]), F.size(g["edges"])
-    tags_from = F.size(F.filter(g["nodes"], lambda x: ~is_tag(x)))
-
-    def fields(deg: Column, first: Column) -> Column:
-        tags, pos = v - first, F.slice(deg, first + 1, v - first)
-        s, q, pos_s = total(deg), _squares(deg), total(pos)
-        counts = ar.run_lengths(F.sort_array(deg))
-        entropy = F.log(v) - F.aggregate(counts, F.lit(0.0), lambda acc, c: acc + c * F.log(c)) / v
-        pos_dc = _summaries("pos_centrality", tags, pos_s, _squares(pos), F.lit(0), F.lit(0))
-        return F.struct(
-            v.cast("long").alias("V"), e.cast("long").alias("E"), safe_div(2 * e, v).alias("average_degree"),
-            F.when(v > 1, safe_div(e, v.cast("double") * (v - 1))).otherwise(0.0).alias("density"),
-            *_summaries("degree_centrality", v, s, q, F.array_max(deg), F.array_min(deg)),
-            safe_div(e, v).alias("in_degree_mean"), _spread(v, total(into), _squares(into)).alias("in_degree_std"),
-            safe_div(e, v).alias("out_degree_mean"), _spread(v, total(out), _squares(out)).alias("out_degree_std"),
-            safe_div(F.size(F.filter(deg, lambda d: d >= 3)), v).alias("star_ratio"),
-            tags.cast("long").alias("pos_node_count"), safe_div(pos_s, tags).alias("pos_avg_degree"),
-            F.when(tags > 1, safe_div(pos_s / 2, tags.cast("double") * (tags - 1))).otherwise(0.0).alias("pos_density"),
-            pos_dc[0], pos_dc[1], entropy.alias("degree_entropy"))
-
-    return [lets([F.zip_with(out, into, lambda a, b: a + b), tags_from], fields)]
-
-
-def transition_fields(g: Column) -> list[Column]:
-    """Entropy of the tag-to-tag edges, each once, and by weight; 0 without such edges."""
-    pairs = F.arrays_zip(g["edges"].alias("edge"), g["weights"].alias("weight"))
-    tag_weights = F.transform(F.filter(pairs, lambda p: is_tag(F.get(g["nodes"], high(p["edge"])))), lambda p: p["weight"])
-
-    def fields(w: Column) -> Column:
-        some, by_weight = F.size(w) > 0, F.aggregate(w, F.lit(0.0), lambda acc, x: acc + x * F.log(x))
-        return F.struct(F.when(some, F.log(F.size(w))).otherwise(0.0).alias("pos_transition_entropy"),
-                        F.when(some, F.log(total(w)) - by_weight / total(w)).otherwise(0.0)
-                        .alias("pos_transition_entropy_weighted"))
-
-    return [let(tag_weights, fields)]
-
-
-def assortativity_field(g: Column, out: Column, into: Column) -> list[Column]:
-    """Pearson correlation over edges of the source's out-degree and the target's in-degree; null if undefined.
-
-    Sums over edges of a node's number are sums over nodes, each as often as it is an end.
-    """
-    n = F.size(g["edges"]).cast("long")
-    cubes = lambda d: total(F.transform(d, lambda x: x.cast("long") * x * x))
-    products = total(F.transform(g["edges"], lambda e: F.get(out, high(e)).cast("long") * F.get(into, low(e))))
-
-    def field(x: Column, y: Column, xx: Column, yy: Column, xy: Column) -> Column:
-        spread = F.sqrt((n * xx - x * x).cast("double") * (n * yy - y * y).cast("double"))
-        return F.struct(F.when(F.size(g["nodes"]) <= 1, 0.0).when(spread == 0, F.lit(None).cast("double"))
-                        .otherwise(F.try_divide((n * xy - x * y).cast("double"), spread)).alias("assortativity"))
-
-    return [lets([_squares(out), _squares(into), cubes(out), cubes(into), products], field)]
-
-
-def clustering_fields(g: Column) -> list[Column]:
-    """Average clustering over all nodes and the number of triangles of the undirected graph.
-
-    Nodes are numbered by (degree, place) and each edge goes from the lower to the higher number, so a triangle is found
-    once, as a common neighbour of an edge's ends, and no neighbour list is longer than the root of twice the edges. A
-    triangle adds 2 / (k (k - 1)) for each of its nodes to the sum of the nodes' coefficients.
-    """
-    v = F.size(g["nodes"])
-    both_ways = F.transform(g["edges"], lambda e: F.when(high(e) < low(e), e).otherwise(pack(low(e), high(e))))
-
-    def by_rank(edges: Column) -> Column:
-        turned = F.transform(edges, lambda e: pack(low(e), high(e)))
-        degrees = ar.differences(ar.offsets(F.concat(edges, turned), v))
-        return let(F.sort_array(F.transform(degrees, lambda k, i: pack(k, i))), lambda order: numbered(edges, order))
-
-    def numbered(edges: Column, order: Column) -> Column:
-        rank = F.transform(F.sort_array(F.transform(order, lambda x, r: pack(low(x), r))), low)
-        share = F.transform(order, lambda x: let(high(x).cast("double"), lambda k: F.when(k >= 2, 2.0 / (k * (k - 1)))
-                                                 .otherwise(0.0)))
-
-        def oriented(at: Column) -> Column:
-            return F.sort_array(F.transform(edges, lambda e: lets([F.get(at, high(e)), F.get(at, low(e))], lambda a, b: pack(
-                F.least(a, b), F.greatest(a, b)))))
-
-        return lets([rank, share], lambda at, c: let(oriented(at), lambda es: triangles(es, c)))
-
-    def triangles(edges: Column, share: Column) -> Column:
-        def counted(start: Column, ends: Column) -> Column:
-            def after(node: Column) -> Column:
-                return F.slice(ends, F.get(start, node) + 1, F.get(start, node + 1) - F.get(start, node))
-
-            def found(e: Column) -> Column:
-                return let(F.array_intersect(after(high(e)), after(low(e))), lambda common: F.struct(
-                    F.size(common).alias("n"),
-                    (F.size(common) * (F.get(share, high(e)) + F.get(share, low(e)))
-                     + F.aggregate(common, F.lit(0.0), lambda acc, w: acc + F.get(share, w))).alias("c")))
-
-            return let(F.transform(edges, found), lambda t: F.struct(
-                F.when(v > 1, F.floor(F.aggregate(t, F.lit(0.0), lambda acc, x: acc + x["c"]) / v * 1e12 + 0.5)
-                       .cast("double") / 1e12).otherwise(0.0).alias("average_clustering"),
-                total(F.transform(t, lambda x: x["n"])).alias("triangle_count")))
-
-        return lets([ar.offsets(edges, v), F.transform(edges, low)], counted)
-
-    return [let(F.sort_array(F.array_distinct(both_ways)), by_rank)]
-
-
-FAMILIES = ("degree", "assortativity", "clustering", "transition")
+#: The metrics of each family, in order.
+FAMILY_COLUMNS = {
+    "degree": ["V", "E", "average_degree", "density", "degree_centrality_mean", "degree_centrality_std",
+               "degree_centrality_max", "degree_centrality_min", "in_degree_mean", "in_degree_std", "out_degree_mean",
+               "out_degree_std", "star_ratio", "pos_node_count", "pos_avg_degree", "pos_density", "pos_centrality_mean",
+               "pos_centrality_std", "degree_entropy"],
+    "assortativity": ["assortativity"],
+    "clustering": ["average_clustering", "triangle_count"],
+    "transition": ["pos_transition_entropy", "pos_transition_entropy_weighted"],
+}
+COUNTS = {"V", "E", "pos_node_count", "triangle_count"}
+FAMILIES = tuple(FAMILY_COLUMNS)
 
 
 def metrics(rows: DataFrame, keys: list[str], families: tuple[str, ...] = FAMILIES, every_row: bool = False) -> DataFrame:
     """(keys, metrics of the ``families``) of every row whose graph has two tokens or more.
 
-    With ``every_row`` the other rows stay, with null metrics.
+    With ``every_row`` the other rows stay, with null metrics. A row in, a row out: the graphs of a batch are measured
+    together (``graph_arrays``), without an exchange.
     """
-    def of(g: Column) -> Column:
-        def with_degrees(out: Column, into: Column) -> Column:
-            parts = []
-            for family in families:
-                parts += {"degree": lambda: degree_fields(g, out, into), "clustering": lambda: clustering_fields(g),
-                          "assortativity": lambda: assortativity_field(g, out, into),
-                          "transition": lambda: transition_fields(g)}[family]()
-            return F.struct(*[p.alias(name) for name, p in zip(families, parts)])
-
-        v = F.size(g["nodes"])
-        turned = F.sort_array(F.transform(g["edges"], lambda e: pack(low(e), high(e))))
-        every = lets([ar.differences(ar.offsets(g["edges"], v)), ar.differences(ar.offsets(turned, v))], with_degrees)
-        has = g["n_tokens"] >= 2
-        return F.array(F.when(has, every)) if every_row else F.when(has, F.array(every))
-
-    # a filter on the graph would be pushed below and build every graph twice; an absent array gives no row
-    return rows.select(*keys, F.inline(let(F.col("graph"), of))).select(*keys, *[f"{f}.*" for f in families])
+    columns = {c: pa.int64() if c in COUNTS else pa.float64() for f in families for c in FAMILY_COLUMNS[f]}
+
+    def measure(g: ga.Graphs, part: dict[str, pa.Array]) -> dict[str, object]:
+        words, found = part["words"].to_numpy(zero_copy_only=False), {}
+        out, into = g.degrees()
+        for family in families:
+            found |= {"degree": lambda: ga.degree_values(g, out, into, words),
+                      "clustering": lambda: ga.clustering_values(g),
+                      "assortativity": lambda: ga.assortativity_values(g, out, into),
+                      "transition": lambda: ga.transition_values(g, words, ga.lists(part["w"])[1])}[family]()
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from ga.measured(batch, columns, every_row, measure)
+
+    def read(g: Column) -> Column:
+        words = F.size(F.filter(g["nodes"], lambda x: ~is_tag(x))).alias("words")
+        return ga.packed(g, words, *[g["weights"].alias("w")] * ("transition" in families))
+
+    added = [StructField(c, LongType() if c in COUNTS else DoubleType()) for c in columns]
+    # one expression of the graph: several would each build it again where it is not stored
+    return rows.select(*keys, let(F.col("graph"), read).alias("_g")).mapInArrow(
+        run, StructType(rows.select(*keys).schema.fields + added))
 
 
 def graph_rows(norm: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,12 +1,13 @@
 """Betweenness, closeness and eigenvector centrality per graph.
 
-Exact path metrics need a whole graph in one place, so this is the one family that runs a kernel. Node and edge
-rows are dealt by graph and streamed in graph order through Arrow, so a task turns many small graphs into rows
-without a call per graph. A graph is bounded by one sentence (or window of sentences).
+Exact path metrics need a whole graph in one place, so this is a family that runs a kernel, on many graphs at once
+(``graph_arrays.Graphs``): a task turns the graphs of a batch into rows without numpy calls per graph. A graph is bounded
+by one sentence (or window of sentences).
 
-Distances are found by level-synchronous breadth-first search over the edge list, for a block of sources at a time:
-each level adds the path counts of every edge's source to its target. A block has so many sources that its arrays
-hold about ``BLOCK_CELLS`` numbers, so memory is linear in nodes + edges at every size, by one algorithm.
+Searches are level-synchronous, for the sources of as many graphs, or of as large a part of one graph, as hold about
+``BLOCK_CELLS`` numbers, so memory does not grow with the batch and is linear in nodes + edges for one graph. Distances are
+searched for 64 sources at a time, one bit each: a level is one OR over the edges. Path counts go along the edges out of the
+nodes found last, and back over the same steps.
 
 Definitions (directed, unweighted):
 * closeness(u) uses distances *into* u: with r nodes reaching u (u included) and total distance T,
@@ -26,68 +27,154 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from styloscope.functions.arrays import MASK
+from styloscope.functions.arrays import let
+from styloscope.operators.graph_arrays import Graphs, heads, measured, packed, ranges, slices
 
 BLOCK_CELLS = 1 << 20
 TOL = 1e-6
 METRICS = ("betweenness", "closeness", "eigenvector")
-
-
-def _add_by(groups: np.ndarray, ends: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Sum the columns of ``values`` into n columns; ``groups`` are the distinct targets, ``ends`` where each begins."""
-    out = np.zeros((len(values), n))
-    if len(groups):
-        out[:, groups] = np.add.reduceat(values, ends, axis=1)
-    return out
-
-
-def path_metrics(src: np.ndarray, dst: np.ndarray, n: int, between: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per node: total distance from the nodes that reach it, their number, and the dependency sum (if ``between``)."""
-    total, reached, dependency = np.zeros(n), np.zeros(n), np.zeros(n)
-    by_dst, by_src = np.argsort(dst, kind="stable"), np.argsort(src, kind="stable")
-    into, into_at = np.unique(dst[by_dst], return_index=True)
-    out_of, out_at = np.unique(src[by_src], return_index=True)
-    block = max(1, BLOCK_CELLS // max(1, n + len(src)))
-    for first in range(0, n, block):
-        sources = np.arange(first, min(n, first + block))
-        rows = np.arange(len(sources))
-        dist = np.full((len(sources), n), -1, np.int64)
-        paths = np.zeros((len(sources), n))
-        dist[rows, sources] = 0
-        paths[rows, sources] = 1.0
-        frontier, level = paths.copy(), 0
+WORD_BITS = 64
+#: Levels between two looks for graphs whose search has ended.
+LOOK = 16
+
+
+def distances(g: Graphs) -> tuple[np.ndarray, np.ndarray]:
+    """Per node: total distance from the nodes that reach it, and their number (itself included)."""
+    total, reached = np.zeros(len(g.gid), np.int64), np.zeros(len(g.gid), np.int64)
+    by_dst = np.argsort(g.dst, kind="stable")
+    src, dst = g.src[by_dst], g.dst[by_dst]
+    blocks = -(-g.n // WORD_BITS)
+    of, block = np.repeat(np.arange(g.size), blocks), ranges(np.zeros(g.size, np.int64), blocks)
+    for first, last in slices(g.n[of] + g.e[of], BLOCK_CELLS):
+        graphs = of[first:last]
+        size = g.n[graphs]
+        base = np.cumsum(size) - size
+        node, edge = ranges(g.off[graphs], size), ranges(g.e_off[graphs], g.e[graphs])
+        shift = np.repeat(base - g.off[graphs], g.e[graphs])
+        s, d = src[edge] + shift, dst[edge] + shift
+        place = ranges(np.zeros(len(graphs), np.int64), size)
+        here = place // WORD_BITS == np.repeat(block[first:last], size)
+        found = np.where(here, np.uint64(1) << (place % WORD_BITS).astype(np.uint64), np.uint64(0))
+        seen, away, at, level = found.copy(), np.zeros(len(node), np.int64), None, 0
+        part = np.repeat(np.arange(len(graphs)), size)
         while True:
-            new = _add_by(into, into_at, frontier[:, src[by_dst]], n)
-            new[dist >= 0] = 0.0
-            if not new.any():
+            bits = found[s]
+            live = np.flatnonzero(bits)
+            if not len(live):
                 break
-            level += 1
-            dist[new > 0] = level
-            paths += new
-            frontier = new
-        total += np.where(dist > 0, dist, 0).sum(axis=0)
-        reached += (dist >= 0).sum(axis=0)
-        if between:
-            delta = np.zeros((len(sources), n))
-            for at in range(level, 0, -1):
-                share = np.divide(1.0 + delta, paths, out=np.zeros_like(delta), where=dist == at)
-                back = _add_by(out_of, out_at, share[:, dst[by_src]], n)
-                delta += np.where(dist == at - 1, paths * back, 0.0)
-            delta[rows, sources] = 0.0
-            dependency += delta.sum(axis=0)
-    return total, reached, dependency
-
-
-def _eigenvector(src: np.ndarray, dst: np.ndarray, n: int, max_iter: int):
-    x = np.full(n, 1.0 / n)
+            if level % LOOK == LOOK - 1:  # only the edges of graphs that are still searched
+                going = np.zeros(len(graphs), bool)
+                going[part[s[live]]] = True
+                keep = going[part[s]]
+                s, d, bits = s[keep], d[keep], bits[keep]
+                live = np.flatnonzero(bits)
+            ends = d[live]
+            first_of = heads(ends)
+            target = ends[first_of]
+            new = np.bitwise_or.reduceat(bits[live], first_of) & ~seen[target]
+            if at is None:
+                found[:] = 0
+            else:
+                found[at] = 0
+            at, level = target, level + 1
+            found[at] = new
+            seen[at] |= new
+            away[at] += level * np.bitwise_count(new).astype(np.int64)
+        np.add.at(total, node, away)
+        np.add.at(reached, node, np.bitwise_count(seen).astype(np.int64))
+    return total, reached
+
+
+def dependencies(g: Graphs) -> np.ndarray:
+    """Per node: the sum over all sources of Brandes' dependency on it, the source's own left out."""
+    sums, degree = np.zeros(len(g.gid)), np.bincount(g.src, minlength=len(g.gid))
+    start = np.cumsum(degree) - degree
+    dst = g.dst[np.argsort(g.src, kind="stable")]
+    for first, last in slices((g.n + g.e)[g.gid], BLOCK_CELLS):
+        graphs = g.gid[first:last]
+        size = g.n[graphs]
+        base = np.cumsum(size) - size
+        node = ranges(g.off[graphs], size)
+        cells = len(node)
+        paths, dist, mark = np.zeros(cells), np.full(cells, -1, np.int32), np.zeros(cells, np.int64)
+        sources = base + np.arange(first, last) - g.off[graphs]
+        paths[sources], dist[sources] = 1.0, 0
+        front, steps = sources, []
+        while len(front):
+            at = node[front]
+            out = degree[at]
+            begun = np.repeat(front, out)
+            ended = dst[ranges(start[at], out)] - np.repeat(at - front, out)
+            new = dist[ended] < 0
+            begun, ended = begun[new], ended[new]
+            np.add.at(paths, ended, paths[begun])
+            dist[ended] = len(steps) + 1
+            order = np.arange(len(ended))
+            mark[ended] = order
+            front = ended[mark[ended] == order]
+            if len(ended):
+                steps.append((begun, ended))
+        delta = np.zeros(cells)
+        for begun, ended in reversed(steps):
+            share = (1.0 + delta[ended]) / paths[ended]
+            first_of = heads(begun)
+            back = begun[first_of]
+            delta[back] += paths[back] * np.add.reduceat(share, first_of)
+        delta[sources] = 0.0
+        low = g.off[graphs[0]]
+        found = np.bincount(node - low, delta)
+        sums[low:low + len(found)] += found
+    return sums
+
+
+def eigenvectors(g: Graphs, max_iter: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per node the value; per graph the iterations and whether they converged. Graphs that have are left out of the
+    iteration as soon as they are a quarter of those in it."""
+    value, iterations, converged = np.zeros(len(g.gid)), np.full(g.size, max_iter), np.zeros(g.size, bool)
+    live, n, src, dst = np.arange(g.size), g.n, g.src, g.dst
+    at, gid, starts = np.arange(len(g.gid)), g.gid, g.off[:-1]
+    x, ended = 1.0 / n[gid], np.zeros(len(live), bool)
     for it in range(1, max_iter + 1):
         last = x
-        x = last + np.bincount(dst, weights=last[src], minlength=n)
-        nrm = np.sqrt((x * x).sum()) or 1.0
-        x = x / nrm
-        if np.abs(x - last).sum() < n * TOL:
-            return x, it, True
-    return x, max_iter, False
+        x = last + np.bincount(dst, weights=last[src], minlength=len(last))
+        length = np.sqrt(np.add.reduceat(x * x, starts))
+        length[length == 0] = 1.0
+        x /= length[gid]
+        done = (np.add.reduceat(np.abs(x - last), starts) < n * TOL) & ~ended
+        if not done.any():
+            continue
+        cells = ranges(starts[done], n[done])
+        value[at[cells]] = x[cells]
+        iterations[live[done]], converged[live[done]] = it, True
+        ended |= done
+        if ended.all():
+            return value, iterations, converged
+        if ended.sum() * 4 >= len(ended):
+            kept, edges = ~ended[gid], ~ended[gid[src]]
+            moved = np.cumsum(kept) - 1
+            src, dst = moved[src[edges]], moved[dst[edges]]
+            x, at, live, n = x[kept], at[kept], live[~ended], n[~ended]
+            gid, starts = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
+            ended = np.zeros(len(live), bool)
+    cells = ~ended[gid]
+    value[at[cells]] = x[cells]
+    return value, iterations, converged
+
+
+def centralities(g: Graphs, max_iter: int, metrics) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """The values per node of each metric asked for, the iterations of the eigenvectors and whether they converged."""
+    found, iterations, converged = {}, np.zeros(g.size, np.int64), np.ones(g.size, bool)
+    others = np.maximum(g.n - 1, 1)[g.gid]
+    if "betweenness" in metrics:
+        n = g.n[g.gid]
+        found["betweenness"] = dependencies(g) / np.where(n > 2, (n - 1) * (n - 2), 1)
+    if "closeness" in metrics:
+        total, reached = distances(g)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            found["closeness"] = np.where(total > 0, ((reached - 1) / total) * ((reached - 1) / others), 0.0)
+    if "eigenvector" in metrics:
+        found["eigenvector"], iterations, converged = eigenvectors(g, max_iter)
+    return found, iterations, converged
 
 
 def graph_centralities(nodes: list[str], src_names, dst_names, max_iter: int = 50_000_000, metrics=METRICS):
@@ -95,25 +182,12 @@ def graph_centralities(nodes: list[str], src_names, dst_names, max_iter: int = 5
 
     A metric that is not asked for is None.
     """
-    if isinstance(nodes, np.ndarray):  # places already
-        names, n, src, dst = nodes, len(nodes), src_names, dst_names
-    else:
-        names = sorted(set(nodes))
-        n = len(names)
-        pos = {v: i for i, v in enumerate(names)}
-        src = np.array([pos[s] for s in src_names], dtype=np.int64)
-        dst = np.array([pos[d] for d in dst_names], dtype=np.int64)
-    btw = close = eig = None
-    iters, ok = 0, True
-    if "betweenness" in metrics or "closeness" in metrics:
-        total, reached, btw = path_metrics(src, dst, n, "betweenness" in metrics)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            close = np.where(total > 0, ((reached - 1) / total) * ((reached - 1) / max(n - 1, 1)), 0.0)
-        if n > 2:
-            btw = btw / ((n - 1) * (n - 2))
-    if "eigenvector" in metrics:
-        eig, iters, ok = _eigenvector(src, dst, n, max_iter)
-    return (names, btw if "betweenness" in metrics else None, close if "closeness" in metrics else None, eig, iters, ok)
+    names = sorted(set(nodes))
+    pos = {v: i for i, v in enumerate(names)}
+    ends = np.array(sorted((pos[a], pos[b]) for a, b in zip(src_names, dst_names)), np.int64).reshape(-1, 2)
+    g = Graphs(np.array([len(names)]), np.array([len(ends)]), ends[:, 0], ends[:, 1])
+    found, iters, ok = centralities(g, max_iter, metrics)
+    return (names, *[found.get(m) for m in METRICS], int(iters[0]), bool(ok[0]))
 
 
 def node_centralities(edges: DataFrame, nodes: DataFrame, keys: list[str], max_iter: int = 50_000_000,
@@ -193,31 +267,33 @@ def centrality_rows(rows: DataFrame, metrics=METRICS, arrays: tuple[str, ...] =
              + [(m, "array<double>", pa.list_(pa.float64())) for m in arrays]
              + [("eig_iterations", "int", pa.int32())] * ("eigenvector" in arrays))
 
+    def measure(g: Graphs, part: dict[str, pa.Array]) -> dict[str, object]:
+        per_node, iters, ok = centralities(g, max_iter, metrics)
+        values, several = {"eigenvector_converged": ok, "eig_iterations": iters.astype(np.int32)}, g.n >= 2
+        for m in metrics:
+            x, starts = per_node[m], g.off[:-1]
+            mean = g.sums(x) / g.n
+            away = x - mean[g.gid]
+            for name, found in (("mean", mean), ("std", np.sqrt(g.sums(away * away) / g.n)),
+                                ("max", np.maximum.reduceat(x, starts)), ("min", np.minimum.reduceat(x, starts))):
+                values[f"{m}_centrality_{name}"] = found
+        for m in arrays:
+            values[m] = pa.ListArray.from_arrays(pa.array(g.off, pa.int32()), pa.array(per_node[m]))
+        return {c: v if several.all() else _nulled(v, t, several) for (c, _, t), v in ((a, values[a[0]]) for a in added)}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            new: list[list] = [[] for _ in added]
-            sizes, tokens, edges = (batch.column(len(others) + k) for k in range(3))
-            for n, count, packed in zip(sizes.to_pylist(), tokens.to_pylist(), edges):
-                if n is None or n < 2 or count < 2:
-                    values = [None] * len(added)
-                else:
-                    codes = packed.values.to_numpy(zero_copy_only=False)
-                    per_node, iters, ok = placed_centralities(codes >> 31, codes & MASK, n, max_iter, metrics)
-                    values = [x for m in metrics for x in (per_node[m].mean(), per_node[m].std(), per_node[m].max(),
-                                                           per_node[m].min())]
-                    values += [ok] * ("eigenvector" in metrics) + [per_node[m].tolist() for m in arrays]
-                    values += [iters] * ("eigenvector" in arrays)
-                for column, value in zip(new, values):
-                    column.append(value)
-            kept = [(f.name, c) for f, c in zip(batch.schema, batch.columns)][:len(others)]
-            made = [(a[0], pa.array(c, a[2])) for a, c in zip(added, new)]
-            yield pa.RecordBatch.from_arrays([c for _, c in kept + made], names=[n for n, _ in kept + made])
+            yield from measured(batch, {c: t for c, _, t in added}, True, measure)
 
     schema = StructType(rows.select(*others).schema.fields
                         + _parse_datatype_string(", ".join(f"{n} {t}" for n, t, _ in added)).fields)
-    g = F.col("graph")
-    return rows.select(*others, F.size(g["nodes"]).alias("_n"), g["n_tokens"].alias("_t"), g["edges"].alias("_e")) \
-        .mapInArrow(run, schema)
+    return rows.select(*others, let(F.col("graph"), lambda x: packed(x)).alias("_g")).mapInArrow(run, schema)
+
+
+def _nulled(values, kind: pa.DataType, kept: np.ndarray) -> pa.Array:
+    """``values`` as an array of ``kind`` with nulls where not ``kept``."""
+    values = values if isinstance(values, pa.Array) else pa.array(values, kind)
+    return values.take(pa.array(np.arange(len(kept)), mask=~kept))
 
 
 def pair_values(rows: DataFrame, pair_max_iter: int = 5000) -> DataFrame:
@@ -227,13 +303,6 @@ def pair_values(rows: DataFrame, pair_max_iter: int = 5000) -> DataFrame:
     return rows.withColumn("eigenvector", F.transform("eigenvector", lambda x: F.when(sure, x).otherwise(0.0)))
 
 
-def placed_centralities(src: np.ndarray, dst: np.ndarray, n: int, max_iter: int, metrics) -> tuple[dict, int, bool]:
-    """Centralities of nodes 0 .. n - 1, the iterations of the eigenvector and whether they converged."""
-    names = np.arange(n)
-    _, btw, close, eig, iters, ok = graph_centralities(names, src, dst, max_iter, metrics)
-    return {"betweenness": btw, "closeness": close, "eigenvector": eig}, iters, bool(ok)
-
-
 def centrality_summaries(cent: DataFrame, keys: list[str], metrics=METRICS) -> DataFrame:
     """Mean, population std, max, min of each centrality per graph with at least 2 nodes
     (single-node graphs get no path metrics, so their summaries are 0 downstream)."""

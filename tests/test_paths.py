@@ -99,3 +99,48 @@ def test_streamed_kernel_on_spark(spark):
     s = {r.sent_idx for r in centrality_summaries(node_centralities(edges, nodes, ["problem_id", "sent_idx"]),
                                                   ["problem_id", "sent_idx"]).collect()}
     assert s == {0}                                            # single-node graph gets no path metrics
+
+
+@pytest.mark.parametrize("cells", [P.BLOCK_CELLS, 300, 1])  # many graphs at a time, a few, and parts of one
+def test_many_graphs_at_once_equal_one_by_one(monkeypatch, cells):
+    from styloscope.operators.graph_arrays import Graphs
+    monkeypatch.setattr(P, "BLOCK_CELLS", cells)
+    random.seed(5)
+    sizes = [1, 2, 3, 9, 64, 65, 140, 20, 7]
+    graphs = []
+    for n in sizes:
+        walk = [min(n - 1, int(random.random() ** 2 * n)) for _ in range(2 * n)]
+        graphs.append((n, sorted({(a, b) for a, b in zip(walk, walk[1:]) if a != b})))
+    ends = [np.array([x[k] for _, e in graphs for x in e], np.int64) for k in (0, 1)]
+    g = Graphs(np.array(sizes), np.array([len(e) for _, e in graphs]), *ends)
+    found, iters, ok = P.centralities(g, 100000, P.METRICS)
+    assert ok.all()
+    for i, (n, edges) in enumerate(graphs):
+        names = [f"{v:03d}" for v in range(n)]
+        nodes, *want = brute(names, [(names[a], names[b]) for a, b in edges])
+        for metric, values in zip(P.METRICS, want):
+            assert np.allclose(found[metric][g.off[i]:g.off[i + 1]], [values[v] for v in nodes], atol=1e-9), (metric, n)
+        assert iters[i] == P.graph_centralities(nodes, [names[a] for a, _ in edges], [names[b] for _, b in edges])[4]
+
+
+def test_eigenvector_stops_at_its_limit_per_graph():
+    from styloscope.operators.graph_arrays import Graphs
+    chain = np.arange(30)
+    g = Graphs(np.array([2, 31]), np.array([0, 30]), chain, chain + 1)
+    values, iters, ok = P.eigenvectors(g, 5)
+    assert iters.tolist() == [2, 5] and ok.tolist() == [True, False] and values[2:].any()
+
+
+def test_batches_are_cut_into_slices(spark, monkeypatch):
+    import pyarrow as pa
+
+    from styloscope.operators import graph_arrays as ga
+    monkeypatch.setattr(ga, "SLICE_CELLS", 4)
+    e = [[1 << 31 | 2, 2 << 31 | 0], [], None, [0 << 31 | 1]]
+    packed = pa.StructArray.from_arrays([pa.array([3, 1, None, 2], pa.int32()), pa.array([4, 1, None, 2], pa.int32()),
+                                         pa.array(e, pa.list_(pa.int64()))], ["n", "t", "e"])
+    batch = pa.RecordBatch.from_arrays([pa.array([10, 11, 12, 13]), packed], names=["key", "_g"])
+    measure = lambda g, part: {"edges": g.e}
+    for every_row, want in ((True, [(10, 2), (11, None), (12, None), (13, 1)]), (False, [(10, 2), (13, 1)])):
+        parts = list(ga.measured(batch, {"edges": pa.int64()}, every_row, measure))
+        assert [tuple(r.values()) for p in parts for r in p.to_pylist()] == want and len(parts) > 1
