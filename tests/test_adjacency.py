@@ -107,3 +107,25 @@ def test_nodes_carry_the_tag_of_their_last_occurrence(spark):
         (0, "run", "word", "VERB"), (0, "the", "word", "DET"), (0, "POS_NOUN", "POS", None), (0, "POS_DET", "POS", None),
         (0, "POS_VERB", "POS", None), (1, "a", "word", None), (1, "b", "word", None), (4, "é", "word", "A"),
         (4, "POS_A", "POS", None), (4, "POS_B", "POS", None), (4, "POS_C", "POS", None)], key=lambda x: (x[0], x[1]))
+
+
+@pytest.mark.parametrize("include_pos", [True, False])
+def test_words_give_what_their_graphs_give(spark, include_pos):
+    from styloscope.operators import paths as pa
+    data = inputs(spark, EDGE_CASES + texts_of(20, 6)).withColumn("include_pos", F.lit(include_pos))
+    graphs = ad.graph_rows(data, KEY)
+    values = ("closeness", "eigenvector")
+
+    def found(rows, kept):
+        paths = pa.centrality_rows(rows.withColumn("kept", kept), arrays=values)
+        pairs = ad.with_next(paths.select(*KEY, *values, *(["kept.*"] if "words" in rows.columns else
+                                                           [F.col("kept").alias("graph")])), values)
+        return [{r[:2]: r[2:] for r in df.collect()} for df in (
+            ad.metrics(rows, KEY), ad.metrics(rows, KEY, every_row=True), paths.drop("kept"), ad.pairwise(pairs, values))]
+
+    assert found(data, F.struct("words", "tags", "include_pos")) == found(graphs, F.col("graph"))
+
+
+def test_metrics_of_words_build_no_graph_in_the_row(spark):
+    plan = ad.metrics(inputs(spark, ["a b c"]), KEY)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "array_position" not in plan

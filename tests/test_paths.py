@@ -136,11 +136,14 @@ def test_batches_are_cut_into_slices(spark, monkeypatch):
 
     from styloscope.operators import graph_arrays as ga
     monkeypatch.setattr(ga, "SLICE_CELLS", 4)
-    e = [[1 << 31 | 2, 2 << 31 | 0], [], None, [0 << 31 | 1]]
-    packed = pa.StructArray.from_arrays([pa.array([3, 1, None, 2], pa.int32()), pa.array([4, 1, None, 2], pa.int32()),
-                                         pa.array(e, pa.list_(pa.int64()))], ["n", "t", "e"])
+    e = [[0 << 31 | 1, 2 << 31 | 0], [], None, [0 << 31 | 1]]
+    nodes = [["0a", "0b", "1X"], ["0a"], None, ["0c", "0d"]]
+    packed = pa.StructArray.from_arrays([pa.array(nodes), pa.array([4, 1, None, 2], pa.int32()),
+                                         pa.array(e, pa.list_(pa.int64())),
+                                         pa.array([x and [1] * len(x) for x in e], pa.list_(pa.int32()))],
+                                        ["nodes", "t", "e", "w"])
     batch = pa.RecordBatch.from_arrays([pa.array([10, 11, 12, 13]), packed], names=["key", "_g"])
-    measure = lambda g, part: {"edges": g.e}
+    measure = lambda g: {"edges": g.e}
     for every_row, want in ((True, [(10, 2), (11, None), (12, None), (13, 1)]), (False, [(10, 2), (13, 1)])):
         parts = list(ga.measured(batch, {"edges": pa.int64()}, every_row, measure))
         assert [tuple(r.values()) for p in parts for r in p.to_pylist()] == want and len(parts) > 1
